@@ -1,0 +1,92 @@
+"""Fixed seed rows of the rights model and the alert rules.
+
+These are the only inline tables; every other table is read from storage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..schemas import conform
+
+# --- fixed values: roles in id order (ids 1..5) -----------------------------
+ROLE_NAMES = ["SYSTEM_ADMIN", "DATA_ADMIN", "FOREST_GUARD", "PUBLIC_USER", "INSPECTOR"]
+
+# --- fixed values: permission resources in id order; each gets a "view" and a
+# "manage" permission, so permission ids are 2*i+1 (view) and 2*i+2 (manage).
+PERMISSION_RESOURCES = ["regions", "sensors", "alerts", "resources", "devices",
+                        "reports", "statistics", "users", "roles", "permissions"]
+PERMISSION_ACTIONS = ["view", "manage"]
+
+# --- fixed values: permission ids granted to each role -----------------------
+ROLE_GRANTS = {
+    1: list(range(1, 21)),
+    2: [1, 3, 5, 7, 8, 9, 11, 12, 13, 14, 15, 16, 17, 18, 19],
+    3: [1, 3, 5, 7, 8, 9, 11, 13, 15, 17],
+    4: [1, 3, 7, 11, 13, 15],
+    5: [1, 3, 5, 7, 9, 11, 13, 15, 17, 19],
+}
+
+# --- fixed values: alert rules (rule 3 inactive) -----------------------------
+ALERT_RULES = [
+    (1, "FIRE", "temperature > 35 AND humidity < 20", "SEVERE", True),
+    (2, "FIRE", "temperature > 30 AND humidity < 25", "MODERATE", True),
+    (3, "DROUGHT", "humidity < 15", "SEVERE", False),
+    (4, "DROUGHT", "humidity < 20", "MODERATE", True),
+    (5, "PEST", 'other_sensor = "pest_detected"', "GENERAL", True),
+    (6, "OTHER", "system_error = true", "CRITICAL", True),
+]
+
+
+def roles(spark: SparkSession) -> DataFrame:
+    rows = [(i, name) for i, name in enumerate(ROLE_NAMES, start=1)]
+    return conform(spark.createDataFrame(rows, "role_id BIGINT, role_name STRING"), "roles")
+
+
+def permissions(spark: SparkSession) -> DataFrame:
+    rows = []
+    for i, res in enumerate(PERMISSION_RESOURCES):
+        for j, act in enumerate(PERMISSION_ACTIONS):
+            rows.append((2 * i + j + 1, f"{act}_{res}", res, act))
+    df = spark.createDataFrame(
+        rows, "permission_id BIGINT, permission_name STRING, resource STRING, action STRING")
+    return conform(df, "permissions")
+
+
+def role_permissions(spark: SparkSession) -> DataFrame:
+    rows = [(r, p) for r, perms in ROLE_GRANTS.items() for p in perms]
+    return conform(spark.createDataFrame(rows, "role_id BIGINT, permission_id BIGINT"),
+                   "role_permissions")
+
+
+def alert_rules(spark: SparkSession) -> DataFrame:
+    df = spark.createDataFrame(
+        ALERT_RULES,
+        "rule_id BIGINT, alert_type STRING, condition_expr STRING, severity_level STRING, is_active BOOLEAN")
+    return conform(df, "alert_rules")
+
+
+def values_sql(kind: str) -> str:
+    """The same seed rows as a SQL VALUES table (for the DuckDB oracle)."""
+    if kind == "roles":
+        body = ", ".join(f"(CAST({i} AS BIGINT), '{n}')" for i, n in enumerate(ROLE_NAMES, 1))
+        return f"SELECT * FROM (VALUES {body}) AS t(role_id, role_name)"
+    if kind == "permissions":
+        vals = []
+        for i, res in enumerate(PERMISSION_RESOURCES):
+            for j, act in enumerate(PERMISSION_ACTIONS):
+                vals.append(f"(CAST({2 * i + j + 1} AS BIGINT), '{act}_{res}', '{res}', '{act}')")
+        return ("SELECT * FROM (VALUES " + ", ".join(vals) +
+                ") AS t(permission_id, permission_name, resource, action)")
+    if kind == "role_permissions":
+        vals = [f"(CAST({r} AS BIGINT), CAST({p} AS BIGINT))"
+                for r, perms in ROLE_GRANTS.items() for p in perms]
+        return "SELECT * FROM (VALUES " + ", ".join(vals) + ") AS t(role_id, permission_id)"
+    if kind == "alert_rules":
+        vals = []
+        for rid, typ, cond, sev, act in ALERT_RULES:
+            c = cond.replace("'", "''")
+            vals.append(f"(CAST({rid} AS BIGINT), '{typ}', '{c}', '{sev}', {str(act).upper()})")
+        return ("SELECT * FROM (VALUES " + ", ".join(vals) +
+                ") AS t(rule_id, alert_type, condition_expr, severity_level, is_active)")
+    raise KeyError(kind)
