@@ -43,3 +43,4 @@ HA = HISTORY_AS_OF
 # The modules below add their keys to REGISTRY when imported.
 from . import q_readings  # noqa: E402,F401
 from . import q_lists  # noqa: E402,F401
+from . import q_alerts  # noqa: E402,F401

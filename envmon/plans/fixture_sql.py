@@ -154,6 +154,9 @@ def with_tables(body: str) -> str:
         need.add(n)
         stack.extend(_DEPS.get(n, []))
     ctes = [f"{n} AS ({PROJECTIONS[n].strip()})" for n in _ORDER if n in need]
+    body = body.strip()
     if not ctes:
-        return body.strip()
-    return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+        return body
+    if re.match(r"(?i)with\s", body):  # merge with the body's own WITH list
+        return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
+    return "WITH " + ",\n".join(ctes) + "\n" + body
