@@ -44,3 +44,4 @@ HA = HISTORY_AS_OF
 from . import q_readings  # noqa: E402,F401
 from . import q_lists  # noqa: E402,F401
 from . import q_alerts  # noqa: E402,F401
+from . import q_assets  # noqa: E402,F401
