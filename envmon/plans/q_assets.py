@@ -146,7 +146,7 @@ def q_region_resources(spark, d):
     return resources.region_resources(tables(spark, d))
 
 
-@register("capture_resource_changes", """
+CAPTURE_SQL = """
 SELECT resource_id, change_type, change_reason, change_amount, change_area FROM (
   SELECT n.resource_id, CASE WHEN n.quantity > o.quantity THEN 'ADD' ELSE 'REDUCE' END AS change_type,
          'Auto record: quantity change' AS change_reason, CAST(ABS(n.quantity - o.quantity) AS INTEGER) AS change_amount,
@@ -163,7 +163,10 @@ SELECT resource_id, change_type, change_reason, change_amount, change_area FROM
   FROM resources o JOIN resources_next n ON o.resource_id = n.resource_id WHERE o.growth_stage <> n.growth_stage
   UNION ALL
   SELECT n.resource_id, 'ADD', '新增资源记录', n.quantity, n.area
-  FROM resources_next n WHERE n.resource_id NOT IN (SELECT resource_id FROM resources)) c""")
+  FROM resources_next n WHERE n.resource_id NOT IN (SELECT resource_id FROM resources)) c"""
+
+
+@register("capture_resource_changes", CAPTURE_SQL)
 def q_capture(spark, d):
     t = tables(spark, d)
     return resources.capture_resource_changes(t["resources"], t["resources_next"]).select(

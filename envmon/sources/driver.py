@@ -31,6 +31,9 @@ class DriverTables(dict):
     def src(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def __contains__(self, key) -> bool:
+        return dict.__contains__(self, key) or hasattr(self, f"_t_{key}")
+
     def __missing__(self, key: str) -> DataFrame:
         fn = getattr(self, f"_t_{key}", None)
         if fn is None:
