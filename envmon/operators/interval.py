@@ -31,7 +31,11 @@ from ..functions.domain import UNKNOWN_ALERT_TYPE, UNKNOWN_SEVERITY
 from ._plan import rollup_through, sensor_dim
 
 Tables = Mapping[str, DataFrame]
-HALF_WINDOW = F.expr("INTERVAL 5 MINUTES")
+HALF_WINDOW_MINUTES = 5
+
+
+def _half_window() -> Column:
+    return F.expr(f"INTERVAL {HALF_WINDOW_MINUTES} MINUTES")
 
 
 def minute_index(ts: Column) -> Column:
@@ -56,8 +60,8 @@ def alerts_near_readings(alerts: DataFrame, tables: Tables, status: str,
     """``alerts`` rows with a reading of ``status`` in [t - 5 min, t + 5 min]."""
     summary = reading_minutes(tables, status, same_region)
     keys = ["alert_id"] + (["region_id"] if same_region else [])
-    a = alerts.select(*keys, (F.col("triggered_at") - HALF_WINDOW).alias("lo"),
-                      (F.col("triggered_at") + HALF_WINDOW).alias("hi"))
+    a = alerts.select(*keys, (F.col("triggered_at") - _half_window()).alias("lo"),
+                      (F.col("triggered_at") + _half_window()).alias("hi"))
     a = a.withColumn("minute", F.explode(F.sequence(minute_index(F.col("lo")), minute_index(F.col("hi")))))
     on = ["minute"] + (["region_id"] if same_region else [])
     s = small(summary)
