@@ -118,20 +118,16 @@ def alert_stats(tables: Tables) -> DataFrame:
 
 
 # -- R2 ----------------------------------------------------------------------
-def trigger_alerts(tables: Tables, now, lookback: str = "5 minutes") -> DataFrame:
-    """New PENDING alerts for VALID readings newer than ``now - lookback``.
+def alerts_from_readings(readings: DataFrame, tables: Tables, keep: tuple[str, ...] = ()) -> DataFrame:
+    """PENDING alerts for VALID readings over a fixed threshold (batch or stream).
 
     TEMPERATURE above 35 is FIRE, HUMIDITY below 20 DROUGHT.  The rule is the
     smallest active rule_id of that type (no active rule -> no alert).  One
-    alert per reading, stamped with the reading's own time.  The source walks
-    a cursor row by row; here it is one filter and two broadcast joins (the
-    rule map has at most one row per alert type).
+    alert per reading, stamped with the reading's own time.  Both joins are
+    with bounded tables: the rule map has at most one row per alert type.
     """
-    now_ts = F.lit(now).cast("timestamp_ntz")
-    r = tables["sensor_readings"].filter(
-        (F.col("data_status") == "VALID") & (F.col("collected_at") > now_ts - F.expr(f"INTERVAL {lookback}")))
-    r = r.select("reading_id", "sensor_id", "collected_at", "numeric_value",
-                 triggered_alert_type().alias("alert_type")).filter(F.col("alert_type").isNotNull())
+    r = readings.filter(F.col("data_status") == "VALID")
+    r = r.withColumn("alert_type", triggered_alert_type()).filter(F.col("alert_type").isNotNull())
     rule_of_type = (tables["alert_rules"].filter(F.col("is_active"))
                     .groupBy("alert_type").agg(F.min("rule_id").alias("rule_id")))
     s = tables["sensors"].select("sensor_id", "region_id")
@@ -140,8 +136,20 @@ def trigger_alerts(tables: Tables, now, lookback: str = "5 minutes") -> DataFram
                        F.col("sensor_id").cast("string"), F.lit(" triggered alert: "),
                        F.col("numeric_value").cast("string"), F.lit(" matches rule "),
                        F.col("rule_id").cast("string"))
+    extra = [c for c in keep if c in out.columns]
     return out.select("reading_id", "rule_id", "region_id", F.col("collected_at").alias("triggered_at"),
-                      content.alias("content"), F.lit("PENDING").alias("status"))
+                      content.alias("content"), F.lit("PENDING").alias("status"), *extra)
+
+
+def trigger_alerts(tables: Tables, now, lookback: str = "5 minutes") -> DataFrame:
+    """New alerts for the readings newer than ``now - lookback`` (the polled procedure).
+
+    The source walks a cursor row by row; here it is one filter and two
+    broadcast joins over the look-back window.
+    """
+    now_ts = F.lit(now).cast("timestamp_ntz")
+    r = tables["sensor_readings"].filter(F.col("collected_at") > now_ts - F.expr(f"INTERVAL {lookback}"))
+    return alerts_from_readings(r, tables)
 
 
 # -- R3 ----------------------------------------------------------------------

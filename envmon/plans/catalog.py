@@ -46,3 +46,4 @@ from . import q_lists  # noqa: E402,F401
 from . import q_alerts  # noqa: E402,F401
 from . import q_assets  # noqa: E402,F401
 from . import q_admin  # noqa: E402,F401
+from . import q_streams  # noqa: E402,F401
