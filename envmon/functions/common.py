@@ -23,14 +23,49 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast hint only when the estimated size is known and under ``limit``.
+_WIDTH = {"LongType": 8, "DoubleType": 8, "IntegerType": 4, "FloatType": 4, "ShortType": 2, "ByteType": 1,
+          "BooleanType": 1, "DateType": 4, "TimestampType": 8, "TimestampNTZType": 8, "StringType": 20}
 
-    Above the limit (or without an estimate) the frame is returned as is:
-    the join then shuffles, and adaptive execution may still switch it to a
-    broadcast once the real size is measured after a stage.
+
+def _row_width(df: DataFrame) -> int:
+    """Row width in bytes by Catalyst's default sizes per type (strings 20, decimals 8/16)."""
+    w = 0
+    for f in df.schema.fields:
+        name = type(f.dataType).__name__
+        if name == "DecimalType":
+            w += 8 if f.dataType.precision <= 18 else 16
+        else:
+            w += _WIDTH.get(name, 20)
+    return max(1, w)
+
+
+def keyjoin_bytes(driving: DataFrame, out: DataFrame) -> int | None:
+    """Size bound of ``out``, a join of ``driving`` with lookups on their unique keys.
+
+    Such a join has at most one output row per driving row, so its size is
+    the driving side's estimate scaled by the output row width.  (Without
+    cost-based statistics Catalyst estimates any inner join as the product
+    of its inputs, which would rule out every dimension built by a join.)
+    """
+    size = estimated_bytes(driving)
+    if size is None:
+        return None
+    return int(size * _row_width(out) / _row_width(driving)) + 1
+
+
+def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES, size: int | None = None) -> DataFrame:
+    """Broadcast hint only when the size is known and under ``limit``.
+
+    ``size`` is a caller's bound (see ``keyjoin_bytes``); by default the
+    optimizer's estimate is used.  Above the limit (or without an estimate)
+    the frame is returned as is: the join then shuffles, and adaptive
+    execution may still switch it to a broadcast once the real size is
+    measured after a stage.
     """
-    size = estimated_bytes(df)
+    if size is None:
+        size = getattr(df, "_size_bound", None)
+    if size is None:
+        size = estimated_bytes(df)
     if size is not None and size <= limit:
         return F.broadcast(df)
     return df

@@ -19,17 +19,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import estimated_bytes, BROADCAST_LIMIT_BYTES, small
+from ..functions.common import BROADCAST_LIMIT_BYTES, estimated_bytes, keyjoin_bytes, small
 
 _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 _COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
-    size = estimated_bytes(df)
+    size = getattr(df, "_size_bound", None)
+    size = estimated_bytes(df) if size is None else size
     return size is not None and size <= limit
 
 
+def bounded(df: DataFrame, size: int | None) -> DataFrame:
+    """Attach a caller-proven size bound to a frame (read by ``fits_broadcast`` / ``dim``)."""
+    df._size_bound = size
+    return df
+
+
+def dim(df: DataFrame) -> DataFrame:
+    """Broadcast a dimension when its (bound or estimated) size is under the limit."""
+    return small(df, size=getattr(df, "_size_bound", None))
+
+
 def rollup_through(fact: DataFrame, key: str, dim: DataFrame,
                    fact_groups: Sequence[Column], dim_groups: Sequence[str],
                    parts: Sequence[tuple[str, str, Column]]) -> DataFrame:
@@ -40,7 +52,8 @@ def rollup_through(fact: DataFrame, key: str, dim: DataFrame,
     proj = fact.select(F.col(key), *fact_groups,
                        *[c.alias(f"__p{i}") for i, (_, _, c) in enumerate(parts)])
     gnames = [c for c in proj.columns if c != key and not c.startswith("__p")]
-    dim = dim.select(key, *dim_groups)
+    bound = getattr(dim, "_size_bound", None)
+    dim = bounded(dim.select(key, *dim_groups), bound)
     if fits_broadcast(dim):
         j = proj.join(F.broadcast(dim), key)
         return j.groupBy(*gnames, *dim_groups).agg(
@@ -56,14 +69,16 @@ def sensor_dim(tables: Mapping[str, DataFrame]) -> DataFrame:
     """sensor_id -> region_id, region_name, monitor_type (inner: sensors of known regions)."""
     s = tables["sensors"].select("sensor_id", "region_id", "monitor_type")
     r = tables["regions"].select("region_id", "region_name")
-    return s.join(small(r), "region_id")
+    out = s.join(small(r), "region_id")
+    return bounded(out, keyjoin_bytes(s, out))
 
 
 def device_dim(tables: Mapping[str, DataFrame], how: str = "left") -> DataFrame:
     """device_id -> device_name, device_type, region_name (region optional)."""
     d = tables["devices"].select("device_id", "device_name", "device_type", "install_region_id")
     r = tables["regions"].select(F.col("region_id").alias("install_region_id"), "region_name")
-    return d.join(small(r), "install_region_id", how)
+    out = d.join(small(r), "install_region_id", how)
+    return bounded(out, keyjoin_bytes(d, out))
 
 
 def ordered(df: DataFrame, *cols) -> DataFrame:

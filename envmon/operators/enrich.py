@@ -11,8 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import small
-from ._plan import device_dim
+from ..functions.common import keyjoin_bytes, small
+from ._plan import bounded, device_dim
 
 Tables = Mapping[str, DataFrame]
 
@@ -52,9 +52,10 @@ def active_alerts(tables: Tables) -> DataFrame:
 def resource_change_log(tables: Tables) -> DataFrame:
     """Changes with resource, region and operator name, newest first per resource."""
     c = tables["resource_changes"]
-    res = tables["resources"].select("resource_id", "region_id", "resource_type", "species_name")
+    base = tables["resources"].select("resource_id", "region_id", "resource_type", "species_name")
     r = tables["regions"].select("region_id", "region_name")
-    res = res.join(small(r), "region_id")
+    res = base.join(small(r), "region_id")
+    res = bounded(res, keyjoin_bytes(base, res))
     out = (c.join(small(res), "resource_id")
             .join(_user_names(tables, "operator_id", "operator_name"), "operator_id", "left"))
     out = out.select("change_id", "resource_id", "region_name", "resource_type", "species_name",

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import count_if, mean_of, since, small
 from ..functions.domain import (ANOMALY_THRESHOLD, anomaly_type, aqi, aqi_level)
-from ..schemas import enum_rank
-from ._plan import ordered, rollup_through, sensor_dim
+from ._plan import bounded, ordered, rollup_through, sensor_dim
 
 Tables = Mapping[str, DataFrame]
 
@@ -37,7 +36,7 @@ def _readings(tables: Tables, status: str | None = "VALID", days: int | None = N
 def _dim(tables: Tables, region: str | None = None) -> DataFrame:
     d = sensor_dim(tables)
     if region is not None:
-        d = d.filter(F.col("region_name") == region)
+        d = bounded(d.filter(F.col("region_name") == region), d._size_bound)
     return d
 
 
@@ -199,7 +198,8 @@ def anomaly_data(tables: Tables, days: int = 7, region: str | None = None,
                  anomaly_type().alias("anomaly_type"))
     if anomaly is not None:
         r = r.filter(F.col("anomaly_type") == anomaly)
-    d = _dim(tables, region).select("sensor_id", "region_name")
+    d = _dim(tables, region)
+    d = bounded(d.select("sensor_id", "region_name"), d._size_bound)
     out = r.join(small(d), "sensor_id").select(
         F.col("collected_at").alias("time"), "region_name", "sensor_id", "reading_type",
         F.col("numeric_value").alias("value"), F.col("value_unit").alias("unit"), "anomaly_type",
@@ -223,6 +223,3 @@ def latest_readings(tables: Tables, n: int = 100, sensor_ids=None) -> DataFrame:
     return out.select("sensor_id", "rank", "reading_id", "collected_at", "reading_type",
                       "numeric_value", "value_unit", "data_status")
 
-
-def enum_sorted(df: DataFrame, col: str, table: str, column: str) -> DataFrame:
-    return df.orderBy(enum_rank(col, table, column))

@@ -33,8 +33,15 @@ def since_sql(as_of: str, days: int) -> str:
     return f"TIMESTAMP '{d.isoformat()} 00:00:00'"
 
 
+_TABLES: dict = {}
+
+
 def tables(spark: SparkSession, sf_dir: str):
-    return driver_tables(spark, sf_dir)
+    """The fixture tables of ``sf_dir``, built once per session (DataFrames are immutable)."""
+    key = (id(spark), sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = driver_tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 RA = READINGS_AS_OF

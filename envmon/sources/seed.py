@@ -38,32 +38,22 @@ ALERT_RULES = [
 ]
 
 
+# The seed tables are SQL VALUES lists: a local relation whose size the
+# optimizer knows, so joins with them are planned as broadcasts.
 def roles(spark: SparkSession) -> DataFrame:
-    rows = [(i, name) for i, name in enumerate(ROLE_NAMES, start=1)]
-    return conform(spark.createDataFrame(rows, "role_id BIGINT, role_name STRING"), "roles")
+    return conform(spark.sql(values_sql("roles")), "roles")
 
 
 def permissions(spark: SparkSession) -> DataFrame:
-    rows = []
-    for i, res in enumerate(PERMISSION_RESOURCES):
-        for j, act in enumerate(PERMISSION_ACTIONS):
-            rows.append((2 * i + j + 1, f"{act}_{res}", res, act))
-    df = spark.createDataFrame(
-        rows, "permission_id BIGINT, permission_name STRING, resource STRING, action STRING")
-    return conform(df, "permissions")
+    return conform(spark.sql(values_sql("permissions")), "permissions")
 
 
 def role_permissions(spark: SparkSession) -> DataFrame:
-    rows = [(r, p) for r, perms in ROLE_GRANTS.items() for p in perms]
-    return conform(spark.createDataFrame(rows, "role_id BIGINT, permission_id BIGINT"),
-                   "role_permissions")
+    return conform(spark.sql(values_sql("role_permissions")), "role_permissions")
 
 
 def alert_rules(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame(
-        ALERT_RULES,
-        "rule_id BIGINT, alert_type STRING, condition_expr STRING, severity_level STRING, is_active BOOLEAN")
-    return conform(df, "alert_rules")
+    return conform(spark.sql(values_sql("alert_rules")), "alert_rules")
 
 
 def values_sql(kind: str) -> str:
