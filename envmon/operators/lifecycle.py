@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import small
@@ -157,38 +157,63 @@ def constraint_checks(columns: Mapping[str, Sequence[str]]) -> list[tuple]:
 def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Duplicate keys, orphan foreign keys and values outside the allowed lists.
 
-    One aggregate per check over whole tables: (table, constraint, kind,
-    offending key or value, rows).  NULL keys are never duplicates or
-    orphans (as in SQL), NULL values are not checked against lists.
-    ``columns`` limits the checks to those columns (default: all columns).
+    One pass over each table, whatever the number of checks: every table
+    emits tagged rows into one union --
+
+    * DUP  (check, key text) for each unique/primary key of each row,
+    * BAD  (check, value) for each value outside its allowed list,
+    * REF  (check, parent tag, key) for each non-NULL foreign key,
+    * KEY  (parent tag, key) for each key a child refers to --
+
+    then one group-by counts equal rows (partial aggregation map-side, so a
+    hot key is combined before the shuffle) and one window over (parent
+    tag, key) tells whether a referenced key exists.  Kept: DUP with more
+    than one row, every BAD, REF without a KEY.  NULL keys are never
+    duplicates or orphans (as in SQL), NULL values are not checked against
+    lists.  ``columns`` limits the checks to those columns.
     """
     cols = columns or {t: df.columns for t, df in tables.items()}
-    parts: list[DataFrame] = []
-    for chk in constraint_checks({t: c for t, c in cols.items() if t in tables}):
-        kind, t = chk[0], chk[1]
-        df = tables[t]
-        if kind.startswith("DUPLICATE"):
-            ks = list(chk[2])
-            no_null = functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ks])
-            bad = (df.filter(no_null).groupBy(*ks).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-                     .select(_key_text(ks).alias("key_value"), "n"))
-            name = "(" + ",".join(ks) + ")"
-        elif kind == "ORPHAN":
-            fk, ptable, pkey = chk[2], chk[3], chk[4]
-            parent = tables[ptable].select(F.col(pkey).alias(fk)).dropDuplicates()
-            bad = (df.filter(F.col(fk).isNotNull()).join(parent, fk, "left_anti")
-                     .groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
-                     .select(F.col(fk).cast("string").alias("key_value"), "n"))
-            name = f"{fk}->{ptable}.{pkey}"
-        else:
-            col, values = chk[2], list(chk[3])
-            bad = (df.filter(F.col(col).isNotNull() & ~F.col(col).isin(values))
-                     .groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-                     .select(F.col(col).cast("string").alias("key_value"), "n"))
-            name = col
-        parts.append(bad.select(F.lit(t).alias("table_name"), F.lit(name).alias("constraint_name"),
-                                F.lit(kind).alias("kind"), "key_value", F.col("n").cast("bigint").alias("n")))
-    if not parts:
-        spark = next(iter(tables.values())).sparkSession
+    checks = constraint_checks({t: c for t, c in cols.items() if t in tables})
+    spark = tables[checks[0][1]].sparkSession if checks else SparkSession.getActiveSession()
+    if not checks:
         return spark.createDataFrame([], _VIOLATION)
-    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+    by_table: dict[str, list] = {}
+    for chk in checks:
+        by_table.setdefault(chk[1], []).append(chk)
+    parent_keys: dict[str, set[str]] = {}
+    for chk in checks:
+        if chk[0] == "ORPHAN":
+            parent_keys.setdefault(chk[3], set()).add(chk[4])
+            by_table.setdefault(chk[3], [])
+
+    def item(kind, cname, ptag, key, cond):
+        return F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(cname).alias("cname"),
+                                     F.lit(ptag).cast("string").alias("ptag"), key.cast("string").alias("key_value")))
+
+    frames = []
+    for t, chks in by_table.items():
+        items = []
+        for c in chks:
+            if c[0].startswith("DUPLICATE"):
+                nn = functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in c[2]])
+                items.append(item(c[0], "(" + ",".join(c[2]) + ")", None, _key_text(c[2]), nn))
+            elif c[0] == "ORPHAN":
+                items.append(item("ORPHAN", f"{c[2]}->{c[3]}.{c[4]}", f"{c[3]}.{c[4]}", F.col(c[2]),
+                                  F.col(c[2]).isNotNull()))
+            else:
+                items.append(item("NOT_ALLOWED", c[2], None, F.col(c[2]),
+                                  F.col(c[2]).isNotNull() & ~F.col(c[2]).isin(list(c[3]))))
+        for pk in sorted(parent_keys.get(t, ())):
+            items.append(item("KEY", None, f"{t}.{pk}", F.col(pk), F.col(pk).isNotNull()))
+        if items:
+            frames.append(tables[t].select(F.lit(t).alias("table_name"), F.explode(F.array(*items)).alias("x"))
+                          .filter(F.col("x").isNotNull())
+                          .select("table_name", "x.kind", "x.cname", "x.ptag", "x.key_value"))
+    rows = functools.reduce(lambda a, b: a.unionByName(b), frames)
+    agg = rows.groupBy("kind", "table_name", "cname", "ptag", "key_value").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("ptag", "key_value")
+    agg = agg.withColumn("has_key", F.max((F.col("kind") == "KEY").cast("int")).over(w))
+    keep = (((F.col("kind").startswith("DUPLICATE")) & (F.col("n") > 1)) | (F.col("kind") == "NOT_ALLOWED")
+            | ((F.col("kind") == "ORPHAN") & (F.col("has_key") == 0)))
+    return agg.filter(keep).select("table_name", F.col("cname").alias("constraint_name"), "kind", "key_value",
+                                   F.col("n").cast("bigint").alias("n"))
