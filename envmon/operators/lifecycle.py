@@ -29,7 +29,8 @@ def upsert_snapshot(base: DataFrame, changes: DataFrame, key: str | Sequence[str
     Returns (new table, change keys that matched no row).  Columns missing
     from ``changes`` keep their old value.  With several changes for one key
     the one with the largest ``order_by`` wins (an aggregate, max of a struct,
-    so a key with very many changes is combined map-side).
+    so a key with very many changes is combined map-side); without
+    ``order_by`` one of them is kept.
     """
     keys = [key] if isinstance(key, str) else list(key)
     upd_cols = [c for c in changes.columns if c in base.columns and c not in keys]
@@ -37,6 +38,8 @@ def upsert_snapshot(base: DataFrame, changes: DataFrame, key: str | Sequence[str
         last = changes.groupBy(*keys).agg(
             F.max(F.struct(F.col(order_by).alias("__o"), *[F.col(c) for c in upd_cols])).alias("__s"))
         changes = last.select(*keys, *[F.col(f"__s.{c}").alias(c) for c in upd_cols])
+    else:
+        changes = changes.dropDuplicates(keys)  # a repeated key must not multiply base rows
     ch = changes.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in upd_cols],
                         F.lit(True).alias("__hit"))
     j = base.join(ch, keys, "left")

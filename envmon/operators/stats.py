@@ -216,10 +216,18 @@ def latest_readings(tables: Tables, n: int = 100, sensor_ids=None) -> DataFrame:
     with very many readings is cut down on the map side.
     """
     r = tables["sensor_readings"]
+    cols = ["sensor_id", "rank", "reading_id", "collected_at", "reading_type", "numeric_value", "value_unit",
+            "data_status"]
+    order = [F.desc("collected_at"), F.desc("reading_id")]
     if sensor_ids is not None:
-        r = r.filter(F.col("sensor_id").isin(list(sensor_ids)))
-    w = Window.partitionBy("sensor_id").orderBy(F.desc("collected_at"), F.desc("reading_id"))
+        ids = list(sensor_ids)
+        r = r.filter(F.col("sensor_id").isin(ids))
+        if len(ids) == 1:
+            # one sensor: a plain top-n (TakeOrderedAndProject keeps n rows per task), then the
+            # rank over at most n rows
+            top = r.orderBy(*order).limit(n)
+            return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(*cols)
+    w = Window.partitionBy("sensor_id").orderBy(*order)
     out = r.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    return out.select("sensor_id", "rank", "reading_id", "collected_at", "reading_type",
-                      "numeric_value", "value_unit", "data_status")
+    return out.select(*cols)
 

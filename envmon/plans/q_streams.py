@@ -46,6 +46,27 @@ def q_stream_alerts(spark, d):
     return out.select("reading_id", "rule_id", "region_id", "triggered_at", "content", "status")
 
 
+@register("stream_alert_windows", """
+SELECT time_bucket(INTERVAL '5 minutes', sr.collected_at) AS window_start,
+       time_bucket(INTERVAL '5 minutes', sr.collected_at) + INTERVAL 5 MINUTE AS window_end,
+       s.region_id, ru.alert_type, CAST(COUNT(*) AS BIGINT) AS alerts
+FROM sensor_readings sr
+JOIN sensors s ON sr.sensor_id = s.sensor_id
+JOIN (SELECT alert_type, MIN(rule_id) AS rule_id FROM alert_rules WHERE is_active GROUP BY alert_type) ru
+  ON ru.alert_type = CASE WHEN sr.reading_type = 'TEMPERATURE' AND sr.numeric_value > 35 THEN 'FIRE'
+                          WHEN sr.reading_type = 'HUMIDITY' AND sr.numeric_value < 20 THEN 'DROUGHT' END
+WHERE sr.data_status = 'VALID'
+GROUP BY 1, 2, 3, 4
+-- append mode emits a window once the watermark (latest reading - 5 minutes) passes its end
+HAVING time_bucket(INTERVAL '5 minutes', sr.collected_at) + INTERVAL 5 MINUTE
+       <= (SELECT MAX(collected_at) FROM raw_readings) - INTERVAL 5 MINUTE""")
+def q_stream_windows(spark, d):
+    t = streams.StreamTables(spark, d)
+    from ..operators.quality import validate_readings
+    readings = validate_readings(t["raw_readings"])
+    return _run(spark, streams.start_alert_windows, readings, t)
+
+
 @register("stream_lockouts")  # per-user state: compared with the batch form in tests
 def q_stream_lockouts(spark, d):
     t = streams.StreamTables(spark, d)

@@ -43,9 +43,7 @@ def assign_ids(df: DataFrame, key: str, base: DataFrame | None = None, start: in
 
 def ingest_readings(raw: DataFrame, path: str, base: DataFrame | None = None) -> str:
     """Validate, key and append a batch of readings under ``path`` (partitioned by day)."""
-    r = validate_readings(raw)
-    if r.filter(F.col("reading_id").isNull()).limit(1).count() > 0:
-        r = assign_ids(r, "reading_id", base=base)
+    r = assign_ids(validate_readings(raw), "reading_id", base=base)
     (r.withColumn("collected_date", F.to_date("collected_at"))
       .write.mode("append").partitionBy("collected_date").parquet(path))
     return path

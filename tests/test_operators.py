@@ -282,3 +282,10 @@ def test_region_sensors_keeps_empty_region(mini):
 def test_device_timeline_one_row_per_event(mini):
     tl = enrich.device_timeline(mini)
     assert tl.filter("device_id = 1").count() == 3 + 3
+
+
+def test_latest_readings_single_sensor_path(mini):
+    one = stats.latest_readings(mini, n=3, sensor_ids=[10])
+    many = stats.latest_readings(mini, n=3).filter("sensor_id = 10")
+    cols = ("rank", "reading_id")
+    assert rows(one, *cols) == rows(many, *cols) and len(rows(one, *cols)) == 3
