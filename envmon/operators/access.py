@@ -38,11 +38,18 @@ def role_permissions(tables: Tables) -> DataFrame:
 
 
 def user_permissions(tables: Tables) -> DataFrame:
-    """Distinct effective permissions of every user."""
-    rp = role_permissions(tables)
-    j = tables["user_roles"].select("user_id", "role_id").join(small(rp), "role_id")
-    return j.select("user_id", "permission_id", "permission_name", "resource", "action") \
-            .dropDuplicates(["user_id", "permission_id"])
+    """Distinct effective permissions of every user.
+
+    De-duplication runs on the two ids only (a hash aggregate on fixed-width
+    keys, combined map-side); the names are attached afterwards from the
+    small permissions table.
+    """
+    rp = tables["role_permissions"].select("role_id", "permission_id")
+    ids = (tables["user_roles"].select("user_id", "role_id").join(small(rp), "role_id")
+           .select("user_id", "permission_id").dropDuplicates())
+    p = tables["permissions"].select("permission_id", "permission_name", "resource", "action")
+    return ids.join(small(p), "permission_id").select("user_id", "permission_id", "permission_name",
+                                                      "resource", "action")
 
 
 def check_permissions(tables: Tables, requests: DataFrame) -> DataFrame:

@@ -23,13 +23,26 @@ def _user_names(tables: Tables, id_col: str, name_col: str) -> DataFrame:
 
 
 def region_sensors(tables: Tables) -> DataFrame:
-    """Every region with its sensors; regions without sensors kept once with NULLs."""
+    """Every region with its sensors; regions without sensors kept once with NULLs.
+
+    Written as sensors joined to their region (the big side streamed, regions
+    broadcast) plus the regions that have no sensor, instead of a left join
+    from regions: there a region holding most sensors would be one buffered
+    join group that adaptive execution cannot split.
+    """
+    cols = ["region_id", "region_name", "region_type", "sensor_id", "model", "monitor_type",
+            "install_time", "sensor_status"]
     r = tables["regions"].select("region_id", "region_name", "region_type")
     s = tables["sensors"].select("region_id", "sensor_id", "model", "monitor_type", "install_time",
                                  F.col("status").alias("sensor_status"))
-    return r.join(s, "region_id", "left").select(
-        "region_id", "region_name", "region_type", "sensor_id", "model", "monitor_type",
-        "install_time", "sensor_status")
+    with_sensors = s.join(small(r), "region_id").select(*cols)
+    used = s.select("region_id").dropDuplicates()
+    empty = r.join(used, "region_id", "left_anti").select(
+        "region_id", "region_name", "region_type", F.lit(None).cast("bigint").alias("sensor_id"),
+        F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("monitor_type"),
+        F.lit(None).cast("timestamp_ntz").alias("install_time"),
+        F.lit(None).cast("string").alias("sensor_status"))
+    return with_sensors.unionByName(empty)
 
 
 def sensors_by_region_name(tables: Tables, region_name: str) -> DataFrame:
