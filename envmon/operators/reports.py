@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -23,6 +25,30 @@ TIME_REPORT_DAYS = 30
 REPORT_COLUMNS = ["id", "name", "type", "value", "unit", "time"]
 
 
+def period_range(period: str) -> tuple[_dt.date, _dt.date]:
+    """[first day, day after the last) of a period label: YYYY-MM-DD, YYYY-Www (ISO week) or YYYY-MM."""
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", period):
+        d = _dt.date.fromisoformat(period)
+        return d, d + _dt.timedelta(days=1)
+    m = re.fullmatch(r"(\d{4})-W(\d{2})", period)
+    if m:
+        d = _dt.date.fromisocalendar(int(m.group(1)), int(m.group(2)), 1)
+        return d, d + _dt.timedelta(days=7)
+    m = re.fullmatch(r"(\d{4})-(\d{2})", period)
+    if m:
+        y, mo = int(m.group(1)), int(m.group(2))
+        return _dt.date(y, mo, 1), (_dt.date(y + 1, 1, 1) if mo == 12 else _dt.date(y, mo + 1, 1))
+    raise ValueError(f"unsupported period label: {period}")
+
+
+def _in_period(col: str, period: str | None):
+    if period is None:
+        return F.lit(True)
+    lo, hi = period_range(period)
+    c = F.col(col)
+    return (c >= F.lit(lo.isoformat()).cast("timestamp_ntz")) & (c < F.lit(hi.isoformat()).cast("timestamp_ntz"))
+
+
 def report_template_usage(tables: Tables) -> DataFrame:
     """Every template with its number of reports and the last generation time."""
     per = tables["reports"].groupBy("template_id").agg(
@@ -44,12 +70,15 @@ def report_region(tables: Tables, as_of=None) -> DataFrame:
         F.lit(UNIT_REGION).alias("unit"), as_date(as_of).alias("date"))
 
 
-def report_time(tables: Tables, as_of=None, days: int = TIME_REPORT_DAYS) -> DataFrame:
+def report_time(tables: Tables, as_of=None, days: int = TIME_REPORT_DAYS, period: str | None = None) -> DataFrame:
     """TIME dimension: alerts of the last N days (by date) with their notification count.
 
-    The alert type comes from the alert's rule (alerts have no type column).
+    With ``period`` the alerts of that period are taken instead of the last N
+    days.  The alert type comes from the alert's rule (alerts have no type column).
     """
-    a = tables["alerts"].filter(since(F.to_date("triggered_at"), as_of, days))
+    a = tables["alerts"]
+    a = a.filter(_in_period("triggered_at", period)) if period is not None else \
+        a.filter(since(F.to_date("triggered_at"), as_of, days))
     r = tables["regions"].select("region_id", "region_name")
     ru = tables["alert_rules"].select("rule_id", "alert_type")
     counts = notification_counts(tables, a).select("alert_id", "total_notifications")
@@ -60,9 +89,9 @@ def report_time(tables: Tables, as_of=None, days: int = TIME_REPORT_DAYS) -> Dat
                       F.lit(UNIT_TIME).alias("unit"), "triggered_at")
 
 
-def report_type(tables: Tables, as_of=None) -> DataFrame:
-    """TYPE dimension: mean battery per device, a missing value counting as 0."""
-    per = tables["device_status_logs"].groupBy("device_id").agg(
+def report_type(tables: Tables, as_of=None, period: str | None = None) -> DataFrame:
+    """TYPE dimension: mean battery per device, a missing value counting as 0 (logs of ``period`` only if given)."""
+    per = tables["device_status_logs"].filter(_in_period("collected_at", period)).groupBy("device_id").agg(
         F.sum(F.coalesce(F.col("battery_percent"), F.lit(0)).cast("bigint")).alias("s"),
         F.count(F.lit(1)).alias("n"))
     d = tables["devices"].select("device_id", "device_name", "device_type")
@@ -79,31 +108,35 @@ def _as_report(df: DataFrame, cols: list[str]) -> DataFrame:
                      F.col(u).alias("unit"), F.col(tm).cast("timestamp_ntz").alias("time"))
 
 
-def report_data(tables: Tables, dimension: str, as_of=None) -> DataFrame:
-    """Rows of one dimension in the common six-column shape."""
+def report_data(tables: Tables, dimension: str, as_of=None, period: str | None = None) -> DataFrame:
+    """Rows of one dimension in the common six-column shape (optionally restricted to ``period``)."""
     if dimension == "REGION":
         return _as_report(report_region(tables, as_of),
                           ["region_id", "region_name", "region_type", "sensor_count", "unit", "date"])
     if dimension == "TIME":
-        return _as_report(report_time(tables, as_of),
+        return _as_report(report_time(tables, as_of, period=period),
                           ["alert_id", "region_name", "alert_type", "notification_count", "unit", "triggered_at"])
     if dimension == "TYPE":
-        return _as_report(report_type(tables, as_of),
+        return _as_report(report_type(tables, as_of, period=period),
                           ["device_id", "device_name", "device_type", "avg_battery", "unit", "date"])
     raise ValueError(f"unsupported report dimension: {dimension}")
 
 
 def generate_reports(tables: Tables, as_of=None, period: str | None = None,
-                     templates: DataFrame | None = None) -> DataFrame:
+                     templates: DataFrame | None = None, restrict_to_period: bool = False) -> DataFrame:
     """Report rows of every active template: (template_id, period) + the six columns.
 
+    ``period`` is a label by default (as in the source); with
+    ``restrict_to_period`` the TIME and TYPE rows only use data of that period.
+
     Each dimension's rows are computed once, tagged with the dimension and
     joined to the templates of that dimension (an equi-join on a small,
     broadcast template list), so one job serves all templates.
     """
     t = templates if templates is not None else tables["report_templates"].filter(F.col("is_active"))
     t = t.select("template_id", "dimension")
-    parts = [report_data(tables, dim, as_of).withColumn("dimension", F.lit(dim))
+    only = period if restrict_to_period else None
+    parts = [report_data(tables, dim, as_of, only).withColumn("dimension", F.lit(dim))
              for dim in ("REGION", "TIME", "TYPE")]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     per = F.lit(period) if period is not None else F.date_format(as_date(as_of), "yyyy-MM-dd")

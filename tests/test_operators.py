@@ -289,3 +289,12 @@ def test_latest_readings_single_sensor_path(mini):
     many = stats.latest_readings(mini, n=3).filter("sensor_id = 10")
     cols = ("rank", "reading_id")
     assert rows(one, *cols) == rows(many, *cols) and len(rows(one, *cols)) == 3
+
+
+def test_period_range():
+    import datetime as dt
+    assert reports.period_range("2025-01-02") == (dt.date(2025, 1, 2), dt.date(2025, 1, 3))
+    assert reports.period_range("2025-W01") == (dt.date(2024, 12, 30), dt.date(2025, 1, 6))
+    assert reports.period_range("2024-12") == (dt.date(2024, 12, 1), dt.date(2025, 1, 1))
+    with pytest.raises(ValueError):
+        reports.period_range("Q1-2024")
