@@ -8,10 +8,20 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Dimension frames below this estimated size are broadcast; bigger ones are
-# left to the planner (sort-merge, or an adaptive broadcast when the runtime
-# size turns out small).
+# Dimension frames below this size are broadcast; bigger ones are left to
+# the planner (sort-merge, or an adaptive broadcast when the runtime size
+# turns out small).  A session may lower it with spark.envmon.broadcastLimitBytes
+# (0 turns hinted broadcasts off, which tests use to run the large-table paths).
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+LIMIT_CONF = "spark.envmon.broadcastLimitBytes"
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    try:
+        v = df.sparkSession.conf.get(LIMIT_CONF, None)
+    except Exception:
+        v = None
+    return BROADCAST_LIMIT_BYTES if v is None else int(v)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -53,7 +63,7 @@ def keyjoin_bytes(driving: DataFrame, out: DataFrame) -> int | None:
     return int(size * _row_width(out) / _row_width(driving)) + 1
 
 
-def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES, size: int | None = None) -> DataFrame:
+def small(df: DataFrame, limit: int | None = None, size: int | None = None) -> DataFrame:
     """Broadcast hint only when the size is known and under ``limit``.
 
     ``size`` is a caller's bound (see ``keyjoin_bytes``); by default the
@@ -62,6 +72,7 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES, size: int | None =
     execution may still switch it to a broadcast once the real size is
     measured after a stage.
     """
+    limit = broadcast_limit(df) if limit is None else limit
     if size is None:
         size = getattr(df, "_size_bound", None)
     if size is None:

@@ -19,13 +19,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import BROADCAST_LIMIT_BYTES, estimated_bytes, keyjoin_bytes, small
+from ..functions.common import broadcast_limit, estimated_bytes, keyjoin_bytes, small
 
 _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 _COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    limit = broadcast_limit(df) if limit is None else limit
     size = getattr(df, "_size_bound", None)
     size = estimated_bytes(df) if size is None else size
     return size is not None and size <= limit

@@ -78,7 +78,11 @@ def main(argv):
     keys = [a for a in argv[1:] if not a.startswith("/")]
     from envmon.session import get_session
     import __spark_entry__ as E
-    spark = get_session("local[8]", shuffle_partitions=8)
+    conf = {}
+    if os.environ.get("NO_BROADCAST"):  # run the large-table paths: no hinted or automatic broadcasts
+        conf = {"spark.envmon.broadcastLimitBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    spark = get_session("local[8]", shuffle_partitions=8, conf=conf)
     spark.sparkContext.setLogLevel("ERROR")
     qs, ors = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
