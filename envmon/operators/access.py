@@ -30,10 +30,13 @@ def user_roles(tables: Tables) -> DataFrame:
         "user_id", "role_id", "role_name", "description")
 
 
-def role_permissions(tables: Tables) -> DataFrame:
-    """Permissions of every role."""
+def role_permissions(tables: Tables, in_use: bool = False) -> DataFrame:
+    """Permissions of every role (``in_use``: of the roles held by at least one user)."""
     p = tables["permissions"].select("permission_id", "permission_name", "resource", "action")
-    return tables["role_permissions"].select("role_id", "permission_id").join(small(p), "permission_id").select(
+    rp = tables["role_permissions"].select("role_id", "permission_id")
+    if in_use:
+        rp = rp.join(tables["user_roles"].select("role_id").dropDuplicates(), "role_id", "left_semi")
+    return rp.join(small(p), "permission_id").select(
         "role_id", "permission_id", "permission_name", "resource", "action")
 
 

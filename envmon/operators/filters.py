@@ -29,9 +29,13 @@ def list_sensors(tables: Tables, region_id=None, monitor_type=None, status=None)
     return s.orderBy("sensor_id")
 
 
-def list_alert_rules(tables: Tables, alert_type=None, is_active=None, severity_level=None) -> DataFrame:
+def list_alert_rules(tables: Tables, alert_type=None, is_active=None, severity_level=None,
+                     in_use: bool = False) -> DataFrame:
+    """Rules by type, active flag, severity; ``in_use`` keeps rules some alert refers to."""
     r = apply_filters(tables["alert_rules"], {"alert_type": alert_type, "is_active": is_active,
                                               "severity_level": severity_level})
+    if in_use:
+        r = r.join(tables["alerts"].select("rule_id").dropDuplicates(), "rule_id", "left_semi")
     return r.orderBy("rule_id")
 
 
@@ -61,8 +65,12 @@ def list_reports(tables: Tables, template_id=None, cycle: str | None = None) ->
     return r.orderBy(F.desc("generated_at"), F.desc("report_id"))
 
 
-def list_roles(tables: Tables) -> DataFrame:
-    return tables["roles"].orderBy("role_id")
+def list_roles(tables: Tables, in_use: bool = False) -> DataFrame:
+    """All roles by id; ``in_use`` keeps roles held by at least one user."""
+    r = tables["roles"]
+    if in_use:
+        r = r.join(tables["user_roles"].select("role_id").dropDuplicates(), "role_id", "left_semi")
+    return r.orderBy("role_id")
 
 
 def lookup_keys(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

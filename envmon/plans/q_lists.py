@@ -26,9 +26,9 @@ def q_list_sensors(spark, d):
 
 @register("list_alert_rules", """
 SELECT rule_id, alert_type, condition_expr, severity_level, is_active FROM alert_rules
-WHERE is_active = TRUE""")
+WHERE is_active = TRUE AND rule_id IN (SELECT rule_id FROM alerts)""")
 def q_list_rules(spark, d):
-    return filters.list_alert_rules(tables(spark, d), is_active=True).select(
+    return filters.list_alert_rules(tables(spark, d), is_active=True, in_use=True).select(
         "rule_id", "alert_type", "condition_expr", "severity_level", "is_active")
 
 
@@ -62,9 +62,9 @@ def q_list_reports(spark, d):
         "report_id", "template_id", "period", "generated_at")
 
 
-@register("list_roles", "SELECT role_id, role_name FROM roles")
+@register("list_roles", "SELECT role_id, role_name FROM roles WHERE role_id IN (SELECT role_id FROM user_roles)")
 def q_list_roles(spark, d):
-    return filters.list_roles(tables(spark, d)).select("role_id", "role_name")
+    return filters.list_roles(tables(spark, d), in_use=True).select("role_id", "role_name")
 
 
 # Lookup: the sensors named by readings (found) and reading sensor ids with no sensor row (missing).
