@@ -15,17 +15,21 @@ from ..operators.quality import validate_readings
 from ..session import cut_lineage
 
 
-def assign_ids(df: DataFrame, key: str, base: DataFrame | None = None, start: int | None = None) -> DataFrame:
+def assign_ids(df: DataFrame, key: str, base: DataFrame | None = None, start: int | None = None,
+               stable_input: bool = False) -> DataFrame:
     """Give rows with a NULL ``key`` new dense ids above the largest id in ``base`` (or ``start``).
 
     No single-partition window over the data: the rows to number are first
     checkpointed (stable partitions, also after a lost executor), each
     partition counts its rows, the per-partition counts (one row per
     partition) are turned into offsets, and every row gets offset + its
-    position in the partition.
+    position in the partition.  ``stable_input`` (rows already held locally or
+    read from files that do not change) skips the checkpoint.
     """
     has = df.filter(F.col(key).isNotNull())
-    todo = cut_lineage(df.filter(F.col(key).isNull()))
+    todo = df.filter(F.col(key).isNull())
+    if not stable_input:
+        todo = cut_lineage(todo)
     if start is None:
         src = base if base is not None else has
         top = src.agg(F.max(key)).first()[0] or 0  # one number to the driver
@@ -43,7 +47,8 @@ def assign_ids(df: DataFrame, key: str, base: DataFrame | None = None, start: in
 
 def ingest_readings(raw: DataFrame, path: str, base: DataFrame | None = None) -> str:
     """Validate, key and append a batch of readings under ``path`` (partitioned by day)."""
-    r = assign_ids(validate_readings(raw), "reading_id", base=base)
+    # a batch handed over as local rows is already stable: no checkpoint needed
+    r = assign_ids(validate_readings(raw), "reading_id", base=base, stable_input=raw.isLocal())
     (r.withColumn("collected_date", F.to_date("collected_at"))
       .write.mode("append").partitionBy("collected_date").parquet(path))
     return path
