@@ -93,6 +93,11 @@ def as_date(value) -> Column:
     return F.lit(value).cast("date")
 
 
+def since_bound(as_of, days: int) -> Column:
+    """Midnight ``days`` before ``as_of`` as a zone-less timestamp."""
+    return F.date_sub(as_of_date(as_of), int(days)).cast("timestamp_ntz")
+
+
 def since(col: str | Column, as_of, days: int) -> Column:
     """``col >= as_of - days`` with the bound at midnight, inclusive.
 
@@ -144,3 +149,27 @@ def mean_of(sum_col: str | Column, count_col: str | Column) -> Column:
 def count_if(cond: Column) -> Column:
     """Number of rows where ``cond`` holds, as BIGINT (0 when none)."""
     return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
+
+
+# Fact tables written by this package are partitioned by the day of their time column
+# (<time column> -> <partition column>).  Time filters add the matching day predicate so
+# the scan prunes whole partitions instead of reading every file.
+DAY_PARTITIONS = {"collected_at": "collected_date"}
+
+
+def with_day_pruning(df: DataFrame, ts_col: str, lo=None, hi=None) -> DataFrame:
+    """Add ``lo <= day(ts_col) <= hi`` on the day partition column, when the frame has one.
+
+    ``lo`` / ``hi`` are Columns or values of the timestamp bounds already applied to
+    ``ts_col``; the day predicate is implied by them, so results do not change.
+    """
+    part = DAY_PARTITIONS.get(ts_col)
+    if part is None or part not in df.columns:
+        return df
+    if lo is not None:
+        lo_c = lo if isinstance(lo, Column) else F.lit(lo)
+        df = df.filter(F.col(part) >= F.to_date(lo_c.cast("timestamp_ntz")))
+    if hi is not None:
+        hi_c = hi if isinstance(hi, Column) else F.lit(hi)
+        df = df.filter(F.col(part) <= F.to_date(hi_c.cast("timestamp_ntz")))
+    return df

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import count_if, since, small
+from ..functions.common import count_if, since, small, with_day_pruning
 from ..functions.domain import triggered_alert_type
 from ..functions.rules import RULE_VARIABLES, compile_rule, variable_column
 from ._plan import rollup_through, sensor_dim
@@ -148,9 +148,9 @@ def trigger_alerts(tables: Tables, now, lookback: str = "5 minutes") -> DataFram
     The source walks a cursor row by row; here it is one filter and two
     broadcast joins over the look-back window.
     """
-    now_ts = F.lit(now).cast("timestamp_ntz")
-    r = tables["sensor_readings"].filter(F.col("collected_at") > now_ts - F.expr(f"INTERVAL {lookback}"))
-    return alerts_from_readings(r, tables)
+    lo = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {lookback}")
+    r = tables["sensor_readings"].filter(F.col("collected_at") > lo)
+    return alerts_from_readings(with_day_pruning(r, "collected_at", lo=lo), tables)
 
 
 # -- R3 ----------------------------------------------------------------------

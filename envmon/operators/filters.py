@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import apply_filters, contains_ci, small
+from ..functions.common import apply_filters, contains_ci, small, with_day_pruning
 
 Tables = Mapping[str, DataFrame]
 
@@ -91,6 +91,7 @@ def readings_in_range(tables: Tables, start, end, sensor_ids: Iterable | DataFra
     """Readings with collected_at BETWEEN start AND end (both ends inclusive), oldest first."""
     r = tables["sensor_readings"].filter(
         F.col("collected_at").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+    r = with_day_pruning(r, "collected_at", lo=start, hi=end)
     r = _restrict(r, "sensor_id", sensor_ids)
     return r.orderBy("collected_at", "reading_id")
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import count_if, mean_of, since, small
+from ..functions.common import count_if, mean_of, since, since_bound, small, with_day_pruning
 from ..functions.domain import (ANOMALY_THRESHOLD, anomaly_type, aqi, aqi_level)
 from ._plan import bounded, ordered, rollup_through, sensor_dim
 
@@ -25,7 +25,8 @@ def _readings(tables: Tables, status: str | None = "VALID", days: int | None = N
     if status is not None:
         r = r.filter(F.col("data_status") == status)
     if days is not None:
-        r = r.filter(since("collected_at", as_of, days))
+        r = with_day_pruning(r.filter(since("collected_at", as_of, days)), "collected_at",
+                             lo=since_bound(as_of, days))
     if types is not None:
         r = r.filter(F.col("reading_type").isin(types))
     if metric is not None:

@@ -106,3 +106,22 @@ def test_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == ["date", "region_name", "metric_type", "avg_value", "unit",
                                              "sample_count"]
+
+
+def test_stored_readings_prune_day_partitions(spark, tmp_dir):
+    """Readings written by ingest are read back with day partition pruning for time filters."""
+    from envmon.operators import filters, stats
+    t = driver_tables(spark, SF_SMALL)
+    path = ingest.ingest_readings(t["raw_readings"], f"{tmp_dir}/db/sensor_readings")
+    s = store.load_tables(spark, f"{tmp_dir}/db")
+    for n in ("sensors", "regions"):
+        s[n] = t[n]
+    q = stats.region_daily_averages(s, days=7, as_of="2024-01-31")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(collected_date" in plan
+    want = sorted(tuple(r) for r in stats.region_daily_averages(t, days=7, as_of="2024-01-31").collect())
+    assert sorted(tuple(r) for r in q.collect()) == want
+    rr = filters.readings_in_range(s, "2024-01-10 00:00:00", "2024-01-12 00:00:00")
+    assert "PartitionFilters" in rr._jdf.queryExecution().executedPlan().toString()
+    assert rr.count() == filters.readings_in_range(t, "2024-01-10 00:00:00", "2024-01-12 00:00:00").count()
+    assert path
