@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # the planner (sort-merge, or an adaptive broadcast when the runtime size
 # turns out small).  A session may lower it with spark.envmon.broadcastLimitBytes
 # (0 turns hinted broadcasts off, which tests use to run the large-table paths).
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024  # estimates come from compressed file sizes: stay well below executor memory
 LIMIT_CONF = "spark.envmon.broadcastLimitBytes"
 
 
