@@ -82,7 +82,12 @@ def main(argv):
     if os.environ.get("NO_BROADCAST"):  # run the large-table paths: no hinted or automatic broadcasts
         conf = {"spark.envmon.broadcastLimitBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1",
                 "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
-    spark = get_session("local[8]", shuffle_partitions=8, conf=conf)
+    if os.environ.get("PLAIN_SESSION"):  # the driver's own session: defaults, another time zone
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", "America/Los_Angeles")
+                 .getOrCreate())
+    else:
+        spark = get_session("local[8]", shuffle_partitions=8, conf=conf)
     spark.sparkContext.setLogLevel("ERROR")
     qs, ors = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
