@@ -10,7 +10,7 @@ nothing schedules it.  Here the same rules run on unbounded inputs:
   and alert type;
 * S-3 login attempts -> per-user state (failures, lock end) with
   ``applyInPandasWithState``; only users with pending failures or a lock
-  keep state.
+  keep state, and a lock's state times out on event time after it ended.
 
 Event-time columns must be TIMESTAMP (with zone), so zone-less times are
 cast under the session zone (UTC) into ``event_time``.
@@ -115,6 +115,9 @@ def _lockout_fn(max_failures: int, lock_seconds: int):
     lock = _dt.timedelta(seconds=lock_seconds)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # a lock ended long ago: same as the initial state
+            state.remove()
+            return
         if state.exists:
             f, until = state.get
             st = LoginState(int(f), None if pd.isna(until) else pd.Timestamp(until))
@@ -131,6 +134,11 @@ def _lockout_fn(max_failures: int, lock_seconds: int):
             state.remove()  # same as the initial state: keep nothing
         else:
             state.update((st.failures, st.locked_until.to_pydatetime() if st.locked_until is not None else None))
+            if st.locked_until is not None:
+                # drop the lock state once event time is well past its end (a day of margin
+                # covers any session time zone offset; removing an expired lock changes nothing)
+                end_ms = int(pd.Timestamp(st.locked_until).timestamp() * 1000) + STATE_MARGIN_MS
+                state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({
             "event_id": batch["event_id"].to_numpy(), "user_id": batch["user_id"].to_numpy(),
             "ts": batch["ts"].to_numpy(), "success": batch["success"].astype(bool).to_numpy(), "outcome": out,
@@ -140,14 +148,24 @@ def _lockout_fn(max_failures: int, lock_seconds: int):
     return fn
 
 
+STATE_MARGIN_MS = 24 * 3600 * 1000
+LOGIN_LATENESS = "1 hour"
+
+
 def lockout_stream(events: DataFrame, max_failures: int = MAX_FAILURES,
-                   lock_seconds: int = LOCK_SECONDS) -> DataFrame:
-    """Outcome of every login attempt of a stream, with the counter kept in state per user."""
+                   lock_seconds: int = LOCK_SECONDS, lateness: str = LOGIN_LATENESS) -> DataFrame:
+    """Outcome of every login attempt of a stream, with the counter kept in state per user.
+
+    State exists only for users with pending failures or a lock; a lock's state times out
+    on event time after the lock ended.  Attempts later than the watermark are dropped.
+    """
     e = events.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
-                      F.col("success").cast("boolean").alias("success"))
+                      F.col("success").cast("boolean").alias("success"),
+                      F.col("ts").cast("timestamp").alias("event_time"))
+    e = e.withWatermark("event_time", lateness)
     return e.groupBy("user_id").applyInPandasWithState(
         _lockout_fn(max_failures, lock_seconds), LOCKOUT_OUT, LOCKOUT_STATE, "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def start_lockouts(events: DataFrame, sink: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -98,3 +98,25 @@ def test_stream_drops_repeats_and_late_readings(spark, tmp_dir, mini):
     streams.run_to_end(streams.start_alerts(readings, mini, sink, ckpt))
     got = sorted(r["reading_id"] for r in spark.read.parquet(sink).collect())
     assert got == [1, 2, 5]
+
+
+def test_stream_lock_state_times_out(spark, tmp_dir):
+    ddl = "event_id BIGINT, user_id BIGINT, ts TIMESTAMP_NTZ, success BOOLEAN"
+    d1 = dt.datetime(2024, 1, 1, 10, 0, 0)
+    batches = [
+        [(i, 7, d1 + dt.timedelta(minutes=i), False) for i in range(5)]      # user 7 locked until 11:04
+        + [(10, 8, d1, False)],                                              # user 8: one pending failure
+        [(20, 9, d1 + dt.timedelta(days=2), True)],                          # moves event time two days on
+    ]
+    src = f"{tmp_dir}/logins"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(f"{src}/b{i}")
+        time.sleep(1.1)
+    ev = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    sink, ckpt = new_path(spark, "sink"), new_path(spark, "ckpt")
+    q = streams.start_lockouts(ev, sink, ckpt)
+    streams.run_to_end(q)
+    out = {r["event_id"]: r["outcome"] for r in spark.read.parquet(sink).collect()}
+    assert out[4] == "LOCKED" and out[20] == "SUCCESS"
+    kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert kept == 1  # only user 8 (pending failure); the ended lock of user 7 was dropped
