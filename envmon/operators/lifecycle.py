@@ -189,30 +189,39 @@ def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] |
             parent_keys.setdefault(chk[3], set()).add(chk[4])
             by_table.setdefault(chk[3], [])
 
-    def item(kind, cname, ptag, key, cond):
-        return F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(cname).alias("cname"),
-                                     F.lit(ptag).cast("string").alias("ptag"), key.cast("string").alias("key_value")))
+    def q(name: str) -> str:
+        return f"`{name}`"
 
+    def item(kind: str, cname: str | None, ptag: str | None, key: str, cond: str) -> str:
+        lit = (lambda v: "CAST(NULL AS STRING)" if v is None else "'" + v.replace("'", "''") + "'")
+        return (f"CASE WHEN {cond} THEN named_struct('kind', {lit(kind)}, 'cname', {lit(cname)}, "
+                f"'ptag', {lit(ptag)}, 'key_value', CAST({key} AS STRING)) END")
+
+    # One SQL expression per table (schema names only, no user input): a single parse on the
+    # JVM instead of hundreds of small column calls.
     frames = []
     for t, chks in by_table.items():
         items = []
         for c in chks:
             if c[0].startswith("DUPLICATE"):
-                nn = functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in c[2]])
-                items.append(item(c[0], "(" + ",".join(c[2]) + ")", None, _key_text(c[2]), nn))
+                nn = " AND ".join(f"{q(k)} IS NOT NULL" for k in c[2])
+                key = "concat_ws(',', " + ", ".join(f"CAST({q(k)} AS STRING)" for k in c[2]) + ")"
+                items.append(item(c[0], "(" + ",".join(c[2]) + ")", None, key, nn))
             elif c[0] == "ORPHAN":
-                items.append(item("ORPHAN", f"{c[2]}->{c[3]}.{c[4]}", f"{c[3]}.{c[4]}", F.col(c[2]),
-                                  F.col(c[2]).isNotNull()))
+                items.append(item("ORPHAN", f"{c[2]}->{c[3]}.{c[4]}", f"{c[3]}.{c[4]}", q(c[2]),
+                                  f"{q(c[2])} IS NOT NULL"))
             else:
-                items.append(item("NOT_ALLOWED", c[2], None, F.col(c[2]),
-                                  F.col(c[2]).isNotNull() & ~F.col(c[2]).isin(list(c[3]))))
+                allowed = ", ".join("'" + v.replace("'", "''") + "'" for v in c[3])
+                items.append(item("NOT_ALLOWED", c[2], None, q(c[2]),
+                                  f"{q(c[2])} IS NOT NULL AND {q(c[2])} NOT IN ({allowed})"))
         for pk in sorted(parent_keys.get(t, ())):
-            items.append(item("KEY", None, f"{t}.{pk}", F.col(pk), F.col(pk).isNotNull()))
+            items.append(item("KEY", None, f"{t}.{pk}", q(pk), f"{q(pk)} IS NOT NULL"))
         if items:
-            frames.append(tables[t].select(F.lit(t).alias("table_name"), F.explode(F.array(*items)).alias("x"))
+            frames.append(tables[t].select(F.lit(t).alias("table_name"),
+                                           F.expr("explode(array(" + ", ".join(items) + "))").alias("x"))
                           .filter(F.col("x").isNotNull())
                           .select("table_name", "x.kind", "x.cname", "x.ptag", "x.key_value"))
-    rows = functools.reduce(lambda a, b: a.unionByName(b), frames)
+    rows = functools.reduce(lambda a, b: a.union(b), frames)  # same column order in every branch
     agg = rows.groupBy("kind", "table_name", "cname", "ptag", "key_value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("ptag", "key_value")
     agg = agg.withColumn("has_key", F.max((F.col("kind") == "KEY").cast("int")).over(w))

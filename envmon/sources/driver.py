@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import conform
+from ..session import new_path
 from . import seed
 
 # Fixed evaluation dates of the fixture data.
@@ -165,7 +166,7 @@ class DriverTables(dict):
         the hash aggregate (a string minimum would force a sort aggregate).
         """
         li = self.src("lineitem")
-        return li.groupBy("l_orderkey", "l_linenumber").agg(
+        lines = li.groupBy("l_orderkey", "l_linenumber").agg(
             F.min("l_partkey").alias("partkey"), F.min("l_suppkey").alias("suppkey"),
             F.min("l_quantity").alias("qty"), F.min("l_extendedprice").alias("price"),
             F.min(F.ascii("l_returnflag")).alias("rflag"), F.min(F.ascii("l_linestatus")).alias("lstatus"),
@@ -173,6 +174,12 @@ class DriverTables(dict):
         ).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "l_orderkey",
                  "partkey", "suppkey", "qty", "price", F.expr("char(rflag)").alias("rflag"),
                  F.expr("char(lstatus)").alias("lstatus"), "shipdate")
+        # notifications, status logs and resource changes all derive from this table and
+        # would each repeat the aggregation (their column sets differ, so no exchange is
+        # reused): it is written once to the shared folder and read back, like a stored table
+        path = new_path(self.spark, "fixture-lines")
+        lines.write.parquet(path)
+        return self.spark.read.parquet(path)
 
     def _t_notifications(self):
         x = self["lines"]
