@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import count_if, mean_of, since, since_bound, small, with_day_pruning
 from ..functions.domain import (ANOMALY_THRESHOLD, anomaly_type, aqi, aqi_level)
+from ..schemas import enum_rank
 from ._plan import bounded, ordered, rollup_through, sensor_dim
 
 Tables = Mapping[str, DataFrame]
@@ -55,7 +56,12 @@ def region_daily_averages(tables: Tables, days: int = 30, region: str | None = N
          ("sample_count", "count", F.col("reading_id"))])
     out = agg.select("date", "region_name", "metric_type", mean_of("s", "nv").alias("avg_value"),
                      "unit", F.col("sample_count").cast("bigint").alias("sample_count"))
-    return ordered(out, "date", "region_name", "metric_type")
+    return ordered(out, "date", "region_name", _type_rank("metric_type"), "unit")
+
+
+def _type_rank(col: str):
+    """Reading types sort by their declaration position (ENUM order), as in the source."""
+    return enum_rank(col, "sensor_readings", "reading_type")
 
 
 def environment_trend(tables: Tables, days: int = 30, region: str | None = None,
@@ -64,7 +70,7 @@ def environment_trend(tables: Tables, days: int = 30, region: str | None = None,
     d = region_daily_averages(tables, days, region, metric, as_of)
     out = d.select(F.col("date").alias("time"), "region_name", "metric_type",
                    F.col("avg_value").alias("metric_value"), "unit")
-    return ordered(out, "time", "region_name", "metric_type")
+    return ordered(out, "time", "region_name", _type_rank("metric_type"), "unit")
 
 
 def daily_env_avg(tables: Tables) -> DataFrame:
