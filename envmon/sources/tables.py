@@ -21,10 +21,12 @@ class Store(dict):
     """Lazy mapping table name -> DataFrame over one storage location."""
 
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet",
-                 options: Mapping[str, str] | None = None):
+                 options: Mapping[str, str] | None = None,
+                 jdbc_partitions: Mapping[str, tuple[str, int, int, int]] | None = None):
         super().__init__()
         self.spark, self.path, self.fmt = spark, path.rstrip("/"), fmt
         self.options = dict(options or {})
+        self.jdbc_partitions = dict(jdbc_partitions or {})
 
     def __contains__(self, name) -> bool:
         return dict.__contains__(self, name) or name in SCHEMAS
@@ -33,9 +35,13 @@ class Store(dict):
         if name not in SCHEMAS:
             raise KeyError(name)
         if self.fmt == "jdbc":
-            df = (self.spark.read.format("jdbc").options(**self.options)
-                  .option("dbtable", name).load())
-            df = conform(df, name)
+            r = self.spark.read.format("jdbc").options(**self.options).option("dbtable", name)
+            part = self.jdbc_partitions.get(name)
+            if part is not None:  # parallel read: one range of the column per task
+                col, lo, hi, n = part
+                r = (r.option("partitionColumn", col).option("lowerBound", str(lo))
+                     .option("upperBound", str(hi)).option("numPartitions", str(n)))
+            df = conform(r.load(), name)
         else:
             r = self.spark.read.format(self.fmt).options(**self.options)
             if self.fmt in ("csv", "json"):
@@ -48,9 +54,14 @@ class Store(dict):
 
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
-                options: Mapping[str, str] | None = None) -> Store:
-    """Access to the monitoring tables stored at ``path`` (read on first use)."""
-    return Store(spark, path, fmt, options)
+                options: Mapping[str, str] | None = None,
+                jdbc_partitions: Mapping[str, tuple[str, int, int, int]] | None = None) -> Store:
+    """Access to the monitoring tables stored at ``path`` (read on first use).
+
+    For ``fmt="jdbc"`` a plain read is a single task; ``jdbc_partitions`` maps a table to
+    (numeric column, lower bound, upper bound, partitions) for a parallel range read.
+    """
+    return Store(spark, path, fmt, options, jdbc_partitions)
 
 
 def save_tables(tables: Mapping[str, DataFrame], path: str, names: Iterable[str] | None = None,
