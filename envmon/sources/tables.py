@@ -70,6 +70,8 @@ def save_tables(tables: Mapping[str, DataFrame], path: str, names: Iterable[str]
     """Write tables as sub-folders of ``path`` (one job per table)."""
     for name in names or list(tables):
         w = tables[name].write.mode(mode).format(fmt)
+        if fmt == "csv":
+            w = w.option("header", "true")  # the store reads csv with a header line
         cols = (partition_by or {}).get(name)
         if cols:
             w = w.partitionBy(*cols)
