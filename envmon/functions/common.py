@@ -95,7 +95,7 @@ def as_date(value) -> Column:
 
 def since_bound(as_of, days: int) -> Column:
     """Midnight ``days`` before ``as_of`` as a zone-less timestamp."""
-    return F.date_sub(as_of_date(as_of), int(days)).cast("timestamp_ntz")
+    return F.date_sub(as_date(as_of), int(days)).cast("timestamp_ntz")
 
 
 def since(col: str | Column, as_of, days: int) -> Column:
@@ -105,12 +105,7 @@ def since(col: str | Column, as_of, days: int) -> Column:
     at the start of the day.
     """
     c = F.col(col) if isinstance(col, str) else col
-    bound = F.date_sub(as_of_date(as_of), int(days)).cast("timestamp_ntz")
-    return c >= bound
-
-
-def as_of_date(as_of) -> Column:
-    return as_date(as_of)
+    return c >= since_bound(as_of, days)
 
 
 def apply_filters(df: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:

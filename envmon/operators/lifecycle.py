@@ -128,10 +128,6 @@ def cascade_delete(tables: Tables, parent: str, keys: DataFrame, persist: bool =
 _VIOLATION = "table_name STRING, constraint_name STRING, kind STRING, key_value STRING, n BIGINT"
 
 
-def _key_text(cols: Sequence[str]):
-    return F.concat_ws(",", *[F.col(c).cast("string") for c in cols])
-
-
 def constraint_checks(columns: Mapping[str, Sequence[str]]) -> list[tuple]:
     """The checks that apply to tables with the given columns.
 

@@ -327,3 +327,16 @@ def test_large_table_path_equals_broadcast_path(spark, mini, op):
         spark.conf.unset("spark.envmon.broadcastLimitBytes")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
     assert small_path == big_path and small_path
+
+
+def test_rule_checks_report(mini):
+    got = {r["rule_id"]: (r["evaluable"], r["reason"]) for r in alerts.rule_checks(mini["alert_rules"]).collect()}
+    assert got[1] == (True, None) and got[4] == (True, None)
+    assert got[5][0] is False and "unknown name" in got[5][1]
+    assert got[6][0] is False
+
+
+def test_register_report_appends(mini):
+    e = reports.daily_report_entry(mini, as_of="2024-02-01")
+    out = reports.register_report(mini, e)
+    assert out.count() == mini["reports"].count() + 1 and out.filter("report_id = 8").count() == 1
