@@ -157,6 +157,8 @@ def with_tables(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
-    if re.match(r"(?i)with\s", body):  # merge with the body's own WITH list
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
+    m = re.match(r"(?i)with\s+(recursive\s+)?", body)
+    if m:  # merge with the body's own WITH list (keeping RECURSIVE in front)
+        head = "WITH RECURSIVE " if m.group(1) else "WITH "
+        return head + ",\n".join(ctes) + ",\n" + body[m.end():]
     return "WITH " + ",\n".join(ctes) + "\n" + body

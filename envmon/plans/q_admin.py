@@ -55,7 +55,39 @@ def q_check_perms(spark, d):
     return access.check_permissions(t, _requests(t))
 
 
-@register("login_lockouts")  # sequential state per user: no SQL oracle, checked in tests
+# The lock rule as a recursive query: one step per attempt of each user, in (ts, event_id) order.
+# base = failures carried in (0 once a lock has ended); a try before the lock's end is refused.
+LOCKOUT_SQL = """
+WITH RECURSIVE ev AS (
+  SELECT event_id, user_id, ts, success,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM login_events),
+st(user_id, rn, event_id, ts, success, outcome, failures, locked_until) AS (
+  SELECT user_id, rn, event_id, ts, success,
+         CASE WHEN success THEN 'SUCCESS' ELSE 'FAILURE' END,
+         CASE WHEN success THEN 0 ELSE 1 END,
+         CAST(NULL AS TIMESTAMP)
+  FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, e.ts, e.success,
+         CASE WHEN s.locked_until IS NOT NULL AND e.ts < s.locked_until THEN 'REFUSED'
+              WHEN e.success THEN 'SUCCESS'
+              WHEN (CASE WHEN s.locked_until IS NOT NULL THEN 0 ELSE s.failures END) + 1 >= 5 THEN 'LOCKED'
+              ELSE 'FAILURE' END,
+         CASE WHEN s.locked_until IS NOT NULL AND e.ts < s.locked_until THEN s.failures
+              WHEN e.success THEN 0
+              ELSE (CASE WHEN s.locked_until IS NOT NULL THEN 0 ELSE s.failures END) + 1 END,
+         CASE WHEN s.locked_until IS NOT NULL AND e.ts < s.locked_until THEN s.locked_until
+              WHEN e.success THEN CAST(NULL AS TIMESTAMP)
+              WHEN (CASE WHEN s.locked_until IS NOT NULL THEN 0 ELSE s.failures END) + 1 >= 5
+                   THEN e.ts + INTERVAL 1 HOUR
+              ELSE CAST(NULL AS TIMESTAMP) END
+  FROM st s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+SELECT event_id, user_id, ts, success, outcome, CAST(failures AS INTEGER) AS failed_attempts, locked_until
+FROM st"""
+
+
+@register("login_lockouts", LOCKOUT_SQL)
 def q_lockouts(spark, d):
     return access.login_lockouts(tables(spark, d)["login_events"])
 

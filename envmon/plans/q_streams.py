@@ -7,6 +7,7 @@ from __future__ import annotations
 from ..session import new_path
 from ..streaming import streams
 from .catalog import register
+from .q_admin import LOCKOUT_SQL
 
 
 def _run(spark, start, *args):
@@ -67,7 +68,7 @@ def q_stream_windows(spark, d):
     return _run(spark, streams.start_alert_windows, readings, t)
 
 
-@register("stream_lockouts")  # per-user state: compared with the batch form in tests
+@register("stream_lockouts", LOCKOUT_SQL)
 def q_stream_lockouts(spark, d):
     t = streams.StreamTables(spark, d)
     return _run(spark, streams.start_lockouts, t["login_events"])
