@@ -108,13 +108,31 @@ def since(col: str | Column, as_of, days: int) -> Column:
     return c >= since_bound(as_of, days)
 
 
-def apply_filters(df: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:
-    """Equality filters joined by AND; a None value means no filter."""
+# Text equality like the source database's default collation (case and accents ignored);
+# opt-in, binary equality is the default.
+CI_AI = "UNICODE_CI_AI"
+
+
+def text_equals(col: str | Column, value: str, collation: str | None = None) -> Column:
+    """``col = value``, optionally under a collation such as ``CI_AI``."""
+    c = F.col(col) if isinstance(col, str) else col
+    if collation is None:
+        return c == F.lit(value)
+    return F.collate(c, collation) == F.lit(value)
+
+
+def apply_filters(df: DataFrame, filters: Mapping[str, object] | None, collation: str | None = None) -> DataFrame:
+    """Equality filters joined by AND; a None value means no filter.
+
+    ``collation`` applies to text values (e.g. ``CI_AI`` for case- and accent-blind names).
+    """
     for col, value in (filters or {}).items():
         if value is None:
             continue
         if isinstance(value, (list, tuple, set, frozenset)):
             df = df.filter(F.col(col).isin(list(value)))
+        elif isinstance(value, str):
+            df = df.filter(text_equals(col, value, collation))
         else:
             df = df.filter(F.col(col) == F.lit(value))
     return df

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import keyjoin_bytes, small
+from ..functions.common import keyjoin_bytes, small, text_equals
 from ._plan import bounded, device_dim
 
 Tables = Mapping[str, DataFrame]
@@ -45,9 +45,10 @@ def region_sensors(tables: Tables) -> DataFrame:
     return with_sensors.unionByName(empty)
 
 
-def sensors_by_region_name(tables: Tables, region_name: str) -> DataFrame:
-    """All sensor columns of the sensors in the region of that name."""
-    r = tables["regions"].filter(F.col("region_name") == region_name).select("region_id", "region_name")
+def sensors_by_region_name(tables: Tables, region_name: str, collation: str | None = None) -> DataFrame:
+    """All sensor columns of the sensors in the region of that name (``collation``: e.g. CI_AI)."""
+    r = tables["regions"].filter(text_equals("region_name", region_name, collation)).select(
+        "region_id", "region_name")
     return tables["sensors"].join(small(r), "region_id").orderBy("sensor_id")
 
 

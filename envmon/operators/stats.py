@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import count_if, mean_of, since, since_bound, small, with_day_pruning
+from ..functions.common import count_if, mean_of, since, since_bound, small, text_equals, with_day_pruning
 from ..functions.domain import (ANOMALY_THRESHOLD, anomaly_type, aqi, aqi_level)
 from ..schemas import enum_rank
 from ._plan import bounded, ordered, rollup_through, sensor_dim
@@ -35,10 +35,10 @@ def _readings(tables: Tables, status: str | None = "VALID", days: int | None = N
     return r
 
 
-def _dim(tables: Tables, region: str | None = None) -> DataFrame:
+def _dim(tables: Tables, region: str | None = None, collation: str | None = None) -> DataFrame:
     d = sensor_dim(tables)
     if region is not None:
-        d = bounded(d.filter(F.col("region_name") == region), d._size_bound)
+        d = bounded(d.filter(text_equals("region_name", region, collation)), d._size_bound)
     return d
 
 

@@ -340,3 +340,9 @@ def test_register_report_appends(mini):
     e = reports.daily_report_entry(mini, as_of="2024-02-01")
     out = reports.register_report(mini, e)
     assert out.count() == mini["reports"].count() + 1 and out.filter("report_id = 8").count() == 1
+
+
+def test_name_equality_collation(mini):
+    from envmon.functions.common import CI_AI
+    assert enrich.sensors_by_region_name(mini, "north forest").count() == 0  # binary by default
+    assert enrich.sensors_by_region_name(mini, "nörth FOREST", collation=CI_AI).count() == 3
