@@ -109,6 +109,8 @@ def start_alerts(readings: DataFrame, tables: Mapping[str, DataFrame], sink: str
 LOCKOUT_OUT = ("event_id BIGINT, user_id BIGINT, ts TIMESTAMP_NTZ, success BOOLEAN, outcome STRING, "
                "failed_attempts INT, locked_until TIMESTAMP_NTZ")
 LOCKOUT_STATE = "failures INT, locked_until TIMESTAMP_NTZ"
+STATE_MARGIN_MS = 24 * 3600 * 1000  # lock state is dropped a day after the lock ended
+LOGIN_LATENESS = "1 hour"           # attempts later than this behind the newest are dropped
 
 
 def _lockout_fn(max_failures: int, lock_seconds: int):
@@ -148,10 +150,6 @@ def _lockout_fn(max_failures: int, lock_seconds: int):
     return fn
 
 
-STATE_MARGIN_MS = 24 * 3600 * 1000
-LOGIN_LATENESS = "1 hour"
-
-
 def lockout_stream(events: DataFrame, max_failures: int = MAX_FAILURES,
                    lock_seconds: int = LOCK_SECONDS, lateness: str = LOGIN_LATENESS) -> DataFrame:
     """Outcome of every login attempt of a stream, with the counter kept in state per user.
