@@ -60,14 +60,18 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     read as it is.  Only when it is unset (local runs and tests) a folder of
     our own is chosen and registered.
     """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session has no local context: the conf decides
+        sc = None
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    if not base and sc is not None:
+        base = sc.getCheckpointDir()
     if not base:
         base = os.path.join(tempfile.gettempdir(), f"envmon-ckpt-{uuid.uuid4().hex[:8]}")
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
     return "/".join([base.rstrip("/"), *parts]) if parts else base
 
 
