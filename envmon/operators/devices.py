@@ -111,7 +111,7 @@ def maintenance_due(tables: Tables, as_of=None, days: int = MAINTENANCE_DUE_DAYS
     last = tables["maintenance_records"].groupBy("device_id").agg(
         F.max("maintenance_time").alias("last_maintenance_time"))
     j = d.join(last, "device_id", "left")
-    since_days = F.datediff(ref, F.to_date("last_maintenance_time"))
+    since_days = F.datediff(ref, F.to_date("last_maintenance_time")).cast("bigint")
     j = j.withColumn("days_since_last_maintenance", since_days).filter(
         F.col("last_maintenance_time").isNull() | (F.col("days_since_last_maintenance") > days))
     name = F.coalesce(F.col("device_name"), F.lit(""))
