@@ -38,7 +38,11 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     from envmon.session import get_session
     import __spark_entry__ as E
-    spark = get_session("local[8]", shuffle_partitions=8, conf={"spark.ui.enabled": "false"})
+    conf = {"spark.ui.enabled": "false"}
+    if os.environ.get("NO_BROADCAST"):  # the large-table plans: no size-based broadcasts
+        conf.update({"spark.envmon.broadcastLimitBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
+    spark = get_session("local[8]", shuffle_partitions=8, conf=conf)
     spark.sparkContext.setLogLevel("ERROR")
     print(f"# Final physical plans ({os.path.basename(sf_dir)}, local[8], AQE on)\n")
     print("Generated by `tests/plan_report.py`: each query is run once, then its adaptive plan (final) is "
