@@ -82,6 +82,18 @@ def device_dim(tables: Mapping[str, DataFrame], how: str = "left") -> DataFrame:
     return bounded(out, keyjoin_bytes(d, out))
 
 
+ORDER_CONF = "spark.envmon.presentationOrder"
+
+
 def ordered(df: DataFrame, *cols) -> DataFrame:
-    """Final presentation order (range-partitioned sort, scales out)."""
-    return df.orderBy(*cols)
+    """Final presentation order of a listing (the source's ORDER BY).
+
+    A range-partitioned sort, so it scales out, but for bulk consumers (results
+    written to storage) it is pure cost: a session can turn presentation order
+    off with ``spark.envmon.presentationOrder=false``.
+    """
+    try:
+        keep = str(df.sparkSession.conf.get(ORDER_CONF, "true")).lower() != "false"
+    except Exception:
+        keep = True
+    return df.orderBy(*cols) if keep else df

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.common import count_if, since, small, with_day_pruning
 from ..functions.domain import triggered_alert_type
 from ..functions.rules import RULE_VARIABLES, compile_rule, variable_column
-from ._plan import rollup_through, sensor_dim
+from ._plan import ordered, rollup_through, sensor_dim
 
 Tables = Mapping[str, DataFrame]
 
@@ -53,7 +53,7 @@ def region_alert_stats(tables: Tables, days: int = 30, as_of=None) -> DataFrame:
     out = (regions.join(sensors, "region_id", "left").join(alerts, "region_id", "left")
                   .join(notes, "region_id", "left"))
     out = out.select("region_name", _zero("sensors"), _zero("alerts"), _zero("notifications_sent"))
-    return out.orderBy(F.desc("alerts"), F.desc("notifications_sent"), "region_name")
+    return ordered(out, F.desc("alerts"), F.desc("notifications_sent"), "region_name")
 
 
 # -- A9 ----------------------------------------------------------------------
@@ -75,7 +75,7 @@ def fire_alerts(tables: Tables, days: int = 7, region: str | None = None, as_of=
         "region_name", "alert_id", "triggered_at", "severity_level", "status", "handler_id",
         "handle_result", _zero("total_notifications").alias("notifications_sent"),
         _zero("delivered_count").alias("delivered_count"))
-    return out.orderBy(F.desc("triggered_at"), F.desc("alert_id"))
+    return ordered(out, F.desc("triggered_at"), F.desc("alert_id"))
 
 
 def fire_alerts_detail(tables: Tables, days: int = 7, region: str | None = None, as_of=None) -> DataFrame:
@@ -87,7 +87,7 @@ def fire_alerts_detail(tables: Tables, days: int = 7, region: str | None = None,
         "region_name", "alert_id", "alert_type", "severity_level", "triggered_at",
         F.col("status").alias("alert_status"), "handler_id", "handler_name", "handle_result",
         _zero("total_notifications").alias("notification_count"))
-    return out.orderBy(F.desc("triggered_at"), F.desc("alert_id"))
+    return ordered(out, F.desc("triggered_at"), F.desc("alert_id"))
 
 
 # -- A12 ---------------------------------------------------------------------

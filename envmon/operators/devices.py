@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import as_date, count_if, small
-from ._plan import device_dim
+from ._plan import device_dim, ordered
 
 Tables = Mapping[str, DataFrame]
 
@@ -52,7 +52,7 @@ def device_fault_maintenance(tables: Tables) -> DataFrame:
                      F.col("faults").cast("bigint").alias("fault_times"),
                      F.coalesce("maint", F.lit(0)).cast("bigint").alias("maintenance_count"),
                      "last_maintenance")
-    return out.orderBy(F.desc("fault_times"), F.desc("last_maintenance"), "device_id")
+    return ordered(out, F.desc("fault_times"), F.desc("last_maintenance"), "device_id")
 
 
 def device_fault_maintenance_parity(tables: Tables) -> DataFrame:
@@ -70,7 +70,7 @@ def device_fault_maintenance_parity(tables: Tables) -> DataFrame:
                      (F.col("faults") * F.greatest(m, F.lit(1))).cast("bigint").alias("fault_count"),
                      (m * F.greatest(n, F.lit(1))).cast("bigint").alias("maintenance_count"),
                      F.col("last_maintenance").alias("last_maintenance_time"), "last_status_update")
-    return out.orderBy(F.desc("fault_count"), "region_name", "device_name")
+    return ordered(out, F.desc("fault_count"), "region_name", "device_name")
 
 
 def device_faults(tables: Tables) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import keyjoin_bytes, small, text_equals
-from ._plan import bounded, device_dim
+from ._plan import bounded, device_dim, ordered
 
 Tables = Mapping[str, DataFrame]
 
@@ -49,7 +49,7 @@ def sensors_by_region_name(tables: Tables, region_name: str, collation: str | No
     """All sensor columns of the sensors in the region of that name (``collation``: e.g. CI_AI)."""
     r = tables["regions"].filter(text_equals("region_name", region_name, collation)).select(
         "region_id", "region_name")
-    return tables["sensors"].join(small(r), "region_id").orderBy("sensor_id")
+    return ordered(tables["sensors"].join(small(r), "region_id"), "sensor_id")
 
 
 def active_alerts(tables: Tables) -> DataFrame:
@@ -75,7 +75,7 @@ def resource_change_log(tables: Tables) -> DataFrame:
     out = out.select("change_id", "resource_id", "region_name", "resource_type", "species_name",
                      "change_type", "change_reason", "change_amount", "change_area", "changed_at",
                      "operator_name")
-    return out.orderBy("resource_id", F.desc("changed_at"), F.desc("change_id"))
+    return ordered(out, "resource_id", F.desc("changed_at"), F.desc("change_id"))
 
 
 def maintenance_log(tables: Tables) -> DataFrame:
@@ -86,7 +86,7 @@ def maintenance_log(tables: Tables) -> DataFrame:
             .join(_user_names(tables, "maintainer_id", "maintainer_name"), "maintainer_id", "left"))
     out = out.select("maintenance_id", "device_id", "device_name", "device_type", "region_name",
                      "maintenance_type", "maintenance_time", "maintainer_name", "content", "result")
-    return out.orderBy(F.desc("maintenance_time"), F.desc("maintenance_id"))
+    return ordered(out, F.desc("maintenance_time"), F.desc("maintenance_id"))
 
 
 def alert_notifications_detail(tables: Tables, alert_ids: DataFrame | None = None) -> DataFrame:
@@ -100,7 +100,7 @@ def alert_notifications_detail(tables: Tables, alert_ids: DataFrame | None = Non
     out = out.select("notification_id", "alert_id", "receiver_id", "channel", "sent_at", "receive_status",
                      F.coalesce("alert_content", F.lit("")).alias("alert_content"),
                      F.coalesce("receiver_name", F.lit("")).alias("receiver_name"))
-    return out.orderBy("alert_id", F.desc("sent_at"), F.desc("notification_id"))
+    return ordered(out, "alert_id", F.desc("sent_at"), F.desc("notification_id"))
 
 
 def device_timeline(tables: Tables, device_ids: DataFrame | None = None) -> DataFrame:
@@ -130,4 +130,4 @@ def device_timeline(tables: Tables, device_ids: DataFrame | None = None) -> Data
     out = out.select("device_id", "device_name", "event_time", "event_kind", "run_status",
                      "battery_percent", "signal_strength", "maintenance_id", "maintenance_type",
                      "maintainer_name", "content", "result")
-    return out.orderBy("device_id", F.desc("event_time"), "event_kind")
+    return ordered(out, "device_id", F.desc("event_time"), "event_kind")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import apply_filters, contains_ci, small, with_day_pruning
+from ._plan import ordered
 
 Tables = Mapping[str, DataFrame]
 
@@ -20,13 +21,13 @@ Tables = Mapping[str, DataFrame]
 def list_regions(tables: Tables, region_type: str | None = None,
                  name_contains: str | None = None) -> DataFrame:
     r = apply_filters(tables["regions"], {"region_type": region_type})
-    return r.filter(contains_ci("region_name", name_contains)).orderBy("region_name", "region_id")
+    return ordered(r.filter(contains_ci("region_name", name_contains)), "region_name", "region_id")
 
 
 def list_sensors(tables: Tables, region_id=None, monitor_type=None, status=None) -> DataFrame:
     s = apply_filters(tables["sensors"],
                       {"region_id": region_id, "monitor_type": monitor_type, "status": status})
-    return s.orderBy("sensor_id")
+    return ordered(s, "sensor_id")
 
 
 def list_alert_rules(tables: Tables, alert_type=None, is_active=None, severity_level=None,
@@ -36,24 +37,24 @@ def list_alert_rules(tables: Tables, alert_type=None, is_active=None, severity_l
                                               "severity_level": severity_level})
     if in_use:
         r = r.join(tables["alerts"].select("rule_id").dropDuplicates(), "rule_id", "left_semi")
-    return r.orderBy("rule_id")
+    return ordered(r, "rule_id")
 
 
 def list_resources(tables: Tables, region_id=None, resource_type=None, growth_stage=None,
                    species_contains: str | None = None) -> DataFrame:
     r = apply_filters(tables["resources"], {"region_id": region_id, "resource_type": resource_type,
                                             "growth_stage": growth_stage})
-    return r.filter(contains_ci("species_name", species_contains)).orderBy("resource_id")
+    return ordered(r.filter(contains_ci("species_name", species_contains)), "resource_id")
 
 
 def list_devices(tables: Tables, device_type=None, region_id=None) -> DataFrame:
     d = apply_filters(tables["devices"], {"device_type": device_type, "install_region_id": region_id})
-    return d.orderBy("device_id")
+    return ordered(d, "device_id")
 
 
 def list_report_templates(tables: Tables, dimension=None, is_active=None) -> DataFrame:
     t = apply_filters(tables["report_templates"], {"dimension": dimension, "is_active": is_active})
-    return t.orderBy("template_id")
+    return ordered(t, "template_id")
 
 
 def list_reports(tables: Tables, template_id=None, cycle: str | None = None) -> DataFrame:
@@ -62,7 +63,7 @@ def list_reports(tables: Tables, template_id=None, cycle: str | None = None) ->
     if cycle is not None:
         t = tables["report_templates"].filter(F.col("cycle") == cycle).select("template_id")
         r = r.join(small(t), "template_id", "left_semi")
-    return r.orderBy(F.desc("generated_at"), F.desc("report_id"))
+    return ordered(r, F.desc("generated_at"), F.desc("report_id"))
 
 
 def list_roles(tables: Tables, in_use: bool = False) -> DataFrame:
@@ -70,7 +71,7 @@ def list_roles(tables: Tables, in_use: bool = False) -> DataFrame:
     r = tables["roles"]
     if in_use:
         r = r.join(tables["user_roles"].select("role_id").dropDuplicates(), "role_id", "left_semi")
-    return r.orderBy("role_id")
+    return ordered(r, "role_id")
 
 
 def lookup_keys(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -93,22 +94,22 @@ def readings_in_range(tables: Tables, start, end, sensor_ids: Iterable | DataFra
         F.col("collected_at").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
     r = with_day_pruning(r, "collected_at", lo=start, hi=end)
     r = _restrict(r, "sensor_id", sensor_ids)
-    return r.orderBy("collected_at", "reading_id")
+    return ordered(r, "collected_at", "reading_id")
 
 
 def status_logs_in_range(tables: Tables, start, end, device_ids=None) -> DataFrame:
     logs = tables["device_status_logs"].filter(
         F.col("collected_at").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
     logs = _restrict(logs, "device_id", device_ids)
-    return logs.select("log_id", "device_id", "collected_at", "run_status", "battery_percent",
-                       "signal_strength").orderBy("collected_at", "log_id")
+    out = logs.select("log_id", "device_id", "collected_at", "run_status", "battery_percent", "signal_strength")
+    return ordered(out, "collected_at", "log_id")
 
 
 def status_logs_of_device(tables: Tables, device_ids=None) -> DataFrame:
     """Status logs of the given devices, newest first per device."""
     logs = _restrict(tables["device_status_logs"], "device_id", device_ids)
-    return logs.select("log_id", "device_id", "collected_at", "run_status", "battery_percent",
-                       "signal_strength").orderBy("device_id", F.desc("collected_at"), F.desc("log_id"))
+    out = logs.select("log_id", "device_id", "collected_at", "run_status", "battery_percent", "signal_strength")
+    return ordered(out, "device_id", F.desc("collected_at"), F.desc("log_id"))
 
 
 def _restrict(df: DataFrame, key: str, ids) -> DataFrame:

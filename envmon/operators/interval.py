@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import apply_filters, small
 from ..functions.domain import UNKNOWN_ALERT_TYPE, UNKNOWN_SEVERITY
-from ._plan import rollup_through, sensor_dim
+from ._plan import ordered, rollup_through, sensor_dim
 
 Tables = Mapping[str, DataFrame]
 HALF_WINDOW_MINUTES = 5
@@ -88,4 +88,4 @@ def list_alerts(tables: Tables, alerts: DataFrame | None = None, region_id=None,
         "alert_id", "rule_id", "region_id", "triggered_at", "content", "status", "handler_id",
         "handle_result", F.coalesce("alert_type", F.lit(UNKNOWN_ALERT_TYPE)).alias("alert_type"),
         F.coalesce("severity_level", F.lit(UNKNOWN_SEVERITY)).alias("severity_level"))
-    return out.orderBy(F.desc("triggered_at"), F.desc("alert_id"))
+    return ordered(out, F.desc("triggered_at"), F.desc("alert_id"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import small
 from ..schemas import conform, enum_rank
+from ._plan import ordered
 
 Tables = Mapping[str, DataFrame]
 AREA = "decimal(38,2)"
@@ -51,7 +52,7 @@ def resource_summary(tables: Tables) -> DataFrame:
         F.sum(F.coalesce("area", F.lit(0))).cast(AREA).alias("current_area"),
         F.sum(F.coalesce("changes", F.lit(0))).cast("bigint").alias("change_records"),
         F.max("last_change_time").alias("last_change_time"))
-    return out.orderBy("region_name", enum_rank("resource_type", "resources", "resource_type"))
+    return ordered(out, "region_name", enum_rank("resource_type", "resources", "resource_type"))
 
 
 def resource_summary_parity(tables: Tables) -> DataFrame:
@@ -63,7 +64,7 @@ def resource_summary_parity(tables: Tables) -> DataFrame:
         F.sum(F.coalesce("area", F.lit(0)) * k).cast(AREA).alias("current_area"),
         F.sum(F.coalesce("changes", F.lit(0))).cast("bigint").alias("change_records"),
         F.max("last_change_time").alias("last_change_time"))
-    return out.orderBy("region_name", enum_rank("resource_type", "resources", "resource_type"))
+    return ordered(out, "region_name", enum_rank("resource_type", "resources", "resource_type"))
 
 
 def resource_net_change(tables: Tables) -> DataFrame:
@@ -79,7 +80,7 @@ def resource_net_change(tables: Tables) -> DataFrame:
         F.coalesce(F.sum("net_q"), F.lit(0)).cast("bigint").alias("net_quantity_change"),
         F.coalesce(F.sum("net_a"), F.lit(0)).cast(AREA).alias("net_area_change"),
         F.max("last_change_time").alias("last_change_time"))
-    return out.orderBy("region_name", "resource_type", "species_name")
+    return ordered(out, "region_name", "resource_type", "species_name")
 
 
 def resource_totals(tables: Tables) -> DataFrame:

@@ -346,3 +346,15 @@ def test_name_equality_collation(mini):
     from envmon.functions.common import CI_AI
     assert enrich.sensors_by_region_name(mini, "north forest").count() == 0  # binary by default
     assert enrich.sensors_by_region_name(mini, "nörth FOREST", collation=CI_AI).count() == 3
+
+
+def test_presentation_order_can_be_switched_off(spark, mini):
+    sorted_plan = filters.list_sensors(mini)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.envmon.presentationOrder", "false")
+    try:
+        bulk = filters.list_sensors(mini)
+        plan = bulk._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.envmon.presentationOrder")
+    assert "Sort" in sorted_plan and "Sort" not in plan
+    assert sorted(r["sensor_id"] for r in bulk.collect()) == [10, 11, 12, 13, 14]
