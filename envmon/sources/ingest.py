@@ -45,10 +45,16 @@ def assign_ids(df: DataFrame, key: str, base: DataFrame | None = None, start: in
     return has.unionByName(out.select(*df.columns))
 
 
-def ingest_readings(raw: DataFrame, path: str, base: DataFrame | None = None) -> str:
-    """Validate, key and append a batch of readings under ``path`` (partitioned by day)."""
+def ingest_readings(raw: DataFrame, path: str, base: DataFrame | None = None,
+                    max_records_per_file: int = 5_000_000) -> str:
+    """Validate, key and append a batch of readings under ``path`` (partitioned by day).
+
+    Files are capped at ``max_records_per_file`` rows, so a day holding a large share of
+    a batch is written as several files instead of one huge one.
+    """
     # a batch handed over as local rows is already stable: no checkpoint needed
     r = assign_ids(validate_readings(raw), "reading_id", base=base, stable_input=raw.isLocal())
     (r.withColumn("collected_date", F.to_date("collected_at"))
-      .write.mode("append").partitionBy("collected_date").parquet(path))
+      .write.mode("append").option("maxRecordsPerFile", max_records_per_file)
+      .partitionBy("collected_date").parquet(path))
     return path
