@@ -137,13 +137,23 @@ def generate_reports(tables: Tables, as_of=None, period: str | None = None,
     t = t.select("template_id", "dimension")
     only = period if restrict_to_period else None
     parts = [report_data(tables, dim, as_of, only).withColumn("dimension", F.lit(dim))
-             for dim in ("REGION", "TIME", "TYPE")]
+             for dim in REPORT_DIMENSIONS]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     per = F.lit(period) if period is not None else F.date_format(as_date(as_of), "yyyy-MM-dd")
     out = rows.join(small(t), "dimension")
     return out.select("template_id", per.alias("period"), *REPORT_COLUMNS)
 
 
+REPORT_DIMENSIONS = ["REGION", "TIME", "TYPE"]
+
+
+def rejected_templates(tables: Tables) -> DataFrame:
+    """Active templates whose dimension has no report form (the source answers them with an error)."""
+    t = tables["report_templates"].filter(F.col("is_active"))
+    return t.filter(F.col("dimension").isNull() | ~F.col("dimension").isin(REPORT_DIMENSIONS)).select(
+        "template_id", "template_name", "dimension", F.lit("unsupported report dimension").alias("reason"))
+
+
 def export_report(report: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Write report rows below ``path``, one folder per (template_id, period).
 

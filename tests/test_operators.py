@@ -358,3 +358,8 @@ def test_presentation_order_can_be_switched_off(spark, mini):
         spark.conf.unset("spark.envmon.presentationOrder")
     assert "Sort" in sorted_plan and "Sort" not in plan
     assert sorted(r["sensor_id"] for r in bulk.collect()) == [10, 11, 12, 13, 14]
+
+
+def test_rejected_templates(mini):
+    rej = reports.rejected_templates(mini)
+    assert [(r["template_id"], r["dimension"]) for r in rej.collect()] == [(5, "SPACE")]
