@@ -12,15 +12,33 @@ from ..schemas import conform
 # --- fixed values: roles in id order (ids 1..5) -----------------------------
 ROLE_NAMES = ["SYSTEM_ADMIN", "DATA_ADMIN", "FOREST_GUARD", "PUBLIC_USER", "INSPECTOR"]
 
-# --- fixed values: permission resources in id order; each gets a "view" and a
-# "manage" permission, so permission ids are 2*i+1 (view) and 2*i+2 (manage).
-PERMISSION_RESOURCES = ["regions", "sensors", "alerts", "resources", "devices",
-                        "reports", "statistics", "users", "roles", "permissions"]
-PERMISSION_ACTIONS = ["view", "manage"]
+# --- fixed values: permissions in id order (ids 1..20): name, resource, action ----
+PERMISSIONS = [
+    ("view_regions", "regions", "view"),
+    ("manage_regions", "regions", "manage"),
+    ("view_sensors", "sensors", "view"),
+    ("manage_sensors", "sensors", "manage"),
+    ("view_alerts", "alerts", "view"),
+    ("manage_alerts", "alerts", "manage"),
+    ("view_resources", "resources", "view"),
+    ("manage_resources", "resources", "manage"),
+    ("view_devices", "devices", "view"),
+    ("manage_devices", "devices", "manage"),
+    ("view_reports", "reports", "view"),
+    ("manage_reports", "reports", "manage"),
+    ("view_statistics", "statistics", "view"),
+    ("manage_statistics", "statistics", "manage"),
+    ("view_users", "users", "view"),
+    ("manage_users", "users", "manage"),
+    ("view_roles", "roles", "view"),
+    ("manage_roles", "roles", "manage"),
+    ("view_permissions", "permissions", "view"),
+    ("manage_permissions", "permissions", "manage"),
+]
 
 # --- fixed values: permission ids granted to each role -----------------------
 ROLE_GRANTS = {
-    1: list(range(1, 21)),
+    1: [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20],
     2: [1, 3, 5, 7, 8, 9, 11, 12, 13, 14, 15, 16, 17, 18, 19],
     3: [1, 3, 5, 7, 8, 9, 11, 13, 15, 17],
     4: [1, 3, 7, 11, 13, 15],
@@ -62,10 +80,8 @@ def values_sql(kind: str) -> str:
         body = ", ".join(f"(CAST({i} AS BIGINT), '{n}')" for i, n in enumerate(ROLE_NAMES, 1))
         return f"SELECT * FROM (VALUES {body}) AS t(role_id, role_name)"
     if kind == "permissions":
-        vals = []
-        for i, res in enumerate(PERMISSION_RESOURCES):
-            for j, act in enumerate(PERMISSION_ACTIONS):
-                vals.append(f"(CAST({2 * i + j + 1} AS BIGINT), '{act}_{res}', '{res}', '{act}')")
+        vals = [f"(CAST({i} AS BIGINT), '{name}', '{res}', '{act}')"
+                for i, (name, res, act) in enumerate(PERMISSIONS, start=1)]
         return ("SELECT * FROM (VALUES " + ", ".join(vals) +
                 ") AS t(permission_id, permission_name, resource, action)")
     if kind == "role_permissions":
