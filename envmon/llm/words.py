@@ -21,18 +21,34 @@ MARKS = ".,;:!?"
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 as itself, the rest from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordEncoder(dict):
     """part -> ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.model = self.tokenizer.model
+
+    def _word(self, part: str) -> list[int]:
+        """Ids of one part; a lower-case Latin word needs neither normalizing nor parting and goes to the model at once."""
+        if part.isalpha() and max(part) < "\u0250" and part == part.lower() and unicodedata.is_normalized("NFC", part):
+            return [t.id for t in self.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, part.encode())))]
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
 
     def __missing__(self, part: str) -> bytes:
         if len(part) > 1 and part[-1] in MARKS and part[:-1].isalpha():
             ids = self[part[:-1]] + self[part[-1]]
         else:
-            ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = np.array(self._word(part), "<u4").tobytes()
         if len(part) <= MEMO_CHARS:
             if len(self) >= MEMO_PARTS:
                 self.clear()
