@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import exact_dedup, language_id, packing, quality, simhash, suffix_dedup, token_orc
+from . import byte_bpe, exact_dedup, language_id, packing, quality, simhash, suffix_dedup, token_orc
 from ._common import documents, held_out
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,13 @@ def token_orc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.read_report(spark, path)
 
 
+@register("op6_byte_bpe")
+def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digest(byte_bpe.decode(encoded, ranks), ranks)
+
+
 @register("op7_exact_dedup", """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,

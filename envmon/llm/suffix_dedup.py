@@ -36,7 +36,6 @@ Further columns are carried by :func:`cut_repeats`, ignored by
 from __future__ import annotations
 
 import math
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -376,22 +375,14 @@ def _process(docs: DataFrame, rest, kind: T.DataType) -> DataFrame:
     texts = docs.select(F.pmod(F.xxhash64(F.col("doc_id"), F.crc32(F.col("text").cast("binary"))), F.lit(blocks))
                         .cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"), rest.alias("rest"))
-    hashes = texts.groupBy("block").applyInArrow(partial(_apply1, _send_hashes, buckets), HASHES_SCHEMA)
+    hashes = texts.groupBy("block").applyInArrow(lambda t: _send_hashes(t, buckets), HASHES_SCHEMA)
     bits = hashes.groupBy("bucket").applyInArrow(_find_shared, BITS_SCHEMA)
     contexts = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(
-        partial(_apply2, _send_contexts, buckets), CONTEXTS_SCHEMA)
+        lambda t, b: _send_contexts(t, b, buckets), CONTEXTS_SCHEMA)
     verdicts = contexts.groupBy("bucket").applyInArrow(_judge, VERDICT_SCHEMA)
     out = T.StructType([T.StructField("rest", kind)]).add("doc_id", "long").add("n_bytes", "long") \
         .add("span_first", T.ArrayType(T.LongType())).add("span_end", T.ArrayType(T.LongType())).add("kept", "binary")
-    return texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(partial(_apply2, _cut, buckets), out)
-
-
-def _apply1(f, buckets, table):
-    return f(table, buckets)
-
-
-def _apply2(f, buckets, left, right):
-    return f(left, right, buckets)
+    return texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(lambda t, v: _cut(t, v, buckets), out)
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:

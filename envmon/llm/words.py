@@ -8,9 +8,9 @@ the library for the rest.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Parts remembered per worker, and the longest part worth remembering.
@@ -30,6 +30,10 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder(dict):
     """part -> ids as little-endian unsigned 32-bit bytes."""
 
@@ -40,7 +44,10 @@ class WordEncoder(dict):
 
     def _word(self, part: str) -> list[int]:
         """Ids of one part; a lower-case Latin word needs neither normalizing nor parting and goes to the model at once."""
-        if part.isalpha() and max(part) < "\u0250" and part == part.lower() and unicodedata.is_normalized("NFC", part):
+        if part.isascii():
+            if part.isalpha() and part.islower():
+                return [t.id for t in self.model.tokenize(part)]
+        elif part.isalpha() and max(part) < "\u0250" and part == part.lower() and unicodedata.is_normalized("NFC", part):
             return [t.id for t in self.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, part.encode())))]
         return self.tokenizer.encode(part, add_special_tokens=False).ids
 
@@ -48,7 +55,7 @@ class WordEncoder(dict):
         if len(part) > 1 and part[-1] in MARKS and part[:-1].isalpha():
             ids = self[part[:-1]] + self[part[-1]]
         else:
-            ids = np.array(self._word(part), "<u4").tobytes()
+            ids = _packed(self._word(part))
         if len(part) <= MEMO_CHARS:
             if len(self) >= MEMO_PARTS:
                 self.clear()
