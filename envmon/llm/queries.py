@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import byte_bpe, exact_dedup, language_id, packing, quality, simhash, suffix_dedup, token_orc
+from . import byte_bpe, embedding_dedup, exact_dedup, language_id, packing, quality, simhash, suffix_dedup, token_orc, url_filter
 from ._common import documents, held_out
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
+@register("op1_url_filter")
+def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @register("op2_language_id")
 def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -35,6 +40,11 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.learn(docs.where(~apart)), apart)
 
 
+@register("op3_embedding_dedup")
+def embedding_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_dup_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @register("op4_quality")
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
