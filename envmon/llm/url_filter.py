@@ -124,8 +124,10 @@ def learn(labelled: DataFrame, max_labelled: int = 10_000, trees: int = 20, dept
     fitted = None
     if 0 < blocked < n:
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed)
-        train = assembler.transform(sample.join(F.broadcast(suffixes), "suffix", "left"))
+        gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed)
+        # both labels weigh the same: their shares among labelled URLs say nothing about the others
+        weight = F.when(F.col("label") > 0, 0.5 * n / blocked).otherwise(0.5 * n / (n - blocked))
+        train = assembler.transform(sample.join(F.broadcast(suffixes), "suffix", "left").withColumn("weight", weight))
         fitted = PipelineModel([assembler, gbt.fit(train)])
     sample.unpersist()
     return Model(fitted, suffixes, share)
