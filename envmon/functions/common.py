@@ -8,80 +8,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Dimension frames below this size are broadcast; bigger ones are left to
-# the planner (sort-merge, or an adaptive broadcast when the runtime size
-# turns out small).  A session may lower it with spark.envmon.broadcastLimitBytes
-# (0 turns hinted broadcasts off, which tests use to run the large-table paths).
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024  # estimates come from compressed file sizes: stay well below executor memory
-LIMIT_CONF = "spark.envmon.broadcastLimitBytes"
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    try:
-        v = df.sparkSession.conf.get(LIMIT_CONF, None)
-    except Exception:
-        v = None
-    return BROADCAST_LIMIT_BYTES if v is None else int(v)
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of a frame, or None when unavailable."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:
-        return None
-
-
-_WIDTH = {"LongType": 8, "DoubleType": 8, "IntegerType": 4, "FloatType": 4, "ShortType": 2, "ByteType": 1,
-          "BooleanType": 1, "DateType": 4, "TimestampType": 8, "TimestampNTZType": 8, "StringType": 20}
-
-
-def _row_width(df: DataFrame) -> int:
-    """Row width in bytes by Catalyst's default sizes per type (strings 20, decimals 8/16)."""
-    w = 0
-    for f in df.schema.fields:
-        name = type(f.dataType).__name__
-        if name == "DecimalType":
-            w += 8 if f.dataType.precision <= 18 else 16
-        else:
-            w += _WIDTH.get(name, 20)
-    return max(1, w)
-
-
-def keyjoin_bytes(driving: DataFrame, out: DataFrame) -> int | None:
-    """Size bound of ``out``, a join of ``driving`` with lookups on their unique keys.
-
-    Such a join has at most one output row per driving row, so its size is
-    the driving side's estimate scaled by the output row width.  (Without
-    cost-based statistics Catalyst estimates any inner join as the product
-    of its inputs, which would rule out every dimension built by a join.)
-    """
-    size = estimated_bytes(driving)
-    if size is None:
-        return None
-    return int(size * _row_width(out) / _row_width(driving)) + 1
-
-
-def small(df: DataFrame, limit: int | None = None, size: int | None = None) -> DataFrame:
-    """Broadcast hint only when the size is known and under ``limit``.
-
-    ``size`` is a caller's bound (see ``keyjoin_bytes``); by default the
-    optimizer's estimate is used.  Above the limit (or without an estimate)
-    the frame is returned as is: the join then shuffles, and adaptive
-    execution may still switch it to a broadcast once the real size is
-    measured after a stage.
-    """
-    limit = broadcast_limit(df) if limit is None else limit
-    if size is None:
-        size = getattr(df, "_size_bound", None)
-    if size is None:
-        size = estimated_bytes(df)
-    if size is not None and size <= limit:
-        return F.broadcast(df)
-    return df
-
-
 def as_date(value) -> Column:
     """A DATE literal from a date, a 'YYYY-MM-DD' string or a Column."""
     if isinstance(value, Column):
@@ -146,12 +72,6 @@ def contains_ci(col: str, text: str | None) -> Column:
     return F.col(col).ilike(pattern)
 
 
-def mean(col: str | Column) -> Column:
-    """Exact mean: decimal sum, then one double division (NULL for no rows)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c).cast("double") / F.nullif(F.count(c), F.lit(0))
-
-
 def mean_of(sum_col: str | Column, count_col: str | Column) -> Column:
     """Mean from pre-aggregated sum and count columns."""
     s = F.col(sum_col) if isinstance(sum_col, str) else sum_col

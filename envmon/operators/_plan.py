@@ -2,14 +2,10 @@
 
 ``rollup_through`` is the one pattern behind most reports: facts are
 aggregated to a group that lives on a dimension row (a region, a device
-type).  Two physical forms give the same numbers:
-
-* the dimension is small (estimated size under the broadcast limit): join it
-  by broadcast and aggregate once, partial aggregation before the shuffle;
-* otherwise: pre-aggregate the facts per join key first (map-side combine
-  collapses hot keys), join the much smaller result, and combine again.
-
-Only sum, count, min and max are used, so both forms are exact.
+type).  The facts are pre-aggregated per join key first (map-side combine
+collapses hot keys), the much smaller result is joined and combined again;
+which join that is, Spark decides from the sizes it measures.  Only sum,
+count, min and max are used, so this is exact.
 """
 
 from __future__ import annotations
@@ -19,30 +15,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import broadcast_limit, estimated_bytes, keyjoin_bytes, small
-
 _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 _COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    limit = broadcast_limit(df) if limit is None else limit
-    size = getattr(df, "_size_bound", None)
-    size = estimated_bytes(df) if size is None else size
-    return size is not None and size <= limit
-
-
-def bounded(df: DataFrame, size: int | None) -> DataFrame:
-    """Attach a caller-proven size bound to a frame (read by ``fits_broadcast`` / ``dim``)."""
-    df._size_bound = size
-    return df
-
-
-def dim(df: DataFrame) -> DataFrame:
-    """Broadcast a dimension when its (bound or estimated) size is under the limit."""
-    return small(df, size=getattr(df, "_size_bound", None))
-
-
 def rollup_through(fact: DataFrame, key: str, dim: DataFrame,
                    fact_groups: Sequence[Column], dim_groups: Sequence[str],
                    parts: Sequence[tuple[str, str, Column]]) -> DataFrame:
@@ -53,12 +29,7 @@ def rollup_through(fact: DataFrame, key: str, dim: DataFrame,
     proj = fact.select(F.col(key), *fact_groups,
                        *[c.alias(f"__p{i}") for i, (_, _, c) in enumerate(parts)])
     gnames = [c for c in proj.columns if c != key and not c.startswith("__p")]
-    bound = getattr(dim, "_size_bound", None)
-    dim = bounded(dim.select(key, *dim_groups), bound)
-    if fits_broadcast(dim):
-        j = proj.join(F.broadcast(dim), key)
-        return j.groupBy(*gnames, *dim_groups).agg(
-            *[_AGG[k](F.col(f"__p{i}")).alias(n) for i, (n, k, _) in enumerate(parts)])
+    dim = dim.select(key, *dim_groups)
     pre = proj.groupBy(key, *gnames).agg(
         *[_AGG[k](F.col(f"__p{i}")).alias(n) for i, (n, k, _) in enumerate(parts)])
     j = pre.join(dim, key)
@@ -70,30 +41,18 @@ def sensor_dim(tables: Mapping[str, DataFrame]) -> DataFrame:
     """sensor_id -> region_id, region_name, monitor_type (inner: sensors of known regions)."""
     s = tables["sensors"].select("sensor_id", "region_id", "monitor_type")
     r = tables["regions"].select("region_id", "region_name")
-    out = s.join(small(r), "region_id")
-    return bounded(out, keyjoin_bytes(s, out))
+    out = s.join(r, "region_id")
+    return out
 
 
 def device_dim(tables: Mapping[str, DataFrame], how: str = "left") -> DataFrame:
     """device_id -> device_name, device_type, region_name (region optional)."""
     d = tables["devices"].select("device_id", "device_name", "device_type", "install_region_id")
     r = tables["regions"].select(F.col("region_id").alias("install_region_id"), "region_name")
-    out = d.join(small(r), "install_region_id", how)
-    return bounded(out, keyjoin_bytes(d, out))
-
+    out = d.join(r, "install_region_id", how)
+    return out
 
-ORDER_CONF = "spark.envmon.presentationOrder"
 
-
-def ordered(df: DataFrame, *cols) -> DataFrame:
-    """Final presentation order of a listing (the source's ORDER BY).
-
-    A range-partitioned sort, so it scales out, but for bulk consumers (results
-    written to storage) it is pure cost: a session can turn presentation order
-    off with ``spark.envmon.presentationOrder=false``.
-    """
-    try:
-        keep = str(df.sparkSession.conf.get(ORDER_CONF, "true")).lower() != "false"
-    except Exception:
-        keep = True
-    return df.orderBy(*cols) if keep else df
+def ordered(df: DataFrame, *cols, sort: bool = True) -> DataFrame:
+    """Final order of a listing (the source's ORDER BY), a range-partitioned sort; the caller may leave it out."""
+    return df.orderBy(*cols) if sort else df

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import small
+
 
 Tables = Mapping[str, DataFrame]
 
@@ -26,7 +26,7 @@ LOCK_SECONDS = 3600
 def user_roles(tables: Tables) -> DataFrame:
     """Roles of every user (bridge join)."""
     r = tables["roles"].select("role_id", "role_name", "description")
-    return tables["user_roles"].select("user_id", "role_id").join(small(r), "role_id").select(
+    return tables["user_roles"].select("user_id", "role_id").join(r, "role_id").select(
         "user_id", "role_id", "role_name", "description")
 
 
@@ -36,7 +36,7 @@ def role_permissions(tables: Tables, in_use: bool = False) -> DataFrame:
     rp = tables["role_permissions"].select("role_id", "permission_id")
     if in_use:
         rp = rp.join(tables["user_roles"].select("role_id").dropDuplicates(), "role_id", "left_semi")
-    return rp.join(small(p), "permission_id").select(
+    return rp.join(p, "permission_id").select(
         "role_id", "permission_id", "permission_name", "resource", "action")
 
 
@@ -48,10 +48,10 @@ def user_permissions(tables: Tables) -> DataFrame:
     small permissions table.
     """
     rp = tables["role_permissions"].select("role_id", "permission_id")
-    ids = (tables["user_roles"].select("user_id", "role_id").join(small(rp), "role_id")
+    ids = (tables["user_roles"].select("user_id", "role_id").join(rp, "role_id")
            .select("user_id", "permission_id").dropDuplicates())
     p = tables["permissions"].select("permission_id", "permission_name", "resource", "action")
-    return ids.join(small(p), "permission_id").select("user_id", "permission_id", "permission_name",
+    return ids.join(p, "permission_id").select("user_id", "permission_id", "permission_name",
                                                       "resource", "action")
 
 
@@ -64,7 +64,7 @@ def check_permissions(tables: Tables, requests: DataFrame) -> DataFrame:
     """
     req = requests.select("user_id", "resource", "action").dropDuplicates()
     holders = role_permissions(tables).select("resource", "action", "role_id").dropDuplicates()
-    cand = req.join(small(holders), ["resource", "action"])
+    cand = req.join(holders, ["resource", "action"])
     links = tables["user_roles"].select("user_id", "role_id")
     granted = cand.join(links, ["user_id", "role_id"], "left_semi") \
                   .select("user_id", "resource", "action").dropDuplicates()
@@ -112,41 +112,54 @@ class LoginState:
 
 def _scan_sorted(batches: Iterator[pd.DataFrame], max_failures: int, lock_seconds: int
                  ) -> Iterator[pd.DataFrame]:
-    """Walk rows sorted by (user_id, ts, event_id); only one user's state is held."""
+    """Walk rows sorted by (user_id, carried state first, ts, event_id); only one user's state is held."""
     lock = _dt.timedelta(seconds=lock_seconds)
     user, state = None, LoginState()
     for pdf in batches:
         if pdf.empty:
             continue
-        users = pdf["user_id"].to_numpy()
+        users, carry = pdf["user_id"].to_numpy(), pdf["carry"].to_numpy().astype(bool)
+        before = zip(pdf["failures"].tolist(), pd.to_datetime(pdf["locked_until"]).tolist())
         tss = pd.to_datetime(pdf["ts"]).tolist()
         oks = pdf["success"].to_numpy()
         outcome, fails, until = [], [], []
-        for u, ts, ok in zip(users, tss, oks):
+        for u, ts, ok, c, (f, lock_end) in zip(users, tss, oks, carry, before):
             if u != user:
                 user, state = u, LoginState()
+            if c:
+                state = LoginState(int(f), None if pd.isna(lock_end) else lock_end)
+                continue
             outcome.append(state.step(ts, bool(ok), max_failures, lock))
             fails.append(state.failures)
             until.append(state.locked_until)
+        if not outcome:  # carried states only
+            continue
         yield pd.DataFrame({
-            "event_id": pdf["event_id"].to_numpy(), "user_id": users, "ts": pdf["ts"],
-            "success": oks.astype(bool), "outcome": outcome,
+            "event_id": pdf["event_id"].to_numpy()[~carry], "user_id": users[~carry], "ts": pdf["ts"].to_numpy()[~carry],
+            "success": oks[~carry].astype(bool), "outcome": outcome,
             "failed_attempts": pd.Series(fails, dtype="int32"),
             "locked_until": pd.Series(pd.to_datetime(until), dtype="datetime64[ns]"),
         })
 
 
 def login_lockouts(events: DataFrame, max_failures: int = MAX_FAILURES,
-                   lock_seconds: int = LOCK_SECONDS) -> DataFrame:
+                   lock_seconds: int = LOCK_SECONDS, carried: DataFrame | None = None) -> DataFrame:
     """Outcome of every login attempt (SUCCESS, FAILURE, LOCKED, REFUSED) and the counter after it.
 
     The rule is sequential per user, so events are hash-partitioned by user
     and sorted by (user, time, event_id) inside each partition (a spillable
     external sort), then streamed through ``mapInPandas`` in Arrow batches.
     Only the current user's two-value state is in memory; no group is ever
-    collected.
+    collected.  ``carried`` (user_id, failures, locked_until) is the state before
+    these attempts, for users that have one.
     """
     e = events.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
                       F.col("success").cast("boolean").alias("success"))
-    ordered = e.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    e = e.withColumns({"carry": F.lit(False), "failures": F.lit(0), "locked_until": F.lit(None).cast("timestamp_ntz")})
+    if carried is not None:
+        e = e.unionByName(carried.select(
+            F.lit(0).cast("bigint").alias("event_id"), "user_id", F.lit(None).cast("timestamp_ntz").alias("ts"),
+            F.lit(False).alias("success"), F.lit(True).alias("carry"), F.col("failures").cast("int").alias("failures"),
+            F.col("locked_until").cast("timestamp_ntz").alias("locked_until")))
+    ordered = e.repartition("user_id").sortWithinPartitions("user_id", F.desc("carry"), "ts", "event_id")
     return ordered.mapInPandas(lambda it: _scan_sorted(it, max_failures, lock_seconds), LOCKOUT_SCHEMA)

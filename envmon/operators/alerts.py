@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import count_if, since, small, with_day_pruning
+from ..functions.common import count_if, since, with_day_pruning
 from ..functions.domain import triggered_alert_type
 from ..functions.rules import RULE_VARIABLES, compile_rule, variable_column
 from ._plan import ordered, rollup_through, sensor_dim
@@ -20,16 +20,12 @@ from ._plan import ordered, rollup_through, sensor_dim
 Tables = Mapping[str, DataFrame]
 
 
-def notification_counts(tables: Tables, alerts: DataFrame | None = None) -> DataFrame:
+def notification_counts(tables: Tables) -> DataFrame:
     """Per alert_id: total, delivered and failed notifications.
 
-    With ``alerts`` given, notifications are first restricted to those alerts
-    (semi join) so that a short time window does not aggregate all history.
+    Joined to a few alerts, Spark's runtime filter passes their ids to this side's scan.
     """
-    n = tables["notifications"]
-    if alerts is not None:
-        n = n.join(small(alerts.select("alert_id")), "alert_id", "left_semi")
-    return n.groupBy("alert_id").agg(
+    return tables["notifications"].groupBy("alert_id").agg(
         F.count("notification_id").alias("total_notifications"),
         count_if(F.col("receive_status") == "DELIVERED").alias("delivered_count"),
         count_if(F.col("receive_status") == "FAILED").alias("failed_count"))
@@ -40,20 +36,18 @@ def _zero(c: str) -> Column:
 
 
 # -- A1 ----------------------------------------------------------------------
-def region_alert_stats(tables: Tables, days: int = 30, as_of=None) -> DataFrame:
+def region_alert_stats(tables: Tables, days: int = 30, as_of=None, sort: bool = True) -> DataFrame:
     """Per region (all regions): sensors, alerts of the last N days, their notifications."""
     regions = tables["regions"].select("region_id", "region_name")
     sensors = tables["sensors"].groupBy("region_id").agg(F.count("sensor_id").alias("sensors"))
     recent = tables["alerts"].filter(since("triggered_at", as_of, days)).select("alert_id", "region_id")
-    alerts = recent.groupBy("region_id").agg(F.count("alert_id").alias("alerts"))
-    # each notification picks up its alert's region (inner key join; a hot alert is split by
-    # AQE on the streamed side) and is counted per region with map-side partial aggregation
-    notes = (tables["notifications"].select("alert_id").join(small(recent), "alert_id")
-             .groupBy("region_id").agg(F.count(F.lit(1)).alias("notifications_sent")))
-    out = (regions.join(sensors, "region_id", "left").join(alerts, "region_id", "left")
-                  .join(notes, "region_id", "left"))
+    # one row per alert meets one row per alert: a hot alert is combined before the join
+    sent = tables["notifications"].groupBy("alert_id").agg(F.count(F.lit(1)).alias("sent"))
+    alerts = recent.join(sent, "alert_id", "left").groupBy("region_id").agg(
+        F.count("alert_id").alias("alerts"), F.sum("sent").alias("notifications_sent"))
+    out = regions.join(sensors, "region_id", "left").join(alerts, "region_id", "left")
     out = out.select("region_name", _zero("sensors"), _zero("alerts"), _zero("notifications_sent"))
-    return ordered(out, F.desc("alerts"), F.desc("notifications_sent"), "region_name")
+    return ordered(out, F.desc("alerts"), F.desc("notifications_sent"), "region_name", sort=sort)
 
 
 # -- A9 ----------------------------------------------------------------------
@@ -64,30 +58,28 @@ def _fire_alerts(tables: Tables, days: int, region: str | None, as_of) -> DataFr
     if region is not None:
         regions = regions.filter(F.col("region_name") == region)
     a = tables["alerts"].filter(since("triggered_at", as_of, days))
-    return a.join(small(rules), "rule_id").join(small(regions), "region_id")
+    return a.join(rules, "rule_id").join(regions, "region_id")
 
 
-def fire_alerts(tables: Tables, days: int = 7, region: str | None = None, as_of=None) -> DataFrame:
+def fire_alerts(tables: Tables, days: int = 7, region: str | None = None, as_of=None, sort: bool = True) -> DataFrame:
     """FIRE alerts of the last N days (one region or all): notifications sent and delivered."""
     a = _fire_alerts(tables, days, region, as_of)
-    counts = notification_counts(tables, a)
-    out = a.join(counts, "alert_id", "left").select(
+    out = a.join(notification_counts(tables), "alert_id", "left").select(
         "region_name", "alert_id", "triggered_at", "severity_level", "status", "handler_id",
         "handle_result", _zero("total_notifications").alias("notifications_sent"),
         _zero("delivered_count").alias("delivered_count"))
-    return ordered(out, F.desc("triggered_at"), F.desc("alert_id"))
+    return ordered(out, F.desc("triggered_at"), F.desc("alert_id"), sort=sort)
 
 
-def fire_alerts_detail(tables: Tables, days: int = 7, region: str | None = None, as_of=None) -> DataFrame:
+def fire_alerts_detail(tables: Tables, days: int = 7, region: str | None = None, as_of=None, sort: bool = True) -> DataFrame:
     """The analyst form: adds rule type and the handler's name; notification count."""
     a = _fire_alerts(tables, days, region, as_of)
-    counts = notification_counts(tables, a)
     users = tables["users"].select(F.col("user_id").alias("handler_id"), F.col("real_name").alias("handler_name"))
-    out = a.join(counts, "alert_id", "left").join(small(users), "handler_id", "left").select(
+    out = a.join(notification_counts(tables), "alert_id", "left").join(users, "handler_id", "left").select(
         "region_name", "alert_id", "alert_type", "severity_level", "triggered_at",
         F.col("status").alias("alert_status"), "handler_id", "handler_name", "handle_result",
         _zero("total_notifications").alias("notification_count"))
-    return ordered(out, F.desc("triggered_at"), F.desc("alert_id"))
+    return ordered(out, F.desc("triggered_at"), F.desc("alert_id"), sort=sort)
 
 
 # -- A12 ---------------------------------------------------------------------
@@ -95,7 +87,7 @@ def alert_notification_summary(tables: Tables) -> DataFrame:
     """Per alert with known region and rule: total, delivered and failed notifications."""
     regions = tables["regions"].select("region_id", "region_name")
     rules = tables["alert_rules"].select("rule_id", "severity_level")
-    a = tables["alerts"].join(small(regions), "region_id").join(small(rules), "rule_id")
+    a = tables["alerts"].join(regions, "region_id").join(rules, "rule_id")
     out = a.join(notification_counts(tables), "alert_id", "left")
     return out.select("alert_id", "region_name", "triggered_at", "severity_level", "content", "status",
                       _zero("total_notifications"), _zero("delivered_count"), _zero("failed_count"))
@@ -105,7 +97,7 @@ def alert_notification_summary(tables: Tables) -> DataFrame:
 def alert_stats(tables: Tables) -> DataFrame:
     """Per day, region, alert type and severity: alerts and closed alerts."""
     rules = tables["alert_rules"].select("rule_id", "alert_type", "severity_level")
-    a = tables["alerts"].join(small(rules), "rule_id")
+    a = tables["alerts"].join(rules, "rule_id")
     regions = tables["regions"].select("region_id", "region_name")
     agg = rollup_through(
         a, "region_id", regions,
@@ -119,6 +111,11 @@ def alert_stats(tables: Tables) -> DataFrame:
 
 
 # -- R2 ----------------------------------------------------------------------
+def raises_alert() -> Column:
+    """A VALID reading over a fixed threshold."""
+    return (F.col("data_status") == "VALID") & triggered_alert_type().isNotNull()
+
+
 def alerts_from_readings(readings: DataFrame, tables: Tables, keep: tuple[str, ...] = ()) -> DataFrame:
     """PENDING alerts for VALID readings over a fixed threshold (batch or stream).
 
@@ -127,12 +124,11 @@ def alerts_from_readings(readings: DataFrame, tables: Tables, keep: tuple[str, .
     alert per reading, stamped with the reading's own time.  Both joins are
     with bounded tables: the rule map has at most one row per alert type.
     """
-    r = readings.filter(F.col("data_status") == "VALID")
-    r = r.withColumn("alert_type", triggered_alert_type()).filter(F.col("alert_type").isNotNull())
+    r = readings.filter(raises_alert()).withColumn("alert_type", triggered_alert_type())
     rule_of_type = (tables["alert_rules"].filter(F.col("is_active"))
                     .groupBy("alert_type").agg(F.min("rule_id").alias("rule_id")))
     s = tables["sensors"].select("sensor_id", "region_id")
-    out = r.join(F.broadcast(rule_of_type), "alert_type").join(small(s), "sensor_id")
+    out = r.join(rule_of_type, "alert_type").join(s, "sensor_id")
     content = F.concat(F.lit("Region "), F.col("region_id").cast("string"), F.lit(" sensor "),
                        F.col("sensor_id").cast("string"), F.lit(" triggered alert: "),
                        F.col("numeric_value").cast("string"), F.lit(" matches rule "),

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import as_date, count_if, small
+from ..functions.common import as_date, count_if
 from ._plan import device_dim, ordered
 
 Tables = Mapping[str, DataFrame]
@@ -43,7 +43,7 @@ def _devices_with_region(tables: Tables) -> DataFrame:
     return device_dim(tables, "inner")
 
 
-def device_fault_maintenance(tables: Tables) -> DataFrame:
+def device_fault_maintenance(tables: Tables, sort: bool = True) -> DataFrame:
     """Devices with faults: exact fault count, maintenance count, last maintenance."""
     d = _devices_with_region(tables)
     out = (d.join(_log_counts(tables), "device_id", "left").join(_maint_counts(tables), "device_id", "left")
@@ -52,10 +52,10 @@ def device_fault_maintenance(tables: Tables) -> DataFrame:
                      F.col("faults").cast("bigint").alias("fault_times"),
                      F.coalesce("maint", F.lit(0)).cast("bigint").alias("maintenance_count"),
                      "last_maintenance")
-    return ordered(out, F.desc("fault_times"), F.desc("last_maintenance"), "device_id")
+    return ordered(out, F.desc("fault_times"), F.desc("last_maintenance"), "device_id", sort=sort)
 
 
-def device_fault_maintenance_parity(tables: Tables) -> DataFrame:
+def device_fault_maintenance_parity(tables: Tables, sort: bool = True) -> DataFrame:
     """The source's numbers: faults x max(maintenance, 1) and maintenance x max(logs, 1).
 
     Equal to joining every log with every maintenance record of a device,
@@ -70,7 +70,7 @@ def device_fault_maintenance_parity(tables: Tables) -> DataFrame:
                      (F.col("faults") * F.greatest(m, F.lit(1))).cast("bigint").alias("fault_count"),
                      (m * F.greatest(n, F.lit(1))).cast("bigint").alias("maintenance_count"),
                      F.col("last_maintenance").alias("last_maintenance_time"), "last_status_update")
-    return ordered(out, F.desc("fault_count"), "region_name", "device_name")
+    return ordered(out, F.desc("fault_count"), "region_name", "device_name", sort=sort)
 
 
 def device_faults(tables: Tables) -> DataFrame:
@@ -78,7 +78,7 @@ def device_faults(tables: Tables) -> DataFrame:
     f = tables["device_status_logs"].filter(F.col("run_status").isin("FAULT", "OFFLINE")).groupBy(
         "device_id").agg(F.count(F.lit(1)).alias("fault_count"), F.min("collected_at").alias("first_fault_at"),
                          F.max("collected_at").alias("last_fault_at"))
-    out = f.join(small(device_dim(tables, "left")), "device_id")
+    out = f.join(device_dim(tables, "left"), "device_id")
     return out.select("region_name", "device_id", "device_name", "device_type",
                       F.col("fault_count").cast("bigint").alias("fault_count"), "first_fault_at",
                       "last_fault_at")
@@ -94,7 +94,7 @@ def latest_device_status(tables: Tables) -> DataFrame:
     latest = logs.groupBy("device_id").agg(
         F.max(F.struct("collected_at", "log_id", "run_status", "battery_percent", "signal_strength"))
          .alias("s"))
-    out = latest.join(small(device_dim(tables, "left")), "device_id")
+    out = latest.join(device_dim(tables, "left"), "device_id")
     return out.select("region_name", "device_id", "device_name", "device_type", "s.run_status",
                       "s.battery_percent", "s.signal_strength",
                       F.col("s.collected_at").alias("last_status_update"))

@@ -26,7 +26,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import apply_filters, small
+from ..functions.common import apply_filters
 from ..functions.domain import UNKNOWN_ALERT_TYPE, UNKNOWN_SEVERITY
 from ._plan import ordered, rollup_through, sensor_dim
 
@@ -64,14 +64,14 @@ def alerts_near_readings(alerts: DataFrame, tables: Tables, status: str,
                       (F.col("triggered_at") + _half_window()).alias("hi"))
     a = a.withColumn("minute", F.explode(F.sequence(minute_index(F.col("lo")), minute_index(F.col("hi")))))
     on = ["minute"] + (["region_id"] if same_region else [])
-    s = small(summary)
+    s = summary
     cond = [a[k] == s[k] for k in on] + [s["max_ts"] >= a["lo"], s["min_ts"] <= a["hi"]]
     matched = a.join(s, cond, "left_semi").select("alert_id").dropDuplicates()
     return alerts.join(matched, "alert_id", "left_semi")
 
 
 def list_alerts(tables: Tables, alerts: DataFrame | None = None, region_id=None, status=None,
-                validity: str | None = None, same_region: bool = False) -> DataFrame:
+                validity: str | None = None, same_region: bool = False, sort: bool = True) -> DataFrame:
     """Alerts with rule type and severity (unknown rule -> fixed labels), newest first.
 
     ``validity`` keeps alerts that have a reading of that status nearby (from
@@ -84,8 +84,8 @@ def list_alerts(tables: Tables, alerts: DataFrame | None = None, region_id=None,
     if validity is not None:
         a = alerts_near_readings(a, tables, validity, same_region)
     rules = tables["alert_rules"].select("rule_id", "alert_type", "severity_level")
-    out = a.join(small(rules), "rule_id", "left").select(
+    out = a.join(rules, "rule_id", "left").select(
         "alert_id", "rule_id", "region_id", "triggered_at", "content", "status", "handler_id",
         "handle_result", F.coalesce("alert_type", F.lit(UNKNOWN_ALERT_TYPE)).alias("alert_type"),
         F.coalesce("severity_level", F.lit(UNKNOWN_SEVERITY)).alias("severity_level"))
-    return ordered(out, F.desc("triggered_at"), F.desc("alert_id"))
+    return ordered(out, F.desc("triggered_at"), F.desc("alert_id"), sort=sort)

@@ -11,12 +11,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.common import small
+
 from ..schemas import ENUMS, FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS
-from ..session import cut_lineage
 
 Tables = Mapping[str, DataFrame]
 
@@ -28,18 +27,16 @@ def upsert_snapshot(base: DataFrame, changes: DataFrame, key: str | Sequence[str
 
     Returns (new table, change keys that matched no row).  Columns missing
     from ``changes`` keep their old value.  With several changes for one key
-    the one with the largest ``order_by`` wins (an aggregate, max of a struct,
-    so a key with very many changes is combined map-side); without
-    ``order_by`` one of them is kept.
+    the one with the largest ``order_by`` wins (of equal ones the largest
+    values), an aggregate, max of a struct, so a key with very many changes is
+    combined map-side.  Without ``order_by`` the row of the largest values wins:
+    a rerun gives the same table.
     """
     keys = [key] if isinstance(key, str) else list(key)
     upd_cols = [c for c in changes.columns if c in base.columns and c not in keys]
-    if order_by is not None:
-        last = changes.groupBy(*keys).agg(
-            F.max(F.struct(F.col(order_by).alias("__o"), *[F.col(c) for c in upd_cols])).alias("__s"))
-        changes = last.select(*keys, *[F.col(f"__s.{c}").alias(c) for c in upd_cols])
-    else:
-        changes = changes.dropDuplicates(keys)  # a repeated key must not multiply base rows
+    first = [] if order_by is None else [F.col(order_by).alias("__o")]
+    last = changes.groupBy(*keys).agg(F.max(F.struct(*first, *[F.col(c) for c in upd_cols])).alias("__s"))
+    changes = last.select(*keys, *[F.col(f"__s.{c}").alias(c) for c in upd_cols])
     ch = changes.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in upd_cols],
                         F.lit(True).alias("__hit"))
     j = base.join(ch, keys, "left")
@@ -76,52 +73,67 @@ CASCADE: dict[str, list[tuple[str, str, str]]] = {
 }
 
 
-def doomed_keys(tables: Tables, parent: str, keys: DataFrame, persist: bool = True) -> dict[str, DataFrame]:
-    """Key sets to delete per table: the given parents and everything depending on them.
+def doomed_rows(tables: Tables, parent: str, keys: DataFrame) -> dict[str, DataFrame]:
+    """The rows to delete per table: the given parents and everything that depends on them.
 
-    Each set is computed once (and checkpointed to the shared folder when
-    ``persist``), so the remaining tables and the counts all see the same set.
+    A table's rows are found by their foreign keys, one semi join per parent, as a plan only:
+    nothing is written, and a fact meets the (few) deleted parents, never itself.
     """
     pk = PRIMARY_KEYS[parent]
-    out: dict[str, DataFrame] = {parent: keys.select(*pk).dropDuplicates()}
-    if persist:
-        out[parent] = cut_lineage(out[parent])
-    frontier = [parent]
-    while frontier:
-        nxt = []
-        for p in frontier:
-            for child, fk, pkey in CASCADE.get(p, []):
-                if child not in tables:
-                    continue
-                parents = out[p].select(F.col(pkey).alias(fk))
-                ck = PRIMARY_KEYS[child]
-                dk = tables[child].join(small(parents), fk, "left_semi").select(*ck)
-                dk = out[child].unionByName(dk).dropDuplicates() if child in out else dk.dropDuplicates()
-                if persist:
-                    dk = cut_lineage(dk)
-                out[child] = dk
-                nxt.append(child)
-        frontier = nxt
+    out = {parent: tables[parent].join(keys.select(*pk).dropDuplicates(), pk, "left_semi")}
+    for child, links in _dependents(tables, parent).items():
+        hit = [tables[child].join(out[p].select(F.col(pkey).alias(fk)).dropDuplicates(), fk, "left_semi")
+               for p, fk, pkey in links]
+        rows = hit[0]
+        for more, (p, fk, pkey) in zip(hit[1:], links[1:]):  # a row with two deleted parents counts once
+            rows = rows.unionByName(_without(more, out, links[:links.index((p, fk, pkey))]))
+        out[child] = rows
     return out
 
 
-def cascade_delete(tables: Tables, parent: str, keys: DataFrame, persist: bool = True
-                   ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Remove ``keys`` of ``parent`` and every dependent row, child tables first.
+def _dependents(tables: Tables, parent: str) -> dict[str, list[tuple[str, str, str]]]:
+    """child table -> (parent table, fk column, parent key) of every deleted parent, parents first."""
+    reached, order = {parent}, [parent]
+    for t in order:
+        for child, _, _ in CASCADE.get(t, []):
+            if child in tables and child not in reached:
+                reached.add(child)
+                order.append(child)
+    links: dict[str, list[tuple[str, str, str]]] = {}
+    for p in order:
+        for child, fk, pkey in CASCADE.get(p, []):
+            if child in reached:
+                links.setdefault(child, []).append((p, fk, pkey))
+    done, out = {parent}, {}
+    while len(out) < len(links):  # a table comes after all its parents
+        for child, ps in links.items():
+            if child not in out and all(p in done for p, _, _ in ps):
+                out[child] = ps
+                done.add(child)
+    return out
+
+
+def _without(rows: DataFrame, doomed: Mapping[str, DataFrame], links) -> DataFrame:
+    for p, fk, pkey in links:
+        rows = rows.join(doomed[p].select(F.col(pkey).alias(fk)).dropDuplicates(), fk, "left_anti")
+    return rows
+
 
-    Returns (remaining rows per affected table, counts of removed rows per
-    table).  Each remaining table is one anti join with its doomed key set.
+def cascade_delete(tables: Tables, parent: str, keys: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Remove ``keys`` of ``parent`` and every dependent row.
+
+    Returns (remaining rows per affected table, counts of removed rows per table).  A table's
+    remaining rows are those whose foreign keys name no deleted parent; asking for one table's
+    rows computes no other's.
     """
-    doomed = doomed_keys(tables, parent, keys, persist)
-    remaining = {t: tables[t].join(small(d), PRIMARY_KEYS[t], "left_anti") for t, d in doomed.items()}
-    spark = keys.sparkSession
-    counts = None
-    for t, d in doomed.items():
-        c = d.agg(F.count(F.lit(1)).cast("bigint").alias("removed")).select(F.lit(t).alias("table_name"), "removed")
-        counts = c if counts is None else counts.unionByName(c)
-    if counts is None:
-        counts = spark.createDataFrame([], "table_name STRING, removed BIGINT")
-    return remaining, counts
+    pk = PRIMARY_KEYS[parent]
+    doomed = doomed_rows(tables, parent, keys)
+    remaining = {parent: tables[parent].join(keys.select(*pk).dropDuplicates(), pk, "left_anti")}
+    for child, links in _dependents(tables, parent).items():
+        remaining[child] = _without(tables[child], doomed, links)
+    counts = [d.agg(F.count(F.lit(1)).cast("bigint").alias("removed")).select(F.lit(t).alias("table_name"), "removed")
+              for t, d in doomed.items()]
+    return remaining, functools.reduce(lambda a, b: a.unionByName(b), counts)
 
 
 # -- R7 ----------------------------------------------------------------------
@@ -153,75 +165,43 @@ def constraint_checks(columns: Mapping[str, Sequence[str]]) -> list[tuple]:
     return checks
 
 
+def _readable(keys: Sequence[str]):
+    """Key values as one text, for the reported rows only."""
+    return F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
+
+
 def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Duplicate keys, orphan foreign keys and values outside the allowed lists.
 
-    One pass over each table, whatever the number of checks: every table
-    emits tagged rows into one union --
+    Every check is a plan of its own on the typed columns:
 
-    * DUP  (check, key text) for each unique/primary key of each row,
-    * BAD  (check, value) for each value outside its allowed list,
-    * REF  (check, parent tag, key) for each non-NULL foreign key,
-    * KEY  (parent tag, key) for each key a child refers to --
+    * duplicates: group by the key columns, keep groups of more than one row;
+    * orphans: the distinct foreign keys with their counts (a fact collapses map-side)
+      anti-joined with the parent's keys;
+    * allowed lists: a filter and a count per value.
 
-    then one group-by counts equal rows (partial aggregation map-side, so a
-    hot key is combined before the shuffle) and one window over (parent
-    tag, key) tells whether a referenced key exists.  Kept: DUP with more
-    than one row, every BAD, REF without a KEY.  NULL keys are never
-    duplicates or orphans (as in SQL), NULL values are not checked against
-    lists.  ``columns`` limits the checks to those columns.
+    Only what violates a rule is turned into text.  NULL keys are never duplicates or
+    orphans (as in SQL), NULL values are not checked against lists.  ``columns`` limits
+    the checks to those columns.
     """
     cols = columns or {t: df.columns for t, df in tables.items()}
     checks = constraint_checks({t: c for t, c in cols.items() if t in tables})
-    spark = tables[checks[0][1]].sparkSession if checks else SparkSession.getActiveSession()
-    if not checks:
-        return spark.createDataFrame([], _VIOLATION)
-    by_table: dict[str, list] = {}
-    for chk in checks:
-        by_table.setdefault(chk[1], []).append(chk)
-    parent_keys: dict[str, set[str]] = {}
-    for chk in checks:
-        if chk[0] == "ORPHAN":
-            parent_keys.setdefault(chk[3], set()).add(chk[4])
-            by_table.setdefault(chk[3], [])
-
-    def q(name: str) -> str:
-        return f"`{name}`"
-
-    def item(kind: str, cname: str | None, ptag: str | None, key: str, cond: str) -> str:
-        lit = (lambda v: "CAST(NULL AS STRING)" if v is None else "'" + v.replace("'", "''") + "'")
-        return (f"CASE WHEN {cond} THEN named_struct('kind', {lit(kind)}, 'cname', {lit(cname)}, "
-                f"'ptag', {lit(ptag)}, 'key_value', CAST({key} AS STRING)) END")
-
-    # One SQL expression per table (schema names only, no user input): a single parse on the
-    # JVM instead of hundreds of small column calls.
-    frames = []
-    for t, chks in by_table.items():
-        items = []
-        for c in chks:
-            if c[0].startswith("DUPLICATE"):
-                nn = " AND ".join(f"{q(k)} IS NOT NULL" for k in c[2])
-                key = "concat_ws(',', " + ", ".join(f"CAST({q(k)} AS STRING)" for k in c[2]) + ")"
-                items.append(item(c[0], "(" + ",".join(c[2]) + ")", None, key, nn))
-            elif c[0] == "ORPHAN":
-                items.append(item("ORPHAN", f"{c[2]}->{c[3]}.{c[4]}", f"{c[3]}.{c[4]}", q(c[2]),
-                                  f"{q(c[2])} IS NOT NULL"))
-            else:
-                allowed = ", ".join("'" + v.replace("'", "''") + "'" for v in c[3])
-                items.append(item("NOT_ALLOWED", c[2], None, q(c[2]),
-                                  f"{q(c[2])} IS NOT NULL AND {q(c[2])} NOT IN ({allowed})"))
-        for pk in sorted(parent_keys.get(t, ())):
-            items.append(item("KEY", None, f"{t}.{pk}", q(pk), f"{q(pk)} IS NOT NULL"))
-        if items:
-            frames.append(tables[t].select(F.lit(t).alias("table_name"),
-                                           F.expr("explode(array(" + ", ".join(items) + "))").alias("x"))
-                          .filter(F.col("x").isNotNull())
-                          .select("table_name", "x.kind", "x.cname", "x.ptag", "x.key_value"))
-    rows = functools.reduce(lambda a, b: a.union(b), frames)  # same column order in every branch
-    agg = rows.groupBy("kind", "table_name", "cname", "ptag", "key_value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("ptag", "key_value")
-    agg = agg.withColumn("has_key", F.max((F.col("kind") == "KEY").cast("int")).over(w))
-    keep = (((F.col("kind").startswith("DUPLICATE")) & (F.col("n") > 1)) | (F.col("kind") == "NOT_ALLOWED")
-            | ((F.col("kind") == "ORPHAN") & (F.col("has_key") == 0)))
-    return agg.filter(keep).select("table_name", F.col("cname").alias("constraint_name"), "kind", "key_value",
-                                   F.col("n").cast("bigint").alias("n"))
+    found = []
+    for c in checks:
+        kind, t = c[0], c[1]
+        keys = list(c[2]) if kind.startswith("DUPLICATE") else [c[2]]
+        rows = tables[t].select(*keys).dropna()
+        if kind == "NOT_ALLOWED":
+            rows = rows.filter(~F.col(c[2]).isin(list(c[3])))
+        bad = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        name = c[2]
+        if kind.startswith("DUPLICATE"):
+            bad, name = bad.filter("n > 1"), "(" + ",".join(keys) + ")"
+        elif kind == "ORPHAN":
+            bad = bad.join(tables[c[3]].select(F.col(c[4]).alias(c[2])), c[2], "left_anti")
+            name = f"{c[2]}->{c[3]}.{c[4]}"
+        found.append(bad.select(F.lit(t).alias("table_name"), F.lit(name).alias("constraint_name"),
+                                F.lit(kind).alias("kind"), _readable(keys).alias("key_value"), "n"))
+    if not found:
+        return SparkSession.getActiveSession().createDataFrame([], _VIOLATION)
+    return functools.reduce(lambda a, b: a.unionByName(b), found)

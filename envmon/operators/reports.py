@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as _dt
 import re
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import as_date, since, small
+from ..functions.common import as_date, since
 from .alerts import notification_counts
 
 Tables = Mapping[str, DataFrame]
@@ -81,8 +82,8 @@ def report_time(tables: Tables, as_of=None, days: int = TIME_REPORT_DAYS, period
         a.filter(since(F.to_date("triggered_at"), as_of, days))
     r = tables["regions"].select("region_id", "region_name")
     ru = tables["alert_rules"].select("rule_id", "alert_type")
-    counts = notification_counts(tables, a).select("alert_id", "total_notifications")
-    out = (a.join(small(r), "region_id", "left").join(small(ru), "rule_id", "left")
+    counts = notification_counts(tables).select("alert_id", "total_notifications")
+    out = (a.join(r, "region_id", "left").join(ru, "rule_id", "left")
             .join(counts, "alert_id", "left"))
     return out.select("alert_id", "region_name", "alert_type",
                       F.coalesce("total_notifications", F.lit(0)).cast("bigint").alias("notification_count"),
@@ -123,25 +124,31 @@ def report_data(tables: Tables, dimension: str, as_of=None, period: str | None =
 
 
 def generate_reports(tables: Tables, as_of=None, period: str | None = None,
-                     templates: DataFrame | None = None, restrict_to_period: bool = False) -> DataFrame:
+                     templates: DataFrame | None = None, restrict_to_period: bool = False,
+                     template_id: int | None = None) -> DataFrame:
     """Report rows of every active template: (template_id, period) + the six columns.
 
     ``period`` is a label by default (as in the source); with
     ``restrict_to_period`` the TIME and TYPE rows only use data of that period.
 
-    Each dimension's rows are computed once, tagged with the dimension and
-    joined to the templates of that dimension (an equi-join on a small,
-    broadcast template list), so one job serves all templates.
+    ``template_id`` restricts the run to one template.  Only the dimensions that
+    some template asks for (at most three values reach the driver) are computed,
+    each once; its rows take their templates from a list computed by a scalar
+    subquery, so no join runs on the three-valued dimension.
     """
     t = templates if templates is not None else tables["report_templates"].filter(F.col("is_active"))
-    t = t.select("template_id", "dimension")
+    t = t.select("template_id", "dimension").filter(F.col("dimension").isin(REPORT_DIMENSIONS))
+    if template_id is not None:
+        t = t.filter(F.col("template_id") == template_id)
     only = period if restrict_to_period else None
-    parts = [report_data(tables, dim, as_of, only).withColumn("dimension", F.lit(dim))
-             for dim in REPORT_DIMENSIONS]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     per = F.lit(period) if period is not None else F.date_format(as_date(as_of), "yyyy-MM-dd")
-    out = rows.join(small(t), "dimension")
-    return out.select("template_id", per.alias("period"), *REPORT_COLUMNS)
+    asked = [r["dimension"] for r in t.select("dimension").distinct().collect()]
+    parts = []
+    for dim in sorted(asked) or REPORT_DIMENSIONS[:1]:
+        ids = t.filter(F.col("dimension") == dim).agg(F.collect_list("template_id").alias("ids")).scalar()
+        parts.append(report_data(tables, dim, as_of, only).select(
+            F.explode(ids).alias("template_id"), per.alias("period"), *REPORT_COLUMNS))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 REPORT_DIMENSIONS = ["REGION", "TIME", "TYPE"]

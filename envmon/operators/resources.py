@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import small
+
 from ..schemas import conform, enum_rank
 from ._plan import ordered
 
@@ -41,10 +41,10 @@ def change_counts(tables: Tables) -> DataFrame:
 
 def _res_regions(tables: Tables) -> DataFrame:
     r = tables["regions"].select("region_id", "region_name", "region_type")
-    return tables["resources"].join(small(r), "region_id")
+    return tables["resources"].join(r, "region_id")
 
 
-def resource_summary(tables: Tables) -> DataFrame:
+def resource_summary(tables: Tables, sort: bool = True) -> DataFrame:
     """Per region and type: quantity, area, number of change records, last change (exact)."""
     j = _res_regions(tables).join(change_counts(tables), "resource_id", "left")
     out = j.groupBy("region_name", "resource_type").agg(
@@ -52,10 +52,10 @@ def resource_summary(tables: Tables) -> DataFrame:
         F.sum(F.coalesce("area", F.lit(0))).cast(AREA).alias("current_area"),
         F.sum(F.coalesce("changes", F.lit(0))).cast("bigint").alias("change_records"),
         F.max("last_change_time").alias("last_change_time"))
-    return ordered(out, "region_name", enum_rank("resource_type", "resources", "resource_type"))
+    return ordered(out, "region_name", enum_rank("resource_type", "resources", "resource_type"), sort=sort)
 
 
-def resource_summary_parity(tables: Tables) -> DataFrame:
+def resource_summary_parity(tables: Tables, sort: bool = True) -> DataFrame:
     """The source's totals: each resource counted once per change row (at least once)."""
     j = _res_regions(tables).join(change_counts(tables), "resource_id", "left")
     k = F.greatest(F.coalesce(F.col("changes"), F.lit(0)), F.lit(1))
@@ -64,10 +64,10 @@ def resource_summary_parity(tables: Tables) -> DataFrame:
         F.sum(F.coalesce("area", F.lit(0)) * k).cast(AREA).alias("current_area"),
         F.sum(F.coalesce("changes", F.lit(0))).cast("bigint").alias("change_records"),
         F.max("last_change_time").alias("last_change_time"))
-    return ordered(out, "region_name", enum_rank("resource_type", "resources", "resource_type"))
+    return ordered(out, "region_name", enum_rank("resource_type", "resources", "resource_type"), sort=sort)
 
 
-def resource_net_change(tables: Tables) -> DataFrame:
+def resource_net_change(tables: Tables, sort: bool = True) -> DataFrame:
     """Per region, type, species: max quantity, changes, net quantity/area change, last change.
 
     Every change that is not ADD counts as a subtraction (STATUS_UPDATE too,
@@ -80,7 +80,7 @@ def resource_net_change(tables: Tables) -> DataFrame:
         F.coalesce(F.sum("net_q"), F.lit(0)).cast("bigint").alias("net_quantity_change"),
         F.coalesce(F.sum("net_a"), F.lit(0)).cast(AREA).alias("net_area_change"),
         F.max("last_change_time").alias("last_change_time"))
-    return ordered(out, "region_name", "resource_type", "species_name")
+    return ordered(out, "region_name", "resource_type", "species_name", sort=sort)
 
 
 def resource_totals(tables: Tables) -> DataFrame:

@@ -12,10 +12,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import count_if, mean_of, since, since_bound, small, text_equals, with_day_pruning
+from ..functions.common import count_if, mean_of, since, since_bound, text_equals, with_day_pruning
 from ..functions.domain import (ANOMALY_THRESHOLD, anomaly_type, aqi, aqi_level)
 from ..schemas import enum_rank
-from ._plan import bounded, ordered, rollup_through, sensor_dim
+from ._plan import ordered, rollup_through, sensor_dim
 
 Tables = Mapping[str, DataFrame]
 
@@ -38,13 +38,13 @@ def _readings(tables: Tables, status: str | None = "VALID", days: int | None = N
 def _dim(tables: Tables, region: str | None = None, collation: str | None = None) -> DataFrame:
     d = sensor_dim(tables)
     if region is not None:
-        d = bounded(d.filter(text_equals("region_name", region, collation)), d._size_bound)
+        d = d.filter(text_equals("region_name", region, collation))
     return d
 
 
 # -- A5 / A4 -----------------------------------------------------------------
 def region_daily_averages(tables: Tables, days: int = 30, region: str | None = None,
-                          metric: str | None = None, as_of=None) -> DataFrame:
+                          metric: str | None = None, as_of=None, sort: bool = True) -> DataFrame:
     """Per day, region, reading type and unit: average of VALID readings and count."""
     r = _readings(tables, "VALID", days, as_of, metric=metric)
     agg = rollup_through(
@@ -56,7 +56,7 @@ def region_daily_averages(tables: Tables, days: int = 30, region: str | None = N
          ("sample_count", "count", F.col("reading_id"))])
     out = agg.select("date", "region_name", "metric_type", mean_of("s", "nv").alias("avg_value"),
                      "unit", F.col("sample_count").cast("bigint").alias("sample_count"))
-    return ordered(out, "date", "region_name", _type_rank("metric_type"), "unit")
+    return ordered(out, "date", "region_name", _type_rank("metric_type"), "unit", sort=sort)
 
 
 def _type_rank(col: str):
@@ -65,29 +65,34 @@ def _type_rank(col: str):
 
 
 def environment_trend(tables: Tables, days: int = 30, region: str | None = None,
-                      metric: str | None = None, as_of=None) -> DataFrame:
+                      metric: str | None = None, as_of=None, sort: bool = True) -> DataFrame:
     """A5 without the count, named as the trend call names it."""
     d = region_daily_averages(tables, days, region, metric, as_of)
     out = d.select(F.col("date").alias("time"), "region_name", "metric_type",
                    F.col("avg_value").alias("metric_value"), "unit")
-    return ordered(out, "time", "region_name", _type_rank("metric_type"), "unit")
+    return ordered(out, "time", "region_name", _type_rank("metric_type"), "unit", sort=sort)
 
 
-def daily_env_avg(tables: Tables) -> DataFrame:
-    """View form of A5: TEMPERATURE and HUMIDITY, all time, reading_type/value_unit names."""
+def _daily_env_sums(tables: Tables, *groups: str) -> DataFrame:
+    """Sums and counts of VALID TEMPERATURE and HUMIDITY per day, region, type and ``groups``."""
     r = _readings(tables, "VALID", types=["TEMPERATURE", "HUMIDITY"])
-    agg = rollup_through(
+    return rollup_through(
         r, "sensor_id", _dim(tables),
-        [F.to_date("collected_at").alias("date"), F.col("reading_type"), F.col("value_unit")],
+        [F.to_date("collected_at").alias("date"), F.col("reading_type"), *[F.col(g) for g in groups]],
         ["region_name"],
         [("s", "sum", F.col("numeric_value")), ("nv", "count", F.col("numeric_value")),
          ("sample_count", "count", F.lit(1))])
-    return agg.select("date", "region_name", "reading_type", mean_of("s", "nv").alias("avg_value"),
-                      "value_unit", F.col("sample_count").cast("bigint").alias("sample_count"))
+
+
+def daily_env_avg(tables: Tables) -> DataFrame:
+    """View form of A5: TEMPERATURE and HUMIDITY, all time, reading_type/value_unit names."""
+    return _daily_env_sums(tables, "value_unit").select(
+        "date", "region_name", "reading_type", mean_of("s", "nv").alias("avg_value"),
+        "value_unit", F.col("sample_count").cast("bigint").alias("sample_count"))
 
 
 # -- A3 ----------------------------------------------------------------------
-def sensor_validity(tables: Tables, days: int | None = 7, as_of=None) -> DataFrame:
+def sensor_validity(tables: Tables, days: int | None = 7, as_of=None, sort: bool = True) -> DataFrame:
     """Per sensor with readings: total, valid, invalid, last reading (optionally last N days).
 
     Readings are aggregated per sensor first; the result (one row per sensor)
@@ -100,10 +105,10 @@ def sensor_validity(tables: Tables, days: int | None = 7, as_of=None) -> DataFra
         count_if(F.col("data_status") == "INVALID").alias("invalid_readings"),
         F.max("collected_at").alias("last_reading_at"))
     d = sensor_dim(tables)
-    out = per_sensor.join(small(d), "sensor_id").select(
+    out = per_sensor.join(d, "sensor_id").select(
         "region_name", "sensor_id", "monitor_type", "total_readings", "valid_readings",
         "invalid_readings", "last_reading_at")
-    return ordered(out, F.desc("invalid_readings"), F.desc("last_reading_at"), "sensor_id")
+    return ordered(out, F.desc("invalid_readings"), F.desc("last_reading_at"), "sensor_id", sort=sort)
 
 
 # -- A6 / A7 -----------------------------------------------------------------
@@ -118,7 +123,7 @@ def _typed_parts(types):
     return parts
 
 
-def air_quality(tables: Tables, days: int = 7, region: str | None = None, as_of=None) -> DataFrame:
+def air_quality(tables: Tables, days: int = 7, region: str | None = None, as_of=None, sort: bool = True) -> DataFrame:
     """Per day and region: mean PM25, PM10, CO2, temperature, humidity (missing -> 0), AQI."""
     r = _readings(tables, "VALID", days, as_of)
     agg = rollup_through(r, "sensor_id", _dim(tables, region),
@@ -128,11 +133,11 @@ def air_quality(tables: Tables, days: int = 7, region: str | None = None, as_of=
                      cols["CO2"].alias("co2"), cols["TEMPERATURE"].alias("temperature"),
                      cols["HUMIDITY"].alias("humidity"))
     out = out.withColumn("aqi", aqi(F.col("pm25"))).withColumn("aqi_level", aqi_level(F.col("aqi")))
-    return ordered(out, "time", "region_name")
+    return ordered(out, "time", "region_name", sort=sort)
 
 
 def region_environment_pivot(tables: Tables, days: int = 30, region: str | None = None,
-                             as_of=None) -> DataFrame:
+                             as_of=None, sort: bool = True) -> DataFrame:
     """Per day, region and sensor monitor type: mean temperature, humidity, PM25, PM10 (NULL kept)."""
     r = _readings(tables, "VALID", days, as_of)
     types = ["TEMPERATURE", "HUMIDITY", "PM25", "PM10"]
@@ -141,12 +146,12 @@ def region_environment_pivot(tables: Tables, days: int = 30, region: str | None
                          _typed_parts(types))
     out = agg.select("date", "region_name", "monitor_type",
                      *[mean_of(f"s_{t}", f"n_{t}").alias(f"avg_{t.lower()}") for t in types])
-    return ordered(out, "date", "region_name", "monitor_type")
+    return ordered(out, "date", "region_name", "monitor_type", sort=sort)
 
 
 # -- A8 ----------------------------------------------------------------------
 def sensor_data_summary(tables: Tables, region: str | None = None,
-                        monitor_type: str | None = None) -> DataFrame:
+                        monitor_type: str | None = None, sort: bool = True) -> DataFrame:
     """Every sensor (with a known region): counts and VALID value statistics; no readings -> 0/NULL."""
     r = tables["sensor_readings"]
     valid = F.col("data_status") == "VALID"
@@ -163,7 +168,7 @@ def sensor_data_summary(tables: Tables, region: str | None = None,
         F.coalesce("total_readings", F.lit(0)).cast("bigint").alias("total_readings"),
         F.coalesce("valid_readings", F.lit(0)).cast("bigint").alias("valid_readings"),
         mean_of("s", "nv").alias("avg_value"), "min_value", "max_value", "last_reading")
-    return ordered(out, "sensor_id")
+    return ordered(out, "sensor_id", sort=sort)
 
 
 # -- A18 ---------------------------------------------------------------------
@@ -185,11 +190,11 @@ def monthly_stats(tables: Tables) -> DataFrame:
 
 # -- W2 ----------------------------------------------------------------------
 def trend_analysis(tables: Tables) -> DataFrame:
-    """Daily mean per region and type with the previous present day's mean and the change.
+    """Daily mean per region and type (over all units) with the previous present day's mean and the change.
 
     The window runs over the aggregated rows (one per day), never over readings.
     """
-    d = daily_env_avg(tables).select("date", "region_name", "reading_type", "avg_value")
+    d = _daily_env_sums(tables).select("date", "region_name", "reading_type", mean_of("s", "nv").alias("avg_value"))
     w = Window.partitionBy("region_name", "reading_type").orderBy("date")
     prev = F.lag("avg_value").over(w)
     return d.select("date", "region_name", "reading_type", "avg_value",
@@ -198,7 +203,7 @@ def trend_analysis(tables: Tables) -> DataFrame:
 
 # -- P12 ---------------------------------------------------------------------
 def anomaly_data(tables: Tables, days: int = 7, region: str | None = None,
-                 anomaly: str | None = None, as_of=None) -> DataFrame:
+                 anomaly: str | None = None, as_of=None, sort: bool = True) -> DataFrame:
     """INVALID readings of the window, classed HIGH / LOW / OUT_OF_RANGE, newest first."""
     r = _readings(tables, "INVALID", days, as_of)
     r = r.select("collected_at", "sensor_id", "reading_type", "numeric_value", "value_unit",
@@ -206,12 +211,12 @@ def anomaly_data(tables: Tables, days: int = 7, region: str | None = None,
     if anomaly is not None:
         r = r.filter(F.col("anomaly_type") == anomaly)
     d = _dim(tables, region)
-    d = bounded(d.select("sensor_id", "region_name"), d._size_bound)
-    out = r.join(small(d), "sensor_id").select(
+    d = d.select("sensor_id", "region_name")
+    out = r.join(d, "sensor_id").select(
         F.col("collected_at").alias("time"), "region_name", "sensor_id", "reading_type",
         F.col("numeric_value").alias("value"), F.col("value_unit").alias("unit"), "anomaly_type",
         F.lit(ANOMALY_THRESHOLD).alias("threshold"))
-    return ordered(out, F.desc("time"), "sensor_id")
+    return ordered(out, F.desc("time"), "sensor_id", sort=sort)
 
 
 # -- W3 ----------------------------------------------------------------------

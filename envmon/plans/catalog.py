@@ -33,15 +33,9 @@ def since_sql(as_of: str, days: int) -> str:
     return f"TIMESTAMP '{d.isoformat()} 00:00:00'"
 
 
-_TABLES: dict = {}
-
-
 def tables(spark: SparkSession, sf_dir: str):
-    """The fixture tables of ``sf_dir``, built once per session (DataFrames are immutable)."""
-    key = (id(spark), sf_dir)
-    if key not in _TABLES:
-        _TABLES[key] = driver_tables(spark, sf_dir)
-    return _TABLES[key]
+    """The fixture tables of ``sf_dir`` (lazy; nothing is kept between calls, so a changed folder is read anew)."""
+    return driver_tables(spark, sf_dir)
 
 
 RA = READINGS_AS_OF

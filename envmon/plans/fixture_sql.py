@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from ..sources import seed
+from ..sources.driver import LINE_COLUMNS
 
 PROJECTIONS: dict[str, str] = {
     "regions": """
@@ -18,11 +19,11 @@ SELECT CAST(n_nationkey AS BIGINT) AS region_id, n_name AS region_name,
        CAST(n_nationkey AS BIGINT) AS manager_id
 FROM nation""",
     "sensors": """
-SELECT c_custkey AS sensor_id, CAST(c_nationkey AS BIGINT) AS region_id, c_name AS model,
+SELECT c_custkey AS sensor_id, CAST(c_nationkey % 20 AS BIGINT) AS region_id, c_name AS model,
        CASE c_mktsegment WHEN 'BUILDING' THEN 'TEMPERATURE' WHEN 'MACHINERY' THEN 'HUMIDITY'
                          WHEN 'AUTOMOBILE' THEN 'IMAGE' ELSE 'OTHER' END AS monitor_type,
        CASE WHEN c_acctbal < 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status
-FROM customer WHERE c_nationkey < 20""",
+FROM customer""",
     "raw_readings": """
 SELECT event_id AS reading_id, user_id AS sensor_id, ts AS collected_at,
        CASE event_type WHEN 'view' THEN 'TEMPERATURE' WHEN 'click' THEN 'HUMIDITY'
@@ -48,11 +49,12 @@ FROM orders JOIN customer ON o_custkey = c_custkey""",
 SELECT event_id AS alert_id, CAST(1 + event_id % 7 AS BIGINT) AS rule_id, CAST(c_nationkey AS BIGINT) AS region_id,
        ts AS triggered_at, CASE WHEN event_id % 2 = 0 THEN 'PENDING' ELSE 'CLOSED' END AS status
 FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'error'""",
-    "lines": """
-SELECT l_orderkey * 10 + l_linenumber AS line_id, l_orderkey, MIN(l_partkey) AS partkey, MIN(l_suppkey) AS suppkey,
-       MIN(l_quantity) AS qty, MIN(l_extendedprice) AS price, MIN(l_returnflag) AS rflag,
-       MIN(l_linestatus) AS lstatus, MIN(l_shipdate) AS shipdate
-FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    "lines": f"""
+SELECT (l_orderkey * 10 + l_linenumber) * 1000
+         + ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {", ".join(LINE_COLUMNS)}) AS line_id,
+       l_orderkey, l_partkey AS partkey, l_suppkey AS suppkey, l_quantity AS qty, l_extendedprice AS price,
+       l_returnflag AS rflag, l_linestatus AS lstatus, l_shipdate AS shipdate
+FROM lineitem""",
     "notifications": """
 SELECT line_id AS notification_id, l_orderkey AS alert_id, suppkey AS receiver_id,
        CASE WHEN lstatus = 'O' THEN 'SMS' ELSE 'SYSTEM' END AS channel, shipdate AS sent_at,
@@ -98,10 +100,12 @@ SELECT line_id AS log_id, suppkey AS device_id, shipdate AS collected_at,
        CAST(qty AS INT) AS signal_strength
 FROM lines""",
     "maintenance_records": """
-SELECT o_orderkey AS maintenance_id, CAST(FLOOR(o_custkey / 15) AS BIGINT) AS device_id,
+SELECT o_orderkey AS maintenance_id,
+       CAST(FLOOR(o_custkey / 15) AS BIGINT)
+         + CASE WHEN CAST(FLOOR(o_custkey / 15) AS BIGINT) % 10 = 0 THEN 1 ELSE 0 END AS device_id,
        CASE o_orderstatus WHEN 'P' THEN 'INSPECTION' WHEN 'O' THEN 'REPAIR' ELSE 'REPLACE' END AS maintenance_type,
        o_orderdate AS maintenance_time, o_custkey AS maintainer_id, o_orderpriority AS content
-FROM orders WHERE CAST(FLOOR(o_custkey / 15) AS BIGINT) % 10 <> 0""",
+FROM orders""",
     "report_templates": """
 SELECT CAST(r_regionkey + 1 AS BIGINT) AS template_id, r_name AS template_name,
        CASE r_regionkey % 3 WHEN 0 THEN 'REGION' WHEN 1 THEN 'TIME' ELSE 'TYPE' END AS dimension,
@@ -111,7 +115,7 @@ FROM region""",
     "reports": """
 SELECT o_orderkey AS report_id, CAST(1 + o_orderkey % 4 AS BIGINT) AS template_id,
        CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS period, o_orderdate AS generated_at
-FROM orders WHERE o_orderkey % 50 = 0 OR o_orderkey % 50 = 7""",
+FROM orders""",
     "users": "SELECT c_custkey AS user_id, c_name AS real_name FROM customer",
     "user_roles": """
 SELECT c_custkey AS user_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN CAST(1 AS BIGINT)
@@ -120,8 +124,7 @@ SELECT c_custkey AS user_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN CAST(1 AS
 FROM customer
 UNION ALL SELECT c_custkey, CAST(4 AS BIGINT) FROM customer WHERE c_custkey % 3 = 0 AND c_mktsegment <> 'HOUSEHOLD'""",
     "login_events": """
-SELECT event_id, user_id, ts, event_type = 'view' AS success FROM events
-WHERE event_type IN ('view', 'error', 'click')""",
+SELECT event_id, user_id, ts, event_type IN ('view', 'purchase') AS success FROM events""",
     "roles": seed.values_sql("roles"),
     "permissions": seed.values_sql("permissions"),
     "role_permissions": seed.values_sql("role_permissions"),

@@ -71,4 +71,8 @@ def q_stream_windows(spark, d):
 @register("stream_lockouts", LOCKOUT_SQL)
 def q_stream_lockouts(spark, d):
     t = streams.StreamTables(spark, d)
-    return _run(spark, streams.start_lockouts, t["login_events"])
+    sink, ckpt = new_path(spark, "sink"), new_path(spark, "checkpoint")
+    q = streams.start_lockouts(t["login_events"], sink, ckpt)
+    streams.run_to_end(q)
+    streams.finish_lockouts(spark, sink, ckpt, batches=q.lastProgress["batchId"] + 1)
+    return spark.read.parquet(sink).drop("batch_id")

@@ -9,13 +9,16 @@ reads only the files and columns it uses.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import conform
-from ..session import new_path
 from . import seed
 
+# What tells the rows of one (order, line number) apart, in this order.
+LINE_COLUMNS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+                "l_linestatus", "l_shipdate"]
+
 # Fixed evaluation dates of the fixture data.
 READINGS_AS_OF = "2024-01-31"   # readings, live alerts, logins
 HISTORY_AS_OF = "2001-08-02"    # alerts, notifications, logs, maintenance, changes, reports
@@ -58,9 +61,9 @@ class DriverTables(dict):
     def _t_sensors(self):
         c = self.src("customer")
         seg = c.c_mktsegment
-        return conform(c.filter(c.c_nationkey < 20).select(
+        return conform(c.select(
             c.c_custkey.alias("sensor_id"),
-            c.c_nationkey.cast("bigint").alias("region_id"),
+            (c.c_nationkey % 20).cast("bigint").alias("region_id"),  # regions 20 and up have no sensor
             c.c_name.alias("model"),
             F.when(seg == "BUILDING", "TEMPERATURE").when(seg == "MACHINERY", "HUMIDITY")
              .when(seg == "AUTOMOBILE", "IMAGE").otherwise("OTHER").alias("monitor_type"),
@@ -133,8 +136,7 @@ class DriverTables(dict):
 
     def _t_login_events(self):
         e = self.src("events")
-        return e.filter(e.event_type.isin("view", "error", "click")).select(
-            "event_id", "user_id", "ts", (e.event_type == "view").alias("success"))
+        return e.select("event_id", "user_id", "ts", e.event_type.isin("view", "purchase").alias("success"))
 
     def _t_alerts(self):
         o = self.src("orders")
@@ -150,6 +152,7 @@ class DriverTables(dict):
             "alerts")
 
     def _t_live_alerts(self):
+        """Events of the kind ``error`` are the alerts; the other kinds are readings only."""
         e = self.src("events")
         c = self.src("customer").select("c_custkey", "c_nationkey")
         j = e.filter(e.event_type == "error").join(c, e.user_id == c.c_custkey)
@@ -159,27 +162,16 @@ class DriverTables(dict):
             F.when(j.event_id % 2 == 0, "PENDING").otherwise("CLOSED").alias("status")), "alerts")
 
     def _t_lines(self):
-        """One row per (order, line number); lineitem repeats that pair.
-
-        The two flags are one-character codes, so their minimum is taken over
-        the character code: a fixed-width aggregate buffer keeps the plan on
-        the hash aggregate (a string minimum would force a sort aggregate).
-        """
+        """Every lineitem row with an id of its own; lineitem repeats (order, line number),
+        so the rows of one such pair are numbered over all their columns."""
         li = self.src("lineitem")
-        lines = li.groupBy("l_orderkey", "l_linenumber").agg(
-            F.min("l_partkey").alias("partkey"), F.min("l_suppkey").alias("suppkey"),
-            F.min("l_quantity").alias("qty"), F.min("l_extendedprice").alias("price"),
-            F.min(F.ascii("l_returnflag")).alias("rflag"), F.min(F.ascii("l_linestatus")).alias("lstatus"),
-            F.min("l_shipdate").alias("shipdate"),
-        ).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "l_orderkey",
-                 "partkey", "suppkey", "qty", "price", F.expr("char(rflag)").alias("rflag"),
-                 F.expr("char(lstatus)").alias("lstatus"), "shipdate")
-        # notifications, status logs and resource changes all derive from this table and
-        # would each repeat the aggregation (their column sets differ, so no exchange is
-        # reused): it is written once to the shared folder and read back, like a stored table
-        path = new_path(self.spark, "fixture-lines")
-        lines.write.parquet(path)
-        return self.spark.read.parquet(path)
+        nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[
+            F.col(c).asc_nulls_last() for c in LINE_COLUMNS]))
+        return li.select(
+            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + nth).cast("bigint").alias("line_id"), "l_orderkey",
+            F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), F.col("l_quantity").alias("qty"),
+            F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("rflag"),
+            F.col("l_linestatus").alias("lstatus"), F.col("l_shipdate").alias("shipdate"))
 
     def _t_notifications(self):
         x = self["lines"]
@@ -246,8 +238,9 @@ class DriverTables(dict):
     def _t_maintenance_records(self):
         o = self.src("orders")
         dev = F.floor(o.o_custkey / 15).cast("bigint")
+        dev = F.when(dev % 10 == 0, dev + 1).otherwise(dev)  # devices 0, 10, 20, ... have no record
         st = o.o_orderstatus
-        return conform(o.filter(dev % 10 != 0).select(
+        return conform(o.select(
             o.o_orderkey.alias("maintenance_id"), dev.alias("device_id"),
             F.when(st == "P", "INSPECTION").when(st == "O", "REPAIR").otherwise("REPLACE")
              .alias("maintenance_type"),
@@ -256,7 +249,7 @@ class DriverTables(dict):
 
     def _t_reports(self):
         o = self.src("orders")
-        return conform(o.filter((o.o_orderkey % 50 == 0) | (o.o_orderkey % 50 == 7)).select(
+        return conform(o.select(
             o.o_orderkey.alias("report_id"), (F.lit(1) + o.o_orderkey % 4).cast("bigint").alias("template_id"),
             o.o_orderdate.cast("date").cast("string").alias("period"),
             o.o_orderdate.alias("generated_at")), "reports")

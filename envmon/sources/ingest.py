@@ -8,11 +8,12 @@ tasks are never committed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.quality import validate_readings
 from ..session import cut_lineage
+from .tables import hadoop_path
 
 
 def assign_ids(df: DataFrame, key: str, base: DataFrame | None = None, start: int | None = None,
@@ -40,21 +41,41 @@ def assign_ids(df: DataFrame, key: str, base: DataFrame | None = None, start: in
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
     pos = F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33)
-    out = (numbered.join(F.broadcast(offs), "__pid")
+    out = (numbered.join(offs, "__pid")  # one row per partition of the batch
                    .withColumn(key, (F.lit(int(top)) + F.col("__off") + pos + 1).cast("bigint")))
     return has.unionByName(out.select(*df.columns))
 
 
-def ingest_readings(raw: DataFrame, path: str, base: DataFrame | None = None,
-                    max_records_per_file: int = 5_000_000) -> str:
+HIGH_WATER = "_high_water"  # below the readings folder; readers skip names that begin with an underscore
+
+
+def high_water(spark: SparkSession, path: str) -> int | None:
+    """The largest id handed out so far, as the ingests below ``path`` kept it (None before the first)."""
+    fs, p = hadoop_path(spark, f"{path}/{HIGH_WATER}")
+    return spark.read.parquet(f"{path}/{HIGH_WATER}").agg(F.max("last_id")).first()[0] if fs.exists(p) else None
+
+
+def ingest_readings(raw: DataFrame, path: str, base: DataFrame | None = None, start: int | None = None,
+                    rows_per_file: int = 5_000_000, files_per_day: int = 8) -> str:
     """Validate, key and append a batch of readings under ``path`` (partitioned by day).
 
-    Files are capped at ``max_records_per_file`` rows, so a day holding a large share of
-    a batch is written as several files instead of one huge one.
+    New ids go on from ``start``, else from the mark the last ingest kept, else (the first time)
+    from the largest id of ``base``; the mark is written after the batch, so a failed ingest leaves
+    it alone.  Ingests into one folder run one after the other.  The batch is dealt by day and one of
+    ``files_per_day`` salts: a day gets a few files, and a day that holds most of the batch
+    several writers; a file is split beyond ``rows_per_file`` rows, no row is left out.
     """
+    spark = raw.sparkSession
+    last = high_water(spark, path) if start is None else start - 1
     # a batch handed over as local rows is already stable: no checkpoint needed
-    r = assign_ids(validate_readings(raw), "reading_id", base=base, stable_input=raw.isLocal())
-    (r.withColumn("collected_date", F.to_date("collected_at"))
-      .write.mode("append").option("maxRecordsPerFile", max_records_per_file)
+    r = assign_ids(validate_readings(raw), "reading_id", base=base, start=None if last is None else last + 1,
+                   stable_input=raw.isLocal())
+    r = r.withColumn("collected_date", F.to_date("collected_at"))
+    salt = F.pmod(F.xxhash64("reading_id"), F.lit(files_per_day))
+    (r.repartition("collected_date", salt).write.mode("append").option("maxRecordsPerFile", rows_per_file)
       .partitionBy("collected_date").parquet(path))
+    top = r.agg(F.max("reading_id").alias("last_id"))
+    if last is not None:
+        top = top.select(F.greatest("last_id", F.lit(last)).alias("last_id"))
+    top.coalesce(1).write.mode("append").parquet(f"{path}/{HIGH_WATER}")
     return path

@@ -12,14 +12,14 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import load_tables, save_tables
+from .tables import hadoop_path, load_tables, save_tables
 
 RETENTION_DAYS = 7
 _FMT = "%Y%m%d_%H%M%S"
 
 
 def snapshot(tables: Mapping[str, DataFrame], base: str, at: _dt.datetime | None = None) -> str:
-    """Write every table to a new time-stamped folder; returns its path."""
+    """Write every table (of an opened store: every stored one) to a new time-stamped folder; returns its path."""
     at = at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     path = f"{base.rstrip('/')}/snapshot_ts={at.strftime(_FMT)}"
     save_tables(tables, path, mode="errorifexists")
@@ -32,10 +32,7 @@ def restore(spark: SparkSession, path: str):
 
 
 def list_snapshots(spark: SparkSession, base: str) -> list[tuple[str, _dt.datetime]]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(conf)
+    fs, p = hadoop_path(spark, base)
     if not fs.exists(p):
         return []
     out = []
@@ -54,3 +51,13 @@ def expired_snapshots(spark: SparkSession, base: str, now: _dt.datetime | None =
     """Snapshot folders older than the retention."""
     now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     return [p for p, ts in list_snapshots(spark, base) if ts < now - _dt.timedelta(days=days)]
+
+
+def remove_expired(spark: SparkSession, base: str, now: _dt.datetime | None = None,
+                   days: int = RETENTION_DAYS) -> list[str]:
+    """Delete the snapshot folders older than the retention; returns what was deleted."""
+    gone = expired_snapshots(spark, base, now, days)
+    for path in gone:
+        fs, p = hadoop_path(spark, path)
+        fs.delete(p, True)
+    return gone

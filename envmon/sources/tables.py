@@ -17,6 +17,12 @@ from ..schemas import SCHEMAS, conform, struct_type
 TABLE_NAMES = [t for t in SCHEMAS if t not in ("raw_readings", "live_alerts")]
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of any path Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 class Store(dict):
     """Lazy mapping table name -> DataFrame over one storage location."""
 
@@ -31,6 +37,38 @@ class Store(dict):
     def __contains__(self, name) -> bool:
         return dict.__contains__(self, name) or name in SCHEMAS
 
+    def stored(self) -> list[str]:
+        """The tables present in storage, in declaration order (names only reach the driver)."""
+        if self.fmt == "jdbc":
+            return [t for t in TABLE_NAMES if self._readable(t)]
+        fs, root = hadoop_path(self.spark, self.path)
+        there = {s.getPath().getName() for s in fs.listStatus(root)} if fs.exists(root) else set()
+        return [t for t in TABLE_NAMES if t in there]
+
+    def _readable(self, name: str) -> bool:
+        try:
+            self.spark.read.format("jdbc").options(**self.options).option("dbtable", name).load()
+        except Exception as e:  # the driver's own "no such table", whatever its class
+            if "exist" in str(e).lower() or "not found" in str(e).lower():
+                return False
+            raise
+        return True
+
+    def __iter__(self):
+        return iter(dict.fromkeys([*dict.keys(self), *self.stored()]))
+
+    def __len__(self) -> int:
+        return len(list(iter(self)))
+
+    def keys(self):
+        return list(iter(self))
+
+    def items(self):
+        return [(t, self[t]) for t in self]
+
+    def values(self):
+        return [self[t] for t in self]
+
     def __missing__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise KeyError(name)
@@ -44,8 +82,8 @@ class Store(dict):
             df = conform(r.load(), name)
         else:
             r = self.spark.read.format(self.fmt).options(**self.options)
-            if self.fmt in ("csv", "json"):
-                r = r.schema(struct_type(name))
+            # the declared schema: nothing is inferred, a column of another type is an error where it is read
+            r = r.schema(struct_type(name))
             if self.fmt == "csv":
                 r = r.option("header", "true")
             df = conform(r.load(f"{self.path}/{name}"), name)
@@ -68,7 +106,10 @@ def save_tables(tables: Mapping[str, DataFrame], path: str, names: Iterable[str]
                 fmt: str = "parquet", mode: str = "errorifexists",
                 partition_by: Mapping[str, list[str]] | None = None) -> str:
     """Write tables as sub-folders of ``path`` (one job per table)."""
-    for name in names or list(tables):
+    chosen = list(names) if names is not None else list(tables)
+    if not chosen:
+        raise ValueError("there is no table to write")
+    for name in chosen:
         w = tables[name].write.mode(mode).format(fmt)
         if fmt == "csv":
             w = w.option("header", "true")  # the store reads csv with a header line

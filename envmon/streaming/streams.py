@@ -4,13 +4,13 @@ The source polls a five-minute look-back with a stored procedure and
 nothing schedules it.  Here the same rules run on unbounded inputs:
 
 * S-1 readings -> validity -> parquet sink partitioned by day;
-* S-2 readings -> watermark (5 minutes of lateness) -> duplicates of a
+* S-2 readings -> watermark (5 minutes of lateness) -> readings that alert -> repeats of a
   reading dropped within the watermark -> stream-static joins with the
   rule map and sensors -> alerts; plus tumbling 5-minute counts per region
   and alert type;
-* S-3 login attempts -> per-user state (failures, lock end) with
-  ``applyInPandasWithState``; only users with pending failures or a lock
-  keep state, and a lock's state times out on event time after it ended.
+* S-3 login attempts -> held back until the watermark passes -> replayed in time order with
+  the batch operator from the state carried over; attempts that come after their time was
+  replayed go to an output of their own.
 
 Event-time columns must be TIMESTAMP (with zone), so zone-less times are
 cast under the session zone (UTC) into ``event_time``.
@@ -19,39 +19,42 @@ cast under the session zone (UTC) into ``event_time``.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.access import LOCK_SECONDS, MAX_FAILURES, LoginState
-from ..operators.alerts import alerts_from_readings
+from ..operators.access import LOCKOUT_SCHEMA, login_lockouts
+from ..operators.alerts import alerts_from_readings, raises_alert
 from ..operators.quality import validate_readings
 from ..sources.driver import DriverTables
+from ..sources.tables import hadoop_path
 
 LATENESS = "5 minutes"
 
 
 class StreamTables(DriverTables):
-    """Driver table projections where the fact file ``events`` is read as a stream.
+    """Driver table projections where the fact table ``events`` is read as a stream.
 
-    The file source lists the folder and picks up new files; ``maxFilesPerTrigger``
-    bounds each micro-batch.  Dimension tables stay static (stream-static joins).
+    The source is the table's own path, a file or a folder of part files.  How much a micro-batch
+    takes is the caller's choice (``options`` of the file source); by default it takes what is there.
+    Dimension tables stay static (stream-static joins).
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1):
+    def __init__(self, spark: SparkSession, sf_dir: str, options: Mapping[str, str] | None = None):
         super().__init__(spark, sf_dir)
-        self.max_files = max_files_per_trigger
+        self.options = dict(options or {})
 
     def src(self, name: str) -> DataFrame:
         if name != "events":
             return super().src(name)
-        schema = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
-        return (self.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-                .option("maxFilesPerTrigger", self.max_files).parquet(self.sf_dir))
+        path = f"{self.sf_dir}/events.parquet"
+        fs, p = hadoop_path(self.spark, path)
+        r = self.spark.readStream.schema(self.spark.read.parquet(path).schema).options(**self.options)
+        if fs.getFileStatus(p).isFile():  # the file source takes folders only: this one's, and that one name
+            return r.option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
+        return r.parquet(path)
 
 
 # -- S-1 ---------------------------------------------------------------------
@@ -70,9 +73,10 @@ def start_validation(raw: DataFrame, sink: str, checkpoint: str, available_now:
 # -- S-2 ---------------------------------------------------------------------
 def alert_stream(readings: DataFrame, tables: Mapping[str, DataFrame], lateness: str = LATENESS) -> DataFrame:
     """Alerts of a readings stream; repeats of a reading within the watermark are dropped."""
-    r = (readings.withColumn("event_time", F.col("collected_at").cast("timestamp"))
-         .withWatermark("event_time", lateness)
-         .dropDuplicatesWithinWatermark(["reading_id"]))
+    r = readings.withColumn("event_time", F.col("collected_at").cast("timestamp")).withWatermark("event_time", lateness)
+    # few readings alert: only those enter the duplicate filter.  The condition names the event time,
+    # so that it stays above the watermark, which has to see every reading.
+    r = r.filter(F.when(F.col("event_time").isNotNull(), raises_alert())).dropDuplicatesWithinWatermark(["reading_id"])
     return alerts_from_readings(r, tables, keep=("event_time", "alert_type"))
 
 
@@ -106,78 +110,91 @@ def start_alerts(readings: DataFrame, tables: Mapping[str, DataFrame], sink: str
 
 
 # -- S-3 ---------------------------------------------------------------------
-LOCKOUT_OUT = ("event_id BIGINT, user_id BIGINT, ts TIMESTAMP_NTZ, success BOOLEAN, outcome STRING, "
-               "failed_attempts INT, locked_until TIMESTAMP_NTZ")
-LOCKOUT_STATE = "failures INT, locked_until TIMESTAMP_NTZ"
-STATE_MARGIN_MS = 24 * 3600 * 1000  # lock state is dropped a day after the lock ended
-LOGIN_LATENESS = "1 hour"           # attempts later than this behind the newest are dropped
-
-
-def _lockout_fn(max_failures: int, lock_seconds: int):
-    lock = _dt.timedelta(seconds=lock_seconds)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # a lock ended long ago: same as the initial state
-            state.remove()
-            return
-        if state.exists:
-            f, until = state.get
-            st = LoginState(int(f), None if pd.isna(until) else pd.Timestamp(until))
-        else:
-            st = LoginState()
-        # rows of this user in this micro-batch (bounded by the trigger size), in time order
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        out, fails, until_l = [], [], []
-        for ts, ok in zip(pd.to_datetime(batch["ts"]).tolist(), batch["success"].tolist()):
-            out.append(st.step(ts, bool(ok), max_failures, lock))
-            fails.append(st.failures)
-            until_l.append(st.locked_until)
-        if st.failures == 0 and st.locked_until is None:
-            state.remove()  # same as the initial state: keep nothing
+LOGIN_LATENESS_S = 3600  # attempts are held back this long behind the newest one
+
+
+class _Replay:
+    """State of the lockout stream, one folder per micro-batch below the checkpoint.
+
+    A batch reads its predecessor's folder and writes its own, outputs included, in
+    overwrite mode: a batch that runs again gives the same files.  Kept are the
+    attempts the watermark has not passed and, per user, failures in a row and a lock that
+    has not ended; a user without either is fresh and needs no row.
+    """
+
+    def __init__(self, spark: SparkSession, sink: str, late: str, state: str, lateness_s: int):
+        self.spark, self.sink, self.late, self.state, self.lateness_s = spark, sink, late, state, lateness_s
+
+    def _before(self, batch: int):
+        """(pending attempts, carried state, newest time) after the batch before; None at the start."""
+        if batch <= 0:
+            return None
+        at = f"{self.state}/{batch - 1}"
+        newest = self.spark.read.parquet(f"{at}/newest").first()["newest"]  # one row
+        return self.spark.read.parquet(f"{at}/pending"), self.spark.read.parquet(f"{at}/users"), newest
+
+    def step(self, attempts: DataFrame, batch: int, last: bool = False) -> None:
+        new = attempts.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                              F.col("success").cast("boolean").alias("success"))
+        before = self._before(batch)
+        newest = new.agg(F.max("ts").alias("ts")).first()["ts"]
+        pending, users, mark = new, None, None
+        if before is not None:
+            users, was = before[1], before[2]
+            newest = max(x for x in (newest, was, _dt.datetime.min) if x is not None)
+            if was is not None:
+                mark = was - _dt.timedelta(seconds=self.lateness_s)
+                on_time = F.col("ts") >= F.lit(mark)
+                new.filter(~on_time).write.mode("overwrite").parquet(f"{self.late}/batch_id={batch}")
+                new = new.filter(on_time)
+            pending = before[0].unionByName(new)
+        if newest is None:
+            ready, rest = pending, pending.limit(0)
         else:
-            state.update((st.failures, st.locked_until.to_pydatetime() if st.locked_until is not None else None))
-            if st.locked_until is not None:
-                # drop the lock state once event time is well past its end (a day of margin
-                # covers any session time zone offset; removing an expired lock changes nothing)
-                end_ms = int(pd.Timestamp(st.locked_until).timestamp() * 1000) + STATE_MARGIN_MS
-                state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            "event_id": batch["event_id"].to_numpy(), "user_id": batch["user_id"].to_numpy(),
-            "ts": batch["ts"].to_numpy(), "success": batch["success"].astype(bool).to_numpy(), "outcome": out,
-            "failed_attempts": pd.Series(fails, dtype="int32"),
-            "locked_until": pd.Series(pd.to_datetime(until_l), dtype="datetime64[ns]"),
-        })
-    return fn
-
-
-def lockout_stream(events: DataFrame, max_failures: int = MAX_FAILURES,
-                   lock_seconds: int = LOCK_SECONDS, lateness: str = LOGIN_LATENESS) -> DataFrame:
-    """Outcome of every login attempt of a stream, with the counter kept in state per user.
-
-    State exists only for users with pending failures or a lock; a lock's state times out
-    on event time after the lock ended.  Attempts later than the watermark are dropped.
+            passed = F.col("ts") < F.lit(newest - _dt.timedelta(seconds=self.lateness_s))
+            ready, rest = (pending, pending.limit(0)) if last else (pending.filter(passed), pending.filter(~passed))
+        out_path = f"{self.sink}/batch_id={batch}"
+        login_lockouts(ready, carried=users).write.mode("overwrite").parquet(out_path)
+        out = self.spark.read.schema(LOCKOUT_SCHEMA).parquet(out_path)
+        end = F.struct("ts", "event_id")
+        now = out.groupBy("user_id").agg(F.max_by("failed_attempts", end).alias("failures"),
+                                         F.max_by("locked_until", end).alias("locked_until"))
+        if users is not None:
+            now = now.unionByName(users.join(now.select("user_id"), "user_id", "left_anti"))
+        if newest is not None:
+            over = F.col("locked_until") <= F.lit(newest - _dt.timedelta(seconds=self.lateness_s))
+            now = now.filter(F.coalesce(~over, F.col("failures") > 0))
+        at = f"{self.state}/{batch}"
+        now.write.mode("overwrite").parquet(f"{at}/users")
+        rest.write.mode("overwrite").parquet(f"{at}/pending")
+        self.spark.createDataFrame([(newest,)], "newest TIMESTAMP_NTZ").write.mode("overwrite").parquet(f"{at}/newest")
+
+
+def start_lockouts(events: DataFrame, sink: str, checkpoint: str, late: str | None = None, available_now: bool = True,
+                   lateness_s: int = LOGIN_LATENESS_S) -> StreamingQuery:
+    """Outcome of every login attempt of a stream, below ``sink``, one folder per micro-batch.
+
+    An attempt waits until the newest one is ``lateness_s`` past it, so that attempts are replayed in
+    time order whatever order they come in; one that comes later than that goes to ``late``
+    (default: ``<sink>-late``) with no outcome.  :func:`finish_lockouts` replays what still waits
+    when the input has ended.
     """
-    e = events.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
-                      F.col("success").cast("boolean").alias("success"),
-                      F.col("ts").cast("timestamp").alias("event_time"))
-    e = e.withWatermark("event_time", lateness)
-    return e.groupBy("user_id").applyInPandasWithState(
-        _lockout_fn(max_failures, lock_seconds), LOCKOUT_OUT, LOCKOUT_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
-
-
-def start_lockouts(events: DataFrame, sink: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    w = (lockout_stream(events).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint))
+    r = _Replay(events.sparkSession, sink, late or f"{sink}-late", f"{checkpoint}/lockouts", lateness_s)
+    w = events.writeStream.foreachBatch(r.step).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start(sink)
+    return w.start()
+
+
+def finish_lockouts(spark: SparkSession, sink: str, checkpoint: str, batches: int,
+                    lateness_s: int = LOGIN_LATENESS_S) -> None:
+    """Replay the attempts that still wait after ``batches`` micro-batches of an ended input."""
+    r = _Replay(spark, sink, f"{sink}-late", f"{checkpoint}/lockouts", lateness_s)
+    pending = spark.read.parquet(f"{checkpoint}/lockouts/{batches - 1}/pending")
+    r.step(pending.limit(0), batches, last=True)
 
 
-def run_to_end(q: StreamingQuery, timeout_s: int = 600) -> None:
-    """Wait for an available-now query to finish; raise its error if it failed."""
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish in time")
+def run_to_end(q: StreamingQuery) -> None:
+    """Wait for an available-now query, which ends by itself; raise its error if it failed."""
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

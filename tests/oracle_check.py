@@ -80,7 +80,7 @@ def main(argv):
     import __spark_entry__ as E
     conf = {}
     if os.environ.get("NO_BROADCAST"):  # run the large-table paths: no hinted or automatic broadcasts
-        conf = {"spark.envmon.broadcastLimitBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
                 "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
     if os.environ.get("PLAIN_SESSION"):  # the driver's own session: defaults, another time zone
         from pyspark.sql import SparkSession

@@ -40,7 +40,7 @@ def main(argv):
     import __spark_entry__ as E
     conf = {"spark.ui.enabled": "false"}
     if os.environ.get("NO_BROADCAST"):  # the large-table plans: no size-based broadcasts
-        conf.update({"spark.envmon.broadcastLimitBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        conf.update({"spark.sql.autoBroadcastJoinThreshold": "-1",
                      "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
     spark = get_session("local[8]", shuffle_partitions=8, conf=conf)
     spark.sparkContext.setLogLevel("ERROR")

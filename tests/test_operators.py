@@ -319,12 +319,10 @@ def test_large_table_path_equals_broadcast_path(spark, mini, op):
             df = getattr(stats, op)(mini, days=30, as_of=AS_OF)
         return sorted(tuple(r) for r in df.collect())
     small_path = run()
-    spark.conf.set("spark.envmon.broadcastLimitBytes", "0")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         big_path = run()
     finally:
-        spark.conf.unset("spark.envmon.broadcastLimitBytes")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
     assert small_path == big_path and small_path
 
@@ -348,14 +346,10 @@ def test_name_equality_collation(mini):
     assert enrich.sensors_by_region_name(mini, "nörth FOREST", collation=CI_AI).count() == 3
 
 
-def test_presentation_order_can_be_switched_off(spark, mini):
+def test_a_listing_can_be_left_unsorted(spark, mini):
     sorted_plan = filters.list_sensors(mini)._jdf.queryExecution().optimizedPlan().toString()
-    spark.conf.set("spark.envmon.presentationOrder", "false")
-    try:
-        bulk = filters.list_sensors(mini)
-        plan = bulk._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        spark.conf.unset("spark.envmon.presentationOrder")
+    bulk = filters.list_sensors(mini, sort=False)
+    plan = bulk._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort" in sorted_plan and "Sort" not in plan
     assert sorted(r["sensor_id"] for r in bulk.collect()) == [10, 11, 12, 13, 14]
 

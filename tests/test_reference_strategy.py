@@ -41,7 +41,7 @@ def test_cascade_every_parent(mini, spark, parent):
         pytest.skip("table not in the mini set")
     pk = PRIMARY_KEYS[parent][0]
     keys = mini[parent].select(pk).dropDuplicates().limit(1)  # delete one parent row
-    rem, counts = lifecycle.cascade_delete(mini, parent, keys, persist=False)
+    rem, counts = lifecycle.cascade_delete(mini, parent, keys)
     assert dict((r["table_name"], r["removed"]) for r in counts.collect())[parent] == 1
     # no remaining child row refers to a removed parent
     for child, fk, pkey in CASCADE[parent]:
@@ -116,7 +116,114 @@ def test_stream_lock_state_times_out(spark, tmp_dir):
     sink, ckpt = new_path(spark, "sink"), new_path(spark, "ckpt")
     q = streams.start_lockouts(ev, sink, ckpt)
     streams.run_to_end(q)
+    n = q.lastProgress["batchId"] + 1
+    # only user 8 (pending failure) is carried on: the lock of user 7 has ended
+    assert [(r.user_id, r.failures) for r in spark.read.parquet(f"{ckpt}/lockouts/{n - 1}/users").collect()] == [(8, 1)]
+    assert [r.event_id for r in spark.read.parquet(f"{ckpt}/lockouts/{n - 1}/pending").collect()] == [20]
+    streams.finish_lockouts(spark, sink, ckpt, n)
     out = {r["event_id"]: r["outcome"] for r in spark.read.parquet(sink).collect()}
     assert out[4] == "LOCKED" and out[20] == "SUCCESS"
-    kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
-    assert kept == 1  # only user 8 (pending failure); the ended lock of user 7 was dropped
+
+
+def _shuffled_events(spark, folder, files):
+    from pyspark.sql import functions as F
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for i in range(files):  # mixed times in every file
+        src.where(F.pmod(F.xxhash64("event_id"), F.lit(files)) == i).coalesce(1).write.mode("append").parquet(
+            f"{folder}/events.parquet")
+        time.sleep(0.02)
+    for t in ("customer", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+
+
+@pytest.mark.parametrize("options", [{}, {"maxFilesPerTrigger": "1"}])
+def test_stream_lockouts_lose_no_attempt(spark, tmp_dir, options):
+    from envmon.operators.access import login_lockouts
+    _shuffled_events(spark, tmp_dir, 5)
+    t = streams.StreamTables(spark, tmp_dir, options)
+    sink, ckpt = new_path(spark, "sink"), new_path(spark, "ckpt")
+    q = streams.start_lockouts(t["login_events"], sink, ckpt)
+    streams.run_to_end(q)
+    streams.finish_lockouts(spark, sink, ckpt, q.lastProgress["batchId"] + 1)
+    out = {r.event_id: (r.outcome, r.failed_attempts) for r in spark.read.parquet(sink).collect()}
+    late = set()
+    if options:
+        late = {r.event_id for r in spark.read.parquet(f"{sink}-late").collect()}
+        assert late
+    from envmon.sources.driver import driver_tables
+    every = driver_tables(spark, "/root/testdata/sf0.001")["login_events"]
+    assert not late & set(out) and late | set(out) == {r.event_id for r in every.collect()}
+    on_time = every.where(~every.event_id.isin(list(late)))
+    assert out == {r.event_id: (r.outcome, r.failed_attempts) for r in login_lockouts(on_time).collect()}
+
+
+def test_stream_reads_a_folder_of_part_files(spark, tmp_dir):
+    _shuffled_events(spark, tmp_dir, 8)
+    t = streams.StreamTables(spark, tmp_dir)
+    sink, ckpt = new_path(spark, "sink"), new_path(spark, "ckpt")
+    streams.run_to_end(streams.start_validation(t["raw_readings"], sink, ckpt))
+    assert spark.read.parquet(sink).count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_snapshot_of_an_opened_store(spark, mini, tmp_dir):
+    from envmon.sources import snapshot as S
+    from envmon.sources.tables import load_tables, save_tables
+    save_tables({t: mini[t] for t in ("regions", "sensors", "alerts")}, f"{tmp_dir}/store")
+    store = load_tables(spark, f"{tmp_dir}/store")
+    assert list(store) == ["regions", "sensors", "alerts"] and len(store) == 3
+    old = S.snapshot(store, f"{tmp_dir}/copies", dt.datetime(2024, 1, 1))
+    new = S.snapshot(load_tables(spark, f"{tmp_dir}/store"), f"{tmp_dir}/copies", dt.datetime(2024, 1, 20))
+    back = S.restore(spark, new)
+    for t in store:
+        assert sorted(map(str, back[t].collect())) == sorted(map(str, store[t].collect()))
+    gone = S.remove_expired(spark, f"{tmp_dir}/copies", dt.datetime(2024, 1, 21))
+    assert len(gone) == 1 and gone[0].endswith(old.rsplit("/", 1)[1])
+    assert [p.endswith("20240120_000000") for p, _ in S.list_snapshots(spark, f"{tmp_dir}/copies")] == [True]
+    with pytest.raises(ValueError):
+        S.snapshot(load_tables(spark, f"{tmp_dir}/nothing"), f"{tmp_dir}/copies")
+
+
+def test_constraints_of_an_opened_store_and_keys_with_commas(spark, mini, tmp_dir):
+    from envmon.sources.tables import load_tables, save_tables
+    twice = mini["regions"].unionByName(mini["regions"].limit(1))
+    save_tables({"regions": twice}, f"{tmp_dir}/store")
+    found = lifecycle.constraint_violations(load_tables(spark, f"{tmp_dir}/store")).collect()
+    assert {(r.kind, r.n) for r in found if r.constraint_name == "(region_id)"} == {("DUPLICATE_KEY", 2)}
+    p = spark.createDataFrame([(1, "x", "a,b", "c"), (2, "y", "a", "b,c")],
+                              "permission_id BIGINT, permission_name STRING, resource STRING, action STRING")
+    assert lifecycle.constraint_violations({"permissions": p}).count() == 0
+
+
+def test_trend_over_two_units_is_one_row_per_day(spark, mini):
+    from envmon.operators import stats
+    rows = [(1, 10, dt.datetime(2024, 1, 1, 8), "TEMPERATURE", 10.0, "C", "VALID"),
+            (2, 10, dt.datetime(2024, 1, 1, 9), "TEMPERATURE", 50.0, "F", "VALID"),
+            (3, 10, dt.datetime(2024, 1, 2, 9), "TEMPERATURE", 20.0, "C", "VALID")]
+    r = spark.createDataFrame(rows, "reading_id BIGINT, sensor_id BIGINT, collected_at TIMESTAMP_NTZ, reading_type STRING, "
+                                    "numeric_value DOUBLE, value_unit STRING, data_status STRING")
+    r = r.withColumn("numeric_value", r.numeric_value.cast("decimal(10,2)"))
+    got = stats.trend_analysis({**mini, "sensor_readings": r}).collect()
+    assert sorted((str(x.date), x.avg_value, x.change_value) for x in got) == [
+        ("2024-01-01", 30.0, None), ("2024-01-02", 20.0, -10.0)]
+
+
+def test_report_of_one_template(mini):
+    from envmon.operators import reports
+    every = reports.generate_reports(mini, as_of="2024-02-01")
+    some = {r.template_id for r in every.collect()}
+    one = min(some)
+    got = reports.generate_reports(mini, as_of="2024-02-01", template_id=one)
+    assert {r.template_id for r in got.collect()} == {one}
+    assert got.count() == every.where(every.template_id == one).count()
+    assert reports.generate_reports(mini, as_of="2024-02-01", template_id=999).count() == 0
+
+
+def test_ingest_goes_on_from_the_kept_mark(spark, tmp_dir):
+    from envmon.sources import ingest
+    ddl = "reading_id BIGINT, sensor_id BIGINT, collected_at TIMESTAMP_NTZ, reading_type STRING, numeric_value DECIMAL(10,2)"
+    batch = [(None, 1, dt.datetime(2024, 1, 1 + i), "TEMPERATURE", None) for i in range(3)]
+    base = spark.createDataFrame([(41,)], "reading_id BIGINT")
+    for _ in range(2):
+        ingest.ingest_readings(spark.createDataFrame(batch, ddl), f"{tmp_dir}/r", base=base)
+    assert sorted(r.reading_id for r in spark.read.parquet(f"{tmp_dir}/r").collect()) == [42, 43, 44, 45, 46, 47]
+    assert ingest.high_water(spark, f"{tmp_dir}/r") == 47
