@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 
-from ..sources import seed
 from ..sources.driver import LINE_COLUMNS
 
 PROJECTIONS: dict[str, str] = {
@@ -38,7 +37,17 @@ SELECT *, CASE
          WHEN reading_type = 'HUMIDITY' AND (numeric_value < 0 OR numeric_value > 100) THEN 'INVALID'
          ELSE 'VALID' END AS data_status
 FROM raw_readings""",
-    "alert_rules": seed.values_sql("alert_rules"),
+    "alert_rules": """
+SELECT CAST(n_nationkey + 1 AS BIGINT) AS rule_id,
+       CASE n_regionkey % 4 WHEN 0 THEN 'FIRE' WHEN 1 THEN 'DROUGHT' WHEN 2 THEN 'PEST' ELSE 'OTHER' END AS alert_type,
+       CASE n_nationkey % 3
+            WHEN 0 THEN concat('temperature > ', n_nationkey % 10 + 25, ' AND humidity < ', n_nationkey % 7 + 20)
+            WHEN 1 THEN concat('humidity < ', n_nationkey % 7 + 20)
+            ELSE 'other_sensor = "pest_detected"' END AS condition_expr,
+       CASE n_nationkey % 4 WHEN 0 THEN 'SEVERE' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'GENERAL'
+            ELSE 'CRITICAL' END AS severity_level,
+       n_nationkey % 5 <> 2 AS is_active
+FROM nation""",
     "alerts": """
 SELECT o_orderkey AS alert_id, CAST(1 + o_orderkey % 6 AS BIGINT) AS rule_id, CAST(c_nationkey AS BIGINT) AS region_id,
        o_orderdate AS triggered_at, o_orderpriority AS content,
@@ -125,9 +134,15 @@ FROM customer
 UNION ALL SELECT c_custkey, CAST(4 AS BIGINT) FROM customer WHERE c_custkey % 3 = 0 AND c_mktsegment <> 'HOUSEHOLD'""",
     "login_events": """
 SELECT event_id, user_id, ts, event_type IN ('view', 'purchase') AS success FROM events""",
-    "roles": seed.values_sql("roles"),
-    "permissions": seed.values_sql("permissions"),
-    "role_permissions": seed.values_sql("role_permissions"),
+    "roles": "SELECT CAST(r_regionkey + 1 AS BIGINT) AS role_id, r_name AS role_name FROM region",
+    "permissions": """
+SELECT CAST(n_nationkey + 1 AS BIGINT) AS permission_id, n_name AS permission_name,
+       ['alerts', 'reports', 'sensors', 'regions', 'devices'][n_nationkey % 5 + 1] AS resource,
+       ['manage', 'view', 'create', 'update', 'delete'][n_nationkey // 5 + 1] AS action
+FROM nation""",
+    "role_permissions": """
+SELECT CAST(n_regionkey + 1 AS BIGINT) AS role_id, CAST(n_nationkey + 1 AS BIGINT) AS permission_id FROM nation
+UNION SELECT CAST(n_nationkey * 2 % 5 + 1 AS BIGINT), CAST(n_nationkey + 1 AS BIGINT) FROM nation""",
 }
 
 # Order in which projections may refer to earlier ones.

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import enrich, filters
+from ..session import new_path
+from ..sources import snapshot
+from ..sources.tables import load_tables, save_tables
 from .catalog import register, tables
 
 
@@ -26,9 +29,9 @@ def q_list_sensors(spark, d):
 
 @register("list_alert_rules", """
 SELECT rule_id, alert_type, condition_expr, severity_level, is_active FROM alert_rules
-WHERE is_active = TRUE AND rule_id IN (SELECT rule_id FROM alerts)""")
+WHERE is_active""")
 def q_list_rules(spark, d):
-    return filters.list_alert_rules(tables(spark, d), is_active=True, in_use=True).select(
+    return filters.list_alert_rules(tables(spark, d), is_active=True).select(
         "rule_id", "alert_type", "condition_expr", "severity_level", "is_active")
 
 
@@ -62,9 +65,9 @@ def q_list_reports(spark, d):
         "report_id", "template_id", "period", "generated_at")
 
 
-@register("list_roles", "SELECT role_id, role_name FROM roles WHERE role_id IN (SELECT role_id FROM user_roles)")
+@register("list_roles", "SELECT role_id, role_name FROM roles")
 def q_list_roles(spark, d):
-    return filters.list_roles(tables(spark, d), in_use=True).select("role_id", "role_name")
+    return filters.list_roles(tables(spark, d)).select("role_id", "role_name")
 
 
 # Lookup: the sensors named by readings (found) and reading sensor ids with no sensor row (missing).
@@ -110,10 +113,13 @@ def q_logs_device(spark, d):
     return filters.status_logs_of_device(t, ids)
 
 
-@register("region_sensors", """
+REGION_SENSORS = """
 SELECT region_id, region_name, region_type, sensor_id, model, monitor_type, CAST(NULL AS TIMESTAMP) AS install_time,
        status AS sensor_status
-FROM sensors RIGHT JOIN regions USING (region_id)""")
+FROM sensors RIGHT JOIN regions USING (region_id)"""
+
+
+@register("region_sensors", REGION_SENSORS)
 def q_region_sensors(spark, d):
     return enrich.region_sensors(tables(spark, d))
 
@@ -180,3 +186,21 @@ JOIN devices d ON e.device_id = d.device_id
 LEFT JOIN users u ON e.maintainer_id = u.user_id""")
 def q_timeline(spark, d):
     return enrich.device_timeline(tables(spark, d))
+
+
+# The tables written as a store, opened with their declared types, and read through an operator.
+@register("load_tables", REGION_SENSORS)
+def q_load_tables(spark, d):
+    t = tables(spark, d)
+    store = save_tables({n: t[n] for n in ("regions", "sensors")}, new_path(spark, "store"), fmt="csv")
+    return enrich.region_sensors(load_tables(spark, store, fmt="csv"))
+
+
+# A copy of every stored table, restored.
+@register("snapshot_restore", "SELECT alert_id, rule_id, region_id, triggered_at, content, status, handler_id FROM alerts")
+def q_snapshot(spark, d):
+    t = tables(spark, d)
+    store = save_tables({n: t[n] for n in ("regions", "alerts")}, new_path(spark, "store"))
+    copy = snapshot.snapshot(load_tables(spark, store), new_path(spark, "copies"))
+    return snapshot.restore(spark, copy)["alerts"].select(
+        "alert_id", "rule_id", "region_id", "triggered_at", "content", "status", "handler_id")

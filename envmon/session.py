@@ -57,8 +57,9 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can reach: below ``spark.checkpoint.dir``.
 
     On a cluster that setting names the shared file system folder and is
-    read as it is.  Only when it is unset (local runs and tests) a folder of
-    our own is chosen and registered.
+    read as it is.  Only when it is unset on a local master a folder of our own
+    is chosen and registered; on a cluster a machine-local folder would lose
+    rows, so that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -68,6 +69,8 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     if not base and sc is not None:
         base = sc.getCheckpointDir()
     if not base:
+        if sc is None or not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), f"envmon-ckpt-{uuid.uuid4().hex[:8]}")
         spark.conf.set("spark.checkpoint.dir", base)
     if sc is not None and sc.getCheckpointDir() is None:

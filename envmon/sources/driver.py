@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import conform
-from . import seed
 
 # What tells the rows of one (order, line number) apart, in this order.
 LINE_COLUMNS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
@@ -70,7 +69,19 @@ class DriverTables(dict):
             F.when(c.c_acctbal < 0, "INACTIVE").otherwise("ACTIVE").alias("status")), "sensors")
 
     def _t_alert_rules(self):
-        return seed.alert_rules(self.spark)
+        """One rule per nation; every third text names something no reading measures."""
+        n = self.src("nation")
+        k = n.n_nationkey
+        wet = F.concat(F.lit("humidity < "), (k % 7 + 20).cast("string"))
+        return conform(n.select(
+            (k + 1).cast("bigint").alias("rule_id"),
+            F.when(n.n_regionkey % 4 == 0, "FIRE").when(n.n_regionkey % 4 == 1, "DROUGHT")
+             .when(n.n_regionkey % 4 == 2, "PEST").otherwise("OTHER").alias("alert_type"),
+            F.when(k % 3 == 0, F.concat(F.lit("temperature > "), (k % 10 + 25).cast("string"), F.lit(" AND "), wet))
+             .when(k % 3 == 1, wet).otherwise('other_sensor = "pest_detected"').alias("condition_expr"),
+            F.when(k % 4 == 0, "SEVERE").when(k % 4 == 1, "MODERATE").when(k % 4 == 2, "GENERAL")
+             .otherwise("CRITICAL").alias("severity_level"),
+            (k % 5 != 2).alias("is_active")), "alert_rules")
 
     def _t_devices(self):
         s = self.src("supplier")
@@ -97,13 +108,22 @@ class DriverTables(dict):
         return conform(c.select(c.c_custkey.alias("user_id"), c.c_name.alias("real_name")), "users")
 
     def _t_roles(self):
-        return seed.roles(self.spark)
+        r = self.src("region")
+        return conform(r.select((r.r_regionkey + 1).cast("bigint").alias("role_id"), r.r_name.alias("role_name")), "roles")
 
     def _t_permissions(self):
-        return seed.permissions(self.spark)
+        n = self.src("nation")
+        pick = lambda k, values: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+        return conform(n.select(
+            (n.n_nationkey + 1).cast("bigint").alias("permission_id"), n.n_name.alias("permission_name"),
+            pick(n.n_nationkey % 5, ["alerts", "reports", "sensors", "regions", "devices"]).alias("resource"),
+            pick(F.floor(n.n_nationkey / 5), ["manage", "view", "create", "update", "delete"]).alias("action")), "permissions")
 
     def _t_role_permissions(self):
-        return seed.role_permissions(self.spark)
+        n = self.src("nation")
+        held = F.array_distinct(F.array((n.n_regionkey + 1).cast("bigint"), (n.n_nationkey * 2 % 5 + 1).cast("bigint")))
+        return conform(n.select(F.explode(held).alias("role_id"),
+                                (n.n_nationkey + 1).cast("bigint").alias("permission_id")), "role_permissions")
 
     def _t_user_roles(self):
         c = self.src("customer")
