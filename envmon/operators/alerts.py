@@ -7,6 +7,7 @@ of landing whole in one join task.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -179,12 +180,15 @@ def measurement_buckets(tables: Tables, minutes: int = 5) -> DataFrame:
         for t in types])
 
 
+RULES_PER_PASS = 100
+
+
 def evaluate_rules(tables: Tables, minutes: int = 5) -> DataFrame:
     """(region, bucket, rule) for every active, evaluable rule that holds in that bucket.
 
-    All rules are evaluated in one pass over the bucket table: each rule is a
-    conditional struct in an array that is exploded, so there is no join of
-    buckets with rules.
+    Each rule is a conditional struct in an array that is exploded, so there is no join of
+    buckets with rules; ``RULES_PER_PASS`` rules share a pass over the bucket table, which
+    keeps each expression of a size the code generator takes.
     """
     rules = tables["alert_rules"].filter(F.col("is_active")).select(
         "rule_id", "alert_type", "severity_level", "condition_expr")
@@ -198,10 +202,13 @@ def evaluate_rules(tables: Tables, minutes: int = 5) -> DataFrame:
         return b.select("region_id", "bucket_start", F.lit(None).cast("bigint").alias("rule_id"),
                         F.lit(None).cast("string").alias("alert_type"),
                         F.lit(None).cast("string").alias("severity_level")).limit(0)
-    hits = F.array(*[
-        F.when(F.coalesce(F.expr(expr), F.lit(False)),
-               F.struct(F.lit(rid).cast("bigint").alias("rule_id"), F.lit(typ).alias("alert_type"),
-                        F.lit(sev).alias("severity_level")))
-        for rid, typ, sev, expr in compiled])
-    out = b.select("region_id", "bucket_start", F.explode(hits).alias("hit")).filter(F.col("hit").isNotNull())
-    return out.select("region_id", "bucket_start", "hit.rule_id", "hit.alert_type", "hit.severity_level")
+    parts = []
+    for at in range(0, len(compiled), RULES_PER_PASS):  # the buckets' exchange is shared by the passes
+        hits = F.array(*[
+            F.when(F.coalesce(F.expr(expr), F.lit(False)),
+                   F.struct(F.lit(rid).cast("bigint").alias("rule_id"), F.lit(typ).alias("alert_type"),
+                            F.lit(sev).alias("severity_level")))
+            for rid, typ, sev, expr in compiled[at:at + RULES_PER_PASS]])
+        out = b.select("region_id", "bucket_start", F.explode(hits).alias("hit")).filter(F.col("hit").isNotNull())
+        parts.append(out.select("region_id", "bucket_start", "hit.rule_id", "hit.alert_type", "hit.severity_level"))
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
