@@ -55,10 +55,14 @@ REPEAT_WEIGHT = 4.0
 _BYTE_HASH = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-def term_frequencies(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """texts x terms, each part (pairs, letters, repeats) as shares; zero rows for empty texts."""
+#: A text is read in parts of this many bytes, whose counts are added up.
+PART = 1 << 20
+
+
+def term_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """texts x (terms, words): how often each pair, letter and repeat occurs."""
     n, size = len(off) - 1, np.diff(off)
-    out = np.zeros((n, N_TERMS), np.float32)
+    out = np.zeros((n, N_TERMS + 1))
     b = data[off[0]:off[-1]]
     if not len(b):
         return out
@@ -66,28 +70,44 @@ def term_frequencies(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     cls = CLASS[b]
     same = owner[1:] == owner[:-1]
     code = (owner[:-1] * N_PAIRS + cls[:-1] * N_CLASSES + cls[1:])[same]
-    pairs = np.bincount(code, minlength=n * N_PAIRS).reshape(n, N_PAIRS)
-    out[:, :N_PAIRS] = pairs / np.maximum(1, pairs.sum(axis=1, keepdims=True))
+    out[:, :N_PAIRS] = np.bincount(code, minlength=n * N_PAIRS).reshape(n, N_PAIRS)
     low = np.where((b >= 65) & (b < 91), b + 32, b)
     letter = (low >= 97) & (low < 123)
-    counts = np.bincount(owner[letter] * 26 + (low[letter] - 97), minlength=n * 26).reshape(n, 26)
-    out[:, N_PAIRS:N_PAIRS + 26] = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+    out[:, N_PAIRS:N_PAIRS + 26] = np.bincount(owner[letter] * 26 + (low[letter] - 97), minlength=n * 26).reshape(n, 26)
     gap = (cls == 5) | (cls == 6)
     begins = ~gap
     begins[1:] &= gap[:-1] | ~same
     first = np.flatnonzero(begins)
     if len(first):
+        # a word's hash is the sum over its bytes of (byte's number) x (odd number of the place in the word)
+        place = np.arange(len(b))
+        place[first[0]:] -= np.repeat(first, np.diff(np.append(first, len(b))))
         with np.errstate(over="ignore"):
-            place = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b)))) if first[0] == 0 else \
-                np.concatenate([np.zeros(first[0], np.int64), np.arange(first[0], len(b))
-                                - np.repeat(first, np.diff(np.append(first, len(b))))])
             h = np.where(gap, np.uint64(0), _BYTE_HASH[b] * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
             word = np.add.reduceat(h, first)
         whose = owner[first]
-        words = np.bincount(whose, minlength=n)
+        out[:, -1] = np.bincount(whose, minlength=n)
         for i, lag in enumerate(LAGS):
             again = (word[lag:] == word[:-lag]) & (whose[lag:] == whose[:-lag])
-            out[:, N_PAIRS + 26 + i] = np.bincount(whose[lag:][again], minlength=n) / np.maximum(1, words)
+            out[:, N_PAIRS + 26 + i] = np.bincount(whose[lag:][again], minlength=n)
+    return out
+
+
+def term_frequencies(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """texts x terms, each part (pairs, letters, repeats) as shares; zero rows for empty texts."""
+    n = len(off) - 1
+    if np.diff(off).max(initial=0) <= PART:
+        counts = term_counts(data, off)
+    else:
+        cut = np.concatenate([*[np.arange(a, b, PART) for a, b in zip(off[:-1], off[1:])], off[-1:]])
+        owner = np.searchsorted(off, cut[:-1], side="right") - 1
+        counts = np.zeros((n, N_TERMS + 1))
+        for i, j in pieces(data, cut, PART):
+            np.add.at(counts, owner[i:j], term_counts(data, cut[i:j + 1]))
+    out = np.zeros((n, N_TERMS), np.float32)
+    for a, b in ((0, N_PAIRS), (N_PAIRS, N_PAIRS + 26)):
+        out[:, a:b] = counts[:, a:b] / np.maximum(1, counts[:, a:b].sum(axis=1, keepdims=True))
+    out[:, N_PAIRS + 26:] = counts[:, N_PAIRS + 26:-1] / np.maximum(1, counts[:, -1:])
     return out
 
 

@@ -111,6 +111,16 @@ def test_term_frequencies():
         assert np.allclose(tf[i], Q.term_frequencies(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0])
 
 
+def test_terms_of_a_long_text_are_added_up(monkeypatch):
+    text = b"Some words and some %% words. " * 3000
+    off = np.array([0, 0, 40, len(text)])
+    data = np.frombuffer(text, np.uint8)
+    whole = Q.term_frequencies(data, off)
+    monkeypatch.setattr(Q, "PART", 10_000)
+    parts = Q.term_frequencies(data, off)
+    assert np.allclose(parts[:2], whole[:2]) and np.abs(parts[2] - whole[2]).max() < 1e-3 and parts[2].any()
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(5, 1), (5, 0), (2, 1), (3, None), (7, 1), (None, 0), (77, 1)], "doc_id long, quality int")
     m = Q.learn(odd_docs, labels)
