@@ -173,35 +173,42 @@ def _readable(keys: Sequence[str]):
 def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Duplicate keys, orphan foreign keys and values outside the allowed lists.
 
-    Every check is a plan of its own on the typed columns:
+    All on typed columns; only what violates a rule is turned into text:
 
-    * duplicates: group by the key columns, keep groups of more than one row;
-    * orphans: the distinct foreign keys with their counts (a fact collapses map-side)
-      anti-joined with the parent's keys;
-    * allowed lists: a filter and a count per value.
+    * duplicates: per key, group by its columns and keep groups of more than one row;
+    * orphans: per parent key, the distinct foreign keys of all its children with their
+      counts (a fact collapses map-side), anti-joined with the parent's keys once;
+    * allowed lists: per table, one pass that emits the values outside their list.
 
-    Only what violates a rule is turned into text.  NULL keys are never duplicates or
-    orphans (as in SQL), NULL values are not checked against lists.  ``columns`` limits
-    the checks to those columns.
+    NULL keys are never duplicates or orphans (as in SQL), NULL values are not checked
+    against lists.  ``columns`` limits the checks to those columns.
     """
     cols = columns or {t: df.columns for t, df in tables.items()}
     checks = constraint_checks({t: c for t, c in cols.items() if t in tables})
-    found = []
+    count, found = F.count(F.lit(1)).alias("n"), []
+    children: dict[tuple[str, str], list[DataFrame]] = {}
+    listed: dict[str, list] = {}
     for c in checks:
         kind, t = c[0], c[1]
-        keys = list(c[2]) if kind.startswith("DUPLICATE") else [c[2]]
-        rows = tables[t].select(*keys).dropna()
-        if kind == "NOT_ALLOWED":
-            rows = rows.filter(~F.col(c[2]).isin(list(c[3])))
-        bad = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        name = c[2]
-        if kind.startswith("DUPLICATE"):
-            bad, name = bad.filter("n > 1"), "(" + ",".join(keys) + ")"
-        elif kind == "ORPHAN":
-            bad = bad.join(tables[c[3]].select(F.col(c[4]).alias(c[2])), c[2], "left_anti")
+        if kind == "ORPHAN":
             name = f"{c[2]}->{c[3]}.{c[4]}"
-        found.append(bad.select(F.lit(t).alias("table_name"), F.lit(name).alias("constraint_name"),
-                                F.lit(kind).alias("kind"), _readable(keys).alias("key_value"), "n"))
+            children.setdefault((c[3], c[4]), []).append(tables[t].select(
+                F.lit(t).alias("table_name"), F.lit(name).alias("constraint_name"), F.col(c[2]).alias("key")).dropna())
+        elif kind == "NOT_ALLOWED":
+            listed.setdefault(t, []).append(F.when(~F.col(c[2]).isin(list(c[3])), F.struct(
+                F.lit(c[2]).alias("constraint_name"), F.col(c[2]).alias("key_value"))))
+        else:
+            bad = tables[t].select(*c[2]).dropna().groupBy(*c[2]).agg(count).filter("n > 1")
+            found.append(bad.select(F.lit(t).alias("table_name"), F.lit("(" + ",".join(c[2]) + ")").alias("constraint_name"),
+                                    F.lit(kind).alias("kind"), _readable(c[2]).alias("key_value"), "n"))
+    for (parent, pkey), keys in children.items():
+        every = functools.reduce(lambda a, b: a.unionByName(b), keys).groupBy("table_name", "constraint_name", "key").agg(count)
+        found.append(every.join(tables[parent].select(F.col(pkey).alias("key")), "key", "left_anti").select(
+            "table_name", "constraint_name", F.lit("ORPHAN").alias("kind"), _readable(["key"]).alias("key_value"), "n"))
+    for t, tests in listed.items():
+        bad = tables[t].select(F.explode(F.array_compact(F.array(*tests))).alias("x")).groupBy("x").agg(count)
+        found.append(bad.select(F.lit(t).alias("table_name"), "x.constraint_name", F.lit("NOT_ALLOWED").alias("kind"),
+                                "x.key_value", "n"))
     if not found:
         return SparkSession.getActiveSession().createDataFrame([], _VIOLATION)
     return functools.reduce(lambda a, b: a.unionByName(b), found)
