@@ -23,6 +23,7 @@ a null list decodes to empty bytes.  Further columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 import re
 import zlib
@@ -41,7 +42,9 @@ from pyspark.sql import functions as F
 from ._common import one_array, pieces, text_bytes, utf8_buffers
 
 #: Text per block and per bucket of words.
-BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES = 7 << 20, 64 << 20
+#: Texts decoded at a time, for bounded memory.
+SLICE = 500
 #: White space that may stand before a space: there a text can't be parted without looking at the whole run.
 _ASCII_RUNS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 _OTHER_RUN = re.compile("[\x85\xa0  -     　] ")
@@ -92,6 +95,12 @@ class Explode:
         self.sizes.append(len(found))
         return len(self.sizes) - 1
 
+    def close(self) -> None:
+        """Let go of the parts; they refer back here, and a cycle would outlive its block."""
+        for parts in (self.first, self.later):
+            parts.clear()
+            parts.block = None
+
     def parts(self, text: str) -> np.ndarray:
         if any(r in text for r in _ASCII_RUNS) or not text.isascii() and _OTHER_RUN.search(text):
             return np.array([self.add(text)], np.int64)
@@ -137,6 +146,8 @@ def _explode(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.Rec
             every = rank[every]
             spelled = [w.encode() for w in e.words]
             spelled = [spelled[k] for k in order.tolist()]
+            e.close()
+            del e, parts, flat
             values = [nth, b.column("doc_id").slice(i, j - i), _zip(per_text)] + \
                 [_zip(((every >> np.uint32(s)) & np.uint32(255)).astype(np.uint8)) for s in (0, 8)] + \
                 [_zip((every >> np.uint32(16)).astype(np.uint16)),
@@ -202,18 +213,19 @@ def _reassemble(blocks: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     kind = blocks.schema.field("ids").type.value_type
     docs, sizes, every = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for row in blocks.to_pylist():
-        words = _spelled(row)
-        order, _ = _by_bucket(words, buckets)
-        mine = sorted((a for a in answers.to_pylist()), key=lambda a: a["bucket"])
+        order, _ = _by_bucket(_spelled(row), buckets)
+        mine = sorted(answers.to_pylist(), key=lambda a: a["bucket"])
         if any(a["mark"] != zlib.crc32(row["words"]) for a in mine):
             raise RuntimeError("a block of texts was read again in another order: write the input first")
         n = np.concatenate([np.zeros(0, np.uint32)] + [_unzip(a["n_ids"], np.uint32) for a in mine]).astype(np.int64)
         ids = np.concatenate([np.zeros(0, np.uint32)] + [_unzip(a["ids"], np.uint32) for a in mine])
         place = np.empty(len(order), np.int64)  # word -> its place among the answers
         place[order] = np.arange(len(order))
-        low, mid, high = (_unzip(row[c], t).astype(np.int64) for c, t in
-                          (("low", np.uint8), ("mid", np.uint8), ("high", np.uint16)))
-        word = place[low | mid << 8 | high << 16]
+        word = np.zeros(0, np.int32)
+        for c, t, shift in (("high", np.uint16, 8), ("mid", np.uint8, 8), ("low", np.uint8, 0)):
+            part = _unzip(row[c], t).astype(np.int32)
+            word = (word | part if len(word) else part) << shift
+        word = place[word]
         every.append(ids[gather(n, word)].astype(np.int32))
         before = np.concatenate([[0], np.cumsum(n[word])])
         ends = before[np.cumsum(_unzip(row["counts"], np.int64))]
@@ -258,14 +270,16 @@ def token_bytes(ranks: dict[bytes, int]) -> pa.Array:
 
 def _decode(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
     tokens = token_bytes(ranks.value)
-    for b in batches:
-        known = pc.is_null(tokens.take(pc.unique(one_array(b.column("ids")).flatten())))
-        if pc.any(known).as_py():
-            raise ValueError("an id to decode is not in the vocabulary")
-        data, off = _take(tokens, b.column("ids"))
-        raw = memoryview(data)
-        text = pa.array([raw[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), text], ["doc_id", "ids", "decoded"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            b = whole.slice(at, SLICE)
+            unknown = pc.is_null(tokens.take(pc.unique(one_array(b.column("ids")).flatten())))
+            if pc.any(unknown).as_py():
+                raise ValueError("an id to decode is not in the vocabulary")
+            data, off = _take(tokens, b.column("ids"))
+            raw = memoryview(data)
+            text = pa.array([raw[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), text], ["doc_id", "ids", "decoded"])
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -276,21 +290,28 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return rows.mapInArrow(partial(_decode, ranks=ranks), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
-def _listed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    digits = pa.array([b"%d," % i for i in range(size)], pa.large_binary())
-    for b in batches:
-        data, off = _take(digits, b.column("ids"))
-        raw = memoryview(data)
-        text = pa.array([raw[x:max(x, y - 1)].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())
-        n = pc.fill_null(pc.list_value_length(b.column("ids")), 0).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, text, b.column("decoded")],
-                                         ["doc_id", "n_tokens", "listed", "decoded"])
-
-
-def digest(decoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids in decimal, joined by commas), decoded_sha256."""
-    size = max(read_ranks(ranks_path).values()) + 1
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return (decoded.mapInArrow(partial(_listed, size=size), f"doc_id {kind}, n_tokens long, listed binary, decoded binary")
-            .select("doc_id", "n_tokens", F.sha2("listed", 256).alias("ids_sha256"),
-                    F.sha2("decoded", 256).alias("decoded_sha256")))
+def _digests(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
+    digits = pa.array([b"%d," % i for i in range(max(ranks.value.values(), default=-1) + 1)], pa.large_binary())
+    for whole in _decode(batches, ranks):
+        for at in range(0, whole.num_rows, SLICE):
+            b = whole.slice(at, SLICE)
+            data, off = _take(digits, b.column("ids"))
+            raw = memoryview(data)
+            listed = [hashlib.sha256(raw[x:max(x, y - 1)]).hexdigest() for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
+            decoded = [hashlib.sha256(t.as_buffer()).hexdigest() for t in b.column("decoded")]
+            n = pc.fill_null(pc.list_value_length(b.column("ids")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(listed, pa.string()),
+                                              pa.array(decoded, pa.string())],
+                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def digest(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids in decimal, joined by commas), decoded_sha256 (of the decoded bytes).
+
+    Decoding and digests run in one pass: the decoded texts need not leave the task.
+    """
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    rows = encoded.select("doc_id", "ids")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(partial(_digests, ranks=ranks),
+                           f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -69,7 +69,7 @@ def token_orc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digest(byte_bpe.decode(encoded, ranks), ranks)
+    return byte_bpe.digest(encoded, ranks)
 
 
 @register("op7_exact_dedup", """
