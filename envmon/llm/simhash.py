@@ -98,7 +98,8 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     m = len(seg)
     budget = [max_bits * n // m for n in range(1, m + 1)]  # of a chain of n segments
     fp = F.col("fp")
-    rows = fps.select("fp").distinct()
+    # rows that grow by a factor next: dealt out to a fixed number of tasks, which adaptive execution doesn't merge
+    rows = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = [_segment(fp, low, width) for low, width in seg]
     index = rows.select(fp.alias("b"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("s"), part[i].alias("k0"), part[(i + 1) % m].alias("k1")) for i in range(m)])).alias("k"))
