@@ -9,6 +9,13 @@ with the next ``window`` ones.  Pairs whose signatures differ in more than
 expects) are dropped there; the rest are verified by the exact cosine in double
 precision.  Links of all passes are united into components.
 
+A row whose window is still full of such candidates at its edge has more of them
+beyond.  It forms a crowd with its candidates, and crowds that share a class are
+one.  Within a crowd every class is compared with every other: its classes are
+dealt into blocks of bounded size, each pair of blocks is one matrix product that
+returns the number of links per class and a spanning forest of the links instead
+of the links.  Pairs of a crowd that windows found are left to the products.
+
 The order is Spark's range-partitioned sort on (pass, label, signature, class),
 which also parts labels and groups that hold a large share of the rows.  Windows
 that span two partitions are compared in a second step, from the rows near the
@@ -40,6 +47,10 @@ from .components import connected_components
 BITS = 256
 #: At cosine 0.93 a hash differs with probability 0.12: 31 of 256 bits expected, 5.2 standard deviation.
 MAX_DIFFER = 64
+#: Rows and bytes of a block of a crowd; the rows of a block whose products are held at a time.
+CROWD_ROWS = 4096
+CROWD_BYTES = 4 << 20
+STRIP = 512
 
 
 @lru_cache(maxsize=8)
@@ -122,21 +133,48 @@ class _Rows:
         self.group = np.cumsum([0] + [a != b for a, b in zip(groups, groups[1:])]) if self.n else np.zeros(0, np.int64)
 
 
-def near_in_order(r: _Rows, window: int, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs at most ``window`` rows apart; with ``split`` only those across that row."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for o in range(1, min(window, r.n - 1) + 1):
-        lo, hi = (max(0, split - o), min(split, r.n - o)) if split else (0, r.n - o)
-        x, y = np.arange(lo, hi), np.arange(lo + o, hi + o)
-        x, y = x[r.group[x] == r.group[y]], y[r.group[x] == r.group[y]]
-        near = np.bitwise_count(r.words[x] ^ r.words[y]).sum(axis=1) <= MAX_DIFFER
-        a.append(r.cid[x[near]])
-        b.append(r.cid[y[near]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-SCAN_SCHEMA = "a long, b long, part int, place long, " + ROW
+def near_in_order(r: _Rows, window: int, split: int = 0, carried: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs at most ``window`` rows apart, and whether a pair ties a crowd together.
+
+    With ``split`` only pairs across that row, with ``carried`` only those that end there or
+    later.  The candidates of a row whose window is full at its edge (half of the last quarter)
+    come as a chain through all of them, tied, which most rows of a crowd share.
+    """
+    reach = min(window, r.n - 1)
+    near = np.zeros((max(reach, 0) + 1, r.n), bool)  # [o, x]: rows x and x + o
+    for o in range(1, reach + 1):
+        x = np.flatnonzero(r.group[:-o] == r.group[o:])
+        near[o, x] = np.bitwise_count(r.words[x] ^ r.words[x + o]).sum(axis=1) <= MAX_DIFFER
+    edge = range(window - max(1, window // 4) + 1, reach + 1)
+    least = max(1, window // 4) / 2
+    ahead, behind = np.zeros(r.n, np.int64), np.zeros(r.n, np.int64)
+    for o in edge:
+        ahead += near[o]
+        behind[o:] += near[o, :-o]
+    ahead, behind = ahead >= least, behind >= least
+    tie = np.zeros_like(near)
+    last, first = np.arange(r.n), np.arange(r.n)  # of each row: the candidate reached so far, on either side
+    for o in range(1, reach + 1):
+        x = np.flatnonzero(near[o] & ahead)
+        tie[x + o - last[x], last[x]] = True
+        last[x] = x + o
+        y = np.flatnonzero(near[o, :-o] & behind[o:]) + o
+        tie[first[y] - (y - o), y - o] = True
+        first[y] = y - o
+    for o in range(1, reach + 1):
+        near[o] &= ~ahead
+        near[o, :-o] &= ~behind[o:]
+        if split:
+            near[o, :max(0, split - o)] = near[o, split:] = False
+        near[o, :max(0, carried - o)] = False
+    out = [np.nonzero(near), np.nonzero(tie)]
+    x = np.concatenate([at for _, at in out])
+    y = np.concatenate([at + o for o, at in out])
+    a, b = r.cid[x], r.cid[y]
+    return np.minimum(a, b), np.maximum(a, b), np.repeat([False, True], [len(at) for _, at in out])
+
+
+SCAN_SCHEMA = "a long, b long, tied boolean, part int, place long, " + ROW
 
 
 def _scan(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -149,18 +187,19 @@ def _scan(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         n = t.num_rows
         none = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [none, none, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n))]
-            + [one_array(t.column(c)).cast(k) for c, k in zip(names, kinds)], ["a", "b", "part", "place", *names])
+            [none, none, pa.nulls(n, pa.bool_()), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n))]
+            + [one_array(t.column(c)).cast(k) for c, k in zip(names, kinds)], ["a", "b", "tied", "part", "place", *names])
 
     for b in batches:
         t = pa.Table.from_batches([b])
         if place < window:
             yield edges(t.slice(0, window - place), place)
         both = pa.concat_tables([tail, t]) if tail is not None else t
-        x, y = near_in_order(_Rows(both), window)  # pairs among the carried rows come twice and are made distinct later
+        x, y, tied = near_in_order(_Rows(both), window, carried=both.num_rows - t.num_rows)  # ties may come twice
         n = len(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
-                                         + [pa.nulls(n, k) for k in kinds], ["a", "b", "part", "place", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(tied), pa.nulls(n, pa.int32()),
+                                          pa.nulls(n, pa.int64())] + [pa.nulls(n, k) for k in kinds],
+                                         ["a", "b", "tied", "part", "place", *names])
         tail = both.slice(max(0, both.num_rows - window))
         place += t.num_rows
     if tail is not None:
@@ -188,12 +227,16 @@ def _across(table: pa.Table, window: int) -> pa.Table:
     t = table.take(pa.array(first))
     bound = t.column("bound")[0].as_py()
     split = int(np.searchsorted(rank, bound))
-    x, y = near_in_order(_Rows(t), window, split) if 0 < split < len(rank) else (np.zeros(0, np.int64),) * 2
-    return pa.table({"a": pa.array(x), "b": pa.array(y)})
+    x, y, tied = near_in_order(_Rows(t), window, split) if 0 < split < len(rank) else (
+        np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    return pa.table({"a": pa.array(x), "b": pa.array(y), "tied": pa.array(tied)})
 
 
 def candidates(classes: DataFrame, passes: int, window: int) -> DataFrame:
-    """Distinct pairs a < b of classes (label, dim, sig, cid) that some pass brings near each other."""
+    """Distinct pairs a < b of classes (label, dim, sig, cid) that some pass brings near each other.
+
+    ``tied`` pairs tell which classes form a crowd, whose other pairs are mostly left out.
+    """
     order = ["pass", "label", "dim", "key", "cid"]
     rows = classes.select("label", "dim", "sig", "cid").mapInArrow(partial(_rotations, passes=passes), ROW)
     scanned = written(rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -205,11 +248,11 @@ def candidates(classes: DataFrame, passes: int, window: int) -> DataFrame:
         before[p] = total
         total += sizes[p]
     bounds = np.array(sorted(before.values())[1:], np.int64)
-    pairs = scanned.where("a IS NOT NULL").select("a", "b")
+    pairs = scanned.where("a IS NOT NULL").select("a", "b", "tied")
     if len(bounds):
         spread = edge.select("part", "place", *order).mapInArrow(
             partial(_spread, before=before, bounds=bounds, window=window), "bound long, rank long, " + ROW)
-        pairs = pairs.unionByName(spread.groupBy("bound").applyInArrow(lambda t: _across(t, window), "a long, b long"))
+        pairs = pairs.unionByName(spread.groupBy("bound").applyInArrow(lambda t: _across(t, window), "a long, b long, tied boolean"))
     return pairs.where("a <> b").distinct()
 
 
@@ -226,6 +269,87 @@ def _cosines(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _pack(table: pa.Table) -> pa.Table:
+    """A block of a crowd as one row: ids, sizes and unit vectors of its classes."""
+    v, off, _ = _matrix(one_array(table.column("vector")))
+    x = v.reshape(len(off) - 1, -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return pa.table([table.column("crowd").slice(0, 1), table.column("blocks").slice(0, 1), table.column("block").slice(0, 1),
+                     pa.array([table.column("cid").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                     pa.array([table.column("n").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                     pa.array([x.tobytes()], pa.binary())], names=["crowd", "blocks", "block", "cids", "sizes", "units"])
+
+
+def spanning_forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of links that connect what the links of a two-sided graph connect."""
+    n, m = near.shape
+    sides, left = (near, np.ascontiguousarray(near.T)), (np.ones(m, bool), np.ones(n, bool))
+    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root in range(n):
+        if not left[1][root]:
+            continue
+        left[1][root] = False
+        todo = [(0, root)]
+        while todo:
+            side, at = todo.pop()
+            new = np.flatnonzero(sides[side][at] & left[side])
+            left[side][new] = False
+            rows.append(np.full(len(new), at) if side == 0 else new)
+            columns.append(new if side == 0 else np.full(len(new), at))
+            todo += [(1 - side, i) for i in new.tolist()]
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+CROWD_SCHEMA = "a long, b long, more long"
+
+
+def _products(table: pa.Table, least: float) -> pa.Table:
+    """Links between two blocks (or within one): (class, null, vectors linked) and connecting (a, b, null)."""
+    t = sorted(table.select(["block", "cids", "sizes", "units"]).to_pylist(), key=lambda r: r["block"])
+    (p, n, x), (q, m, y) = [(ids := np.frombuffer(r["cids"], np.int64), np.frombuffer(r["sizes"], np.int64),
+                             np.frombuffer(r["units"]).reshape(len(ids), -1)) for r in (t[0], t[-1])]
+    near = np.zeros((len(p), len(q)), bool)
+    for at in range(0, len(p), STRIP):
+        near[at:at + STRIP] = x[at:at + STRIP] @ y.T >= least
+    if len(t) == 1:
+        near |= near.T
+        np.fill_diagonal(near, False)
+    more = np.array([m[r].sum() for r in near], np.int64)
+    ids = p
+    if len(t) > 1:
+        ids, more = np.concatenate([p, q]), np.concatenate([more, [n[r].sum() for r in np.ascontiguousarray(near.T)]])
+    ids, more = ids[more > 0], more[more > 0].astype(np.int64)
+    i, j = spanning_forest(near)
+    a, b = np.minimum(p[i], q[j]), np.maximum(p[i], q[j])
+    return pa.table([pa.array(np.concatenate([ids, a])),
+                     pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(b)]),
+                     pa.concat_arrays([pa.array(more), pa.nulls(len(a), pa.int64())])], names=["a", "b", "more"])
+
+
+def crowd_links(members: DataFrame, least: float) -> DataFrame:
+    """a, null, vectors linked with class a (to be added up); and a, b, null: links that connect what all links connect.
+
+    ``members``: crowd, cid, n, vector.  Every pair of classes of one crowd is compared.
+    """
+    per_block = F.greatest(F.lit(1), F.least(F.lit(CROWD_ROWS), F.lit(CROWD_BYTES) / (8 * F.size("vector"))))
+    sizes = members.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / F.min(per_block)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "crowd").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.repartition("crowd", "block")  # the join's own deal, by crowd, would put a whole crowd in one task
+    blocks = written(dealt.groupBy("crowd", "block").applyInArrow(
+        _pack, "crowd long, blocks int, block int, cids binary, sizes binary, units binary"), "crowd-blocks")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = blocks.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return met.groupBy("crowd", "i", "j").applyInArrow(lambda t: _both_blocks(t, least), CROWD_SCHEMA)
+
+
+def _both_blocks(table: pa.Table, least: float) -> pa.Table:
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    if i != j and table.num_rows < 2:  # the other block got no class
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "more": pa.array([], pa.int64())})
+    return _products(table, least)
+
+
 def near_dup_report(embeddings: DataFrame, least: float = 0.93, passes: int = 16, window: int = 128) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest id reachable), kept."""
     rows = written(prepare(embeddings).drop("sig"), "vectors")
@@ -233,8 +357,15 @@ def near_dup_report(embeddings: DataFrame, least: float = 0.93, passes: int = 16
     classes = written(prepare(embeddings).where("ok").groupBy(*key, "sig").agg(
         F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    pairs = written(candidates(classes, passes, window), "vector-pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    found = written(candidates(classes, passes, window), "vector-pairs")
+    crowds = written(connected_components(found.where("tied").select("a", "b"))
+                     .select(F.col("node").alias("cid"), F.col("root").alias("crowd")), "vector-crowds")
+    pairs = (found.where("NOT tied").select("a", "b")
+             .join(crowds.select(F.col("cid").alias("a"), F.col("crowd").alias("crowd_a")), "a", "left")
+             .join(crowds.select(F.col("cid").alias("b"), F.col("crowd").alias("crowd_b")), "b", "left")
+             .where("crowd_a IS NULL OR crowd_b IS NULL OR crowd_a <> crowd_b").select("a", "b"))
+    pairs = written(pairs, "vector-pairs-apart")
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(crowds.select("cid")).distinct()
     named = classes.join(wanted, "cid", "left_semi").select(*key, F.col("first_id").alias("vec_id"), "cid")
     vectors = (prepare(embeddings, vectors=True).where("ok").select("vec_id", *key, "vector")
                .join(named, ["vec_id", *key]).select("cid", "vector").dropDuplicates(["cid"]))
@@ -243,10 +374,12 @@ def near_dup_report(embeddings: DataFrame, least: float = 0.93, passes: int = 16
                     .join(vectors.select(F.col("cid").alias("b"), F.col("vector").alias("y")), "b")
                     .select("a", "b", "x", "y").mapInArrow(partial(_cosines, least=least), "a long, b long"),
                     "vector-links")
+    crowded = written(crowd_links(vectors.join(crowds, "cid").join(classes.select("cid", "n"), "cid"), least), "crowd-links")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = (both.join(classes.select(F.col("cid").alias("b"), "n"), "b").groupBy(F.col("a").alias("cid"))
-            .agg(F.sum("n").alias("more")))
-    near = connected_components(links)
+    more = (both.join(classes.select(F.col("cid").alias("b"), "n"), "b").select("a", F.col("n").alias("more"))
+            .unionByName(crowded.where("b IS NULL").select("a", "more")).groupBy(F.col("a").alias("cid"))
+            .agg(F.sum("more").alias("more")))
+    near = connected_components(links.unionByName(crowded.where("b IS NOT NULL").select("a", "b")))
     named = (classes.join(more, "cid", "left").join(near.withColumnRenamed("node", "cid"), "cid", "left")
              .select(*key, "first_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"),
                      F.coalesce("root", "cid").alias("root")))

@@ -257,3 +257,44 @@ def test_embedding_query_recall(spark):
     got = {r.vec_id: r.n_links for r in REGISTRY["op3_embedding_dedup"][0](spark, SF_CHECK).collect()}
     assert len(got) == len(rows) and all(got[r[0]] <= n for r, n in zip(rows, near.sum(axis=1)))
     assert sum(got.values()) >= 0.9 * near.sum()
+
+
+def test_links_of_a_group_wider_than_a_window_are_whole(spark):
+    """Distinct near copies, scaled copies of one vector (equal signatures), and vectors beside them."""
+    rng = np.random.default_rng(9)
+    center, other = rng.standard_normal((2, 16))
+    x = np.concatenate([center + 0.2 * rng.standard_normal((300, 16)), other * (1 + np.arange(300)[:, None] / 7),
+                        rng.standard_normal((100, 16))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in E.near_dup_report(df, window=32).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.9999 * (near.sum() - len(x))
+    assert all(got[i].n_links == 299 and got[i].component_id == 300 for i in range(300, 600))
+
+
+def test_blocks_of_a_crowd_count_as_one(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((3, 8))[rng.integers(0, 3, 200)] + 0.15 * rng.standard_normal((200, 8))
+    n = rng.integers(1, 4, 200)
+    df = spark.createDataFrame([(7, i, int(n[i]), x[i].tolist()) for i in range(200)],
+                               "crowd long, cid long, n long, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    for rows in (4096, 30):
+        monkeypatch.setattr(E, "CROWD_ROWS", rows)
+        got = E.crowd_links(df, 0.93).collect()
+        more = collections.Counter()
+        for r in got:
+            more[r.a] += r.more or 0
+        assert [more[i] for i in range(200)] == (near @ n).tolist()
+        joins = [(r.a, r.b) for r in got if r.b is not None]
+        assert all(near[a, b] for a, b in joins)
+        roots, whole = list(range(200)), list(range(200))
+        for links, root in ((joins, roots), (np.argwhere(near).tolist(), whole)):
+            for a, b in links:
+                a, b = root[a], root[b]
+                root[:] = [min(a, b) if r in (a, b) else r for r in root]
+        assert roots == whole and len(joins) < near.sum() / 2
