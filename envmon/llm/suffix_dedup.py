@@ -20,6 +20,9 @@ into buckets such that equal strings always meet:
   the remaining ones, and takes the longest previous factor of each over the
   previous and the next smaller document in suffix order.  Where it reaches
   ``LENGTH``, the window has an earlier copy.
+* An anchor with more than ``HEAVY`` different contexts (a frequent line with
+  ever other text around it) would fill one bucket.  Its windows are sent one by
+  one, to the buckets of their own hashes: equal windows still meet.
 * The verdicts return to the blocks, which cut the covered bytes out.
 
 The text is shuffled once (the three uses share the exchange); hashes and
@@ -55,6 +58,8 @@ GRAMS = LENGTH - GRAM + 1
 BUCKET_BYTES = 8 << 20
 #: Windows looked at in one go; a longer text is taken in parts, which changes no window's anchor.
 PART = 1 << 20
+#: Different contexts of an anchor beyond which its windows are dealt out one by one.
+HEAVY = 4096
 NO_ID = np.iinfo(np.int64).max
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -64,6 +69,19 @@ def _load64(b: np.ndarray, n: int, at: int) -> np.ndarray:
     return np.ndarray((n,), "<u8", buffer=b, offset=at, strides=(1,))
 
 
+def _window_hashes(b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash of the LENGTH bytes from each start on."""
+    h = np.zeros(len(start), np.uint64)
+    if not len(start):
+        return h
+    word = _load64(b, len(b) - 7, 0)
+    with np.errstate(over="ignore"):
+        for i, at in enumerate([*range(0, LENGTH - 8, 8), LENGTH - 8]):
+            h = (h ^ word[start + at]) * _MIX[i % 4]
+            h ^= h >> np.uint64(31)
+    return h
+
+
 def _windows(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every window of a byte array: anchor position; and the hash of the gram at every position."""
     n = len(b) - GRAM + 1
@@ -143,57 +161,85 @@ class Block:
         np.maximum.at(high, self.kind, self.row)
         return low != high
 
+    def context_counts(self) -> np.ndarray:
+        """How many contexts that differ in their first or last bytes or in length each hash has."""
+        if not len(self.first):
+            return np.zeros(len(self.hashes), np.uint16)
+        word = _load64(self.data, len(self.data) - 7, 0)
+        with np.errstate(over="ignore"):
+            mark = word[self.first] * _MIX[0] ^ word[self.last + LENGTH - 8] * _MIX[1] ^ (self.last - self.first).astype(np.uint64)
+        order = np.lexsort((mark, self.kind))
+        kind, mark = self.kind[order], mark[order]
+        new = np.append(True, (kind[1:] != kind[:-1]) | (mark[1:] != mark[:-1]))
+        return np.minimum(np.bincount(kind[new], minlength=len(self.hashes)), 0xFFFF).astype(np.uint16)
+
     def contexts(self, bits: dict[int, bytes]):
-        """Per bucket: (bucket, runs by number, context number of each run, contexts, anchor keys, smallest documents)."""
-        shared = np.zeros(len(self.hashes), bool)
+        """Per bucket: (bucket, rows, first and last windows of its runs, context number of each run, contexts, anchor keys,
+        smallest documents).  A bucket whose bits tell of windows in other buckets comes too, without contexts."""
+        shared, heavy = np.zeros((2, len(self.hashes)), bool)
         for k, packed in bits.items():
             a, b = self.cuts[k], self.cuts[k + 1]
-            shared[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a).astype(bool)
+            if b > a:
+                shared[a:b], heavy[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(2, -1)[:, :b - a]
         chosen = np.flatnonzero(shared[self.kind])
-        where = self.bucket[self.kind[chosen]]
+        hot = heavy[self.kind[chosen]]
+        chosen, hot = chosen[~hot], chosen[hot]
+        n = self.last[hot] - self.first[hot] + 1
+        single = np.repeat(self.first[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        own = _window_hashes(self.data, single)
+        row = np.concatenate([self.row[chosen], np.repeat(self.row[hot], n)])
+        first, last = np.concatenate([self.first[chosen], single]), np.concatenate([self.last[chosen], single])
+        h = np.concatenate([self.hashes[self.kind[chosen]], own])
+        buckets = len(self.cuts) - 1
+        where = np.concatenate([self.bucket[self.kind[chosen]], ((own >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)])
         order = np.argsort(where, kind="stable")
-        chosen, where = chosen[order], where[order]
-        at = np.searchsorted(where, np.arange(len(self.cuts)))
+        at = np.searchsorted(where[order], np.arange(buckets + 1))
         raw = memoryview(self.data)
-        for k in range(len(self.cuts) - 1):
-            mine = chosen[at[k]:at[k + 1]]
-            if not len(mine):
+        for k in range(buckets):
+            mine = order[at[k]:at[k + 1]]
+            if not len(mine) and not any(bits.get(k, b"")):
                 continue
             seen: dict[bytes, int] = {}
             number = np.fromiter((seen.setdefault(bytes(raw[f:e]), len(seen)) for f, e in
-                                  zip(self.first[mine].tolist(), (self.last[mine] + LENGTH).tolist())),
-                                 np.int64, len(mine))
+                                  zip(first[mine].tolist(), (last[mine] + LENGTH).tolist())), np.int64, len(mine))
             lead = np.unique(number, return_index=True)[1]  # rows are in id order: the first run has the smallest id
-            key = (self.hashes[self.kind[mine[lead]]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            yield k, mine, number, list(seen), key, self.docs[self.row[mine[lead]]]
+            key = (h[mine[lead]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            yield k, row[mine], first[mine], last[mine], number, list(seen), key, self.docs[row[mine[lead]]]
 
 
-HASHES_SCHEMA = "bucket int, block int, hashes binary, many binary"
+HASHES_SCHEMA = "bucket int, block int, hashes binary, many binary, counts binary"
 
 
 def _send_hashes(table: pa.Table, buckets: int) -> pa.Table:
     b = Block(table, buckets)
-    many, key = b.in_many(), (b.hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    many, counts, key = b.in_many(), b.context_counts(), (b.hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     spans = [(k, b.cuts[k], b.cuts[k + 1]) for k in range(buckets) if b.cuts[k] < b.cuts[k + 1]]
     block = table.column("block")[0].as_py()
     return pa.table([pa.array([k for k, _, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int32()),
                      pa.array([key[x:y].tobytes() for _, x, y in spans], pa.binary()),
-                     pa.array([np.packbits(many[x:y]).tobytes() for _, x, y in spans], pa.binary())],
-                    names=["bucket", "block", "hashes", "many"])
+                     pa.array([np.packbits(many[x:y]).tobytes() for _, x, y in spans], pa.binary()),
+                     pa.array([counts[x:y].tobytes() for _, x, y in spans], pa.binary())],
+                    names=["bucket", "block", "hashes", "many", "counts"])
 
 
 BITS_SCHEMA = "block int, bucket int, bits binary"
 
 
-def _find_shared(table: pa.Table) -> pa.Table:
-    """Which hashes of each block occur in several documents of the corpus."""
+def _find_shared(table: pa.Table, heavy: int = HEAVY) -> pa.Table:
+    """Which hashes of each block occur in several documents of the corpus, and which of those in many contexts."""
     keys = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
-    many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool)
-            for x, k in zip(table.column("many").to_pylist(), keys)]
-    every = np.sort(np.concatenate(keys))
-    shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[k[m] for k, m in zip(keys, many)]]))
-    bits = [np.packbits(shared[np.minimum(np.searchsorted(shared, k), len(shared) - 1)] == k).tobytes()
-            if len(shared) else np.packbits(np.zeros(len(k), bool)).tobytes() for k in keys]
+    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()])
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    kinds, shared = every[at], np.diff(np.append(at, len(every))) > 1
+    for x, k in zip(table.column("many").to_pylist(), keys):
+        many = np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool)
+        shared[np.searchsorted(kinds, k[many])] = True
+    often = shared & (np.add.reduceat(counts[order].astype(np.int64), at) > heavy)
+    which = [np.searchsorted(kinds, k) for k in keys]
+    bits = [np.packbits(shared[w]).tobytes() + np.packbits(often[w]).tobytes() for w in which]
     return pa.table([table.column("block"), table.column("bucket"), pa.array(bits, pa.binary())],
                     names=["block", "bucket", "bits"])
 
@@ -206,10 +252,10 @@ def _send_contexts(texts: pa.Table, bits: pa.Table, buckets: int) -> pa.Table:
     if texts.num_rows:
         packed = dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()))
         block = texts.column("block")[0].as_py()
-        for k, _, _, contexts, key, docs in Block(texts, buckets).contexts(packed):
+        for k, _, _, _, _, contexts, key, docs in Block(texts, buckets).contexts(packed):
             raw = b"".join(contexts)
             sizes = np.array([len(c) for c in contexts], np.uint8)
-            values = (k, block, packed[k], key.tobytes(), sizes.tobytes(), docs.tobytes(), len(raw),
+            values = (k, block, packed.get(k, b""), key.tobytes(), sizes.tobytes(), docs.tobytes(), len(raw),
                       pa.compress(raw, "zstd", asbytes=True))
             for column, v in zip(rows.values(), values):
                 column.append(v)
@@ -255,12 +301,7 @@ def earlier_windows(texts: list[bytes], docs: np.ndarray) -> list[int]:
     masks = [0] * len(texts)
     if not len(start):
         return masks
-    with np.errstate(over="ignore"):  # suffixes whose window occurs once need no place in the order
-        word = _load64(data, len(data) - 8, 0)
-        h = np.zeros(len(start), np.uint64)
-        for i, at in enumerate([*range(0, LENGTH - 8, 8), LENGTH - 8]):
-            h = (h ^ word[start + at]) * _MIX[i % 4]
-            h ^= h >> np.uint64(31)
+    h = _window_hashes(data, start)  # suffixes whose window occurs once need no place in the order
     _, kind, times = np.unique(h, return_inverse=True, return_counts=True)
     again = np.flatnonzero(times[kind.reshape(-1)] > 1)
     if not len(again):
@@ -286,7 +327,7 @@ def _judge(table: pa.Table) -> pa.Table:
     smallest = np.zeros(0, np.int64)
     keys = np.zeros(0, np.uint32)
     for r in table.select(["sizes", "raw_size", "raw", "docs", "keys"]).to_pylist():
-        raw = pa.decompress(r["raw"], r["raw_size"], "zstd", asbytes=True)
+        raw = pa.decompress(r["raw"], r["raw_size"], "zstd", asbytes=True) if r["raw_size"] else b""
         end = np.cumsum(np.frombuffer(r["sizes"], np.uint8).astype(np.int64)).tolist()
         kind = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *end], end)),
                            np.int64, len(end))
@@ -319,19 +360,18 @@ def _judge(table: pa.Table) -> pa.Table:
 def _covered(b: Block, verdicts: dict[int, dict]) -> tuple[np.ndarray, np.ndarray]:
     """Removed bytes of a block as (first, last + 1) of its runs of windows, not yet united."""
     begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, mine, number, contexts, _, lead_doc in b.contexts({k: v["bits"] for k, v in verdicts.items()}):
+    for k, row, first, last, number, contexts, _, lead_doc in b.contexts({k: v["bits"] for k, v in verdicts.items()}):
         v = verdicts[k]
         gone = np.unpackbits(np.frombuffer(v["gone"], np.uint8), count=len(contexts)).astype(bool)
-        own = b.docs[b.row[mine]]
-        whole = gone[number] | (own > lead_doc[number])
-        begin.append(b.first[mine[whole]])
-        end.append(b.last[mine[whole]] + LENGTH)
+        whole = gone[number] | (b.docs[row] > lead_doc[number])
+        begin.append(first[whole])
+        end.append(last[whole] + LENGTH)
         mask = np.zeros(len(contexts), np.uint64)
         mask[np.frombuffer(v["part"], np.uint32)] = np.frombuffer(v["masks"], np.uint64)
-        some = mine[~whole & (mask[number] > 0)]
-        bits = mask[number[~whole & (mask[number] > 0)]]
+        some = ~whole & (mask[number] > 0)
+        start, bits = first[some], mask[number[some]]
         for o in range(GRAMS):
-            at = b.first[some[(bits >> np.uint64(o)) & np.uint64(1) == 1]] + o
+            at = start[(bits >> np.uint64(o)) & np.uint64(1) == 1] + o
             begin.append(at)
             end.append(at + LENGTH)
     return np.concatenate(begin), np.concatenate(end)
@@ -375,8 +415,9 @@ def _process(docs: DataFrame, rest, kind: T.DataType) -> DataFrame:
     texts = docs.select(F.pmod(F.xxhash64(F.col("doc_id"), F.crc32(F.col("text").cast("binary"))), F.lit(blocks))
                         .cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    heavy = HEAVY
     hashes = texts.groupBy("block").applyInArrow(lambda t: _send_hashes(t, buckets), HASHES_SCHEMA)
-    bits = hashes.groupBy("bucket").applyInArrow(_find_shared, BITS_SCHEMA)
+    bits = hashes.groupBy("bucket").applyInArrow(lambda t: _find_shared(t, heavy), BITS_SCHEMA)
     contexts = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(
         lambda t, b: _send_contexts(t, b, buckets), CONTEXTS_SCHEMA)
     verdicts = contexts.groupBy("bucket").applyInArrow(_judge, VERDICT_SCHEMA)

@@ -5,6 +5,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -201,6 +203,32 @@ def test_repeats_against_brute_force(spark, monkeypatch):
     assert report(df) == brute_repeats(rows)
 
 
+def test_repeats_with_heavy_anchors_against_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    line, rows = "a frequent line of thirty-four bytes", []
+    for i in range(300):
+        around = ["".join(rng.choice("abcé ") for _ in range(rng.randint(0, 60))) for _ in range(3)]
+        rows.append((rng.randint(0, 250), line.join(around) + rng.choice([rows[-1][1][:90] if rows else "", ""])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(D, "block_count", lambda total, least: 7)
+    for heavy in (0, 20):
+        monkeypatch.setattr(D, "HEAVY", heavy)
+        assert report(df) == brute_repeats(rows)
+
+
+def test_a_frequent_line_is_spread_over_the_buckets():
+    rng, buckets = random.Random(7), 16
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(60))
+    docs = pa.table({"block": pa.array([0] * 30000, pa.int32()), "doc_id": pa.array(range(30000), pa.int64()),
+                     "text": pa.array([word() + "a frequent line of thirty-four byt" + word() for _ in range(30000)])})
+    docs = docs.append_column("rest", pa.array([True] * 30000))
+    sent = D._send_hashes(docs, buckets)
+    bits = pa.concat_tables([D._find_shared(sent.filter(pc.equal(sent.column("bucket"), k))) for k in range(buckets)])
+    contexts = D._send_contexts(docs, bits, buckets)
+    sizes = collections.Counter(dict(zip(contexts.column("bucket").to_pylist(), contexts.column("raw_size").to_pylist())))
+    assert sum(sizes.values()) > 3_000_000 and max(sizes.values()) < 2 * sum(sizes.values()) / buckets
+
+
 def test_windows_in_parts_have_the_same_anchors(monkeypatch):
     rng = np.random.default_rng(3)
     data = rng.integers(97, 101, 5000).astype(np.uint8)
