@@ -377,7 +377,8 @@ def _covered(b: Block, verdicts: dict[int, dict]) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(begin), np.concatenate(end)
 
 
-def _cut(texts: pa.Table, verdicts: pa.Table, buckets: int) -> pa.Table:
+def _cut(texts: pa.Table, verdicts: pa.Table, buckets: int, whole_chars: bool = False) -> pa.Table:
+    """With ``whole_chars`` the fragments of cut characters go; a replacement character of the text is none."""
     names = ["rest", "doc_id", "n_bytes", "span_first", "span_end", "kept"]
     if not texts.num_rows:
         return pa.table([texts.column("rest"), texts.column("doc_id"), pa.array([], pa.int64()),
@@ -399,7 +400,8 @@ def _cut(texts: pa.Table, verdicts: pa.Table, buckets: int) -> pa.Table:
     for i, base in enumerate(b.off[:-1].tolist()):
         f, e = first[cuts[i]:cuts[i + 1]], last[cuts[i]:cuts[i + 1]]
         stay = zip([base, *e.tolist()], [*f.tolist(), int(b.off[i + 1])])
-        kept.append(b"".join(raw[x:y] for x, y in stay))
+        rest = b"".join(raw[x:y] for x, y in stay)
+        kept.append(rest.decode("utf-8", "ignore").encode() if whole_chars else rest)
         firsts.append(f - base)
         ends.append(e - base)
     return pa.table([b.table.column("rest"), b.table.column("doc_id"), pa.array(np.diff(b.off), pa.int64()),
@@ -407,7 +409,7 @@ def _cut(texts: pa.Table, verdicts: pa.Table, buckets: int) -> pa.Table:
                      pa.array(kept, pa.binary())], names=names)
 
 
-def _process(docs: DataFrame, rest, kind: T.DataType) -> DataFrame:
+def _process(docs: DataFrame, rest, kind: T.DataType, whole_chars: bool = False) -> DataFrame:
     """rest, doc_id, n_bytes, span_first, span_end, kept of every document."""
     total = text_bytes(docs)
     blocks, buckets = block_count(total, least=1 << 20), 16 + math.ceil(total / BUCKET_BYTES)
@@ -423,7 +425,8 @@ def _process(docs: DataFrame, rest, kind: T.DataType) -> DataFrame:
     verdicts = contexts.groupBy("bucket").applyInArrow(_judge, VERDICT_SCHEMA)
     out = T.StructType([T.StructField("rest", kind)]).add("doc_id", "long").add("n_bytes", "long") \
         .add("span_first", T.ArrayType(T.LongType())).add("span_end", T.ArrayType(T.LongType())).add("kept", "binary")
-    return texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(lambda t, v: _cut(t, v, buckets), out)
+    return texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(
+        lambda t, v: _cut(t, v, buckets, whole_chars), out)
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
@@ -433,18 +436,11 @@ def repeat_report(docs: DataFrame) -> DataFrame:
         .alias("spans"), "kept")
 
 
-def _clean(kept):
-    """Bytes as text without the fragments of cut characters."""
-    return F.when(F.is_valid_utf8(kept.cast("string")), kept.cast("string")).otherwise(
-        F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("\ufffd"), F.lit("")))
-
-
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated bytes cut out of ``text``, all their columns."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rest = F.struct(*others)
     kind = docs.select(rest.alias("r")).schema["r"].dataType
-    done = _process(docs, rest, kind)
-    # cut characters leave invalid bytes, which the replacement character stands for; it goes unless the text had it
-    return done.select(*[_clean(F.col("kept")).alias(c) if c == "text" else F.col("rest").getField(c).alias(c)
+    done = _process(docs, rest, kind, whole_chars=True)
+    return done.select(*[F.col("kept").cast("string").alias(c) if c == "text" else F.col("rest").getField(c).alias(c)
                          for c in docs.columns])

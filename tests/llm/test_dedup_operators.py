@@ -258,6 +258,12 @@ def test_cut_repeats(spark, odd_docs, no_docs):
     assert D.cut_repeats(no_docs).count() == 0 and D.repeat_report(no_docs).count() == 0
 
 
+def test_cut_repeats_keeps_replacement_characters_of_the_text(spark):
+    passage = "é" * 60
+    got = D.cut_repeats(spark.createDataFrame([(1, "a" + passage), (2, passage[:30] + "ü\ufffdü")], "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "a" + passage, 2: "\ufffdü"}
+
+
 @pytest.mark.parametrize("name", ["op8_simhash", "op10_suffix_dedup"])
 def test_queries_against_brute_force(spark, name):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
