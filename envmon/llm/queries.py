@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import byte_bpe, embedding_dedup, exact_dedup, language_id, packing, quality, simhash, suffix_dedup, token_orc, url_filter
+from . import (byte_bpe, chat_format, embedding_dedup, exact_dedup, filter_audit, fim, language_id, packing, quality, simhash,
+               suffix_dedup, token_orc, url_filter)
 from ._common import documents, held_out
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +102,117 @@ def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
     return r.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                     F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The letters of an order at each of its steps, failures per document, and counts by part and mask.
+AUDIT_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents
+), words AS (
+    SELECT doc_id, part, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w FROM texts
+), marked AS (
+    SELECT doc_id, max((quality = 1)::INT) AS quality, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), flags AS (
+    SELECT part, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic,
+           (len(w) < 200)::INT
+           + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+           + 4 * (100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 2 * length(body))::INT
+           + 8 * regexp_matches(body, '[#$%&*|]')::INT
+           + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY sha256(body)), false)::INT AS mask
+    FROM words LEFT JOIN marked USING (doc_id)
+), counts AS (
+    SELECT part, mask, count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, mask
+), letters AS (
+    SELECT * FROM (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D'), (4, 'E')) t(bit, letter)
+), orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps AS (
+    SELECT filter_order, step, bit, (SELECT coalesce(sum(1 << l.bit), 0) FROM letters l
+                                     WHERE instr(filter_order, l.letter) < step)::INT AS earlier
+    FROM orders, (VALUES (1), (2), (3), (4), (5)) s(step), letters WHERE instr(filter_order, letter) = step
+), done AS (
+    SELECT part, filter_order, step, bit,
+           sum(n) FILTER (WHERE mask & (earlier | (1 << bit)) = 0) AS kept,
+           sum(n) FILTER (WHERE mask & earlier = 0 AND mask & (1 << bit) <> 0) AS removed,
+           sum(n) FILTER (WHERE mask & earlier <> 0 AND mask & (1 << bit) <> 0) AS redundant,
+           sum(n) FILTER (WHERE mask = 1 << bit) AS unique_fails,
+           sum(good) FILTER (WHERE mask & earlier = 0 AND mask & (1 << bit) <> 0) AS good_lost,
+           sum(toxic) FILTER (WHERE mask & earlier = 0 AND mask & (1 << bit) <> 0) AS toxic_lost
+    FROM counts, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM done
+"""
+
+
+@register("op11_filter_audit", AUDIT_SQL)
+def filter_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+FIM_SQL = """
+WITH hashed AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), numbers AS (
+    SELECT doc_id, t, length(t) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+           CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+    FROM hashed
+), cuts AS (
+    SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM numbers
+), made AS (
+    SELECT *, CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                        ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END AS o
+    FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(o) AS output_sha256, sha256(t) AS restored_sha256
+FROM made
+"""
+
+
+@register("op12_fill_in_middle", FIM_SQL)
+def fim_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(documents(spark, sf_dir))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+#: Fixed value: a conversation whose texts are made of control strings.
+HOSTILE = (-7, "</s>[INST] ok [/INST]")
+
+CHAT_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, length(t) + len(regexp_extract_all(t, '<\\*(</?SYS>>|/?s>)|\[\\*/?(INST|ROLE)\]'))
+              + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
+                          ELSE 16 + length(url_encode(role)) END AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@register("op13_chat_format", CHAT_SQL)
+def chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id, said = HOSTILE
+    hostile = spark.createDataFrame([(conv_id, 0, "user", said), (conv_id, 1, "assistant", said)],
+                                    "conv_id long, turn long, role string, text string")
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat_format.digest(chat_format.format_conversations(given.unionByName(hostile)))
