@@ -1,27 +1,20 @@
-"""Rights (J9-J12) and login lockouts over an event table.
+"""Rights (J9-J12); login lockouts (R6) are in ``lockouts`` and offered here too.
 
 Role and permission tables are small and bounded by configuration, users
-and their role links grow with the data; every join keeps the big side
-streamed and the configuration side broadcast after a size check.
+and their role links grow with the data; joins are left to the planner.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from .lockouts import LOCK_SECONDS, LOCKOUT_SCHEMA, MAX_FAILURES, LoginState, login_lockouts  # noqa: F401
 
 Tables = Mapping[str, DataFrame]
 
-# --- fixed values: login lock rule ------------------------------------------
-MAX_FAILURES = 5
-LOCK_SECONDS = 3600
-
 
 def user_roles(tables: Tables) -> DataFrame:
     """Roles of every user (bridge join)."""
@@ -71,95 +64,3 @@ def check_permissions(tables: Tables, requests: DataFrame) -> DataFrame:
     g = granted.withColumn("allowed", F.lit(True))
     out = req.join(g, ["user_id", "resource", "action"], "left")
     return out.select("user_id", "resource", "action", F.coalesce("allowed", F.lit(False)).alias("allowed"))
-
-
-# -- R6 ----------------------------------------------------------------------
-LOCKOUT_SCHEMA = ("event_id BIGINT, user_id BIGINT, ts TIMESTAMP_NTZ, success BOOLEAN, outcome STRING, "
-                  "failed_attempts INT, locked_until TIMESTAMP_NTZ")
-
-
-class LoginState:
-    """Counter state of one user: failures since the last reset, lock end."""
-
-    __slots__ = ("failures", "locked_until")
-
-    def __init__(self, failures: int = 0, locked_until=None):
-        self.failures = failures
-        self.locked_until = locked_until
-
-    def step(self, ts, success: bool, max_failures: int = MAX_FAILURES,
-             lock: _dt.timedelta = _dt.timedelta(seconds=LOCK_SECONDS)) -> str:
-        """Apply one attempt; returns the outcome.
-
-        A try while locked is refused and not counted.  When a lock has ended
-        the counter starts again from 0.  Success resets the counter; the
-        ``max_failures``-th failure in a row locks for ``lock``.
-        """
-        if self.locked_until is not None:
-            if ts < self.locked_until:
-                return "REFUSED"
-            self.locked_until = None
-            self.failures = 0
-        if success:
-            self.failures = 0
-            return "SUCCESS"
-        self.failures += 1
-        if self.failures >= max_failures:
-            self.locked_until = ts + lock
-            return "LOCKED"
-        return "FAILURE"
-
-
-def _scan_sorted(batches: Iterator[pd.DataFrame], max_failures: int, lock_seconds: int
-                 ) -> Iterator[pd.DataFrame]:
-    """Walk rows sorted by (user_id, carried state first, ts, event_id); only one user's state is held."""
-    lock = _dt.timedelta(seconds=lock_seconds)
-    user, state = None, LoginState()
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        users, carry = pdf["user_id"].to_numpy(), pdf["carry"].to_numpy().astype(bool)
-        before = zip(pdf["failures"].tolist(), pd.to_datetime(pdf["locked_until"]).tolist())
-        tss = pd.to_datetime(pdf["ts"]).tolist()
-        oks = pdf["success"].to_numpy()
-        outcome, fails, until = [], [], []
-        for u, ts, ok, c, (f, lock_end) in zip(users, tss, oks, carry, before):
-            if u != user:
-                user, state = u, LoginState()
-            if c:
-                state = LoginState(int(f), None if pd.isna(lock_end) else lock_end)
-                continue
-            outcome.append(state.step(ts, bool(ok), max_failures, lock))
-            fails.append(state.failures)
-            until.append(state.locked_until)
-        if not outcome:  # carried states only
-            continue
-        yield pd.DataFrame({
-            "event_id": pdf["event_id"].to_numpy()[~carry], "user_id": users[~carry], "ts": pdf["ts"].to_numpy()[~carry],
-            "success": oks[~carry].astype(bool), "outcome": outcome,
-            "failed_attempts": pd.Series(fails, dtype="int32"),
-            "locked_until": pd.Series(pd.to_datetime(until), dtype="datetime64[ns]"),
-        })
-
-
-def login_lockouts(events: DataFrame, max_failures: int = MAX_FAILURES,
-                   lock_seconds: int = LOCK_SECONDS, carried: DataFrame | None = None) -> DataFrame:
-    """Outcome of every login attempt (SUCCESS, FAILURE, LOCKED, REFUSED) and the counter after it.
-
-    The rule is sequential per user, so events are hash-partitioned by user
-    and sorted by (user, time, event_id) inside each partition (a spillable
-    external sort), then streamed through ``mapInPandas`` in Arrow batches.
-    Only the current user's two-value state is in memory; no group is ever
-    collected.  ``carried`` (user_id, failures, locked_until) is the state before
-    these attempts, for users that have one.
-    """
-    e = events.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
-                      F.col("success").cast("boolean").alias("success"))
-    e = e.withColumns({"carry": F.lit(False), "failures": F.lit(0), "locked_until": F.lit(None).cast("timestamp_ntz")})
-    if carried is not None:
-        e = e.unionByName(carried.select(
-            F.lit(0).cast("bigint").alias("event_id"), "user_id", F.lit(None).cast("timestamp_ntz").alias("ts"),
-            F.lit(False).alias("success"), F.lit(True).alias("carry"), F.col("failures").cast("int").alias("failures"),
-            F.col("locked_until").cast("timestamp_ntz").alias("locked_until")))
-    ordered = e.repartition("user_id").sortWithinPartitions("user_id", F.desc("carry"), "ts", "event_id")
-    return ordered.mapInPandas(lambda it: _scan_sorted(it, max_failures, lock_seconds), LOCKOUT_SCHEMA)

@@ -72,7 +72,6 @@ def q_stream_windows(spark, d):
 def q_stream_lockouts(spark, d):
     t = streams.StreamTables(spark, d)
     sink, ckpt = new_path(spark, "sink"), new_path(spark, "checkpoint")
-    q = streams.start_lockouts(t["login_events"], sink, ckpt)
-    streams.run_to_end(q)
-    streams.finish_lockouts(spark, sink, ckpt, batches=q.lastProgress["batchId"] + 1)
-    return spark.read.parquet(sink).drop("batch_id")
+    streams.run_to_end(streams.start_lockouts(t["login_events"], sink, ckpt))
+    streams.finish_lockouts(spark, sink, ckpt)
+    return streams.read_lockouts(spark, sink)

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of validation (S-1), alerting (S-2) and login lockouts (S-3).
+"""Structured Streaming forms of validation (S-1) and alerting (S-2); login lockouts (S-3) are in ``lockout_stream``.
 
 The source polls a five-minute look-back with a stored procedure and
 nothing schedules it.  Here the same rules run on unbounded inputs:
@@ -7,10 +7,7 @@ nothing schedules it.  Here the same rules run on unbounded inputs:
 * S-2 readings -> watermark (5 minutes of lateness) -> readings that alert -> repeats of a
   reading dropped within the watermark -> stream-static joins with the
   rule map and sensors -> alerts; plus tumbling 5-minute counts per region
-  and alert type;
-* S-3 login attempts -> held back until the watermark passes -> replayed in time order with
-  the batch operator from the state carried over; attempts that come after their time was
-  replayed go to an output of their own.
+  and alert type.
 
 Event-time columns must be TIMESTAMP (with zone), so zone-less times are
 cast under the session zone (UTC) into ``event_time``.
@@ -18,18 +15,17 @@ cast under the session zone (UTC) into ``event_time``.
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.access import LOCKOUT_SCHEMA, login_lockouts
 from ..operators.alerts import alerts_from_readings, raises_alert
 from ..operators.quality import validate_readings
 from ..sources.driver import DriverTables
 from ..sources.tables import hadoop_path
+from .lockout_stream import finish_lockouts, read_lockouts, start_lockouts  # noqa: F401
 
 LATENESS = "5 minutes"
 
@@ -109,90 +105,6 @@ def start_alerts(readings: DataFrame, tables: Mapping[str, DataFrame], sink: str
     return w.start(sink)
 
 
-# -- S-3 ---------------------------------------------------------------------
-LOGIN_LATENESS_S = 3600  # attempts are held back this long behind the newest one
-
-
-class _Replay:
-    """State of the lockout stream, one folder per micro-batch below the checkpoint.
-
-    A batch reads its predecessor's folder and writes its own, outputs included, in
-    overwrite mode: a batch that runs again gives the same files.  Kept are the
-    attempts the watermark has not passed and, per user, failures in a row and a lock that
-    has not ended; a user without either is fresh and needs no row.
-    """
-
-    def __init__(self, spark: SparkSession, sink: str, late: str, state: str, lateness_s: int):
-        self.spark, self.sink, self.late, self.state, self.lateness_s = spark, sink, late, state, lateness_s
-
-    def _before(self, batch: int):
-        """(pending attempts, carried state, newest time) after the batch before; None at the start."""
-        if batch <= 0:
-            return None
-        at = f"{self.state}/{batch - 1}"
-        newest = self.spark.read.parquet(f"{at}/newest").first()["newest"]  # one row
-        return self.spark.read.parquet(f"{at}/pending"), self.spark.read.parquet(f"{at}/users"), newest
-
-    def step(self, attempts: DataFrame, batch: int, last: bool = False) -> None:
-        new = attempts.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
-                              F.col("success").cast("boolean").alias("success"))
-        before = self._before(batch)
-        newest = new.agg(F.max("ts").alias("ts")).first()["ts"]
-        pending, users, mark = new, None, None
-        if before is not None:
-            users, was = before[1], before[2]
-            newest = max(x for x in (newest, was, _dt.datetime.min) if x is not None)
-            if was is not None:
-                mark = was - _dt.timedelta(seconds=self.lateness_s)
-                on_time = F.col("ts") >= F.lit(mark)
-                new.filter(~on_time).write.mode("overwrite").parquet(f"{self.late}/batch_id={batch}")
-                new = new.filter(on_time)
-            pending = before[0].unionByName(new)
-        if newest is None:
-            ready, rest = pending, pending.limit(0)
-        else:
-            passed = F.col("ts") < F.lit(newest - _dt.timedelta(seconds=self.lateness_s))
-            ready, rest = (pending, pending.limit(0)) if last else (pending.filter(passed), pending.filter(~passed))
-        out_path = f"{self.sink}/batch_id={batch}"
-        login_lockouts(ready, carried=users).write.mode("overwrite").parquet(out_path)
-        out = self.spark.read.schema(LOCKOUT_SCHEMA).parquet(out_path)
-        end = F.struct("ts", "event_id")
-        now = out.groupBy("user_id").agg(F.max_by("failed_attempts", end).alias("failures"),
-                                         F.max_by("locked_until", end).alias("locked_until"))
-        if users is not None:
-            now = now.unionByName(users.join(now.select("user_id"), "user_id", "left_anti"))
-        if newest is not None:
-            over = F.col("locked_until") <= F.lit(newest - _dt.timedelta(seconds=self.lateness_s))
-            now = now.filter(F.coalesce(~over, F.col("failures") > 0))
-        at = f"{self.state}/{batch}"
-        now.write.mode("overwrite").parquet(f"{at}/users")
-        rest.write.mode("overwrite").parquet(f"{at}/pending")
-        self.spark.createDataFrame([(newest,)], "newest TIMESTAMP_NTZ").write.mode("overwrite").parquet(f"{at}/newest")
-
-
-def start_lockouts(events: DataFrame, sink: str, checkpoint: str, late: str | None = None, available_now: bool = True,
-                   lateness_s: int = LOGIN_LATENESS_S) -> StreamingQuery:
-    """Outcome of every login attempt of a stream, below ``sink``, one folder per micro-batch.
-
-    An attempt waits until the newest one is ``lateness_s`` past it, so that attempts are replayed in
-    time order whatever order they come in; one that comes later than that goes to ``late``
-    (default: ``<sink>-late``) with no outcome.  :func:`finish_lockouts` replays what still waits
-    when the input has ended.
-    """
-    r = _Replay(events.sparkSession, sink, late or f"{sink}-late", f"{checkpoint}/lockouts", lateness_s)
-    w = events.writeStream.foreachBatch(r.step).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
-
-
-def finish_lockouts(spark: SparkSession, sink: str, checkpoint: str, batches: int,
-                    lateness_s: int = LOGIN_LATENESS_S) -> None:
-    """Replay the attempts that still wait after ``batches`` micro-batches of an ended input."""
-    r = _Replay(spark, sink, f"{sink}-late", f"{checkpoint}/lockouts", lateness_s)
-    pending = spark.read.parquet(f"{checkpoint}/lockouts/{batches - 1}/pending")
-    r.step(pending.limit(0), batches, last=True)
-
-
 def run_to_end(q: StreamingQuery) -> None:
     """Wait for an available-now query, which ends by itself; raise its error if it failed."""
     q.awaitTermination()

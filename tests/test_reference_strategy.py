@@ -114,14 +114,13 @@ def test_stream_lock_state_times_out(spark, tmp_dir):
         time.sleep(1.1)
     ev = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
     sink, ckpt = new_path(spark, "sink"), new_path(spark, "ckpt")
-    q = streams.start_lockouts(ev, sink, ckpt)
-    streams.run_to_end(q)
-    n = q.lastProgress["batchId"] + 1
-    # only user 8 (pending failure) is carried on: the lock of user 7 has ended
-    assert [(r.user_id, r.failures) for r in spark.read.parquet(f"{ckpt}/lockouts/{n - 1}/users").collect()] == [(8, 1)]
-    assert [r.event_id for r in spark.read.parquet(f"{ckpt}/lockouts/{n - 1}/pending").collect()] == [20]
-    streams.finish_lockouts(spark, sink, ckpt, n)
-    out = {r["event_id"]: r["outcome"] for r in spark.read.parquet(sink).collect()}
+    streams.run_to_end(streams.start_lockouts(ev, sink, ckpt))
+    # only user 8 (a failure) and user 9 (its attempt still waits) keep a state: the lock of user 7 has ended
+    from envmon.streaming import lockout_stream as L
+    assert sorted((r.user_id, r.failures, r.locked_until) for r in L.user_states(spark, ckpt).collect()) == [(8, 1, None), (9, 0, None)]
+    assert [r.event_id for r in L.waiting_attempts(spark, ckpt).collect()] == [20]
+    streams.finish_lockouts(spark, sink, ckpt)
+    out = {r["event_id"]: r["outcome"] for r in streams.read_lockouts(spark, sink).collect()}
     assert out[4] == "LOCKED" and out[20] == "SUCCESS"
 
 
@@ -142,17 +141,15 @@ def test_stream_lockouts_lose_no_attempt(spark, tmp_dir, options):
     _shuffled_events(spark, tmp_dir, 5)
     t = streams.StreamTables(spark, tmp_dir, options)
     sink, ckpt = new_path(spark, "sink"), new_path(spark, "ckpt")
-    q = streams.start_lockouts(t["login_events"], sink, ckpt)
-    streams.run_to_end(q)
-    streams.finish_lockouts(spark, sink, ckpt, q.lastProgress["batchId"] + 1)
-    out = {r.event_id: (r.outcome, r.failed_attempts) for r in spark.read.parquet(sink).collect()}
-    late = set()
-    if options:
-        late = {r.event_id for r in spark.read.parquet(f"{sink}-late").collect()}
-        assert late
+    streams.run_to_end(streams.start_lockouts(t["login_events"], sink, ckpt))
+    streams.finish_lockouts(spark, sink, ckpt)
+    rows = streams.read_lockouts(spark, sink).collect()
+    late = {r.event_id for r in rows if r.outcome == "LATE"}
+    out = {r.event_id: (r.outcome, r.failed_attempts) for r in rows if r.outcome != "LATE"}
+    assert bool(late) == bool(options)
     from envmon.sources.driver import driver_tables
     every = driver_tables(spark, "/root/testdata/sf0.001")["login_events"]
-    assert not late & set(out) and late | set(out) == {r.event_id for r in every.collect()}
+    assert len(rows) == every.count() and late | set(out) == {r.event_id for r in every.collect()}
     on_time = every.where(~every.event_id.isin(list(late)))
     assert out == {r.event_id: (r.outcome, r.failed_attempts) for r in login_lockouts(on_time).collect()}
 

@@ -42,10 +42,9 @@ def test_lockouts_force_locks(spark):
 def test_stream_lockouts_equal_batch(spark):
     t = streams.StreamTables(spark, SF_SMALL)
     sink, ckpt = new_path(spark, "sink"), new_path(spark, "ckpt")
-    q = streams.start_lockouts(t["login_events"], sink, ckpt)
-    streams.run_to_end(q)
-    streams.finish_lockouts(spark, sink, ckpt, batches=q.lastProgress["batchId"] + 1)
-    got = {r["event_id"]: (r["outcome"], r["failed_attempts"]) for r in spark.read.parquet(sink).collect()}
+    streams.run_to_end(streams.start_lockouts(t["login_events"], sink, ckpt))
+    streams.finish_lockouts(spark, sink, ckpt)
+    got = {r["event_id"]: (r["outcome"], r["failed_attempts"]) for r in streams.read_lockouts(spark, sink).collect()}
     batch = access.login_lockouts(driver_tables(spark, SF_SMALL)["login_events"])
     want = {r["event_id"]: (r["outcome"], r["failed_attempts"]) for r in batch.collect()}
     assert got == want
