@@ -30,6 +30,12 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
+def _plain(letters: str) -> bool:
+    """Letters of long-known scripts that stay letters when normalized and lower-cased; a capital dotted I becomes i and
+    a combining mark, which joins the marks behind it."""
+    return letters.isascii() or max(letters) < "\u0530" and unicodedata.normalize("NFC", letters).lower().isalpha()
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -52,7 +58,7 @@ class WordEncoder(dict):
         return self.tokenizer.encode(part, add_special_tokens=False).ids
 
     def __missing__(self, part: str) -> bytes:
-        if len(part) > 1 and part[-1] in MARKS and part[:-1].isalpha():
+        if len(part) > 1 and part[-1] in MARKS and part[:-1].isalpha() and _plain(part[:-1]):
             ids = self[part[:-1]] + self[part[-1]]
         else:
             ids = _packed(self._word(part))
@@ -68,9 +74,12 @@ class WordEncoder(dict):
             parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         else:
             # folding case before the memo halves it; only where it is what the tokenizer does itself
-            if "<|" not in text and (text.isascii() or "Σ" not in text and "İ" not in text
-                                     and unicodedata.is_normalized("NFC", text)):
-                text = text.lower()
+            if "<|" not in text:
+                if text.isascii():
+                    text = text.lower()
+                elif "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text):
+                    low = text.lower()  # J with caron is two characters, j with caron one: then the tokenizer's order counts
+                    text = low if unicodedata.is_normalized("NFC", low) else text
             parts = text.split()
         return b"".join(map(self.__getitem__, parts))
 

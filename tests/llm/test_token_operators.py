@@ -29,7 +29,7 @@ def library():
 
 
 TEXTS = ["Hello, wörld!! x.y  a\n b 12 <|endoftext|> <|ENDOFTEXT|> ÉCOLE it's", "", " ", "Σίσυφος ΟΔΟΣ.", "a\x1cb\x1d c",
-         "İstanbul ẞ ǅ", "e\u0301 café. x", "a\xa0b c\x85d", "你好。世界 abc你", "😀😀 !!. foo.) \"bar,\" don't. D'OR", "x" * 500, "Ab. ab. AB"]
+         "İstanbul ẞ ǅ", "TAKSİ, gel", "J\u030c x", "H\u0331! W\u030a.", "\u0958. a", "\ufb1d, b", "ﬁ. ﬂ,", "\u212a. \u212b,", "ſ. ı;", "e\u0301 café. x", "a\xa0b c\x85d", "你好。世界 abc你", "😀😀 !!. foo.) \"bar,\" don't. D'OR", "x" * 500, "Ab. ab. AB"]
 
 
 def test_word_encoder_is_the_library(library):
@@ -40,6 +40,15 @@ def test_word_encoder_is_the_library(library):
         assert e.encode(t) == library(t)[:-1].tobytes(), repr(t)
 
 
+def test_word_encoder_on_letters_that_change_when_folded(library):
+    e = WordEncoder(read_vocabulary(WORDS))
+    rng = random.Random(2)
+    letters = "aBIiJHTWYſ\u212a\u212bİıΣσςßẞǅﬁéÉ\u0301\u0307\u030c\u0331\u0345\u0308\u0958\ufb1d\u093c你😀"
+    for _ in range(20000):
+        t = "".join(rng.choice(letters + ".,;:!?'\"-() \n\t1½Ⅷ\u200b\xad\u2028\x1c") for _ in range(rng.randint(1, 14)))
+        assert e.encode(t) == library(t)[:-1].tobytes(), repr(t)
+
+
 def test_word_memo_is_bounded(library, monkeypatch):
     import envmon.llm.words as W
     monkeypatch.setattr(W, "MEMO_PARTS", 5)
