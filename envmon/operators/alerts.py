@@ -7,7 +7,6 @@ of landing whole in one join task.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.common import count_if, since, with_day_pruning
 from ..functions.domain import triggered_alert_type
-from ..functions.rules import RULE_VARIABLES, compile_rule, variable_column
+from ..functions.rules import RULE_VARIABLES, parsed_rules, variable_column
 from ._plan import ordered, rollup_through, sensor_dim
+from .rule_index import rows_with_rules
 
 Tables = Mapping[str, DataFrame]
 
@@ -143,7 +143,7 @@ def trigger_alerts(tables: Tables, now, lookback: str = "5 minutes") -> DataFram
     """New alerts for the readings newer than ``now - lookback`` (the polled procedure).
 
     The source walks a cursor row by row; here it is one filter and two
-    broadcast joins over the look-back window.
+    joins over the look-back window.
     """
     lo = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {lookback}")
     r = tables["sensor_readings"].filter(F.col("collected_at") > lo)
@@ -152,17 +152,8 @@ def trigger_alerts(tables: Tables, now, lookback: str = "5 minutes") -> DataFram
 
 # -- R3 ----------------------------------------------------------------------
 def rule_checks(rules: DataFrame) -> DataFrame:
-    """Per rule: whether its text is evaluable and why not.
-
-    The texts are compiled on the driver (they become Column expressions);
-    the rules table is configuration, one short text per rule.
-    """
-    spark = rules.sparkSession
-    rows = [(r["rule_id"], *compile_rule(r["condition_expr"]))
-            for r in rules.select("rule_id", "condition_expr").toLocalIterator()]
-    return spark.createDataFrame(
-        [(rid, expr is not None, reason) for rid, expr, reason in rows],
-        "rule_id BIGINT, evaluable BOOLEAN, reason STRING")
+    """Per rule: whether its text is evaluable and why not."""
+    return parsed_rules(rules, "rule_id").select("rule_id", F.col("reason").isNull().alias("evaluable"), "reason")
 
 
 def measurement_buckets(tables: Tables, minutes: int = 5) -> DataFrame:
@@ -180,35 +171,13 @@ def measurement_buckets(tables: Tables, minutes: int = 5) -> DataFrame:
         for t in types])
 
 
-RULES_PER_PASS = 100
-
-
 def evaluate_rules(tables: Tables, minutes: int = 5) -> DataFrame:
     """(region, bucket, rule) for every active, evaluable rule that holds in that bucket.
 
-    Each rule is a conditional struct in an array that is exploded, so there is no join of
-    buckets with rules; ``RULES_PER_PASS`` rules share a pass over the bucket table, which
-    keeps each expression of a size the code generator takes.
+    Rules are rows: their texts are read on the executors and become boxes, which meet the buckets in a band
+    index (``rule_index``).  Nothing about a rule comes to the driver, and the plan does not depend on how many there are.
     """
-    rules = tables["alert_rules"].filter(F.col("is_active")).select(
-        "rule_id", "alert_type", "severity_level", "condition_expr")
-    compiled = []
-    for r in rules.toLocalIterator():
-        expr, _ = compile_rule(r["condition_expr"])
-        if expr is not None:
-            compiled.append((r["rule_id"], r["alert_type"], r["severity_level"], expr))
-    b = measurement_buckets(tables, minutes)
-    if not compiled:
-        return b.select("region_id", "bucket_start", F.lit(None).cast("bigint").alias("rule_id"),
-                        F.lit(None).cast("string").alias("alert_type"),
-                        F.lit(None).cast("string").alias("severity_level")).limit(0)
-    parts = []
-    for at in range(0, len(compiled), RULES_PER_PASS):  # the buckets' exchange is shared by the passes
-        hits = F.array(*[
-            F.when(F.coalesce(F.expr(expr), F.lit(False)),
-                   F.struct(F.lit(rid).cast("bigint").alias("rule_id"), F.lit(typ).alias("alert_type"),
-                            F.lit(sev).alias("severity_level")))
-            for rid, typ, sev, expr in compiled[at:at + RULES_PER_PASS]])
-        out = b.select("region_id", "bucket_start", F.explode(hits).alias("hit")).filter(F.col("hit").isNotNull())
-        parts.append(out.select("region_id", "bucket_start", "hit.rule_id", "hit.alert_type", "hit.severity_level"))
-    return functools.reduce(lambda x, y: x.unionByName(y), parts)
+    fields = ["rule_id", "alert_type", "severity_level"]
+    rules = parsed_rules(tables["alert_rules"].filter(F.col("is_active")), *fields).where("reason IS NULL")
+    names = [variable_column(t) for t in sorted(set(RULE_VARIABLES.values()))]
+    return rows_with_rules(measurement_buckets(tables, minutes), ["region_id", "bucket_start"], names, rules, fields)
