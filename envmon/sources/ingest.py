@@ -1,9 +1,8 @@
 """S2 reading ingest and S6 key assignment.
 
-Ingest is one write job: validity is set (R1), keys are given to rows that
-lack one, and the batch is appended to the readings folder partitioned by
-day.  Spark's file commit makes the job all-or-nothing: files of failed
-tasks are never committed.
+Ingest sets validity (R1), reserves ids for the rows that lack one, and appends the
+batch to the readings folder partitioned by day, in one write job.  Spark's file
+commit makes the job all-or-nothing: files of failed tasks are never committed.
 """
 
 from __future__ import annotations
@@ -55,27 +54,42 @@ def high_water(spark: SparkSession, path: str) -> int | None:
     return spark.read.parquet(f"{path}/{HIGH_WATER}").agg(F.max("last_id")).first()[0] if fs.exists(p) else None
 
 
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything below ``path`` but marks."""
+    fs, p = hadoop_path(spark, path)
+    return fs.exists(p) and any(not f.getPath().getName().startswith("_") for f in fs.listStatus(p))
+
+
 def ingest_readings(raw: DataFrame, path: str, base: DataFrame | None = None, start: int | None = None,
                     rows_per_file: int = 5_000_000, files_per_day: int = 8) -> str:
     """Validate, key and append a batch of readings under ``path`` (partitioned by day).
 
-    New ids go on from ``start``, else from the mark the last ingest kept, else (the first time)
-    from the largest id of ``base``; the mark is written after the batch, so a failed ingest leaves
-    it alone.  Ingests into one folder run one after the other.  The batch is dealt by day and one of
+    The ids of a batch are reserved before its rows are written: the mark first goes up by the
+    number of rows without an id, then the rows are appended.  An ingest that fails in between
+    leaves a gap in the ids, and no id is handed out twice.  New ids go on from
+    ``start``, else from the mark, else (the first time) from the largest id of ``base``; ids that the
+    batch brings along raise the mark too.  Rows below ``path`` without a mark need ``base`` or ``start``.
+    Ingests into one folder run one after the other.  The batch is dealt by day and one of
     ``files_per_day`` salts: a day gets a few files, and a day that holds most of the batch
     several writers; a file is split beyond ``rows_per_file`` rows, no row is left out.
     """
     spark = raw.sparkSession
-    last = high_water(spark, path) if start is None else start - 1
-    # a batch handed over as local rows is already stable: no checkpoint needed
-    r = assign_ids(validate_readings(raw), "reading_id", base=base, start=None if last is None else last + 1,
-                   stable_input=raw.isLocal())
-    r = r.withColumn("collected_date", F.to_date("collected_at"))
+    last = high_water(spark, path)
+    if start is not None:
+        last = start - 1
+    elif last is None and base is not None:
+        last = base.agg(F.max("reading_id")).first()[0] or 0
+    elif last is None:
+        if _has_rows(spark, path):
+            raise ValueError(f"rows below {path} but no mark of the last id: give base or start")
+        last = 0
+    r = validate_readings(raw)
+    r = r if raw.isLocal() else cut_lineage(r)  # what is counted is what is written
+    new, top = r.agg(F.count(F.when(F.col("reading_id").isNull(), 1)), F.max("reading_id")).first()
+    last = max(last, top or 0)
+    spark.createDataFrame([(last + new,)], "last_id BIGINT").coalesce(1).write.mode("append").parquet(f"{path}/{HIGH_WATER}")
+    r = assign_ids(r, "reading_id", start=last + 1, stable_input=True).withColumn("collected_date", F.to_date("collected_at"))
     salt = F.pmod(F.xxhash64("reading_id"), F.lit(files_per_day))
     (r.repartition("collected_date", salt).write.mode("append").option("maxRecordsPerFile", rows_per_file)
       .partitionBy("collected_date").parquet(path))
-    top = r.agg(F.max("reading_id").alias("last_id"))
-    if last is not None:
-        top = top.select(F.greatest("last_id", F.lit(last)).alias("last_id"))
-    top.coalesce(1).write.mode("append").parquet(f"{path}/{HIGH_WATER}")
     return path

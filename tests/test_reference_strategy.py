@@ -224,3 +224,35 @@ def test_ingest_goes_on_from_the_kept_mark(spark, tmp_dir):
         ingest.ingest_readings(spark.createDataFrame(batch, ddl), f"{tmp_dir}/r", base=base)
     assert sorted(r.reading_id for r in spark.read.parquet(f"{tmp_dir}/r").collect()) == [42, 43, 44, 45, 46, 47]
     assert ingest.high_water(spark, f"{tmp_dir}/r") == 47
+
+
+def test_an_ingest_that_fails_hands_no_id_out_twice(spark, tmp_dir, monkeypatch):
+    """The rows of a batch are written, or not, after its ids are reserved; the next batch goes on behind them."""
+    from pyspark.sql import DataFrameWriter
+    from envmon.sources import ingest
+    ddl = "reading_id BIGINT, sensor_id BIGINT, collected_at TIMESTAMP_NTZ, reading_type STRING, numeric_value DECIMAL(10,2)"
+    batch = lambda *ids: spark.createDataFrame([(i, 1, dt.datetime(2024, 1, 1), "TEMPERATURE", None) for i in ids], ddl)
+    path, write = f"{tmp_dir}/r", DataFrameWriter.parquet
+
+    def crash(after):
+        def parquet(self, at, *a, **k):
+            if at == path and not after:
+                raise OSError("lost")
+            out = write(self, at, *a, **k)
+            if at == path:
+                raise OSError("lost")
+            return out
+        return parquet
+
+    ingest.ingest_readings(batch(None, None, 10), path)
+    for after in (False, True):  # before and after the rows of the batch are there
+        monkeypatch.setattr(DataFrameWriter, "parquet", crash(after))
+        with pytest.raises(OSError):
+            ingest.ingest_readings(batch(None, None), path)
+        monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    ingest.ingest_readings(batch(None, None), path)
+    assert sorted(r.reading_id for r in spark.read.parquet(path).collect()) == [10, 11, 12, 15, 16, 17, 18]
+    assert ingest.high_water(spark, path) == 18
+    write(batch(1).write, f"{tmp_dir}/old")
+    with pytest.raises(ValueError):
+        ingest.ingest_readings(batch(None), f"{tmp_dir}/old")
