@@ -5,7 +5,7 @@ sink read back as a batch DataFrame."""
 from __future__ import annotations
 
 from ..session import new_path
-from ..streaming import streams
+from ..streaming import nearby, streams
 from .catalog import register
 from .q_admin import LOCKOUT_SQL
 
@@ -75,3 +75,22 @@ def q_stream_lockouts(spark, d):
     streams.run_to_end(streams.start_lockouts(t["login_events"], sink, ckpt))
     streams.finish_lockouts(spark, sink, ckpt)
     return streams.read_lockouts(spark, sink)
+
+
+# J7 on two streams.  A minute of readings is passed on once the watermark, five minutes behind the slower of the two
+# streams, has reached its end; alerts whose readings come in later minutes are still waiting when the input ends.
+@register("stream_alerts_invalid_nearby", """
+WITH closed AS (
+  SELECT date_trunc('minute', collected_at) AS minute, MIN(collected_at) AS first, MAX(collected_at) AS last
+  FROM sensor_readings WHERE data_status = 'INVALID' GROUP BY 1),
+mark AS (
+  SELECT LEAST((SELECT MAX(collected_at) FROM sensor_readings), (SELECT MAX(triggered_at) FROM live_alerts)) - INTERVAL 5 MINUTE AS w)
+SELECT alert_id, rule_id, region_id, triggered_at, status
+FROM live_alerts a
+WHERE EXISTS (SELECT 1 FROM closed, mark WHERE minute + INTERVAL 1 MINUTE <= w
+              AND last >= a.triggered_at - INTERVAL 5 MINUTE AND first <= a.triggered_at + INTERVAL 5 MINUTE)""")
+def q_stream_nearby(spark, d):
+    t = streams.StreamTables(spark, d)
+    from ..operators.quality import validate_readings
+    alerts = t["live_alerts"].select("alert_id", "rule_id", "region_id", "triggered_at", "status")
+    return _run(spark, nearby.start_alerts_near_readings, alerts, validate_readings(t["raw_readings"]), "INVALID")
