@@ -112,8 +112,13 @@ def maintenance_due(tables: Tables, as_of=None, days: int = MAINTENANCE_DUE_DAYS
         F.max("maintenance_time").alias("last_maintenance_time"))
     j = d.join(last, "device_id", "left")
     since_days = F.datediff(ref, F.to_date("last_maintenance_time")).cast("bigint")
-    j = j.withColumn("days_since_last_maintenance", since_days).filter(
-        F.col("last_maintenance_time").isNull() | (F.col("days_since_last_maintenance") > days))
+    return reminders(j.filter(F.col("last_maintenance_time").isNull() | (since_days > days)), ref)
+
+
+def reminders(j: DataFrame, ref) -> DataFrame:
+    """The proposed records at date ``ref`` for devices (device_dim columns) with their last_maintenance_time."""
+    since_days = F.datediff(ref, F.to_date("last_maintenance_time")).cast("bigint")
+    j = j.withColumn("days_since_last_maintenance", since_days)
     name = F.coalesce(F.col("device_name"), F.lit(""))
     text = F.when(F.col("last_maintenance_time").isNull(), F.concat(name, F.lit(NEVER_MAINTAINED))) \
             .otherwise(F.concat(name, F.lit(REMINDER_PREFIX),

@@ -105,6 +105,25 @@ def region_resources(tables: Tables) -> DataFrame:
                       F.coalesce("a", F.lit(0)).cast(AREA).alias("total_area"))
 
 
+def change_entries():
+    """The change rows between an old (oq, oa, os) and a new (nq, na, ns) quantity, area and stage, as an array."""
+    null_i, null_a = F.lit(None).cast("int"), F.lit(None).cast("decimal(12,2)")
+    return F.array_compact(F.array(
+        F.when(F.col("oq") != F.col("nq"), F.struct(
+            F.when(F.col("nq") > F.col("oq"), "ADD").otherwise("REDUCE").alias("change_type"),
+            F.lit(QUANTITY_REASON).alias("change_reason"),
+            F.abs(F.col("nq") - F.col("oq")).cast("int").alias("change_amount"),
+            null_a.alias("change_area"), F.lit(1).alias("seq"))),
+        F.when(F.col("oa") != F.col("na"), F.struct(
+            F.when(F.col("na") > F.col("oa"), "ADD").otherwise("REDUCE").alias("change_type"),
+            F.lit(AREA_REASON).alias("change_reason"), null_i.alias("change_amount"),
+            F.abs(F.col("na") - F.col("oa")).cast("decimal(12,2)").alias("change_area"), F.lit(2).alias("seq"))),
+        F.when(F.col("os") != F.col("ns"), F.struct(
+            F.lit("STATUS_UPDATE").alias("change_type"),
+            F.concat(F.lit(STAGE_REASON_PREFIX), F.col("os"), F.lit(" to "), F.col("ns")).alias("change_reason"),
+            null_i.alias("change_amount"), null_a.alias("change_area"), F.lit(3).alias("seq")))))
+
+
 def capture_resource_changes(old: DataFrame, new: DataFrame, changed_at=None,
                              operator_id=None) -> DataFrame:
     """Change rows between two versions of ``resources`` (the update trigger, set-based).
@@ -122,23 +141,8 @@ def capture_resource_changes(old: DataFrame, new: DataFrame, changed_at=None,
     n = new.select("resource_id", F.col("quantity").alias("nq"), F.col("area").alias("na"),
                    F.col("growth_stage").alias("ns"))
     j = o.join(n, "resource_id")
-    null_i, null_a = F.lit(None).cast("int"), F.lit(None).cast("decimal(12,2)")
-    entries = F.array(
-        F.when(F.col("oq") != F.col("nq"), F.struct(
-            F.when(F.col("nq") > F.col("oq"), "ADD").otherwise("REDUCE").alias("change_type"),
-            F.lit(QUANTITY_REASON).alias("change_reason"),
-            F.abs(F.col("nq") - F.col("oq")).cast("int").alias("change_amount"),
-            null_a.alias("change_area"), F.lit(1).alias("seq"))),
-        F.when(F.col("oa") != F.col("na"), F.struct(
-            F.when(F.col("na") > F.col("oa"), "ADD").otherwise("REDUCE").alias("change_type"),
-            F.lit(AREA_REASON).alias("change_reason"), null_i.alias("change_amount"),
-            F.abs(F.col("na") - F.col("oa")).cast("decimal(12,2)").alias("change_area"), F.lit(2).alias("seq"))),
-        F.when(F.col("os") != F.col("ns"), F.struct(
-            F.lit("STATUS_UPDATE").alias("change_type"),
-            F.concat(F.lit(STAGE_REASON_PREFIX), F.col("os"), F.lit(" to "), F.col("ns")).alias("change_reason"),
-            null_i.alias("change_amount"), null_a.alias("change_area"), F.lit(3).alias("seq"))))
-    updates = j.select("resource_id", F.explode(entries).alias("e")).filter(F.col("e").isNotNull()) \
-        .select("resource_id", "e.change_type", "e.change_reason", "e.change_amount", "e.change_area", "e.seq")
+    updates = j.select("resource_id", F.explode(change_entries()).alias("e")).select(
+        "resource_id", "e.change_type", "e.change_reason", "e.change_amount", "e.change_area", "e.seq")
     added = new.join(old.select("resource_id"), "resource_id", "left_anti").select(
         "resource_id", F.lit("ADD").alias("change_type"), F.lit(NEW_RESOURCE_REASON).alias("change_reason"),
         F.col("quantity").cast("int").alias("change_amount"),

@@ -4,10 +4,13 @@ sink read back as a batch DataFrame."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import new_path
-from ..streaming import nearby, streams
+from ..streaming import keyed, nearby, streams
 from .catalog import register
 from .q_admin import LOCKOUT_SQL
+from .q_assets import CAPTURE_SQL, PER_DEVICE
 
 
 def _run(spark, start, *args):
@@ -94,3 +97,34 @@ def q_stream_nearby(spark, d):
     from ..operators.quality import validate_readings
     alerts = t["live_alerts"].select("alert_id", "rule_id", "region_id", "triggered_at", "status")
     return _run(spark, nearby.start_alerts_near_readings, alerts, validate_readings(t["raw_readings"]), "INVALID")
+
+
+# R4 on a stream of row versions: the second version of every resource against the state the first one left.
+@register("stream_resource_changes", CAPTURE_SQL)
+def q_stream_changes(spark, d):
+    t = streams.StreamTables(spark, d)
+    folder = new_path(spark, "versions")
+    for n, name in ((1, "resources"), (2, "resources_next")):
+        t[name].select("resource_id", F.lit(n).cast("bigint").alias("version"), "quantity", "area", "growth_stage").write.parquet(f"{folder}/v{n}")
+    versions = (spark.readStream.schema(spark.read.parquet(f"{folder}/v1").schema).option("recursiveFileLookup", "true").parquet(folder))
+    out = _run(spark, keyed.start_resource_changes, versions)
+    return out.where("version = 2").drop("version")
+
+
+# R5 as timers: the reminders that stand when the watermark has reached the last record's time.
+@register("stream_maintenance_due", f"""
+WITH {PER_DEVICE},
+today AS (SELECT CAST(MAX(maintenance_time) AS DATE) AS d FROM maintenance_records),
+age AS (SELECT placed.*, latest, d, d - CAST(latest AS DATE) AS days FROM today, placed LEFT JOIN serviced USING (device_id))
+SELECT device_id, device_name, device_type, region_name, latest AS last_maintenance_time,
+       days AS days_since_last_maintenance, 'INSPECTION' AS maintenance_type, CAST(d AS TIMESTAMP) AS maintenance_time,
+       concat(device_name, CASE WHEN days IS NULL THEN ' 设备从未维护，需要进行巡检'
+                                ELSE concat(' 设备已超过 ', days, ' 天未维护，需要进行巡检') END) AS content,
+       'PENDING' AS result
+FROM age WHERE days IS NULL OR days > 30""")
+def q_stream_due(spark, d):
+    t = streams.StreamTables(spark, d, streamed=("orders", "supplier"))
+    sink, ckpt = new_path(spark, "sink"), new_path(spark, "checkpoint")
+    q = keyed.start_maintenance_news(t["devices"], t["maintenance_records"], sink, ckpt)
+    streams.run_to_end(q)
+    return keyed.devices_due(spark.read.parquet(sink), streams.StreamTables(spark, d, streamed=()), keyed.watermark_date(q))

@@ -16,7 +16,6 @@ attempts that still wait when an input has ended.
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,21 +25,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import StructType
 
 from ..operators.lockouts import LOCKOUT_SCHEMA, UNPLACED, LoginState, login_lockouts
+from ._state import micros_of, read_state, start_append, state_store, time_of
 
 LOGIN_LATENESS_S = 3600  # attempts wait this long behind the newest one
 LATE = "LATE"
-#: Setting and value: keyed state with timers needs this state store.
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
-               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-_EPOCH = _dt.datetime(1970, 1, 1)
-
-
-def _time(us: int | None):
-    return None if us is None else _EPOCH + _dt.timedelta(microseconds=us)
-
-
-def _micros(t) -> int | None:
-    return None if t is None else (t - _EPOCH) // _dt.timedelta(microseconds=1)
 
 
 class Lockouts(StatefulProcessor):
@@ -54,7 +42,7 @@ class Lockouts(StatefulProcessor):
     def _frame(self, user: int, rows: list[tuple]) -> pd.DataFrame:
         """Output rows from (event_id, ts, success, outcome, failures, lock end)."""
         ids, times, oks, outcomes, counts, ends = zip(*rows)
-        return pd.DataFrame({"event_id": pd.Series(ids, dtype="Int64"), "user_id": user, "ts": pd.to_datetime([_time(t) for t in times]),
+        return pd.DataFrame({"event_id": pd.Series(ids, dtype="Int64"), "user_id": user, "ts": pd.to_datetime([time_of(t) for t in times]),
                              "success": oks, "outcome": outcomes, "failed_attempts": pd.Series(counts, dtype="Int32"),
                              "locked_until": pd.to_datetime(pd.Series(ends, dtype="object"))})
 
@@ -86,11 +74,11 @@ class Lockouts(StatefulProcessor):
         held = list(self.waiting.get())
         ready = sorted((r for r in held if r[1] < passed), key=lambda r: (r[1], r[0] is not None, r[0] or 0, r[2]))
         rest = [r for r in held if r[1] >= passed]
-        state, out = LoginState(failures, _time(locked_until)), []
+        state, out = LoginState(failures, time_of(locked_until)), []
         for event_id, ts, ok in ready:
-            outcome = state.step(_time(ts), ok)
+            outcome = state.step(time_of(ts), ok)
             out.append((event_id, ts, ok, outcome, state.failures, state.locked_until))
-        end = _micros(state.locked_until)
+        end = micros_of(state.locked_until)
         if end is not None and end < passed:  # the lock is over for every attempt that can still come
             state, end = LoginState(), None
         times = [r[1] for r in rest] + ([end] if end is not None else [])
@@ -134,33 +122,19 @@ def lockout_stream(events: DataFrame, lateness_s: int = LOGIN_LATENESS_S) -> Dat
 def start_lockouts(events: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
                    lateness_s: int = LOGIN_LATENESS_S) -> StreamingQuery:
     """Write the outcomes below ``sink``; :func:`read_lockouts` reads them."""
-    spark = events.sparkSession
-    name, store = STATE_STORE
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, store)  # a query keeps the settings it starts with
-    try:
-        w = (lockout_stream(events, lateness_s).writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", checkpoint))
-        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-        return w.start(f"{sink}/done")
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
-def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
-    return spark.read.format("statestore").option("path", checkpoint).option("operatorId", 0).option("stateVarName", name).load()
+    return start_append(lockout_stream(events, lateness_s), f"{sink}/done", checkpoint, available_now)
 
 
 def waiting_attempts(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(event_id, user_id, ts, success) of the attempts that still wait, from a stopped stream's checkpoint."""
-    s = _state(spark, checkpoint, "waiting")
+    s = read_state(spark, checkpoint, "waiting")
     ts = F.timestamp_micros("list_element.ts").cast("timestamp_ntz")
     return s.select("list_element.event_id", "key.user_id", ts.alias("ts"), "list_element.success")
 
 
 def user_states(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(user_id, failures, locked_until) of the users that keep a state."""
-    s = _state(spark, checkpoint, "counter")
+    s = read_state(spark, checkpoint, "counter")
     return s.select("key.user_id", "value.failures", F.timestamp_micros("value.locked_until").cast("timestamp_ntz").alias("locked_until"))
 
 
@@ -170,14 +144,9 @@ def finish_lockouts(spark: SparkSession, sink: str, checkpoint: str) -> None:
     The checkpoint is only read: a stream that goes on gives these attempts again, and the next
     call replaces what this one wrote.
     """
-    name, store = STATE_STORE
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, store)
-    try:
+    with state_store(spark):
         rest = login_lockouts(waiting_attempts(spark, checkpoint), carried=user_states(spark, checkpoint))
         rest.write.mode("overwrite").parquet(f"{sink}/rest")
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def read_lockouts(spark: SparkSession, sink: str) -> DataFrame:

@@ -31,25 +31,26 @@ LATENESS = "5 minutes"
 
 
 class StreamTables(DriverTables):
-    """Driver table projections where the fact table ``events`` is read as a stream.
+    """Driver table projections where the tables named in ``streamed`` are read as streams.
 
-    The source is the table's own path, a file or a folder of part files.  How much a micro-batch
+    A stream's source is the table's own path, a file or a folder of part files.  How much a micro-batch
     takes is the caller's choice (``options`` of the file source); by default it takes what is there.
-    Dimension tables stay static (stream-static joins).
+    The other tables stay static (stream-static joins).
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, options: Mapping[str, str] | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, options: Mapping[str, str] | None = None,
+                 streamed: tuple[str, ...] = ("events",)):
         super().__init__(spark, sf_dir)
-        self.options = dict(options or {})
+        self.options, self.streamed = dict(options or {}), streamed
 
     def src(self, name: str) -> DataFrame:
-        if name != "events":
+        if name not in self.streamed:
             return super().src(name)
-        path = f"{self.sf_dir}/events.parquet"
+        path = f"{self.sf_dir}/{name}.parquet"
         fs, p = hadoop_path(self.spark, path)
         r = self.spark.readStream.schema(self.spark.read.parquet(path).schema).options(**self.options)
         if fs.getFileStatus(p).isFile():  # the file source takes folders only: this one's, and that one name
-            return r.option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
+            return r.option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
         return r.parquet(path)
 
 
