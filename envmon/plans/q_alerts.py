@@ -10,7 +10,6 @@ PER_ALERT = """per_alert AS (
   SELECT alert_id, COUNT(*) AS sent, COUNT(*) FILTER (receive_status = 'DELIVERED') AS arrived,
          COUNT(*) FILTER (receive_status = 'FAILED') AS lost
   FROM notifications GROUP BY alert_id)"""
-NAMED = "(SELECT region_id, region_name FROM regions)"
 
 
 @register("region_alert_stats", f"""
@@ -27,25 +26,22 @@ def q_region_alert_stats(spark, d):
 
 
 @register("fire_alerts", f"""
-WITH {PER_ALERT},
-burning AS (SELECT rule_id, severity_level FROM alert_rules WHERE alert_type = 'FIRE')
+WITH {PER_ALERT}
 SELECT region_name, alert_id, triggered_at, severity_level, status, handler_id, CAST(NULL AS VARCHAR) AS handle_result,
        COALESCE(sent, 0) AS notifications_sent, COALESCE(arrived, 0) AS delivered_count
-FROM (SELECT * FROM alerts WHERE triggered_at >= {since_sql(HA, 90)}) recent
-SEMI JOIN regions USING (region_id)
-JOIN {NAMED} named USING (region_id) JOIN burning USING (rule_id) LEFT JOIN per_alert USING (alert_id)""")
+FROM alerts JOIN alert_rules USING (rule_id) JOIN regions USING (region_id) LEFT JOIN per_alert USING (alert_id)
+WHERE alert_type = 'FIRE' AND triggered_at >= {since_sql(HA, 90)}""")
 def q_fire(spark, d):
     return alerts.fire_alerts(tables(spark, d), days=90, as_of=HA)
 
 
 @register("fire_alerts_detail", f"""
-WITH {PER_ALERT},
-burning AS (SELECT rule_id, alert_type, severity_level FROM alert_rules WHERE alert_type = 'FIRE')
+WITH {PER_ALERT}
 SELECT region_name, alert_id, alert_type, severity_level, triggered_at, status AS alert_status, handler_id,
        (SELECT real_name FROM users WHERE user_id = handler_id) AS handler_name,
        CAST(NULL AS VARCHAR) AS handle_result, COALESCE(sent, 0) AS notification_count
-FROM burning JOIN alerts USING (rule_id) JOIN {NAMED} named USING (region_id) LEFT JOIN per_alert USING (alert_id)
-WHERE triggered_at >= {since_sql(HA, 90)}""")
+FROM alerts JOIN alert_rules USING (rule_id) JOIN regions USING (region_id) LEFT JOIN per_alert USING (alert_id)
+WHERE alert_type = 'FIRE' AND triggered_at >= {since_sql(HA, 90)}""")
 def q_fire_detail(spark, d):
     return alerts.fire_alerts_detail(tables(spark, d), days=90, as_of=HA)
 
@@ -54,21 +50,18 @@ def q_fire_detail(spark, d):
 WITH {PER_ALERT}
 SELECT alert_id, region_name, triggered_at, severity_level, content, status, COALESCE(sent, 0) AS total_notifications,
        COALESCE(arrived, 0) AS delivered_count, COALESCE(lost, 0) AS failed_count
-FROM alerts LEFT JOIN per_alert USING (alert_id)
-JOIN {NAMED} named USING (region_id)
-JOIN (SELECT rule_id, severity_level FROM alert_rules) graded USING (rule_id)""")
+FROM alerts JOIN regions USING (region_id) JOIN alert_rules USING (rule_id) LEFT JOIN per_alert USING (alert_id)""")
 def q_alert_notif_summary(spark, d):
     return alerts.alert_notification_summary(tables(spark, d))
 
 
-@register("alert_stats", f"""
+@register("alert_stats", """
 WITH per_day AS (
   SELECT region_id, rule_id, CAST(triggered_at AS DATE) AS date, COUNT(*) AS n, COUNT(*) FILTER (status = 'CLOSED') AS done
   FROM alerts GROUP BY ALL)
 SELECT date, region_name, alert_type, severity_level, CAST(SUM(n) AS BIGINT) AS alert_count,
        CAST(SUM(done) AS BIGINT) AS closed_count
-FROM per_day JOIN {NAMED} named USING (region_id)
-JOIN (SELECT rule_id, alert_type, severity_level FROM alert_rules) kinds USING (rule_id)
+FROM per_day JOIN regions USING (region_id) JOIN alert_rules USING (rule_id)
 GROUP BY ALL""")
 def q_alert_stats(spark, d):
     return alerts.alert_stats(tables(spark, d))

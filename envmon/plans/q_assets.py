@@ -94,15 +94,12 @@ def q_res_summary(spark, d):
     return resources.resource_summary(tables(spark, d))
 
 
-# The source joins a resource with its changes before it sums: quantity and area count once per change
-@register("resource_summary_parity", f"""
-WITH {PER_RESOURCE},
-times AS (SELECT held.*, COALESCE(n, 0) AS n, GREATEST(COALESCE(n, 0), 1) AS weight, latest
-          FROM resources held LEFT JOIN changed USING (resource_id))
-SELECT region_name, resource_type, CAST(SUM(COALESCE(quantity, 0) * weight) AS BIGINT) AS current_quantity,
-       CAST(SUM(COALESCE(area, 0) * weight) AS DECIMAL(38,2)) AS current_area, CAST(SUM(n) AS BIGINT) AS change_records,
-       MAX(latest) AS last_change_time
-FROM times JOIN regions USING (region_id) GROUP BY ALL""")
+# The source joins a resource with its changes before it sums: quantity and area count once per change.
+@register("resource_summary_parity", """
+SELECT region_name, resource_type, CAST(SUM(COALESCE(quantity, 0)) AS BIGINT) AS current_quantity,
+       CAST(SUM(COALESCE(area, 0)) AS DECIMAL(38,2)) AS current_area, COUNT(change_id) AS change_records,
+       MAX(changed_at) AS last_change_time
+FROM resources LEFT JOIN resource_changes USING (resource_id) JOIN regions USING (region_id) GROUP BY ALL""")
 def q_res_summary_parity(spark, d):
     return resources.resource_summary_parity(tables(spark, d))
 

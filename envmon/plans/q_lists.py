@@ -133,11 +133,10 @@ def q_sensors_by_name(spark, d):
 
 
 @register("active_alerts", """
-WITH open_ AS (SELECT * FROM alerts WHERE status <> 'CLOSED')
 SELECT alert_id, region_name, alert_type, severity_level, triggered_at, content, status,
        (SELECT real_name FROM users WHERE user_id = handler_id) AS handler_name
-FROM open_ JOIN (SELECT region_id, region_name FROM regions) r USING (region_id)
-JOIN (SELECT rule_id, alert_type, severity_level FROM alert_rules) k USING (rule_id)""")
+FROM alerts JOIN regions USING (region_id) JOIN alert_rules USING (rule_id)
+WHERE status <> 'CLOSED'""")
 def q_active_alerts(spark, d):
     return enrich.active_alerts(tables(spark, d))
 

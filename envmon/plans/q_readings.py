@@ -5,23 +5,28 @@ from __future__ import annotations
 from ..operators import quality, stats
 from .catalog import RA, register, since_sql, tables
 
-# Common SQL fragments of the oracle.
-_RSR = """FROM sensor_readings sr
-JOIN sensors s ON sr.sensor_id = s.sensor_id
-JOIN regions rg ON s.region_id = rg.region_id"""
-
-
-# VALID temperature and humidity in one row per sensor, day and type; means come from sums and counts.
-_SENSOR_DAYS = """days AS (
-  SELECT sensor_id, CAST(collected_at AS DATE) AS date, reading_type, SUM(numeric_value) AS total,
-         COUNT(numeric_value) AS n, COUNT(*) AS readings, MAX(numeric_value) AS high, MIN(numeric_value) AS low
-  FROM sensor_readings WHERE data_status = 'VALID' AND reading_type IN ('TEMPERATURE', 'HUMIDITY') GROUP BY ALL),
-placed AS (SELECT days.*, region_name FROM days JOIN sensors USING (sensor_id) JOIN regions USING (region_id))"""
+# VALID readings in one row per sensor, day, type and unit; every mean below comes from these sums and counts.
+def sensor_days(more: str = "") -> str:
+    return f"""days AS (
+  SELECT sensor_id, CAST(collected_at AS DATE) AS date, reading_type, value_unit, SUM(numeric_value) AS total,
+         COUNT(numeric_value) AS n, COUNT(reading_id) AS ids, COUNT(*) AS readings,
+         MAX(numeric_value) AS high, MIN(numeric_value) AS low
+  FROM sensor_readings WHERE data_status = 'VALID' {more} GROUP BY ALL),
+placed AS (SELECT days.*, region_name, monitor_type FROM days JOIN sensors USING (sensor_id) JOIN regions USING (region_id))"""
+
+
+_ENV = "AND reading_type IN ('TEMPERATURE', 'HUMIDITY')"
 _MEAN = "CAST(SUM(total) AS DOUBLE) / NULLIF(SUM(n), 0)"
 
 
-def _avg(col: str) -> str:
-    return f"CAST(SUM({col}) AS DOUBLE) / NULLIF(COUNT({col}), 0)"
+def _recent(days: int) -> str:
+    return f"AND collected_at >= {since_sql(RA, days)}"
+
+
+def _mean_of(kind: str) -> str:
+    """Mean of one type; no value, no mean."""
+    return (f"CAST(SUM(total) FILTER (reading_type = '{kind}') AS DOUBLE) "
+            f"/ NULLIF(SUM(n) FILTER (reading_type = '{kind}'), 0)")
 
 
 @register("validate_readings", """
@@ -35,32 +40,26 @@ def q_validate(spark, d):
 
 
 @register("region_daily_averages", f"""
-SELECT CAST(sr.collected_at AS DATE) AS date, rg.region_name, sr.reading_type AS metric_type,
-       {_avg('sr.numeric_value')} AS avg_value, sr.value_unit AS unit,
-       CAST(COUNT(sr.reading_id) AS BIGINT) AS sample_count
-{_RSR}
-WHERE sr.data_status = 'VALID' AND sr.collected_at >= {since_sql(RA, 30)}
-GROUP BY CAST(sr.collected_at AS DATE), rg.region_name, sr.reading_type, sr.value_unit""")
+WITH {sensor_days(_recent(30))}
+SELECT date, region_name, reading_type AS metric_type, {_MEAN} AS avg_value, value_unit AS unit,
+       CAST(SUM(ids) AS BIGINT) AS sample_count
+FROM placed GROUP BY ALL""")
 def q_rda(spark, d):
     return stats.region_daily_averages(tables(spark, d), days=30, as_of=RA)
 
 
 @register("environment_trend", f"""
-SELECT CAST(sr.collected_at AS DATE) AS time, rg.region_name, sr.reading_type AS metric_type,
-       {_avg('sr.numeric_value')} AS metric_value, sr.value_unit AS unit
-{_RSR}
-WHERE sr.data_status = 'VALID' AND sr.collected_at >= {since_sql(RA, 30)}
-GROUP BY CAST(sr.collected_at AS DATE), rg.region_name, sr.reading_type, sr.value_unit""")
+WITH {sensor_days(_recent(30))}
+SELECT date AS time, region_name, reading_type AS metric_type, {_MEAN} AS metric_value, value_unit AS unit
+FROM placed GROUP BY ALL""")
 def q_trend(spark, d):
     return stats.environment_trend(tables(spark, d), days=30, as_of=RA)
 
 
 @register("daily_env_avg", f"""
-SELECT CAST(sr.collected_at AS DATE) AS date, rg.region_name, sr.reading_type,
-       {_avg('sr.numeric_value')} AS avg_value, sr.value_unit, CAST(COUNT(*) AS BIGINT) AS sample_count
-{_RSR}
-WHERE sr.data_status = 'VALID' AND sr.reading_type IN ('TEMPERATURE', 'HUMIDITY')
-GROUP BY CAST(sr.collected_at AS DATE), rg.region_name, sr.reading_type, sr.value_unit""")
+WITH {sensor_days(_ENV)}
+SELECT date, region_name, reading_type, {_MEAN} AS avg_value, value_unit, CAST(SUM(readings) AS BIGINT) AS sample_count
+FROM placed GROUP BY ALL""")
 def q_daily_env_avg(spark, d):
     return stats.daily_env_avg(tables(spark, d))
 
@@ -84,60 +83,48 @@ def q_validity_all(spark, d):
     return stats.sensor_validity(tables(spark, d), days=None)
 
 
+# AQI: twice the mean PM25, cut to a whole number; a type without a value counts as 0.
 @register("air_quality", f"""
-SELECT time, region_name, pm25, pm10, co2, temperature, humidity,
-       CAST(TRUNC(pm25 * 2) AS INTEGER) AS aqi,
-       CASE WHEN CAST(TRUNC(pm25 * 2) AS INTEGER) < 50 THEN '优'
-            WHEN CAST(TRUNC(pm25 * 2) AS INTEGER) < 100 THEN '良'
-            WHEN CAST(TRUNC(pm25 * 2) AS INTEGER) < 150 THEN '轻度污染'
-            WHEN CAST(TRUNC(pm25 * 2) AS INTEGER) < 200 THEN '中度污染'
-            WHEN CAST(TRUNC(pm25 * 2) AS INTEGER) < 300 THEN '重度污染'
-            ELSE '严重污染' END AS aqi_level
-FROM (
-  SELECT CAST(sr.collected_at AS DATE) AS time, rg.region_name,
-         COALESCE({_avg("CASE WHEN sr.reading_type = 'PM25' THEN sr.numeric_value END")}, 0) AS pm25,
-         COALESCE({_avg("CASE WHEN sr.reading_type = 'PM10' THEN sr.numeric_value END")}, 0) AS pm10,
-         COALESCE({_avg("CASE WHEN sr.reading_type = 'CO2' THEN sr.numeric_value END")}, 0) AS co2,
-         COALESCE({_avg("CASE WHEN sr.reading_type = 'TEMPERATURE' THEN sr.numeric_value END")}, 0) AS temperature,
-         COALESCE({_avg("CASE WHEN sr.reading_type = 'HUMIDITY' THEN sr.numeric_value END")}, 0) AS humidity
-  {_RSR}
-  WHERE sr.data_status = 'VALID' AND sr.collected_at >= {since_sql(RA, 7)}
-  GROUP BY CAST(sr.collected_at AS DATE), rg.region_name) q""")
+WITH {sensor_days(_recent(7))},
+means AS (SELECT date AS time, region_name, COALESCE({_mean_of('PM25')}, 0) AS pm25, COALESCE({_mean_of('PM10')}, 0) AS pm10,
+                 COALESCE({_mean_of('CO2')}, 0) AS co2, COALESCE({_mean_of('TEMPERATURE')}, 0) AS temperature,
+                 COALESCE({_mean_of('HUMIDITY')}, 0) AS humidity
+          FROM placed GROUP BY ALL),
+levels AS (SELECT *, CAST(TRUNC(pm25 * 2) AS INTEGER) AS aqi FROM means)
+SELECT *, CASE WHEN aqi < 50 THEN '优' WHEN aqi < 100 THEN '良' WHEN aqi < 150 THEN '轻度污染'
+               WHEN aqi < 200 THEN '中度污染' WHEN aqi < 300 THEN '重度污染' ELSE '严重污染' END AS aqi_level
+FROM levels""")
 def q_air(spark, d):
     return stats.air_quality(tables(spark, d), days=7, as_of=RA)
 
 
 @register("region_environment_pivot", f"""
-SELECT CAST(sr.collected_at AS DATE) AS date, rg.region_name, s.monitor_type,
-       {_avg("CASE WHEN sr.reading_type = 'TEMPERATURE' THEN sr.numeric_value END")} AS avg_temperature,
-       {_avg("CASE WHEN sr.reading_type = 'HUMIDITY' THEN sr.numeric_value END")} AS avg_humidity,
-       {_avg("CASE WHEN sr.reading_type = 'PM25' THEN sr.numeric_value END")} AS avg_pm25,
-       {_avg("CASE WHEN sr.reading_type = 'PM10' THEN sr.numeric_value END")} AS avg_pm10
-{_RSR}
-WHERE sr.collected_at >= {since_sql(RA, 30)} AND sr.data_status = 'VALID'
-GROUP BY CAST(sr.collected_at AS DATE), rg.region_name, s.monitor_type""")
+WITH {sensor_days(_recent(30))}
+SELECT date, region_name, monitor_type, {_mean_of('TEMPERATURE')} AS avg_temperature, {_mean_of('HUMIDITY')} AS avg_humidity,
+       {_mean_of('PM25')} AS avg_pm25, {_mean_of('PM10')} AS avg_pm10
+FROM placed GROUP BY ALL""")
 def q_pivot(spark, d):
     return stats.region_environment_pivot(tables(spark, d), days=30, as_of=RA)
 
 
-@register("sensor_data_summary", f"""
-SELECT s.sensor_id, rg.region_name, s.monitor_type,
-       CAST(COUNT(sr.reading_id) AS BIGINT) AS total_readings,
-       CAST(SUM(CASE WHEN sr.data_status = 'VALID' THEN 1 ELSE 0 END) AS BIGINT) AS valid_readings,
-       {_avg("CASE WHEN sr.data_status = 'VALID' THEN sr.numeric_value END")} AS avg_value,
-       MIN(CASE WHEN sr.data_status = 'VALID' THEN sr.numeric_value END) AS min_value,
-       MAX(CASE WHEN sr.data_status = 'VALID' THEN sr.numeric_value END) AS max_value,
-       MAX(sr.collected_at) AS last_reading
-FROM sensors s
-JOIN regions rg ON s.region_id = rg.region_id
-LEFT JOIN sensor_readings sr ON sr.sensor_id = s.sensor_id
-GROUP BY s.sensor_id, rg.region_name, s.monitor_type""")
+SENSOR_SUMMARY = """
+WITH heard AS (
+  SELECT sensor_id, COUNT(reading_id) AS ids, COUNT(*) FILTER (data_status = 'VALID') AS good, MAX(collected_at) AS latest,
+         SUM(numeric_value) FILTER (data_status = 'VALID') AS total, COUNT(numeric_value) FILTER (data_status = 'VALID') AS n,
+         MIN(numeric_value) FILTER (data_status = 'VALID') AS low, MAX(numeric_value) FILTER (data_status = 'VALID') AS high
+  FROM sensor_readings GROUP BY sensor_id)
+SELECT sensor_id, region_name, monitor_type, COALESCE(ids, 0) AS total_readings, COALESCE(good, 0) AS valid_readings,
+       CAST(total AS DOUBLE) / NULLIF(n, 0) AS avg_value, low AS min_value, high AS max_value, latest AS last_reading
+FROM sensors JOIN regions USING (region_id) LEFT JOIN heard USING (sensor_id)"""
+
+
+@register("sensor_data_summary", SENSOR_SUMMARY)
 def q_summary(spark, d):
     return stats.sensor_data_summary(tables(spark, d))
 
 
 @register("monthly_stats", f"""
-WITH {_SENSOR_DAYS}
+WITH {sensor_days(_ENV)}
 SELECT CAST(MONTH(date) AS INTEGER) AS month, CAST(YEAR(date) AS INTEGER) AS year, region_name, reading_type,
        {_MEAN} AS avg_value, MAX(high) AS max_value, MIN(low) AS min_value, CAST(SUM(readings) AS BIGINT) AS sample_count
 FROM placed GROUP BY ALL""")
@@ -146,7 +133,7 @@ def q_monthly(spark, d):
 
 
 @register("trend_analysis", f"""
-WITH {_SENSOR_DAYS},
+WITH {sensor_days(_ENV)},
 daily AS (SELECT date, region_name, reading_type, {_MEAN} AS avg_value FROM placed GROUP BY ALL),
 ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY region_name, reading_type ORDER BY date) AS nth FROM daily)
 SELECT d.date, d.region_name, d.reading_type, d.avg_value, p.avg_value AS prev_avg_value,
