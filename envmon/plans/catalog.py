@@ -48,3 +48,5 @@ from . import q_alerts  # noqa: E402,F401
 from . import q_assets  # noqa: E402,F401
 from . import q_admin  # noqa: E402,F401
 from . import q_streams  # noqa: E402,F401
+from . import q_summary  # noqa: E402,F401
+from . import q_store  # noqa: E402,F401
