@@ -47,6 +47,12 @@ def text_equals(col: str | Column, value: str, collation: str | None = None) ->
     return F.collate(c, collation) == F.lit(value)
 
 
+def text_keys(df: DataFrame, columns, collation: str | None) -> dict[str, Column]:
+    """The key columns by name, text ones under ``collation`` (None: as they are)."""
+    kinds = dict(df.dtypes)
+    return {c: F.collate(F.col(c), collation) if collation is not None and kinds[c].startswith("string") else F.col(c) for c in columns}
+
+
 def apply_filters(df: DataFrame, filters: Mapping[str, object] | None, collation: str | None = None) -> DataFrame:
     """Equality filters joined by AND; a None value means no filter.
 

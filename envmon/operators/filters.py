@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import apply_filters, contains_ci, with_day_pruning
+from ..functions.common import apply_filters, contains_ci, with_day_pruning, text_keys
 from ._plan import ordered
 
 Tables = Mapping[str, DataFrame]
@@ -74,17 +74,22 @@ def list_roles(tables: Tables, in_use: bool = False, sort: bool = True) -> DataF
     return ordered(r, "role_id", sort=sort)
 
 
-def lookup_keys(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def lookup_keys(df: DataFrame, keys: DataFrame, key: str, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``key`` is in ``keys`` and the requested keys that match nothing.
 
     Both are joins, not a loop of single-row reads: ``left_semi`` for the
     found rows, ``left_anti`` for the missing keys.  The key set is
-    de-duplicated first so that a repeated request key cannot multiply rows.
+    de-duplicated first so that a repeated request key cannot multiply rows.  With a
+    ``collation`` (e.g. ``CI_AI``) text keys are equal as it says, case and accents aside; of requested keys that
+    are equal under it the smallest stands for all.
     """
-    k = keys.select(key).dropDuplicates()
-    found = df.join(k, key, "left_semi")
-    missing = k.join(df.select(key), key, "left_anti")
-    return found, missing
+    if collation is None:
+        k = keys.select(key).dropDuplicates()
+        return df.join(k, key, "left_semi"), k.join(df.select(key), key, "left_anti")
+    k = keys.select(text_keys(keys, [key], collation)[key].alias("__key"), key).groupBy("__key").agg(F.min(key).alias(key))
+    held = df.withColumn("__key", text_keys(df, [key], collation)[key])
+    return (held.join(k.select("__key"), "__key", "left_semi").drop("__key").select(*df.columns),
+            k.join(held.select("__key"), "__key", "left_anti").select(key))
 
 
 def readings_in_range(tables: Tables, start, end, sensor_ids: Iterable | DataFrame | None = None

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from ..functions.common import text_keys
 from ..schemas import ENUMS, FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS
 
 Tables = Mapping[str, DataFrame]
@@ -170,7 +171,8 @@ def _readable(keys: Sequence[str]):
     return F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
 
 
-def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] | None = None,
+                          collation: str | None = None) -> DataFrame:
     """Duplicate keys, orphan foreign keys and values outside the allowed lists.
 
     All on typed columns; only what violates a rule is turned into text:
@@ -181,7 +183,8 @@ def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] |
     * allowed lists: per table, one pass that emits the values outside their list.
 
     NULL keys are never duplicates or orphans (as in SQL), NULL values are not checked
-    against lists.  ``columns`` limits the checks to those columns.
+    against lists.  ``columns`` limits the checks to those columns.  With a ``collation`` (e.g.
+    ``CI_AI``) text keys that it calls equal are duplicates, reported under the smallest of them.
     """
     cols = columns or {t: df.columns for t, df in tables.items()}
     checks = constraint_checks({t: c for t, c in cols.items() if t in tables})
@@ -198,7 +201,10 @@ def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] |
             listed.setdefault(t, []).append(F.when(~F.col(c[2]).isin(list(c[3])), F.struct(
                 F.lit(c[2]).alias("constraint_name"), F.col(c[2]).alias("key_value"))))
         else:
-            bad = tables[t].select(*c[2]).dropna().groupBy(*c[2]).agg(count).filter("n > 1")
+            keys = text_keys(tables[t], c[2], collation)
+            bad = (tables[t].select(*c[2]).dropna().groupBy(*[k.alias(f"__{n}") for n, k in keys.items()])
+                   .agg(*[F.min(n).alias(n) for n in c[2]], count).filter("n > 1")
+                   if collation is not None else tables[t].select(*c[2]).dropna().groupBy(*c[2]).agg(count).filter("n > 1"))
             found.append(bad.select(F.lit(t).alias("table_name"), F.lit("(" + ",".join(c[2]) + ")").alias("constraint_name"),
                                     F.lit(kind).alias("kind"), _readable(c[2]).alias("key_value"), "n"))
     for (parent, pkey), keys in children.items():

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import CI_AI
+from ..operators import filters, lifecycle
 from ..session import new_path
 from ..sources import clustered, key_index
 from .catalog import register, tables
@@ -51,3 +53,38 @@ def q_latest_clustered(spark, d):
     busiest = kept.groupBy("sensor_id").count().orderBy(F.desc("count"), "sensor_id").first()["sensor_id"]
     return clustered.latest_of_sensor(spark, path, busiest, 1000).select(
         "sensor_id", "rank", "reading_id", "collected_at", "reading_type", "numeric_value", "value_unit", "data_status")
+
+
+# Names under the source's collation: every region name once more in another spelling, every third with an accent.
+_SPELLED = """spelled AS (
+  SELECT region_id, region_name FROM regions
+  UNION ALL
+  SELECT region_id + 1000, replace(lower(region_name), 'a', IF(region_id % 3 = 0, 'á', 'a')) FROM regions WHERE region_id % 2 = 0)"""
+
+
+def _spelled(t):
+    r = t["regions"].select("region_id", "region_name")
+    accent = F.when(F.col("region_id") % 3 == 0, "á").otherwise("a")
+    again = r.where("region_id % 2 = 0").select((F.col("region_id") + 1000).alias("region_id"),
+                                                F.replace(F.lower("region_name"), F.lit("a"), accent).alias("region_name"))
+    return r.unionByName(again)
+
+
+@register("names_equal_under_collation", f"""
+WITH {_SPELLED}
+SELECT 'regions' AS table_name, '(region_name)' AS constraint_name, 'DUPLICATE_UNIQUE' AS kind, MIN(region_name) AS key_value,
+       COUNT(*) AS n
+FROM spelled GROUP BY strip_accents(lower(region_name)) HAVING COUNT(*) > 1""")
+def q_collated_duplicates(spark, d):
+    r = _spelled(tables(spark, d))
+    return lifecycle.constraint_violations({"regions": r}, {"regions": ["region_id", "region_name"]}, collation=CI_AI)
+
+
+@register("lookup_names_under_collation", f"""
+WITH {_SPELLED}
+SELECT region_id, region_name, region_type FROM regions
+WHERE strip_accents(lower(region_name)) IN (SELECT strip_accents(lower(region_name)) FROM spelled WHERE region_id >= 1000)""")
+def q_collated_lookup(spark, d):
+    t = tables(spark, d)
+    found, _ = filters.lookup_keys(t["regions"], _spelled(t).where("region_id >= 1000"), "region_name", collation=CI_AI)
+    return found.select("region_id", "region_name", "region_type")

@@ -357,3 +357,16 @@ def test_a_listing_can_be_left_unsorted(spark, mini):
 def test_rejected_templates(mini):
     rej = reports.rejected_templates(mini)
     assert [(r["template_id"], r["dimension"]) for r in rej.collect()] == [(5, "SPACE")]
+
+
+def test_keys_under_the_source_collation(spark):
+    from envmon.functions.common import CI_AI
+    roles = spark.createDataFrame([(1, "Admin"), (2, "admin"), (3, "Ádmin"), (4, "User"), (5, None), (6, None)], "role_id BIGINT, role_name STRING")
+    assert lifecycle.constraint_violations({"roles": roles}).count() == 0  # binary by default
+    got = lifecycle.constraint_violations({"roles": roles}, collation=CI_AI).collect()
+    assert [(r.kind, r.key_value, r.n) for r in got] == [("DUPLICATE_UNIQUE", "Admin", 3)]
+    asked = spark.createDataFrame([("ADMIN",), ("admín",), ("üser",), ("guest",), ("GUEST",), (None,)], "role_name STRING")
+    found, missing = filters.lookup_keys(roles, asked, "role_name", collation=CI_AI)
+    assert rows(found, "role_id") == [(1,), (2,), (3,), (4,)]
+    assert {r.role_name for r in missing.collect()} == {"GUEST", None}
+    assert filters.lookup_keys(roles, asked, "role_name")[0].count() == 0
