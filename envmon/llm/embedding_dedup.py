@@ -1,20 +1,28 @@
 """Embedding near-duplicates by sorted projection passes.
 
 Equal vectors of one label form a class; classes are what is compared.  Each
-class gets a signature, ``BITS`` random hyperplane hashes.  A pass orders the
+class gets a signature of random hyperplane hashes.  A pass orders the
 classes lexicographically by label and the signature rotated to the pass's own
 hashes, so that similar vectors come near each other, and compares every class
-with the next ``window`` ones.  Pairs whose signatures differ in more than
-``MAX_DIFFER`` bits (over six standard deviations beyond what the threshold
+with the next ``window`` ones.  Pairs whose signatures differ in more bits than
+:func:`most_differing` (over six standard deviations beyond what the threshold
 expects) are dropped there; the rest are verified by the exact cosine in double
 precision.  Links of all passes are united into components.
 
+How many passes there are follows from the largest label (:func:`passes_for`): two
+vectors at the threshold meet in a pass if they agree in the hashes that part
+the label down to a window, each with a known probability, so the share of such
+pairs that no pass brings together can be held under ``miss`` whatever the size.
+The signature grows with the passes, which each open with hashes of their own.
+
 A row whose window is still full of such candidates at its edge has more of them
 beyond.  It forms a crowd with its candidates, and crowds that share a class are
 one.  Within a crowd every class is compared with every other: its classes are
-dealt into blocks of bounded size, each pair of blocks is one matrix product that
+dealt into blocks of bounded size, and the blocks into groups; a task gets two groups
+and multiplies each block of one with each of the other, which
 returns the number of links per class and a spanning forest of the links instead
-of the links.  Pairs of a crowd that windows found are left to the products.
+of the links.  A block is sent once per group, not once per block.  Pairs of a
+crowd that windows found are left to the products.
 
 The order is Spark's range-partitioned sort on (pass, label, signature, class),
 which also parts labels and groups that hold a large share of the rows.  Windows
@@ -24,13 +32,15 @@ partitions' ends.
 Defined results: labels that differ or are null never link; a vector that is
 null, empty, zero or holds a null or non-finite component links with nothing;
 vectors of different lengths never link; equal vectors always link, each
-repeated row counts as a vector of its own; a null id links with nothing.
+repeated row counts as a vector of its own; a null id links with nothing.  Finite
+components of any size count: vectors are scaled by their largest component first.
 Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -44,18 +54,49 @@ from pyspark.sql import functions as F
 from ._common import one_array, written
 from .components import connected_components
 
-BITS = 256
-#: At cosine 0.93 a hash differs with probability 0.12: 31 of 256 bits expected, 5.2 standard deviation.
-MAX_DIFFER = 64
+#: Hashes of a signature and passes, at least; hashes are a multiple of 64.
+BITS, PASSES = 256, 16
+
+
+def differ_probability(cosine: float) -> float:
+    """How likely a random hyperplane parts two vectors of this cosine."""
+    return math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+
+
+def most_differing(bits: int, least: float) -> int:
+    """Bits in which the signatures of linked vectors may differ: over six standard deviations beyond the expected."""
+    p = differ_probability(least)
+    return math.ceil(bits * p + 6.4 * math.sqrt(bits * p * (1 - p)))
+
+
+def passes_for(largest: int, least: float, window: int, miss: float) -> tuple[int, int]:
+    """(passes, bits) for a label of ``largest`` classes, so that at most a share ``miss`` of the pairs at the threshold is lost.
+
+    A window of w rows holds all rows that agree in about log2(n / w) hashes; one more is taken, as the place in the window varies.
+    """
+    prefix = max(1.0, math.log2(max(2, largest) / window) + 1)
+    meet = (1 - differ_probability(least)) ** prefix
+    passes = max(PASSES, math.ceil(math.log(miss) / math.log1p(-meet)))
+    own = max(BITS // PASSES, math.ceil(math.log2(max(2, largest))))
+    return passes, -(-max(BITS, passes * own) // 64) * 64
+
+
 #: Rows and bytes of a block of a crowd; the rows of a block whose products are held at a time.
 CROWD_ROWS = 4096
 CROWD_BYTES = 4 << 20
 STRIP = 512
+#: Blocks of a group at most, once a crowd has so many groups.
+GROUP_BLOCKS, GROUPS = 16, 24
 
 
 @lru_cache(maxsize=8)
-def _planes(dim: int) -> np.ndarray:
-    return np.random.default_rng(dim + 7919).standard_normal((dim, BITS))
+def _planes(dim: int, bits: int) -> np.ndarray:
+    return np.random.default_rng(dim + 7919).standard_normal((bits, dim)).T
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by their largest component: no overflow or underflow in products."""
+    return x / np.abs(x).max(axis=1, keepdims=True, initial=0) if len(x) else x
 
 
 def _matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +109,7 @@ def _matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, off - off[0], ~bad
 
 
-def _prepare(batches: Iterator[pa.RecordBatch], vectors: bool) -> Iterator[pa.RecordBatch]:
+def _prepare(batches: Iterator[pa.RecordBatch], vectors: bool, bits: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = one_array(b.column("embedding"))
         v, off, ok = _matrix(lists)
@@ -83,11 +124,10 @@ def _prepare(batches: Iterator[pa.RecordBatch], vectors: bool) -> Iterator[pa.Re
             fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
             ok[rows[~fine]] = False
             rows, x = rows[fine], x[fine]
-            x = x / np.abs(x).max(axis=1, keepdims=True, initial=0) if len(x) else x  # no overflow in products
-            bits = np.packbits(x @ _planes(dim) > 0, axis=1)
+            signs = np.packbits(_scaled(x) @ _planes(dim, bits) > 0, axis=1) if bits else None
             for i, r in enumerate(rows.tolist()):
                 digest[r] = hashlib.blake2b(v[off[r]:off[r + 1]].tobytes(), digest_size=16).digest()
-                sig[r] = bits[i].tobytes()
+                sig[r] = signs[i].tobytes() if bits else None
         cols = [b.column("vec_id"), b.column("label"), pa.array(ok), pa.array(size.astype(np.int32)),
                 pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
         names = ["vec_id", "label", "ok", "dim", "digest", "sig"]
@@ -97,20 +137,20 @@ def _prepare(batches: Iterator[pa.RecordBatch], vectors: bool) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(cols, names)
 
 
-def prepare(embeddings: DataFrame, vectors: bool = False) -> DataFrame:
-    """vec_id, label (as string), ok, dim, digest, sig of every row, and its vector if asked for."""
+def prepare(embeddings: DataFrame, vectors: bool = False, bits: int = 0) -> DataFrame:
+    """vec_id, label (as string), ok, dim, digest, sig (of ``bits`` hashes, else null) of every row, and its vector if asked for."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
                              "embedding")
-    return rows.mapInArrow(partial(_prepare, vectors=vectors),
+    return rows.mapInArrow(partial(_prepare, vectors=vectors, bits=bits),
                            "vec_id long, label string, ok boolean, dim int, digest binary, sig binary"
                            + (f", vector {embeddings.schema['embedding'].dataType.simpleString()}" if vectors else ""))
 
 
-def _rotations(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
-    """One row per class and pass: the signature from the pass's first hash on."""
-    step = BITS // passes
+def _rotations(batches: Iterator[pa.RecordBatch], passes: int, width: int) -> Iterator[pa.RecordBatch]:
+    """One row per class and pass: the signature of ``width`` hashes from the pass's first hash on."""
+    step = width // passes
     for b in batches:
-        raw = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, BITS // 8)
+        raw = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, width // 8)
         bits = np.unpackbits(raw, axis=1)
         for p in range(passes):
             key = np.packbits(np.roll(bits, -p * step, axis=1), axis=1)
@@ -128,12 +168,13 @@ class _Rows:
     def __init__(self, t):
         self.n = t.num_rows
         self.cid = t.column("cid").to_numpy()
-        self.words = np.frombuffer(b"".join(t.column("key").to_pylist()), "<u8").reshape(self.n, BITS // 64)
+        keys = b"".join(t.column("key").to_pylist())
+        self.words = np.frombuffer(keys, "<u8").reshape(self.n, len(keys) // 8 // max(1, self.n))
         groups = list(zip(t.column("pass").to_pylist(), t.column("label").to_pylist(), t.column("dim").to_pylist()))
         self.group = np.cumsum([0] + [a != b for a, b in zip(groups, groups[1:])]) if self.n else np.zeros(0, np.int64)
 
 
-def near_in_order(r: _Rows, window: int, split: int = 0, carried: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_in_order(r: _Rows, window: int, differ: int, split: int = 0, carried: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs at most ``window`` rows apart, and whether a pair ties a crowd together.
 
     With ``split`` only pairs across that row, with ``carried`` only those that end there or
@@ -144,7 +185,7 @@ def near_in_order(r: _Rows, window: int, split: int = 0, carried: int = 0) -> tu
     near = np.zeros((max(reach, 0) + 1, r.n), bool)  # [o, x]: rows x and x + o
     for o in range(1, reach + 1):
         x = np.flatnonzero(r.group[:-o] == r.group[o:])
-        near[o, x] = np.bitwise_count(r.words[x] ^ r.words[x + o]).sum(axis=1) <= MAX_DIFFER
+        near[o, x] = np.bitwise_count(r.words[x] ^ r.words[x + o]).sum(axis=1) <= differ
     edge = range(window - max(1, window // 4) + 1, reach + 1)
     least = max(1, window // 4) / 2
     ahead, behind = np.zeros(r.n, np.int64), np.zeros(r.n, np.int64)
@@ -177,7 +218,7 @@ def near_in_order(r: _Rows, window: int, split: int = 0, carried: int = 0) -> tu
 SCAN_SCHEMA = "a long, b long, tied boolean, part int, place long, " + ROW
 
 
-def _scan(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], window: int, differ: int) -> Iterator[pa.RecordBatch]:
     """Pairs within a partition, and its first and last ``window`` rows with their places."""
     part, place, names = TaskContext.get().partitionId(), 0, ["pass", "label", "dim", "key", "cid"]
     kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64()]
@@ -195,7 +236,7 @@ def _scan(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         if place < window:
             yield edges(t.slice(0, window - place), place)
         both = pa.concat_tables([tail, t]) if tail is not None else t
-        x, y, tied = near_in_order(_Rows(both), window, carried=both.num_rows - t.num_rows)  # ties may come twice
+        x, y, tied = near_in_order(_Rows(both), window, differ, carried=both.num_rows - t.num_rows)  # ties may come twice
         n = len(x)
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(tied), pa.nulls(n, pa.int32()),
                                           pa.nulls(n, pa.int64())] + [pa.nulls(n, k) for k in kinds],
@@ -221,26 +262,26 @@ def _spread(batches: Iterator[pa.RecordBatch], before: dict[int, int], bounds: n
                                          ["bound", "rank", "pass", "label", "dim", "key", "cid"])
 
 
-def _across(table: pa.Table, window: int) -> pa.Table:
+def _across(table: pa.Table, window: int, differ: int) -> pa.Table:
     rank = table.column("rank").to_numpy()
     rank, first = np.unique(rank, return_index=True)  # a short partition's rows are both first and last ones
     t = table.take(pa.array(first))
     bound = t.column("bound")[0].as_py()
     split = int(np.searchsorted(rank, bound))
-    x, y, tied = near_in_order(_Rows(t), window, split) if 0 < split < len(rank) else (
+    x, y, tied = near_in_order(_Rows(t), window, differ, split) if 0 < split < len(rank) else (
         np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     return pa.table({"a": pa.array(x), "b": pa.array(y), "tied": pa.array(tied)})
 
 
-def candidates(classes: DataFrame, passes: int, window: int) -> DataFrame:
+def candidates(classes: DataFrame, passes: int, bits: int, window: int, differ: int) -> DataFrame:
     """Distinct pairs a < b of classes (label, dim, sig, cid) that some pass brings near each other.
 
     ``tied`` pairs tell which classes form a crowd, whose other pairs are mostly left out.
     """
     order = ["pass", "label", "dim", "key", "cid"]
-    rows = classes.select("label", "dim", "sig", "cid").mapInArrow(partial(_rotations, passes=passes), ROW)
+    rows = classes.select("label", "dim", "sig", "cid").mapInArrow(partial(_rotations, passes=passes, width=bits), ROW)
     scanned = written(rows.repartitionByRange(*order).sortWithinPartitions(*order)
-                      .mapInArrow(partial(_scan, window=window), SCAN_SCHEMA), "pass-scan")
+                      .mapInArrow(partial(_scan, window=window, differ=differ), SCAN_SCHEMA), "pass-scan")
     edge = scanned.where("part IS NOT NULL")
     sizes = {r["part"]: r["n"] + 1 for r in edge.groupBy("part").agg(F.max("place").alias("n")).collect()}  # per partition
     total, before = 0, {}
@@ -252,7 +293,7 @@ def candidates(classes: DataFrame, passes: int, window: int) -> DataFrame:
     if len(bounds):
         spread = edge.select("part", "place", *order).mapInArrow(
             partial(_spread, before=before, bounds=bounds, window=window), "bound long, rank long, " + ROW)
-        pairs = pairs.unionByName(spread.groupBy("bound").applyInArrow(lambda t: _across(t, window), "a long, b long, tied boolean"))
+        pairs = pairs.unionByName(spread.groupBy("bound").applyInArrow(lambda t: _across(t, window, differ), "a long, b long, tied boolean"))
     return pairs.where("a <> b").distinct()
 
 
@@ -264,7 +305,7 @@ def _cosines(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         for dim in np.unique(size).tolist():
             rows = np.flatnonzero(size == dim)
             at = off[rows][:, None] + np.arange(dim)
-            p, q = x[at], y[at]
+            p, q = _scaled(x[at]), _scaled(y[at])
             keep[rows] = (p * q).sum(axis=1) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1)) >= least
         yield b.select(["a", "b"]).filter(pa.array(keep))
 
@@ -273,7 +314,7 @@ def _pack(table: pa.Table) -> pa.Table:
     """A block of a crowd as one row: ids, sizes and unit vectors of its classes."""
     v, off, _ = _matrix(one_array(table.column("vector")))
     x = v.reshape(len(off) - 1, -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = _scaled(x)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     return pa.table([table.column("crowd").slice(0, 1), table.column("blocks").slice(0, 1), table.column("block").slice(0, 1),
                      pa.array([table.column("cid").to_numpy().astype(np.int64).tobytes()], pa.binary()),
@@ -304,27 +345,41 @@ def spanning_forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 CROWD_SCHEMA = "a long, b long, more long"
 
 
-def _products(table: pa.Table, least: float) -> pa.Table:
-    """Links between two blocks (or within one): (class, null, vectors linked) and connecting (a, b, null)."""
-    t = sorted(table.select(["block", "cids", "sizes", "units"]).to_pylist(), key=lambda r: r["block"])
-    (p, n, x), (q, m, y) = [(ids := np.frombuffer(r["cids"], np.int64), np.frombuffer(r["sizes"], np.int64),
-                             np.frombuffer(r["units"]).reshape(len(ids), -1)) for r in (t[0], t[-1])]
+def _products(p, n, x, q, m, y, least: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links between two blocks (ids, sizes, units of each) or within one: vectors linked per class of either, connecting links."""
     near = np.zeros((len(p), len(q)), bool)
     for at in range(0, len(p), STRIP):
         near[at:at + STRIP] = x[at:at + STRIP] @ y.T >= least
-    if len(t) == 1:
+    if same:
         near |= near.T
         np.fill_diagonal(near, False)
-    more = np.array([m[r].sum() for r in near], np.int64)
-    ids = p
-    if len(t) > 1:
-        ids, more = np.concatenate([p, q]), np.concatenate([more, [n[r].sum() for r in np.ascontiguousarray(near.T)]])
-    ids, more = ids[more > 0], more[more > 0].astype(np.int64)
     i, j = spanning_forest(near)
-    a, b = np.minimum(p[i], q[j]), np.maximum(p[i], q[j])
-    return pa.table([pa.array(np.concatenate([ids, a])),
-                     pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(b)]),
-                     pa.concat_arrays([pa.array(more), pa.nulls(len(a), pa.int64())])], names=["a", "b", "more"])
+    linked = lambda rows, sizes: np.concatenate([rows[a:a + STRIP] @ sizes for a in range(0, len(rows), STRIP)])
+    return linked(near, m), linked(near.T, n), np.minimum(p[i], q[j]), np.maximum(p[i], q[j])
+
+
+def _groups_met(table: pa.Table, least: float) -> pa.Table:
+    """(class, null, vectors linked) and connecting (a, b, null) of all pairs of blocks of two groups (or within one)."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    t = sorted(table.select(["block", "grp", "cids", "sizes", "units"]).to_pylist(), key=lambda r: r["block"])
+    blocks = [(r["block"], r["grp"], ids := np.frombuffer(r["cids"], np.int64), np.frombuffer(r["sizes"], np.int64),
+               np.frombuffer(r["units"]).reshape(len(ids), -1)) for r in t]
+    more = [np.zeros(len(b[2]), np.int64) for b in blocks]
+    links_a, links_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, (k, g, p, n, x) in enumerate(blocks):
+        for u, (l, h, q, m, y) in enumerate(blocks):
+            if (l < k or (i != j and g == h)):
+                continue
+            here, there, a, b = _products(p, n, x, q, m, y, least, k == l)
+            more[s] += here
+            if k != l:
+                more[u] += there
+            links_a.append(a)
+            links_b.append(b)
+    ids, count = (np.concatenate([b[2] for b in blocks]), np.concatenate(more)) if blocks else (np.zeros(0, np.int64),) * 2
+    ids, count, a, b = ids[count > 0], count[count > 0], np.concatenate(links_a), np.concatenate(links_b)
+    return pa.table([pa.array(np.concatenate([ids, a])), pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(b)]),
+                     pa.concat_arrays([pa.array(count), pa.nulls(len(a), pa.int64())])], names=["a", "b", "more"])
 
 
 def crowd_links(members: DataFrame, least: float) -> DataFrame:
@@ -338,26 +393,26 @@ def crowd_links(members: DataFrame, least: float) -> DataFrame:
     dealt = dealt.repartition("crowd", "block")  # the join's own deal, by crowd, would put a whole crowd in one task
     blocks = written(dealt.groupBy("crowd", "block").applyInArrow(
         _pack, "crowd long, blocks int, block int, cids binary, sizes binary, units binary"), "crowd-blocks")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = blocks.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return met.groupBy("crowd", "i", "j").applyInArrow(lambda t: _both_blocks(t, least), CROWD_SCHEMA)
-
+    groups = F.least(F.col("blocks"), F.greatest(F.lit(GROUPS), F.ceil(F.col("blocks") / GROUP_BLOCKS))).cast("int")
+    blocks = blocks.withColumns({"groups": groups, "grp": F.pmod(F.col("block"), groups).cast("int")})
+    other = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other")
+    met = blocks.select("*", other).withColumns({"i": F.least("grp", "other"), "j": F.greatest("grp", "other")})
+    return met.groupBy("crowd", "i", "j").applyInArrow(lambda t: _groups_met(t, least), CROWD_SCHEMA)
 
-def _both_blocks(table: pa.Table, least: float) -> pa.Table:
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    if i != j and table.num_rows < 2:  # the other block got no class
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "more": pa.array([], pa.int64())})
-    return _products(table, least)
 
+def near_dup_report(embeddings: DataFrame, least: float = 0.93, window: int = 128, miss: float = 0.005) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id (smallest id reachable), kept.
 
-def near_dup_report(embeddings: DataFrame, least: float = 0.93, passes: int = 16, window: int = 128) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id (smallest id reachable), kept."""
+    ``miss``: the share of the pairs at the threshold, outside crowds, that the passes may not bring together.
+    """
     rows = written(prepare(embeddings).drop("sig"), "vectors")
     key = ["label", "dim", "digest"]
-    classes = written(prepare(embeddings).where("ok").groupBy(*key, "sig").agg(
+    largest = rows.where("ok").groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0  # one number
+    passes, bits = passes_for(largest, least, window, miss)
+    classes = written(prepare(embeddings, bits=bits).where("ok").groupBy(*key, "sig").agg(
         F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    found = written(candidates(classes, passes, window), "vector-pairs")
+    found = written(candidates(classes, passes, bits, window, most_differing(bits, least)), "vector-pairs")
     crowds = written(connected_components(found.where("tied").select("a", "b"))
                      .select(F.col("node").alias("cid"), F.col("root").alias("crowd")), "vector-crowds")
     pairs = (found.where("NOT tied").select("a", "b")

@@ -240,7 +240,7 @@ def test_windows_across_partitions_match_one_partition(spark):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         try:
-            return {(r.a, r.b) for r in E.candidates(df, 4, 5).collect()}
+            return {(r.a, r.b) for r in E.candidates(df, 4, 256, 5, E.most_differing(256, 0.93)).collect()}
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -283,8 +283,10 @@ def test_blocks_of_a_crowd_count_as_one(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.93
     np.fill_diagonal(near, False)
-    for rows in (4096, 30):
+    for rows, groups in ((4096, 24), (30, 24), (30, 1), (20, 3)):  # one block; a group a block; one group; groups of blocks
         monkeypatch.setattr(E, "CROWD_ROWS", rows)
+        monkeypatch.setattr(E, "GROUPS", groups)
+        monkeypatch.setattr(E, "GROUP_BLOCKS", 24 if groups == 1 else 2)
         got = E.crowd_links(df, 0.93).collect()
         more = collections.Counter()
         for r in got:
@@ -298,3 +300,25 @@ def test_blocks_of_a_crowd_count_as_one(spark, monkeypatch):
                 a, b = root[a], root[b]
                 root[:] = [min(a, b) if r in (a, b) else r for r in root]
         assert roots == whole and len(joins) < near.sum() / 2
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.01e200], 1), (3, [1e-200, 1e-200], 1), (4, [1.0, 1.0], 1), (5, [5e-324, 5e-324], 1),
+            (6, [1.7e308, -1.7e308], 1), (7, [1e-200, -1e-200], 1), (8, [float("inf"), 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_dup_report(df).collect()}
+    assert got == {**{i: (4, 1) for i in (1, 2, 3, 4, 5)}, 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
+def test_passes_follow_the_largest_label():
+    sizes = [E.passes_for(n, 0.93, 128, 0.005) for n in (0, 1, 1000, 10**5, 10**6, 3 * 10**6, 10**9)]
+    assert sizes[:3] == [(16, 256)] * 3 and sizes == sorted(sizes) and all(b % 64 == 0 and b // p >= 16 for p, b in sizes)
+    for n, (passes, bits) in zip((10**5, 10**6, 3 * 10**6, 10**9), sizes[3:]):
+        meet = (1 - E.differ_probability(0.93)) ** (np.log2(n / 128) + 1)
+        assert (1 - meet) ** passes <= 0.005 and bits // passes >= np.log2(n) - 1
+
+
+def test_recall_of_pairs_at_the_threshold():
+    """Planted pairs of cosine 0.935 among 100,000 unrelated vectors of one label, by the hash, rotations and window alone."""
+    from tests.llm.recall import recall
+    assert recall(100_000, 500) >= 0.98
