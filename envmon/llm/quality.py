@@ -1,22 +1,25 @@
 """Quality classifier: nearest-neighbour voting on latent-semantic vectors.
 
-Terms are pairs of neighbouring character classes (each punctuation mark its
-own class, upper and lower case, digits, spaces, line ends, other bytes), the
-case-folded letters, and how words repeat the words before them.  A text's
-term weights are square roots of its term frequencies times the inverse
-document frequency; a truncated singular value decomposition of the labelled
-rows gives the latent-semantic space.  Every document is compared by exact
-cosine, in blocks, with all labelled vectors, and the nearest ones vote with
+A text is two term vectors.  Its words (runs of letters, case folded, hashed; for scripts
+that don't part words, pairs of neighbouring characters as well) weigh the square root
+of their share times the inverse document frequency.  Beside them stand layout
+terms: pairs of neighbouring character classes (each punctuation mark its own class, upper and
+lower case, digits, spaces, line ends, other bytes), letters, and how words repeat
+the words before them.  A truncated singular value decomposition of the
+labelled rows gives a latent-semantic space of either, and a document's vector is
+its place in both, ``word_weight`` of the whole from words.  Every document is compared by
+exact cosine, in blocks, with all labelled vectors, and the nearest ones vote with
 weights that grow with similarity.
 
 Learning uses at most ``max_labelled`` labelled rows (those with the smallest
-id hash): the labelled vectors, ``max_labelled x dims`` floats, are all that is
+id hash): their vectors and the two spaces, ``N_TERMS x dims`` floats, are all that is
 broadcast, whatever the size of the corpus.
 
 Defined results: null and empty texts have the zero vector, which is equally
 near to all labelled rows, so their score is the share of label 1; the same
 holds for every text when nothing is labelled (0.5 then).  Of repeated label
-rows of one document the smallest label counts; null labels are left out.
+rows of one document the smallest label counts; null labels are left out.  Of labelled
+rows that repeat an id with different texts the one of the smallest digest is learned from.
 Further columns are ignored or carried.
 """
 
@@ -50,8 +53,12 @@ N_CLASSES = int(CLASS.max()) + 1
 N_PAIRS = N_CLASSES * N_CLASSES
 #: Terms for the share of words that repeat one of the words 1, 2, 3 places before.
 LAGS = (1, 2, 3)
-N_TERMS = N_PAIRS + 26 + len(LAGS)
+N_LAYOUT = N_PAIRS + 26 + len(LAGS)
 REPEAT_WEIGHT = 4.0
+#: Cells that words are hashed to.
+WORD_BITS = 14
+N_WORDS = 1 << WORD_BITS
+N_TERMS = N_LAYOUT + N_WORDS
 _BYTE_HASH = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -60,9 +67,9 @@ PART = 1 << 20
 
 
 def term_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """texts x (terms, words): how often each pair, letter and repeat occurs."""
+    """texts x (layout terms, words): how often each pair, letter and repeat occurs."""
     n, size = len(off) - 1, np.diff(off)
-    out = np.zeros((n, N_TERMS + 1))
+    out = np.zeros((n, N_LAYOUT + 1))
     b = data[off[0]:off[-1]]
     if not len(b):
         return out
@@ -93,53 +100,121 @@ def term_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def term_frequencies(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """texts x terms, each part (pairs, letters, repeats) as shares; zero rows for empty texts."""
+def word_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text * N_WORDS + cell, count) of the words of texts, sorted; wide characters also count in pairs."""
+    n, size = len(off) - 1, np.diff(off)
+    b = data[off[0]:off[-1]]
+    if not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(n), size)
+    low = np.where((b >= 65) & (b < 91), b + 32, b).astype(np.uint8)
+    letter = (low >= 97) & (low < 123) | (low >= 128)
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1] | (owner[1:] != owner[:-1])
+    first, found = np.flatnonzero(begins), []
+    with np.errstate(over="ignore"):
+        if len(first):
+            place = np.arange(len(b))
+            place[first[0]:] -= np.repeat(first, np.diff(np.append(first, len(b))))
+            h = np.where(letter, _BYTE_HASH[low] * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), np.uint64(0))
+            found.append((owner[first], np.add.reduceat(h, first)))
+        wide = np.flatnonzero((b >= 0xE0) & (b < 0xF0))  # characters of three bytes
+        wide = wide[wide + 6 <= len(b)]
+        wide = wide[(b[wide + 3] >= 0xE0) & (b[wide + 3] < 0xF0) & (owner[wide] == owner[wide + 5])] if len(wide) else wide
+        if len(wide):
+            h = sum(_BYTE_HASH[b[wide + k]] * np.uint64(2 * k + 1) for k in range(6))
+            found.append((owner[wide], h))
+        keys = [whose * N_WORDS + (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - WORD_BITS)).astype(np.int64) for whose, h in found]
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
+@dataclass
+class Terms:
+    """Term shares of texts: layout terms as a matrix, words as (text, cell, share) sorted by text."""
+
+    layout: np.ndarray
+    text: np.ndarray
+    cell: np.ndarray
+    share: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.layout)
+
+    def rows(self, first: int, last: int) -> Terms:
+        i, j = np.searchsorted(self.text, [first, last])
+        return Terms(self.layout[first:last], self.text[i:j] - first, self.cell[i:j], self.share[i:j])
+
+
+def term_frequencies(data: np.ndarray, off: np.ndarray) -> Terms:
+    """Term shares of texts, each part (pairs, letters, repeats, words) adding up on its own; nothing for empty texts."""
     n = len(off) - 1
     if np.diff(off).max(initial=0) <= PART:
-        counts = term_counts(data, off)
+        counts, (key, times) = term_counts(data, off), word_counts(data, off)
     else:
         cut = np.concatenate([*[np.arange(a, b, PART) for a, b in zip(off[:-1], off[1:])], off[-1:]])
         owner = np.searchsorted(off, cut[:-1], side="right") - 1
-        counts = np.zeros((n, N_TERMS + 1))
+        counts, found = np.zeros((n, N_LAYOUT + 1)), []
         for i, j in pieces(data, cut, PART):
             np.add.at(counts, owner[i:j], term_counts(data, cut[i:j + 1]))
-    out = np.zeros((n, N_TERMS), np.float32)
+            key, times = word_counts(data, cut[i:j + 1])
+            found.append((owner[i:j][key // N_WORDS] * N_WORDS + key % N_WORDS, times))
+        every = np.concatenate([k for k, _ in found])
+        key, at = np.unique(every, return_inverse=True)
+        times = np.bincount(at, weights=np.concatenate([t for _, t in found]), minlength=len(key))
+    out = np.zeros((n, N_LAYOUT), np.float32)
     for a, b in ((0, N_PAIRS), (N_PAIRS, N_PAIRS + 26)):
         out[:, a:b] = counts[:, a:b] / np.maximum(1, counts[:, a:b].sum(axis=1, keepdims=True))
     out[:, N_PAIRS + 26:] = counts[:, N_PAIRS + 26:-1] / np.maximum(1, counts[:, -1:])
-    return out
+    text, cell = key // N_WORDS, key % N_WORDS
+    words = np.bincount(text, weights=times, minlength=n)
+    return Terms(out, text, cell, (times / words[text] if len(text) else np.zeros(0)).astype(np.float32))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
 @dataclass
 class Model:
-    idf: np.ndarray         # terms
-    space: np.ndarray       # terms x dims
-    vectors: np.ndarray     # labelled rows x dims, of length 1 (or 0)
+    idf: np.ndarray         # terms, layout first
+    space: np.ndarray       # layout terms x dims
+    word_space: np.ndarray  # word cells x dims
+    vectors: np.ndarray     # labelled rows x dims of both, of length 1 (or 0)
     labels: np.ndarray      # 0 or 1 per labelled row
     neighbours: int
     power: float
+    word_weight: float      # share of a cosine that comes from words
 
     @property
     def prior(self) -> float:
         return float(self.labels.mean()) if len(self.labels) else 0.5
 
-    def embed(self, tf: np.ndarray) -> np.ndarray:
-        v = (_weights(tf) * self.idf) @ self.space
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-
-    def score(self, tf: np.ndarray) -> np.ndarray:
+    def embed(self, t: Terms) -> np.ndarray:
+        layout = _unit((_weights(t.layout) * self.idf[:N_LAYOUT]) @ self.space)
+        words = np.zeros((len(t), self.word_space.shape[1]), np.float32)
+        if len(t.text):
+            weight = np.sqrt(t.share) * self.idf[N_LAYOUT + t.cell]
+            first = np.flatnonzero(np.diff(t.text, prepend=-1))
+            words[t.text[first]] = np.add.reduceat(self.word_space[t.cell] * weight[:, None], first, axis=0)
+        both = np.concatenate([layout * np.sqrt(1 - self.word_weight), _unit(words) * np.sqrt(self.word_weight)], axis=1)
+        return _unit(both).astype(np.float32)
+
+    def score(self, t: Terms) -> np.ndarray:
         """Share of label 1 among the nearest labelled vectors, weighted by similarity; blocked, exact."""
-        out, k = np.full(len(tf), self.prior), min(self.neighbours, len(self.labels))
-        filled = np.flatnonzero(tf.any(axis=1))
+        out, k = np.full(len(t), self.prior), min(self.neighbours, len(self.labels))
         if not k:
             return out
-        for at in range(0, len(filled), 1024):
-            rows = filled[at:at + 1024]
-            cos = self.embed(tf[rows]) @ self.vectors.T
+        for at in range(0, len(t), 1024):
+            part = t.rows(at, min(len(t), at + 1024))
+            filled = part.layout.any(axis=1)
+            if not filled.any():
+                continue
+            cos = self.embed(part)[filled] @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
             w = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6).astype(np.float64) ** self.power
-            out[rows] = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
+            out[at:at + 1024][filled] = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
         return out
 
 
@@ -149,30 +224,60 @@ def _weights(tf: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(tf: np.ndarray, labels: np.ndarray, dims: int = 48, neighbours: int = 15, power: float = 8.0) -> Model:
+#: Word cells whose columns are held at a time while learning.
+CELLS = 2048
+
+
+def _word_space(t: Terms, idf: np.ndarray, dims: int) -> np.ndarray:
+    """Right singular vectors of the labelled rows' word weights, from their inner products, in blocks of cells."""
+    n, weight = len(t), np.sqrt(t.share) * idf[t.cell]
+    order = np.argsort(t.cell, kind="stable")
+    cell, text, weight = t.cell[order], t.text[order], weight[order]
+
+    def block(at: int) -> np.ndarray:
+        i, j = np.searchsorted(cell, [at, at + CELLS])
+        x = np.zeros((n, CELLS), np.float32)
+        x[text[i:j], cell[i:j] - at] = weight[i:j]
+        return x
+
+    inner = np.zeros((n, n), np.float32)
+    for at in range(0, N_WORDS, CELLS):
+        inner += (x := block(at)) @ x.T
+    values, basis = np.linalg.eigh(inner)
+    keep = np.argsort(values)[::-1][:dims]
+    keep = keep[values[keep] > 1e-6 * max(1e-12, values.max(initial=0))]
+    left = basis[:, keep] / np.sqrt(values[keep])
+    return np.concatenate([block(at).T @ left for at in range(0, N_WORDS, CELLS)]).astype(np.float32)
+
+
+def fit(t: Terms, labels: np.ndarray, dims: int = 48, neighbours: int = 15, power: float = 8.0, word_weight: float = 0.25) -> Model:
     n = len(labels)
-    present = (tf > 0).sum(axis=0)
-    idf = np.log((1 + n) / (1 + present)).astype(np.float32) + 1 if n else np.ones(N_TERMS, np.float32)
-    x = _weights(tf) * idf
+    present = np.concatenate([(t.layout > 0).sum(axis=0), np.bincount(t.cell, minlength=N_WORDS)])
+    idf = (np.log((1 + n) / (1 + present)) + 1 if n else np.ones(N_TERMS)).astype(np.float32)
+    x = _weights(t.layout) * idf[:N_LAYOUT]
     values, basis = np.linalg.eigh((x.T @ x).astype(np.float64))  # right singular vectors of the labelled rows
     space = basis[:, ::-1][:, :dims].astype(np.float32)
-    model = Model(idf.astype(np.float32), space, np.zeros((0, space.shape[1]), np.float32), labels, neighbours, power)
-    model.vectors = model.embed(tf).astype(np.float32)
-    model.vectors[~tf.any(axis=1)] = 0
+    words = _word_space(t, idf[N_LAYOUT:], dims) if n else np.zeros((N_WORDS, 0), np.float32)
+    model = Model(idf, space, words, np.zeros((0, space.shape[1] + words.shape[1]), np.float32), labels, neighbours, power, word_weight)
+    model.vectors = np.concatenate([model.vectors, *[model.embed(t.rows(a, min(n, a + 1024))) for a in range(0, n, 1024)]])
+    model.vectors[~t.layout.any(axis=1)] = 0
     return model
 
 
 def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Non-zero terms of labelled texts."""
+    """Non-zero terms of labelled texts, and a digest of the text."""
     for b in batches:
         data, off = utf8_buffers(b.column("text"))
         for i, j in pieces(data, off):
-            tf = term_frequencies(data, off[i:j + 1])
-            at = [np.flatnonzero(r) for r in tf]
+            t = term_frequencies(data, off[i:j + 1])
+            at = [np.flatnonzero(r) for r in t.layout]
+            cut = np.searchsorted(t.text, np.arange(j - i + 1))
+            words = [slice(x, y) for x, y in zip(cut[:-1], cut[1:])]
+            terms = [np.concatenate([a, N_LAYOUT + t.cell[w]]).astype("<i4").tobytes() for a, w in zip(at, words)]
+            shares = [np.concatenate([r[a], t.share[w]]).astype("<f4").tobytes() for r, a, w in zip(t.layout, at, words)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").slice(i, j - i), b.column("label").slice(i, j - i),
-                 pa.array([a.astype(np.int16) for a in at], pa.list_(pa.int16())),
-                 pa.array([r[a] for r, a in zip(tf, at)], pa.list_(pa.float32()))], ["id", "label", "terms", "shares"])
+                [b.column("id").slice(i, j - i), b.column("digest").slice(i, j - i), pa.array(terms, pa.binary()), pa.array(shares, pa.binary())],
+                ["id", "digest", "terms", "shares"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **settings) -> Model:
@@ -181,16 +286,25 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **settin
            .agg(F.min(F.col("quality").cast("int")).alias("label"))
            .orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_labelled))
     picked = {r["id"]: r["label"] for r in ids.collect()}
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
     texts = texts.where(F.col("id").isin(list(picked)))  # a bounded list, pushed down to the scan
-    rows = (texts.select("id", F.lit(0).alias("label"), "text")
-            .mapInArrow(_sample_terms, "id long, label int, terms array<short>, shares array<float>")
-            .dropDuplicates(["id"]).limit(max_labelled).collect())
+    # one text of a repeated id: the one of the smallest digest
+    one = F.min(F.struct("digest", "terms", "shares")).alias("t")
+    rows = (texts.mapInArrow(_sample_terms, "id long, digest string, terms binary, shares binary")
+            .groupBy("id").agg(one).select("id", "t.terms", "t.shares").limit(max_labelled).collect())
     rows.sort(key=lambda r: r["id"])
-    tf = np.zeros((len(rows), N_TERMS), np.float32)
+    layout, text_, cell, share = np.zeros((len(rows), N_LAYOUT), np.float32), [], [], []
     for i, r in enumerate(rows):
-        tf[i, np.array(r["terms"], np.int64)] = r["shares"]
-    return fit(tf, np.array([float(picked[r["id"]] > 0) for r in rows]), **settings)
+        at, x = np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["shares"], "<f4")
+        own = at < N_LAYOUT
+        layout[i, at[own]] = x[own]
+        cell.append(at[~own] - N_LAYOUT)
+        share.append(x[~own])
+        text_.append(np.full(int((~own).sum()), i))
+    flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+    terms = Terms(layout, flat(text_, np.int64), flat(cell, np.int64), flat(share, np.float32))
+    return fit(terms, np.array([float(picked[r["id"]] > 0) for r in rows]), **settings)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from envmon.llm import language_id as L
 from envmon.llm import quality as Q
 from envmon.llm import url_filter as U
 from envmon.llm.queries import REGISTRY
-from tests.conftest import SF_CHECK
+from tests.conftest import SF_CHECK, SF_SMALL
 
 
 def is_held_out(i):
@@ -87,13 +87,92 @@ def test_quality_accuracy_held_out(spark):
     assert len(right) > 60 and np.mean(right) > 0.95
 
 
+def plain_terms(text):
+    """Layout and word terms of a text, counted one by one."""
+    b, out, mask = text.encode(), collections.Counter(), (1 << 64) - 1
+    for x, y in zip(b, b[1:]):
+        out[int(Q.CLASS[x]) * Q.N_CLASSES + int(Q.CLASS[y])] += 1 / max(1, len(b) - 1)
+    letters = [x for x in text.lower() if "a" <= x <= "z" and x.isascii()] if text.isascii() else [
+        chr(x).lower() for x in b if chr(x).isascii() and chr(x).isalpha()]
+    for x in letters:
+        out[Q.N_PAIRS + ord(x) - 97] += 1 / len(letters)
+    parts = re.findall(rb"[^ \x09-\x0d]+", b)
+    for i, lag in enumerate(Q.LAGS):
+        out[Q.N_PAIRS + 26 + i] += sum(x == y for x, y in zip(parts, parts[lag:])) / max(1, len(parts))
+    hashed = lambda w: sum(int(Q._BYTE_HASH[c]) * (2 * k + 1) for k, c in enumerate(w)) & mask
+    words = [hashed(w.lower()) for w in re.findall(rb"[A-Za-z\x80-\xff]+", b)]
+    words += [hashed(b[i:i + 6]) for i in range(len(b) - 5) if 0xE0 <= b[i] < 0xF0 and 0xE0 <= b[i + 3] < 0xF0]
+    for h in words:
+        out[Q.N_LAYOUT + ((h * 0x9E3779B97F4A7C15 & mask) >> 50)] += 1 / len(words)
+    return out
+
+
+def plain_quality(train, labels, texts, dims=48, k=15, power=8.0, word_weight=0.25):
+    """Scores by a full singular value decomposition and a sort of all cosines."""
+    n, split, idf = len(train), slice(0, Q.N_LAYOUT), np.ones(Q.N_TERMS)
+    rows = np.zeros((n + len(texts), Q.N_TERMS))
+    for r, t in enumerate([*train, *texts]):
+        for i, x in plain_terms(t).items():
+            rows[r, i] = x
+    idf = np.log((1 + n) / (1 + (rows[:n] > 0).sum(axis=0))) + 1
+    w = np.sqrt(rows)
+    w[:, Q.N_PAIRS + 26:Q.N_LAYOUT] *= Q.REPEAT_WEIGHT
+    w *= idf
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    places = [unit(w[:, part] @ np.linalg.svd(w[:n, part], full_matrices=False)[2][:dims].T) * np.sqrt(share)
+              for part, share in ((split, 1 - word_weight), (slice(Q.N_LAYOUT, None), word_weight))]
+    v = unit(np.concatenate(places, axis=1))
+    cos, out = v[n:] @ v[:n].T, []
+    for row, t in zip(cos, texts):
+        near = np.argsort(-row, kind="stable")[:k]
+        weight = np.maximum(row[near], 1e-6) ** power
+        out.append((weight * labels[near]).sum() / weight.sum() if t else labels.mean())
+    return np.array(out)
+
+
+def test_quality_query_is_the_plain_version(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs}
+    ids = sorted(i for i in labels if i in docs and not held[i])
+    want = plain_quality([docs[i] for i in ids], np.array([float(labels[i] > 0) for i in ids]), list(docs.values()))
+    got = {r.doc_id: r for r in REGISTRY["op4_quality"][0](spark, SF_SMALL).collect()}
+    assert set(got) == set(docs) and all(got[i].held_out == held[i] for i in docs)
+    off = np.abs(np.array([got[i].score for i in docs]) - want)
+    assert np.quantile(off, 0.98) < 1e-3 and off.max() < 0.1  # ties among neighbours and single precision
+    assert all(r.predicted == (r.score >= 0.7) for r in got.values())
+
+
+def terms_of(*texts):
+    raw = [t.encode() for t in texts]
+    return Q.term_frequencies(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])]))
+
+
+def test_words_count():
+    """Letters shuffled inside the words leave the layout terms alone and give another vector."""
+    pairs = [("the old harbour keeps good records of every ship", "het lod bruhora speek doog scredor fo yreve phis"),
+             ("добрый человек читает книгу", "йыйыйы ффффффф зззззз ььььь"), ("今天天气很好我们去公园", "园公去们我好很气天天今")]
+    every = terms_of(*[t for p in pairs for t in p])
+    m = Q.fit(every, np.array([1.0, 0.0] * 3), neighbours=1)
+    v = m.embed(every)
+    for i in (0, 2, 4):
+        assert np.allclose(every.layout[i], every.layout[i + 1]) or i == 2
+        assert v[i] @ v[i + 1] < 0.9
+    assert m.score(every).tolist() == [1.0, 0.0] * 3
+    same = Q.fit(every, np.array([1.0, 0.0] * 3), word_weight=0.0).embed(every)
+    assert same[0] @ same[1] > 0.9999
+
+
 def test_quality_votes_are_the_nearest_neighbours():
     rng = np.random.default_rng(1)
-    tf = rng.random((60, Q.N_TERMS)).astype(np.float32) ** 8
-    y = (rng.random(60) > 0.4).astype(float)
-    m = Q.fit(tf[:40], y[:40], dims=10, neighbours=5, power=2.0)
+    text = np.repeat(np.arange(60), 30)
+    cell = np.concatenate([np.sort(rng.choice(200, 30, replace=False)) for _ in range(60)])
+    tf = Q.Terms(rng.random((60, Q.N_LAYOUT)).astype(np.float32) ** 8, text, cell, rng.random(1800).astype(np.float32))
+    y = (rng.random(40) > 0.5).astype(float)
+    m = Q.fit(tf.rows(0, 40), y, dims=10, neighbours=5, power=2.0)
+    assert m.vectors.shape[0] == 40
     for i, got in enumerate(m.score(tf)):
-        v = m.embed(tf[i:i + 1])[0]
+        v = m.embed(tf.rows(i, i + 1))[0]
         cos = m.vectors @ v
         near = np.argsort(-cos)[:5]
         w = np.maximum(cos[near], 1e-6).astype(float) ** 2
@@ -101,14 +180,17 @@ def test_quality_votes_are_the_nearest_neighbours():
 
 
 def test_term_frequencies():
-    texts = [b"ab AB", b"", b"x x x y x", b"\xc3\xa9"]
+    texts = [b"ab AB", b"", b"x x x y x", b"\xc3\xa9", "你好吗 one".encode()]
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     tf = Q.term_frequencies(np.frombuffer(b"".join(texts), np.uint8), off)
-    assert not tf[1].any() and abs(tf[0, :Q.N_PAIRS].sum() - 1) < 1e-6
-    assert tf[0, Q.N_PAIRS] == 0.5 and tf[2, -3] == pytest.approx(2 / 5)  # letter a; words equal to the one before
+    assert not tf.layout[1].any() and abs(tf.layout[0, :Q.N_PAIRS].sum() - 1) < 1e-6
+    assert tf.layout[0, Q.N_PAIRS] == 0.5 and tf.layout[2, -3] == pytest.approx(2 / 5)  # letter a; words equal to the one before
+    assert tf.share[tf.text == 0].tolist() == [1.0] and sorted(tf.share[tf.text == 2]) == pytest.approx([0.2, 0.8])
+    assert len(tf.cell[tf.text == 4]) == 4  # two words, two pairs of characters
     # a text's terms don't depend on its neighbours
     for i, t in enumerate(texts):
-        assert np.allclose(tf[i], Q.term_frequencies(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0])
+        alone = Q.term_frequencies(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert np.allclose(tf.layout[i], alone.layout[0]) and tf.cell[tf.text == i].tolist() == alone.cell.tolist()
 
 
 def test_terms_of_a_long_text_are_added_up(monkeypatch):
@@ -118,7 +200,16 @@ def test_terms_of_a_long_text_are_added_up(monkeypatch):
     whole = Q.term_frequencies(data, off)
     monkeypatch.setattr(Q, "PART", 10_000)
     parts = Q.term_frequencies(data, off)
-    assert np.allclose(parts[:2], whole[:2]) and np.abs(parts[2] - whole[2]).max() < 1e-3 and parts[2].any()
+    assert np.allclose(parts.layout[:2], whole.layout[:2]) and np.abs(parts.layout[2] - whole.layout[2]).max() < 1e-3
+    known = dict(zip(parts.cell[parts.text == 2].tolist(), parts.share[parts.text == 2].tolist()))  # a cut may part a word
+    assert all(abs(known[c] - x) < 1e-3 for c, x in zip(whole.cell[whole.text == 2].tolist(), whole.share[whole.text == 2].tolist()))
+
+
+def test_repeated_ids_are_learned_from_one_text(spark):
+    rows = [(1, "good words here"), (1, "bad ## words"), (1, "good words here"), (2, "other text"), (3, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    models = [Q.learn(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows[::-1])]
+    assert len(models[0].labels) == 3 and np.array_equal(models[0].vectors, models[1].vectors)
 
 
 def test_quality_odd_rows(spark, odd_docs, no_docs):
