@@ -9,11 +9,14 @@ bytes and n text bytes, wins; ties go to the smaller language name.
 Symbols are UTF-8 bytes with A-Z folded and everything else in ASCII taken as
 one gap symbol.  Whole texts are read: a text is cut into blocks of
 ``BLOCK`` bytes that are parsed side by side, at the cost of at most one more
-phrase per block and language.
+phrase per block and language (README has the measured effect: no other prediction).
 
-Learning uses a bounded sample: per language the rows with the smallest id hash
-in each of ``slots`` id classes, of each ``snippet`` characters, for at most
-``max_languages`` languages.  These are parameters of :func:`learn`.
+Learning uses a bounded sample, ``budget`` bytes that all languages share: per language the
+rows with the smallest id hash in each of ``slots`` id classes, and of each a snippet at a
+place of the whole text that the id decides, as long as the language's share of the
+budget allows (``snippet`` characters at most).  The automata of all languages together have
+at most two states per byte of it, whatever the number of languages.  If there are more than
+``max_languages``, those with the most labelled rows are learned.  These are parameters of :func:`learn`.
 
 Defined results: null text or a text without a letter gives ``und`` with score
 0; without any labelled row every text does.  Repeated rows get equal results,
@@ -97,14 +100,17 @@ class Parser:
         self.symbol = self.symbol[FOLDED]
         width = self.width = len(seen) + 2  # the last symbol parts the snippets and occurs in no text
         tables, self.start, self.bits, base = [], [], [], 0
+        # two states per symbol at most, and two start states a language: the cells' numbers fit 32 bits
+        most = sum(2 * (len(t) + sum(map(len, t))) + 2 for t in texts.values()) * width * 2
+        kind = np.int32 if most < 2**31 else np.int64
         for name in self.languages:
             seq: list[int] = []
             for s in texts[name]:
                 seq += self.symbol[np.frombuffer(s, np.uint8)].tolist() + [width - 1]
             moves = SuffixAutomaton(seq).move
             again = len(moves)  # the second start state
-            t = np.empty((len(moves) + 1, width), np.int64)
-            miss = np.full(width, 2 * (base + again) * width + 1)
+            t = np.empty((len(moves) + 1, width), kind)
+            miss = np.full(width, 2 * (base + again) * width + 1, kind)
             for c, to in moves[0].items():
                 miss[c] = 2 * (base + to) * width + 1
             t[:] = miss  # from any state: the phrase ends, the symbol opens the next one
@@ -116,9 +122,7 @@ class Parser:
             self.start.append(base * width)
             self.bits.append(float(np.log2(max(2, len(seq)))))
             base += len(t)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
-        if len(self.table) * 2 < 2**31:
-            self.table = self.table.astype(np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Phrase counts, languages x texts."""
@@ -157,25 +161,37 @@ class Parser:
         return best, np.clip(1 - two[0] / np.maximum(two[1], 1e-12), 0.0, 1.0)
 
 
-def learn(labelled: DataFrame, slots: int = 40, snippet: int = 400, max_languages: int = 200) -> dict[str, list[bytes]]:
+def learn(labelled: DataFrame, slots: int = 40, snippet: int = 400, budget: int = 384_000, max_languages: int = 400
+          ) -> dict[str, list[bytes]]:
     """Labelled text per language from doc_id, text, lang (rows with a null in text or lang are left out).
 
-    At most ``max_languages * slots`` rows of ``snippet`` characters come to the driver.
+    At most ``max_languages * slots`` rows, and of them ``budget`` bytes, come to the driver.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
         F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    picked = (rows.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h"))
-              .orderBy("lang", "slot").limit(max_languages * slots).collect())
-    langs = sorted({r["lang"] for r in picked})
-    found = (rows.where(F.col("h").isin([r["h"] for r in picked]) & F.col("lang").isin(langs))
-             .select("lang", "h", F.substring("text", 1, snippet).alias("text"))
-             .dropDuplicates(["lang", "h"]).orderBy("lang", "h").limit(2 * max_languages * slots).collect())
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    langs = sorted(r["lang"] for r in most.collect())
+    if not langs:
+        return {}
+    share = budget // len(langs)  # bytes of a language
+    used = max(1, min(slots, share // 60))  # snippets of 60 characters or so, rather than many short ones
+    size = max(1, min(snippet, share // used))
+    known = rows.where(F.col("lang").isin(langs))
+    picked = known.groupBy("lang", F.pmod("h", F.lit(used)).alias("slot")).agg(F.min("h").alias("h")).collect()
     keep = {(r["lang"], r["h"]) for r in picked}
+    # a snippet at a place of the whole text that the id decides
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int") + 1
+    found = (known.where(F.col("h").isin(sorted({h for _, h in keep})))
+             .select("lang", "h", F.substring(F.col("text"), place, F.lit(size)).alias("text"))
+             .groupBy("lang", "h").agg(F.min("text").alias("text")).collect())  # of a repeated id the smallest
     texts: dict[str, list[bytes]] = {}
-    for r in found:
+    for r in sorted(found, key=lambda r: (r["lang"], r["h"])):
         if (r["lang"], r["h"]) in keep:
-            texts.setdefault(r["lang"], []).append(r["text"].encode())
+            own, text = texts.setdefault(r["lang"], []), r["text"].encode()
+            room = share - sum(map(len, own))  # in bytes a snippet can be longer than in characters
+            if room > 0:
+                own.append(text[:room])
     return texts
 
 

@@ -413,3 +413,46 @@ def test_recall_of_pairs_at_the_threshold():
     """Planted pairs of cosine 0.935 among 100,000 unrelated vectors of one label, by the hash, rotations and window alone."""
     from tests.llm.recall import recall
     assert recall(100_000, 500) >= 0.98
+
+
+# language, learning ------------------------------------------------------------------------------
+WORDS = {"aa": "tela pora mina sute kalo", "bb": "grund haben nicht werden zwischen", "cc": "ouvrir cette maison toujours encore"}
+
+
+def made_text(rng, lang, n):
+    return " ".join(rng.choice(WORDS[lang].split()) for _ in range(n))
+
+
+def test_rows_that_open_alike_are_told_apart(spark):
+    """Every text opens with one long header: what is learned comes from the whole text, not its start."""
+    import random
+    rng = random.Random(3)
+    header = "copyright notice all rights reserved this file is part of the collection " * 12
+    rows = [(i, header + made_text(rng, lang, 400), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from envmon.llm._common import held_out
+    texts = L.learn(df.where(~held_out(F.col("doc_id"))))
+    got = {r.doc_id: r.lang_pred for r in L.predict(df, texts).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.99
+
+
+def test_many_languages_share_one_budget(spark):
+    rows = [(1000 * n + i, f"word{n} some{n} text{n} of language{n} " * 60, f"l{n:03}") for n in range(200) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = L.learn(df)
+    assert len(texts) == 200 and sum(len(t) for own in texts.values() for t in own) <= 384_000
+    few = L.learn(df, max_languages=3)
+    assert sorted(few) == ["l000", "l001", "l002"]
+    more = spark.createDataFrame([(999_999, "word150 again", "l150")], df.schema)
+    assert "l150" in L.learn(df.unionByName(more), max_languages=1)  # the one with the most rows, whatever its name
+
+
+def test_automata_of_two_hundred_languages_are_bounded():
+    """The documented budget as random bytes of many scripts, the worst case for states and symbols."""
+    rng = np.random.default_rng(4)
+    texts = {f"l{n:03}": [rng.integers(97, 123, 1000).astype(np.uint8).tobytes(), rng.integers(128, 245, 920).astype(np.uint8).tobytes()]
+             for n in range(200)}
+    p = L.Parser(texts)
+    assert p.table.dtype == np.int32 and p.table.nbytes < 600 << 20
+    data = np.frombuffer(texts["l007"][0][:300], np.uint8)
+    assert p.languages[p.predict(data, np.array([0, 300]))[0][0]] == "l007"
