@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._common import pieces, utf8_buffers
 
 #: Bytes of a text that are parsed as one run.
-BLOCK = 1024
+BLOCK = 4096
 GAP = 1
 
 
