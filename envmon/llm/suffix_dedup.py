@@ -16,10 +16,11 @@ into buckets such that equal strings always meet:
   more than one document.  Text without such an anchor cannot match.
 * Of the other contexts a block sends each distinct one once, with its smallest
   document, so that a passage with very many copies reaches a bucket once per
-  block.  The bucket merges equal contexts, sorts the suffixes that start in
-  the remaining ones, and takes the longest previous factor of each over the
-  previous and the next smaller document in suffix order.  Where it reaches
-  ``LENGTH``, the window has an earlier copy.
+  block; the block's own later copies have that one as their longest previous factor.
+  The bucket puts the suffixes that start in all blocks' contexts in order (those of equal
+  contexts stand together, so their bytes are compared once) and takes the longest previous
+  factor of each over the previous and the next smaller document in suffix order.  Where
+  it reaches ``LENGTH``, the window has an earlier copy.
 * An anchor with more than ``HEAVY`` different contexts (a frequent line with
   ever other text around it) would fill one bucket.  Its windows are sent one by
   one, to the buckets of their own hashes: equal windows still meet.
@@ -60,6 +61,8 @@ BUCKET_BYTES = 8 << 20
 PART = 1 << 20
 #: Different contexts of an anchor beyond which its windows are dealt out one by one.
 HEAVY = 4096
+#: Suffixes put in order at a time.
+SUFFIXES = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -174,7 +177,7 @@ class Block:
         return np.minimum(np.bincount(kind[new], minlength=len(self.hashes)), 0xFFFF).astype(np.uint16)
 
     def contexts(self, bits: dict[int, bytes]):
-        """Per bucket: (bucket, rows, first and last windows of its runs, context number of each run, contexts, anchor keys,
+        """Per bucket: (bucket, rows, first and last windows of its runs, context number of each run, contexts, their
         smallest documents).  A bucket whose bits tell of windows in other buckets comes too, without contexts."""
         shared, heavy = np.zeros((2, len(self.hashes)), bool)
         for k, packed in bits.items():
@@ -189,7 +192,6 @@ class Block:
         own = _window_hashes(self.data, single)
         row = np.concatenate([self.row[chosen], np.repeat(self.row[hot], n)])
         first, last = np.concatenate([self.first[chosen], single]), np.concatenate([self.last[chosen], single])
-        h = np.concatenate([self.hashes[self.kind[chosen]], own])
         buckets = len(self.cuts) - 1
         where = np.concatenate([self.bucket[self.kind[chosen]], ((own >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)])
         order = np.argsort(where, kind="stable")
@@ -203,8 +205,7 @@ class Block:
             number = np.fromiter((seen.setdefault(bytes(raw[f:e]), len(seen)) for f, e in
                                   zip(first[mine].tolist(), (last[mine] + LENGTH).tolist())), np.int64, len(mine))
             lead = np.unique(number, return_index=True)[1]  # rows are in id order: the first run has the smallest id
-            key = (h[mine[lead]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            yield k, row[mine], first[mine], last[mine], number, list(seen), key, self.docs[row[mine[lead]]]
+            yield k, row[mine], first[mine], last[mine], number, list(seen), self.docs[row[mine[lead]]]
 
 
 HASHES_SCHEMA = "bucket int, block int, hashes binary, many binary, counts binary"
@@ -244,7 +245,7 @@ def _find_shared(table: pa.Table, heavy: int = HEAVY) -> pa.Table:
                     names=["block", "bucket", "bits"])
 
 
-CONTEXTS_SCHEMA = "bucket int, block int, bits binary, keys binary, sizes binary, docs binary, raw_size int, raw binary"
+CONTEXTS_SCHEMA = "bucket int, block int, bits binary, sizes binary, docs binary, raw_size int, raw binary"
 
 
 def _send_contexts(texts: pa.Table, bits: pa.Table, buckets: int) -> pa.Table:
@@ -252,33 +253,40 @@ def _send_contexts(texts: pa.Table, bits: pa.Table, buckets: int) -> pa.Table:
     if texts.num_rows:
         packed = dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()))
         block = texts.column("block")[0].as_py()
-        for k, _, _, _, _, contexts, key, docs in Block(texts, buckets).contexts(packed):
+        for k, _, _, _, _, contexts, docs in Block(texts, buckets).contexts(packed):
             raw = b"".join(contexts)
             sizes = np.array([len(c) for c in contexts], np.uint8)
-            values = (k, block, packed.get(k, b""), key.tobytes(), sizes.tobytes(), docs.tobytes(), len(raw),
+            values = (k, block, packed.get(k, b""), sizes.tobytes(), docs.tobytes(), len(raw),
                       pa.compress(raw, "zstd", asbytes=True))
             for column, v in zip(rows.values(), values):
                 column.append(v)
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
     return pa.table([pa.array(v, t) for v, t in zip(rows.values(), kinds)], names=list(rows))
 
 
-def longest_previous_factors(docs: list[int], lcp: list[int]) -> np.ndarray:
-    """For suffixes in suffix order: the longest prefix shared with a suffix of a smaller document.
+def longest_previous_factors(docs: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
+    """For suffixes in suffix order: the longest prefix shared with a suffix of a smaller document (0 if below ``least``).
 
-    ``lcp[i]`` is the common prefix of suffixes i - 1 and i.  The longest match is with
-    the previous or the next smaller document in suffix order; a stack finds both.
+    ``lcp[i]`` is the common prefix of suffixes i - 1 and i.  The longest match is with the
+    previous or the next smaller document in suffix order.  Every position points to one before it with no
+    smaller document in between, and jumps on along the pointers, all at once, until that document is smaller.
     """
-    n, best = len(docs), np.zeros(len(docs), np.int64)
-    for ahead in (True, False):
-        stack: list[tuple[int, int]] = []  # (document, common prefix with the one below)
-        for i in range(n) if ahead else range(n - 1, -1, -1):
-            m = (lcp[i] if i else 0) if ahead else (lcp[i + 1] if i + 1 < n else 0)
-            while stack and stack[-1][0] >= docs[i]:
-                m = min(m, stack.pop()[1])
-            if stack and m > best[i]:
-                best[i] = m
-            stack.append((docs[i], m))
+    n = len(docs)
+    best = np.zeros(n, np.int64)
+    for back in (False, True):
+        d = docs[::-1] if back else docs
+        at = np.arange(n) - 1
+        common = np.concatenate([[0], lcp[1:][::-1]]) if back else lcp.copy()
+        common[:1] = 0
+        common[common < least] = 0
+        todo = np.flatnonzero(common > 0)
+        while len(todo):
+            todo = todo[d[at[todo]] >= d[todo]]
+            over = at[todo]
+            common[todo] = np.minimum(common[todo], common[over])
+            at[todo] = at[over]
+            todo = todo[common[todo] > 0]
+        best = np.maximum(best, common[::-1] if back else common)
     return best
 
 
@@ -290,31 +298,42 @@ def suffix_order(rows: np.ndarray) -> np.ndarray:
     return np.lexsort(words.view(">u8").astype(np.uint64).T[::-1])
 
 
-def earlier_windows(texts: list[bytes], docs: np.ndarray) -> list[int]:
-    """For each context a mask of its windows that start in a context of a smaller document."""
+def earlier_windows(texts: list[bytes], kind: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each entry (context number ``kind`` among the distinct ``texts``, document) a mask of its windows that also
+    start in an entry of a smaller document."""
     data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
-    size = np.array([len(t) for t in texts])
+    size = np.array([len(t) for t in texts], np.int64)
     count = size - LENGTH + 1
     owner = np.repeat(np.arange(len(texts)), count)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     start = (np.cumsum(size) - size)[owner] + inside
-    masks = [0] * len(texts)
-    if not len(start):
-        return masks
-    h = _window_hashes(data, start)  # suffixes whose window occurs once need no place in the order
-    _, kind, times = np.unique(h, return_inverse=True, return_counts=True)
-    again = np.flatnonzero(times[kind.reshape(-1)] > 1)
-    if not len(again):
-        return masks
-    rows = data[start[again][:, None] + np.arange(LENGTH)]
-    order = suffix_order(rows)
-    rows, again = rows[order], again[order]
-    differ = rows[1:] != rows[:-1]
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
-    lpf = longest_previous_factors(docs[owner[again]].tolist(), [0, *lcp.tolist()])
-    for i in again[lpf >= LENGTH].tolist():
-        masks[owner[i]] |= 1 << int(inside[i])
-    return masks
+    masks = np.zeros(len(kind))
+    by_kind = np.argsort(kind, kind="stable")  # entries of each context, together
+    entries = np.bincount(kind, minlength=len(texts))
+    first_entry = np.cumsum(entries) - entries
+    h = _window_hashes(data, start)
+    parts = max(1, -(-len(h) // SUFFIXES))  # equal windows have equal hashes: each part has an order of its own
+    deal = (h >> np.uint64(33)) % np.uint64(parts) if parts > 1 else None
+    for k in range(parts):
+        mine = np.flatnonzero((entries[owner] > 0) & (deal == k if parts > 1 else True))
+        _, same = np.unique(h[mine], return_inverse=True)
+        times = np.bincount(same.reshape(-1), weights=entries[owner[mine]])
+        mine = mine[times[same.reshape(-1)] > 1]  # suffixes whose window occurs once need no place in the order
+        if not len(mine):
+            continue
+        rows = data[start[mine][:, None] + np.arange(LENGTH)]
+        order = suffix_order(rows)
+        rows, mine = rows[order], mine[order]
+        differ = rows[1:] != rows[:-1]
+        lcp = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)])
+        # every window once per entry of its context: copies stand together and share all of it
+        n = entries[owner[mine]]
+        entry = by_kind[np.repeat(first_entry[owner[mine]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        common = np.full(len(entry), LENGTH)
+        common[np.cumsum(n) - n] = lcp
+        found = longest_previous_factors(docs[entry], common, LENGTH) >= LENGTH
+        masks += np.bincount(entry[found], weights=np.exp2(np.repeat(inside[mine], n)[found]), minlength=len(kind))
+    return masks.astype(np.uint64)
 
 
 VERDICT_SCHEMA = "block int, bucket int, bits binary, gone binary, part binary, masks binary"
@@ -322,48 +341,47 @@ VERDICT_SCHEMA = "block int, bucket int, bits binary, gone binary, part binary,
 
 def _judge(table: pa.Table) -> pa.Table:
     """What of each block's contexts has an earlier copy: all of it, or the windows of a mask."""
-    number: dict[bytes, int] = {}
-    kinds, docs_of = [], []
-    smallest = np.zeros(0, np.int64)
-    keys = np.zeros(0, np.uint32)
-    for r in table.select(["sizes", "raw_size", "raw", "docs", "keys"]).to_pylist():
+    number: dict[bytes, int] = {}  # equal contexts stand together in suffix order
+    kinds, docs = [], []
+    for r in table.select(["sizes", "raw_size", "raw", "docs"]).to_pylist():
         raw = pa.decompress(r["raw"], r["raw_size"], "zstd", asbytes=True) if r["raw_size"] else b""
         end = np.cumsum(np.frombuffer(r["sizes"], np.uint8).astype(np.int64)).tolist()
-        kind = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *end], end)),
-                           np.int64, len(end))
-        docs = np.frombuffer(r["docs"], np.int64)
-        grown = len(number) - len(smallest)
-        smallest = np.concatenate([smallest, np.full(grown, NO_ID)])
-        keys = np.concatenate([keys, np.zeros(grown, np.uint32)])
-        np.minimum.at(smallest, kind, docs)
-        keys[kind] = np.frombuffer(r["keys"], np.uint32)
-        kinds.append(kind)
-        docs_of.append(docs)
-    _, group, times = np.unique(keys, return_inverse=True, return_counts=True)
-    open_ = np.flatnonzero(times[group.reshape(-1)] > 1)  # anchors with several different contexts
-    texts = list(number)
-    masks = np.zeros(len(texts), np.uint64)
-    if len(open_):
-        masks[open_] = np.array(earlier_windows([texts[i] for i in open_], smallest[open_]), np.uint64)
-    gone, part, values = [], [], []
-    for kind, docs in zip(kinds, docs_of):
-        whole = smallest[kind] < docs
-        some = np.flatnonzero(~whole & (masks[kind] > 0))
+        kinds.append(np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *end], end)), np.int64, len(end)))
+        docs.append(np.frombuffer(r["docs"], np.int64))
+    every, texts = np.concatenate([np.zeros(0, np.int64), *kinds]), list(number)
+    masks = earlier_windows(texts, every, np.concatenate([np.zeros(0, np.int64), *docs]))
+    windows = np.array([len(t) - LENGTH + 1 for t in texts], np.uint64)
+    full = (np.uint64(1) << windows[every]) - np.uint64(1) if len(texts) else masks
+    gone, part, values, at = [], [], [], 0
+    for kind in kinds:
+        mask = masks[at:at + len(kind)]
+        whole = mask == full[at:at + len(kind)]
+        some = np.flatnonzero(~whole & (mask > 0))
+        at += len(kind)
         gone.append(np.packbits(whole).tobytes())
         part.append(some.astype(np.uint32).tobytes())
-        values.append(masks[kind[some]].tobytes())
+        values.append(mask[some].tobytes())
     return pa.table([table.column("block"), table.column("bucket"), table.column("bits"), pa.array(gone, pa.binary()),
                      pa.array(part, pa.binary()), pa.array(values, pa.binary())],
                     names=["block", "bucket", "bits", "gone", "part", "masks"])
 
 
+def _own_copies(number: np.ndarray, docs: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of a block's runs have a copy in a smaller document of the block: the whole context is its longest previous factor."""
+    order = np.argsort(number, kind="stable")
+    same = np.append(False, number[order][1:] == number[order][:-1])
+    out = np.zeros(len(number), bool)
+    out[order] = longest_previous_factors(docs[order], np.where(same, size[order], 0)) >= size[order]
+    return out
+
+
 def _covered(b: Block, verdicts: dict[int, dict]) -> tuple[np.ndarray, np.ndarray]:
     """Removed bytes of a block as (first, last + 1) of its runs of windows, not yet united."""
     begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, row, first, last, number, contexts, _, lead_doc in b.contexts({k: v["bits"] for k, v in verdicts.items()}):
+    for k, row, first, last, number, contexts, _ in b.contexts({k: v["bits"] for k, v in verdicts.items()}):
         v = verdicts[k]
         gone = np.unpackbits(np.frombuffer(v["gone"], np.uint8), count=len(contexts)).astype(bool)
-        whole = gone[number] | (b.docs[row] > lead_doc[number])
+        whole = gone[number] | _own_copies(number, b.docs[row], last - first + LENGTH)
         begin.append(first[whole])
         end.append(last[whole] + LENGTH)
         mask = np.zeros(len(contexts), np.uint64)

@@ -242,7 +242,31 @@ def test_windows_in_parts_have_the_same_anchors(monkeypatch):
 
 def test_longest_previous_factors():
     # suffix order of five suffixes; documents 3 0 2 1 2
-    assert D.longest_previous_factors([3, 0, 2, 1, 2], [0, 4, 9, 7, 8]).tolist() == [4, 0, 9, 7, 8]
+    lpf = lambda docs, lcp, *least: D.longest_previous_factors(np.array(docs, np.int64), np.array(lcp, np.int64), *least).tolist()
+    assert lpf([3, 0, 2, 1, 2], [0, 4, 9, 7, 8]) == [4, 0, 9, 7, 8] and lpf([], []) == []
+    rng = random.Random(8)
+    for _ in range(400):
+        n, least = rng.randint(1, 40), rng.randint(1, 6)
+        docs, lcp = [rng.randint(0, 6) for _ in range(n)], [0] + [rng.randint(0, 9) for _ in range(n - 1)]
+        want = [max([0, *(min(lcp[min(i, j) + 1:max(i, j) + 1]) for j in range(n) if docs[j] < docs[i])]) for i in range(n)]
+        assert lpf(docs, lcp, least) == [w if w >= least else 0 for w in want]
+
+
+def test_windows_in_several_orders_are_those_in_one(monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(97, 100, 300).astype(np.uint8).tobytes()
+    texts = list({base[a:a + 50 + int(rng.integers(0, 31))] for a in rng.integers(0, 200, 150).tolist()})
+    kind, docs = rng.integers(0, len(texts), 400), rng.integers(0, 30, 400)
+    whole = D.earlier_windows(texts, kind, docs)
+    held = {}
+    for k, d in zip(kind, docs):
+        for o in range(len(texts[k]) - 49):
+            w = texts[k][o:o + 50]
+            held[w] = min(held.get(w, 99), d)
+    for k, d, m in zip(kind, docs, whole.tolist()):
+        assert m == sum(1 << o for o in range(len(texts[k]) - 49) if held[texts[k][o:o + 50]] < d)
+    monkeypatch.setattr(D, "SUFFIXES", 100)
+    assert np.array_equal(D.earlier_windows(texts, kind, docs), whole)
 
 
 def test_cut_repeats(spark, odd_docs, no_docs):
