@@ -111,8 +111,8 @@ class Model:
 
 
 def learn(labelled: DataFrame, max_labelled: int = 10_000, trees: int = 20, depth: int = 4, seed: int = 7) -> Model:
-    """Model from url and blocked (0 or 1); a null label is left out."""
-    rows = labelled.select("url", F.col("blocked").cast("double").alias("label")).where("label IS NOT NULL")
+    """Model from url and blocked (0 or 1), of which at most ``max_labelled`` distinct ones; a null label is left out."""
+    rows = labelled.select("url", F.col("blocked").cast("double").alias("label")).where("label IS NOT NULL").distinct()
     sample = written(rows.orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled), "labelled-urls")
     sample = lexical(sample.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})).persist()
     found = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).first()

@@ -269,6 +269,13 @@ def test_url_query_and_held_out_accuracy(spark):
     assert np.mean([(r.verdict == "block") == (r.page_id % 2 == 1) for r in got]) > 0.98
 
 
+def test_a_repeated_url_does_not_fill_the_sample(spark):
+    hot = min((f"http://site{i}.org/a" for i in range(50)), key=lambda u: spark.range(1).select(F.xxhash64(F.lit(u))).first()[0])
+    rows = [(i, hot, 0) for i in range(300)] + [(i, f"http://s{i}.{'com' if i % 2 else 'net'}/{'x' * (i % 2) * 40}", i % 2) for i in range(100)]
+    m = U.learn(spark.createDataFrame(rows, "page_id long, url string, blocked int"), max_labelled=60, trees=3)
+    assert m.trees is not None and 0.3 < m.blocked < 0.7
+
+
 def test_url_model_with_one_kind_of_label(spark):
     df = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://a.org/")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in U.judge(df).collect()} == {1: "allow", 2: "allow"}
