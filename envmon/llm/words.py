@@ -36,6 +36,14 @@ def _plain(letters: str) -> bool:
     return letters.isascii() or max(letters) < "\u0530" and unicodedata.normalize("NFC", letters).lower().isalpha()
 
 
+def _latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -75,7 +83,7 @@ class WordEncoder(dict):
         else:
             # folding case before the memo halves it; only where it is what the tokenizer does itself
             if "<|" not in text:
-                if text.isascii():
+                if text.isascii() or _latin1(text):  # nothing in it composes
                     text = text.lower()
                 elif "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text):
                     low = text.lower()  # J with caron is two characters, j with caron one: then the tokenizer's order counts
