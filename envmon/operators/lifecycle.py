@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from ..functions.common import text_keys
 from ..schemas import ENUMS, FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS
+from ._ranges import table
 
 Tables = Mapping[str, DataFrame]
 
@@ -166,55 +166,71 @@ def constraint_checks(columns: Mapping[str, Sequence[str]]) -> list[tuple]:
     return checks
 
 
-def _readable(keys: Sequence[str]):
-    """Key values as one text, for the reported rows only."""
-    return F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
+def _constraint_rows(df: DataFrame, table: str, checks: list[tuple], collation: str | None) -> DataFrame:
+    """One row per row of ``df`` and check that it takes part in: (domain, number or text of the key, constraint, kind).
+
+    A domain is a key's set of values: that of a primary key also takes the foreign keys that refer to it.  Values outside
+    an allowed list are rows, allowed ones are not.
+    """
+    kinds, entries = dict(df.dtypes), []
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+
+    def entry(domain: str, number, text, shown, constraint: str, kind: str, wanted):
+        unique = collation is not None and kind == "DUPLICATE_UNIQUE"
+        folded = F.coalesce(text, F.lit("")) if unique else F.lit("")
+        entries.append(F.when(wanted, F.struct(
+            F.lit(domain).alias("domain"), number.alias("number"), (no_text if unique else text).alias("text"),
+            (folded if collation is None else F.collate(folded, collation)).alias("folded"),
+            shown.alias("shown"), F.lit(constraint).alias("constraint_name"), F.lit(kind).alias("kind"))))
+
+    def key(domain: str, names, constraint: str, kind: str):
+        cols = [F.col(n) for n in names]
+        wanted = functools.reduce(lambda x, y: x & y, [c.isNotNull() for c in cols])
+        if len(names) == 1 and kinds[names[0]] in ("bigint", "int", "smallint", "tinyint"):
+            entry(domain, cols[0].cast("bigint"), no_text, cols[0].cast("string"), constraint, kind, wanted)
+        else:  # several columns: a text that keeps them apart, whatever they hold
+            texts = [c.cast("string") for c in cols]
+            entry(domain, no_number, texts[0] if len(texts) == 1 else F.to_json(F.array(*texts)), F.concat_ws(",", *texts),
+                  constraint, kind, wanted)
+
+    for c in checks:
+        if c[0] == "ORPHAN":
+            key(f"{c[3]}.{c[4]}", [c[2]], f"{c[2]}->{c[3]}.{c[4]}", c[0])
+        elif c[0] == "NOT_ALLOWED":
+            value = F.col(c[2]).cast("string")
+            entry(f"{table}.{c[2]} allowed", no_number, value, value, c[2], c[0], ~F.col(c[2]).isin(list(c[3])))
+        else:
+            key(f"{table}.{','.join(c[2])}", c[2], "(" + ",".join(c[2]) + ")", c[0])
+    return df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select(F.lit(table).alias("table_name"), "e.*")
 
 
 def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] | None = None,
                           collation: str | None = None) -> DataFrame:
     """Duplicate keys, orphan foreign keys and values outside the allowed lists.
 
-    All on typed columns; only what violates a rule is turned into text:
-
-    * duplicates: per key, group by its columns and keep groups of more than one row;
-    * orphans: per parent key, the distinct foreign keys of all its children with their
-      counts (a fact collapses map-side), anti-joined with the parent's keys once;
-    * allowed lists: per table, one pass that emits the values outside their list.
+    Every table is read once: each row gives its keys, its foreign keys and its values outside a list, which are counted
+    together (a hot foreign key is combined map-side).  Kept are keys that repeat, distinct foreign keys, the keys these
+    refer to, and values outside lists; the foreign keys are then anti-joined with the keys of their domain.  Numbers
+    stay numbers throughout.
 
     NULL keys are never duplicates or orphans (as in SQL), NULL values are not checked
     against lists.  ``columns`` limits the checks to those columns.  With a ``collation`` (e.g.
     ``CI_AI``) text keys that it calls equal are duplicates, reported under the smallest of them.
     """
     cols = columns or {t: df.columns for t, df in tables.items()}
-    checks = constraint_checks({t: c for t, c in cols.items() if t in tables})
-    count, found = F.count(F.lit(1)).alias("n"), []
-    children: dict[tuple[str, str], list[DataFrame]] = {}
-    listed: dict[str, list] = {}
-    for c in checks:
-        kind, t = c[0], c[1]
-        if kind == "ORPHAN":
-            name = f"{c[2]}->{c[3]}.{c[4]}"
-            children.setdefault((c[3], c[4]), []).append(tables[t].select(
-                F.lit(t).alias("table_name"), F.lit(name).alias("constraint_name"), F.col(c[2]).alias("key")).dropna())
-        elif kind == "NOT_ALLOWED":
-            listed.setdefault(t, []).append(F.when(~F.col(c[2]).isin(list(c[3])), F.struct(
-                F.lit(c[2]).alias("constraint_name"), F.col(c[2]).alias("key_value"))))
-        else:
-            keys = text_keys(tables[t], c[2], collation)
-            bad = (tables[t].select(*c[2]).dropna().groupBy(*[k.alias(f"__{n}") for n, k in keys.items()])
-                   .agg(*[F.min(n).alias(n) for n in c[2]], count).filter("n > 1")
-                   if collation is not None else tables[t].select(*c[2]).dropna().groupBy(*c[2]).agg(count).filter("n > 1"))
-            found.append(bad.select(F.lit(t).alias("table_name"), F.lit("(" + ",".join(c[2]) + ")").alias("constraint_name"),
-                                    F.lit(kind).alias("kind"), _readable(c[2]).alias("key_value"), "n"))
-    for (parent, pkey), keys in children.items():
-        every = functools.reduce(lambda a, b: a.unionByName(b), keys).groupBy("table_name", "constraint_name", "key").agg(count)
-        found.append(every.join(tables[parent].select(F.col(pkey).alias("key")), "key", "left_anti").select(
-            "table_name", "constraint_name", F.lit("ORPHAN").alias("kind"), _readable(["key"]).alias("key_value"), "n"))
-    for t, tests in listed.items():
-        bad = tables[t].select(F.explode(F.array_compact(F.array(*tests))).alias("x")).groupBy("x").agg(count)
-        found.append(bad.select(F.lit(t).alias("table_name"), "x.constraint_name", F.lit("NOT_ALLOWED").alias("kind"),
-                                "x.key_value", "n"))
-    if not found:
+    by_table: dict[str, list[tuple]] = {}
+    for c in constraint_checks({t: c for t, c in cols.items() if t in tables}):
+        by_table.setdefault(c[1], []).append(c)
+    if not by_table:
         return SparkSession.getActiveSession().createDataFrame([], _VIOLATION)
-    return functools.reduce(lambda a, b: a.unionByName(b), found)
+    rows = functools.reduce(lambda a, b: a.unionByName(b), [_constraint_rows(tables[t], t, cs, collation) for t, cs in by_table.items()])
+    of = ["domain", "number", "text"]
+    counted = rows.groupBy("table_name", "constraint_name", "kind", *of, "folded").agg(F.min("shown").alias("key_value"), F.count(F.lit(1)).alias("n"))
+    referred = sorted({f"{c[3]}.{c[4]}" for cs in by_table.values() for c in cs if c[0] == "ORPHAN"})
+    kept = table(counted.where((F.col("n") > 1) | F.col("kind").isin("ORPHAN", "NOT_ALLOWED") | F.col("domain").isin(referred))
+                 .drop("folded"), "constraint-keys")
+    keys = kept.where("kind = 'DUPLICATE_KEY'").select(*of)
+    same = functools.reduce(lambda x, y: x & y, [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in of])
+    orphans = kept.where("kind = 'ORPHAN'").alias("f").join(keys.alias("k"), same, "left_anti")
+    rest = kept.where("kind = 'NOT_ALLOWED' OR (kind LIKE 'DUPLICATE%' AND n > 1)")
+    return orphans.unionByName(rest).select("table_name", "constraint_name", "kind", "key_value", "n")

@@ -240,11 +240,11 @@ SELECT b.resource_id, b.resource_type, b.region_id, b.species_name,
 FROM resources b LEFT JOIN {_CHANGED} n ON b.resource_id = n.resource_id""")
 def q_upsert(spark, d):
     t = tables(spark, d)
-    out, _ = lifecycle.upsert_snapshot(t["resources"].select(*_NEXT_COLS.split(", ")), _changes(t), "resource_id")
+    out, _ = lifecycle.upsert_snapshot(t["resources"].select(*_NEXT_COLS.split(", ")), resource_changes_of(t), "resource_id")
     return out
 
 
-def _changes(t):
+def resource_changes_of(t):
     """Rows of the next resource version that are new or differ (NULL-safe) from the current one."""
     n = t["resources_next"].select("resource_id", "quantity", "area", "growth_stage")
     o = t["resources"].select("resource_id", F.col("quantity").alias("oq"), F.col("area").alias("oa"),
@@ -260,7 +260,7 @@ def _changes(t):
 SELECT resource_id FROM resources_next WHERE resource_id NOT IN (SELECT resource_id FROM resources)""")
 def q_upsert_unmatched(spark, d):
     t = tables(spark, d)
-    _, unmatched = lifecycle.upsert_snapshot(t["resources"].select(*_NEXT_COLS.split(", ")), _changes(t),
+    _, unmatched = lifecycle.upsert_snapshot(t["resources"].select(*_NEXT_COLS.split(", ")), resource_changes_of(t),
                                              "resource_id")
     return unmatched
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.common import CI_AI
 from ..operators import filters, lifecycle
 from ..session import new_path
-from ..sources import clustered, key_index
-from .catalog import register, tables
+from ..sources import clustered, key_index, versioned
+from .catalog import REGISTRY, register, tables
+from .q_admin import resource_changes_of
 
 # The batch: error events sent as alerts; some name a rule that does not exist or a status that is not allowed,
 # and event ids repeat alert ids.
@@ -88,3 +89,19 @@ def q_collated_lookup(spark, d):
     t = tables(spark, d)
     found, _ = filters.lookup_keys(t["regions"], _spelled(t).where("region_id >= 1000"), "region_name", collation=CI_AI)
     return found.select("region_id", "region_name", "region_type")
+
+
+# S3 on a stored table: the oracles of upsert_snapshot and upsert_unmatched.
+_RESOURCES = "resource_id BIGINT, resource_type STRING, region_id BIGINT, species_name STRING, quantity INT, area DECIMAL(12,2), growth_stage STRING"
+
+
+def _upserted(spark, d):
+    t, path = tables(spark, d), new_path(spark, "resources")
+    names = [f.strip().split()[0] for f in _RESOURCES.replace("(12,2)", "").split(",")]
+    versioned.create(t["resources"].select(*names), path, ["resource_id"], parts=16)
+    unmatched = versioned.upsert(resource_changes_of(t), path, _RESOURCES, ["resource_id"], parts=16)
+    return versioned.open_table(spark, path, _RESOURCES), unmatched
+
+
+REGISTRY["upsert_store"] = (lambda spark, d: _upserted(spark, d)[0], REGISTRY["upsert_snapshot"][1])
+REGISTRY["upsert_store_unmatched"] = (lambda spark, d: _upserted(spark, d)[1], REGISTRY["upsert_unmatched"][1])

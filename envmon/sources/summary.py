@@ -4,12 +4,8 @@ The store holds, per day, sensor, type, unit and status, the counts, exact sum,
 These merge by adding and comparing, so a batch is aggregated once and merged into the days it
 touches, late days included; other days are neither read nor written.
 
-A merge writes the touched days as a new version folder and then a manifest that names the version of
-every day.  The manifest is the commit: before it is there readers see the old state, and a merge that
-failed is done again under the same number.  It also names the batches merged so far; a batch that comes
-again changes nothing.  Merges into one store run one after the other.
-
-Layout: ``<path>/v=<number>/collected_date=<day>/`` and ``<path>/_manifest/<number>/``.
+The days are the parts of a versioned table (``versioned``): a merge that failed is done again, a batch that
+comes again changes nothing, and merges into one store run one after the other.
 """
 
 from __future__ import annotations
@@ -23,12 +19,12 @@ from ..functions.common import as_date, mean_of
 from ..operators._plan import ordered, rollup_through, sensor_dim
 from ..operators._ranges import table
 from ..schemas import enum_rank
-from .tables import hadoop_path
+from . import versioned
 
 Tables = Mapping[str, DataFrame]
 KEYS = ["collected_date", "sensor_id", "reading_type", "value_unit", "data_status"]
 SCHEMA = ("sensor_id BIGINT, reading_type STRING, value_unit STRING, data_status STRING, ids BIGINT, readings BIGINT, n BIGINT, "
-          "total DECIMAL(38,2), low DECIMAL(10,2), high DECIMAL(10,2), latest TIMESTAMP_NTZ, v INT, collected_date DATE")
+          "total DECIMAL(38,2), low DECIMAL(10,2), high DECIMAL(10,2), latest TIMESTAMP_NTZ, collected_date DATE")
 _MERGE = {"ids": F.sum, "readings": F.sum, "n": F.sum, "total": F.sum, "low": F.min, "high": F.max, "latest": F.max}
 #: Writers a day may have: a day that holds most of a batch is written by several tasks.
 FILES_PER_DAY = 4
@@ -43,48 +39,25 @@ def partials(readings: DataFrame) -> DataFrame:
         F.max("collected_at").alias("latest"))
 
 
-def _state(spark: SparkSession, path: str) -> tuple[int, dict, set[str]]:
-    """(number of the last merge, version per day, batches merged): one row per day and batch."""
-    fs, p = hadoop_path(spark, f"{path}/_manifest")
-    done = [int(s.getPath().getName()) for s in fs.listStatus(p)
-            if fs.exists(hadoop_path(spark, f"{path}/_manifest/{s.getPath().getName()}/_SUCCESS")[1])] if fs.exists(p) else []
-    if not done:
-        return 0, {}, set()
-    rows = spark.read.schema("day DATE, v INT, batch STRING").parquet(f"{path}/_manifest/{max(done)}").collect()
-    return max(done), {r.day: r.v for r in rows if r.batch is None}, {r.batch for r in rows if r.batch is not None}
-
-
-def _read(spark: SparkSession, path: str, days: Mapping) -> DataFrame:
-    if not days:
-        return spark.createDataFrame([], SCHEMA).drop("v")
-    folders = [f"{path}/v={v}/collected_date={'__HIVE_DEFAULT_PARTITION__' if d is None else d.isoformat()}" for d, v in days.items()]
-    return spark.read.option("basePath", path).schema(SCHEMA).parquet(*folders).drop("v")
-
-
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """The partial aggregates as of the last merge; day filters prune folders."""
-    return _read(spark, path, _state(spark, path)[1])
+    return versioned.read(spark, path, "collected_date", SCHEMA, versioned.state(spark, path).parts)
 
 
 def merge_batch(readings: DataFrame, path: str, batch: str) -> list:
     """Merge a batch of readings into the store at ``path``; returns the days it touched ([] for a batch merged before)."""
     spark = readings.sparkSession
-    number, days, batches = _state(spark, path)
-    if batch in batches:
+    before = versioned.state(spark, path)
+    if batch in before.batches:
         return []
     new = table(partials(readings), "summary-batch")
     touched = [r[0] for r in new.select("collected_date").distinct().collect()]  # one row per day
-    old = _read(spark, path, {d: days[d] for d in touched if d in days})
-    both = old.unionByName(new).groupBy(*KEYS).agg(*[f(c).alias(c) for c, f in _MERGE.items()])
+    held = {n: before.parts[n] for n in map(versioned.part_name, touched) if n in before.parts}
+    both = versioned.read(spark, path, "collected_date", SCHEMA, held).unionByName(new)
+    both = both.groupBy(*KEYS).agg(*[f(c).alias(c) for c, f in _MERGE.items()])
     both = both.withColumn("total", F.col("total").cast("decimal(38,2)"))
-    number += 1
-    if touched:
-        salt = F.pmod(F.xxhash64("sensor_id"), F.lit(FILES_PER_DAY))
-        (both.repartition("collected_date", salt).write.mode("overwrite").partitionBy("collected_date").parquet(f"{path}/v={number}"))
-    days.update({d: number for d in touched})
-    rows = [(d, v, None) for d, v in days.items()] + [(None, None, b) for b in sorted(batches | {batch})]
-    (spark.createDataFrame(rows, "day DATE, v INT, batch STRING").coalesce(1).write.mode("overwrite")
-     .parquet(f"{path}/_manifest/{number}"))
+    salt = F.pmod(F.xxhash64("sensor_id"), F.lit(FILES_PER_DAY))
+    versioned.commit(spark, path, before, both.repartition("collected_date", salt), "collected_date", touched, batch)
     return touched
 
 

@@ -6,7 +6,7 @@ import datetime as dt
 from decimal import Decimal as D
 
 from envmon.schemas import conform
-from envmon.sources import seed
+from tests import seed
 
 T0 = dt.datetime(2024, 1, 20, 12, 0, 0)
 AS_OF = "2024-01-31"

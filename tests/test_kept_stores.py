@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from envmon.operators import lifecycle, stats
-from envmon.sources import clustered, ingest, key_index, summary
+from envmon.sources import clustered, ingest, key_index, summary, versioned
 
 READINGS = ("reading_id BIGINT, sensor_id BIGINT, collected_at TIMESTAMP_NTZ, reading_type STRING, numeric_value DECIMAL(10,2), "
             "value_unit STRING, data_status STRING")
@@ -31,13 +31,13 @@ def test_kept_statistics_after_late_and_repeated_batches(spark, mini, tmp_dir, m
                readings(rng, 120, 3000, 4, 2)]
     for i, rows in enumerate(batches):
         df = spark.createDataFrame(rows, READINGS)
-        before = summary._state(spark, path)[1]
+        before = versioned.state(spark, path).parts
         touched = summary.merge_batch(df, path, f"b{i}")
         seen += rows
-        after = summary._state(spark, path)[1]
+        after = versioned.state(spark, path).parts
         assert set(touched) == {r[2] and r[2].date() for r in rows}
-        assert all(after[d] == before[d] for d in before if d not in touched)  # other days keep their version
-        assert summary.merge_batch(df, path, f"b{i}") == [] and summary._state(spark, path)[1] == after
+        assert all(after[d] == before[d] for d in before if d not in set(map(versioned.part_name, touched)))  # other days keep their version
+        assert summary.merge_batch(df, path, f"b{i}") == [] and versioned.state(spark, path).parts == after
         kept, t = summary.read_summary(spark, path), {**mini, "sensor_readings": spark.createDataFrame(seen, READINGS)}
         assert same(summary.region_daily_averages(kept, t, 30, "2024-01-20"), stats.region_daily_averages(t, 30, as_of="2024-01-20"))
         assert same(summary.environment_trend(kept, t, 12, "2024-01-20"), stats.environment_trend(t, 12, as_of="2024-01-20"))
@@ -154,3 +154,21 @@ def test_clustered_readings_are_pruned(spark, tmp_dir):
     assert clustered.latest_of_sensor(spark, apart, -1, 10).count() == 0
     few = clustered.latest_of_sensor(spark, apart, 17, 20)
     assert rows_scanned(few) < after  # the newest day was enough
+
+
+def test_upsert_reads_and_writes_touched_parts_only(spark, tmp_dir):
+    ddl, path = "id BIGINT, name STRING, amount INT", f"{tmp_dir}/t"
+    base = spark.createDataFrame([(i, f"n{i}", i) for i in range(200)] + [(None, "lost", 1)], ddl)
+    versioned.create(base, path, ["id"], parts=16)
+    want = {r.id: (r.name, r.amount) for r in base.collect()}
+    for changes in ([(3, 30, 1), (3, 31, 2), (3, 29, 0), (999, 1, 1), (None, 5, 1)], [(7, None, 1)], [(888, 1, 1)], []):
+        before = versioned.state(spark, path)
+        df = spark.createDataFrame(changes, "id BIGINT, amount INT, seq INT")
+        unmatched = versioned.upsert(df, path, ddl, ["id"], parts=16, order_by="seq")
+        whole, missing = lifecycle.upsert_snapshot(spark.createDataFrame([(k, *v) for k, v in want.items()], ddl), df, "id", order_by="seq")
+        now = versioned.open_table(spark, path, ddl)
+        assert same(now, whole) and same(unmatched, missing)
+        want = {r.id: (r.name, r.amount) for r in now.collect()}
+        after = versioned.state(spark, path)
+        assert sum(after.parts[p] != v for p, v in before.parts.items()) <= len({c[0] for c in changes}) and set(after.parts) == set(before.parts)
+    assert want[3] == ("n3", 31) and want[7] == ("n7", None) and want[None] == ("lost", 1)
