@@ -25,6 +25,7 @@ Further columns are ignored or carried.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -280,8 +281,28 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ["id", "digest", "terms", "shares"])
 
 
+def _fit_rows(table: pa.Table, labels: dict[int, int], settings: dict) -> pa.Table:
+    """The model of all learned rows, one row with its arrays."""
+    rows = sorted(table.select(["id", "terms", "shares"]).to_pylist(), key=lambda r: r["id"])
+    layout, text, cell, share = np.zeros((len(rows), N_LAYOUT), np.float32), [], [], []
+    for i, r in enumerate(rows):
+        at, x = np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["shares"], "<f4")
+        own = at < N_LAYOUT
+        layout[i, at[own]] = x[own]
+        cell.append(at[~own] - N_LAYOUT)
+        share.append(x[~own])
+        text.append(np.full(int((~own).sum()), i))
+    flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+    terms = Terms(layout, flat(text, np.int64), flat(cell, np.int64), flat(share, np.float32))
+    model = fit(terms, np.array([float(labels[r["id"]] > 0) for r in rows]), **settings)
+    return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **settings) -> Model:
-    """``docs``: doc_id, text.  ``labels``: doc_id, quality; both already without the rows held out."""
+    """``docs``: doc_id, text.  ``labels``: doc_id, quality; both already without the rows held out.
+
+    At most ``max_labelled`` rows are learned from, by one task; the model alone comes to the driver.
+    """
     ids = (labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id"))
            .agg(F.min(F.col("quality").cast("int")).alias("label"))
            .orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_labelled))
@@ -292,19 +313,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **settin
     # one text of a repeated id: the one of the smallest digest
     one = F.min(F.struct("digest", "terms", "shares")).alias("t")
     rows = (texts.mapInArrow(_sample_terms, "id long, digest string, terms binary, shares binary")
-            .groupBy("id").agg(one).select("id", "t.terms", "t.shares").limit(max_labelled).collect())
-    rows.sort(key=lambda r: r["id"])
-    layout, text_, cell, share = np.zeros((len(rows), N_LAYOUT), np.float32), [], [], []
-    for i, r in enumerate(rows):
-        at, x = np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["shares"], "<f4")
-        own = at < N_LAYOUT
-        layout[i, at[own]] = x[own]
-        cell.append(at[~own] - N_LAYOUT)
-        share.append(x[~own])
-        text_.append(np.full(int((~own).sum()), i))
-    flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-    terms = Terms(layout, flat(text_, np.int64), flat(cell, np.int64), flat(share, np.float32))
-    return fit(terms, np.array([float(picked[r["id"]] > 0) for r in rows]), **settings)
+            .groupBy("id").agg(one).select("id", "t.terms", "t.shares", F.lit(0).alias("every")))
+    found = rows.groupBy("every").applyInArrow(lambda t: _fit_rows(t, picked, settings), "model binary").collect()
+    if found:
+        return pickle.loads(found[0]["model"])
+    nothing = Terms(np.zeros((0, N_LAYOUT), np.float32), *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.float32))
+    return fit(nothing, np.zeros(0), **settings)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
