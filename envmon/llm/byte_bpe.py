@@ -3,13 +3,16 @@
 A task reads a block of texts and explodes them into pre-tokens (matches of the
 pattern) with their positions: the block's distinct words in order of frequency,
 and per text the sequence of word numbers.  The distinct words are dealt by
-hash into buckets; a bucket encodes each distinct word of the whole corpus
-once and sends the ids back to every block that has the word.  There the ids are
+hash into buckets, first among the blocks of a group, where the words that several
+blocks have become one, then among all groups; a bucket encodes each distinct word of the
+whole corpus once, and the ids go back by the same way.  In the block the ids are
 joined to the positions and the texts' ids put together.
 
-Blocks pass one exchange that both uses share; words and ids travel packed,
-per pair of block and bucket, so a word that every text has (a third of all
-pre-tokens, say) is one entry per block.
+Blocks, and the words they send, pass one exchange each that both uses share; words and
+ids travel packed, per pair of block and bucket, so a word that every text has (a third of
+all pre-tokens, say) is one entry per block.  There are at most ``MOST_BUCKETS`` buckets: what a
+block sends stays in proportion to its words however large the corpus is, and what a bucket gets
+grows with the distinct words of groups.
 
 Decoding joins every id with the table of token bytes (bounded by the
 vocabulary, broadcast) and concatenates by position.
@@ -43,6 +46,8 @@ from ._common import one_array, pieces, text_bytes, utf8_buffers
 
 #: Text per block and per bucket of words.
 BLOCK_BYTES, BUCKET_BYTES = 7 << 20, 64 << 20
+#: Buckets at most, and blocks whose words are merged before they meet those of other groups.
+MOST_BUCKETS, GROUP_BLOCKS = 4096, 256
 #: Texts decoded at a time, for bounded memory.
 SLICE = 500
 #: White space that may stand before a space: there a text can't be parted without looking at the whole run.
@@ -171,42 +176,73 @@ def _by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-WORDS_SCHEMA = "bucket int, block long, mark long, sizes binary, words binary"
+WORDS_SCHEMA = "grp int, bucket int, block long, mark long, sizes binary, words binary"
 
 
-def _send_words(table: pa.Table, buckets: int) -> pa.Table:
+def _send_words(table: pa.Table, buckets: int, groups: int) -> pa.Table:
     out: dict[str, list] = {c.split()[0]: [] for c in WORDS_SCHEMA.split(", ")}
     for row in table.select(["block", "sizes", "words"]).to_pylist():
         words, mark = _spelled(row), zlib.crc32(row["words"])
         order, at = _by_bucket(words, buckets)
-        for k in range(buckets):
+        group = zlib.crc32(row["block"].to_bytes(8, "little")) % groups
+        for k in np.flatnonzero(np.diff(at)).tolist():
             mine = [words[i] for i in order[at[k]:at[k + 1]].tolist()]
-            if mine:
-                for column, v in zip(out.values(), (k, row["block"], mark, _zip(np.array([len(w) for w in mine], np.uint32)),
-                                                    _zip(b"".join(mine)))):
-                    column.append(v)
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            for column, v in zip(out.values(), (group, k, row["block"], mark, _zip(np.array([len(w) for w in mine], np.uint32)),
+                                                _zip(b"".join(mine)))):
+                column.append(v)
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
 
-IDS_SCHEMA = "block long, bucket int, mark long, n_ids binary, ids binary"
+def _numbered(table: pa.Table, by: str) -> tuple[list[dict], list[np.ndarray], list[bytes]]:
+    """Rows in order of ``by``, the number of each of their words, and the distinct words in order of their numbers."""
+    rows, number = sorted(table.to_pylist(), key=lambda r: r[by]), _Numbered()
+    chosen = [np.fromiter(map(number.__getitem__, _spelled(r)), np.int32) for r in rows]
+    return rows, chosen, list(number)
+
+
+MERGED_SCHEMA = "bucket int, grp int, sizes binary, words binary"
+
+
+def _merge_words(table: pa.Table) -> pa.Table:
+    """The distinct words of a group of blocks in one bucket."""
+    rows, _, words = _numbered(table, "block")
+    sizes = np.array([len(w) for w in words], np.uint32)
+    return pa.table([pa.array([rows[0]["bucket"]], pa.int32()), pa.array([rows[0]["grp"]], pa.int32()),
+                     pa.array([_zip(sizes)], pa.binary()), pa.array([_zip(b"".join(words))], pa.binary())],
+                    names=["bucket", "grp", "sizes", "words"])
+
+
+GROUP_IDS_SCHEMA = "grp int, bucket int, n_ids binary, ids binary"
 
 
 def _encode_words(table: pa.Table, ranks) -> pa.Table:
-    """Encode each distinct word of a bucket once; answer every block in the order of its words."""
+    """Encode each distinct word of a bucket once; answer every group in the order of its words."""
     # a pattern that takes any text whole: the words are matches already
     enc = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks.value, special_tokens={})
-    number, known, n_ids, ids = _Numbered(), [], [], []
-    blocks = [np.fromiter(map(number.__getitem__, _spelled(r)), np.int64)
-              for r in table.select(["sizes", "words"]).to_pylist()]
-    known = [enc.encode_ordinary(w.decode()) for w in number]
+    rows, groups, words = _numbered(table, "grp")
+    known = [enc.encode_ordinary(w.decode()) for w in words]
     size = np.array([len(k) for k in known], np.int64)
     flat = np.array([i for k in known for i in k], np.uint32)
-    for chosen in blocks:
-        n_ids.append(_zip(size[chosen].astype(np.uint32)))
-        ids.append(_zip(flat[gather(size, chosen)]))
-    return pa.table([table.column("block"), table.column("bucket"), table.column("mark"), pa.array(n_ids, pa.binary()),
-                     pa.array(ids, pa.binary())], names=[c.split()[0] for c in IDS_SCHEMA.split(", ")])
+    return pa.table([pa.array([r["grp"] for r in rows], pa.int32()), pa.array([r["bucket"] for r in rows], pa.int32()),
+                     pa.array([_zip(size[c].astype(np.uint32)) for c in groups], pa.binary()),
+                     pa.array([_zip(flat[gather(size, c)]) for c in groups], pa.binary())], names=["grp", "bucket", "n_ids", "ids"])
+
+
+IDS_SCHEMA = "block long, bucket int, mark long, n_ids binary, ids binary"
+
+
+def _hand_back(words: pa.Table, answer: pa.Table) -> pa.Table:
+    """A group's ids for each of its blocks, in the order of the block's words."""
+    rows, blocks, distinct = _numbered(words, "block")
+    size = np.concatenate([np.zeros(0, np.uint32), *[_unzip(x, np.uint32) for x in answer.column("n_ids").to_pylist()]]).astype(np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint32), *[_unzip(x, np.uint32) for x in answer.column("ids").to_pylist()]])
+    if len(size) != len(distinct):
+        raise RuntimeError("a block of texts was read again in another order: write the input first")
+    return pa.table([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()),
+                     pa.array([r["mark"] for r in rows], pa.int64()),
+                     pa.array([_zip(size[c].astype(np.uint32)) for c in blocks], pa.binary()),
+                     pa.array([_zip(flat[gather(size, c)]) for c in blocks], pa.binary())], names=[c.split()[0] for c in IDS_SCHEMA.split(", ")])
 
 
 def _reassemble(blocks: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
@@ -240,12 +276,15 @@ def _reassemble(blocks: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) of every whole text, without special tokens."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # bounded by the vocabulary
-    buckets = 16 + math.ceil(text_bytes(docs) / BUCKET_BYTES)
+    total = text_bytes(docs)
+    buckets, groups = min(MOST_BUCKETS, 16 + math.ceil(total / BUCKET_BYTES)), math.ceil(total / BLOCK_BYTES / GROUP_BLOCKS) or 1
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     blocks = rows.mapInArrow(partial(_explode, pattern=pattern), BLOCK_SCHEMA.format(id=kind)).groupBy("block")
-    words = blocks.applyInArrow(lambda t: _send_words(t, buckets), WORDS_SCHEMA)
-    answers = words.groupBy("bucket").applyInArrow(lambda t: _encode_words(t, ranks), IDS_SCHEMA)
+    words = blocks.applyInArrow(lambda t: _send_words(t, buckets, groups), WORDS_SCHEMA).groupBy("grp", "bucket")
+    merged = words.applyInArrow(_merge_words, MERGED_SCHEMA)
+    encoded = merged.groupBy("bucket").applyInArrow(lambda t: _encode_words(t, ranks), GROUP_IDS_SCHEMA)
+    answers = words.cogroup(encoded.groupBy("grp", "bucket")).applyInArrow(_hand_back, IDS_SCHEMA)
     return blocks.cogroup(answers.groupBy("block")).applyInArrow(
         lambda b, a: _reassemble(b, a, buckets), f"doc_id {kind}, ids array<int>")
 

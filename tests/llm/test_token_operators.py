@@ -123,9 +123,12 @@ def test_byte_bpe_in_many_blocks(spark, tik, odd_docs, no_docs, monkeypatch):
     from functools import partial
     small = types.FunctionType(B._explode.__code__, dict(B._explode.__globals__, BLOCK_BYTES=1), "small")
     monkeypatch.setattr(B, "_explode", lambda batches, pattern: small(batches, pattern))
-    got = B.encode(odd_docs, RANKS, P.PATTERN).collect()
     want = [(r.doc_id, tik.encode_ordinary(r.text or "")) for r in odd_docs.collect()]
-    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), x) for i, x in want)
+    for group_blocks, buckets in ((256, 4096), (1e-3, 3)):  # one group of blocks; dozens of groups and few buckets
+        monkeypatch.setattr(B, "GROUP_BLOCKS", group_blocks)
+        monkeypatch.setattr(B, "MOST_BUCKETS", buckets)
+        got = B.encode(odd_docs, RANKS, P.PATTERN).collect()
+        assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), x) for i, x in want)
     assert B.encode(no_docs, RANKS, P.PATTERN).count() == 0
     assert B.digest(B.encode(no_docs, RANKS, P.PATTERN), RANKS).count() == 0
 
