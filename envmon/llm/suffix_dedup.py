@@ -27,7 +27,11 @@ into buckets such that equal strings always meet:
 * The verdicts return to the blocks, which cut the covered bytes out.
 
 The text is shuffled once (the three uses share the exchange); hashes and
-contexts travel packed, per pair of block and bucket.
+contexts travel packed, per pair of block and bucket.  There are at most ``MOST_BUCKETS``
+buckets, so what a block sends stays in proportion to its text however large the corpus is.  In
+a bucket the blocks of a group are merged first: equal hashes and contexts become one, and
+the rest is parted by hash into as many fine buckets as keep a task's share bounded.
+Answers go back by the same way.
 
 Defined results: a null text counts as empty; a null id counts as larger than
 any other; rows with the same id never remove from each other; texts below
@@ -61,6 +65,8 @@ BUCKET_BYTES = 8 << 20
 PART = 1 << 20
 #: Different contexts of an anchor beyond which its windows are dealt out one by one.
 HEAVY = 4096
+#: Buckets that blocks send to at most, and blocks that are merged in a bucket.
+MOST_BUCKETS, GROUP_BLOCKS = 4096, 256
 #: Suffixes put in order at a time.
 SUFFIXES = 1 << 18
 NO_ID = np.iinfo(np.int64).max
@@ -178,7 +184,7 @@ class Block:
 
     def contexts(self, bits: dict[int, bytes]):
         """Per bucket: (bucket, rows, first and last windows of its runs, context number of each run, contexts, their
-        smallest documents).  A bucket whose bits tell of windows in other buckets comes too, without contexts."""
+        hashes and smallest documents).  A bucket whose bits tell of windows in other buckets comes too, without contexts."""
         shared, heavy = np.zeros((2, len(self.hashes)), bool)
         for k, packed in bits.items():
             a, b = self.cuts[k], self.cuts[k + 1]
@@ -192,6 +198,7 @@ class Block:
         own = _window_hashes(self.data, single)
         row = np.concatenate([self.row[chosen], np.repeat(self.row[hot], n)])
         first, last = np.concatenate([self.first[chosen], single]), np.concatenate([self.last[chosen], single])
+        h = np.concatenate([self.hashes[self.kind[chosen]], own])
         buckets = len(self.cuts) - 1
         where = np.concatenate([self.bucket[self.kind[chosen]], ((own >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)])
         order = np.argsort(where, kind="stable")
@@ -205,31 +212,30 @@ class Block:
             number = np.fromiter((seen.setdefault(bytes(raw[f:e]), len(seen)) for f, e in
                                   zip(first[mine].tolist(), (last[mine] + LENGTH).tolist())), np.int64, len(mine))
             lead = np.unique(number, return_index=True)[1]  # rows are in id order: the first run has the smallest id
-            yield k, row[mine], first[mine], last[mine], number, list(seen), self.docs[row[mine[lead]]]
+            key = (h[mine[lead]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            yield k, row[mine], first[mine], last[mine], number, list(seen), key, self.docs[row[mine[lead]]]
 
 
-HASHES_SCHEMA = "bucket int, block int, hashes binary, many binary, counts binary"
+HASHES_SCHEMA = "grp int, bucket int, block int, hashes binary, many binary, counts binary"
 
 
-def _send_hashes(table: pa.Table, buckets: int) -> pa.Table:
+def _send_hashes(table: pa.Table, buckets: int, groups: int) -> pa.Table:
     b = Block(table, buckets)
     many, counts, key = b.in_many(), b.context_counts(), (b.hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    spans = [(k, b.cuts[k], b.cuts[k + 1]) for k in range(buckets) if b.cuts[k] < b.cuts[k + 1]]
+    spans = [(k, b.cuts[k], b.cuts[k + 1]) for k in np.flatnonzero(np.diff(b.cuts)).tolist()]
     block = table.column("block")[0].as_py()
-    return pa.table([pa.array([k for k, _, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int32()),
+    return pa.table([pa.array([block % groups] * len(spans), pa.int32()), pa.array([k for k, _, _ in spans], pa.int32()),
+                     pa.array([block] * len(spans), pa.int32()),
                      pa.array([key[x:y].tobytes() for _, x, y in spans], pa.binary()),
                      pa.array([np.packbits(many[x:y]).tobytes() for _, x, y in spans], pa.binary()),
                      pa.array([counts[x:y].tobytes() for _, x, y in spans], pa.binary())],
-                    names=["bucket", "block", "hashes", "many", "counts"])
+                    names=["grp", "bucket", "block", "hashes", "many", "counts"])
 
 
-BITS_SCHEMA = "block int, bucket int, bits binary"
-
-
-def _find_shared(table: pa.Table, heavy: int = HEAVY) -> pa.Table:
-    """Which hashes of each block occur in several documents of the corpus, and which of those in many contexts."""
+def _united(table: pa.Table, counts_kind) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each row; the distinct ones in order, whether they occur in many documents, and their contexts."""
     keys = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()])
+    counts = np.concatenate([np.frombuffer(x, counts_kind) for x in table.column("counts").to_pylist()])
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     every = every[order]
@@ -238,32 +244,113 @@ def _find_shared(table: pa.Table, heavy: int = HEAVY) -> pa.Table:
     for x, k in zip(table.column("many").to_pylist(), keys):
         many = np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool)
         shared[np.searchsorted(kinds, k[many])] = True
-    often = shared & (np.add.reduceat(counts[order].astype(np.int64), at) > heavy)
+    return keys, kinds, shared, np.add.reduceat(counts[order].astype(np.int64), at)
+
+
+MERGED_HASHES_SCHEMA = "bucket int, fine int, grp int, hashes binary, many binary, counts binary"
+
+
+def _merge_hashes(table: pa.Table, fine: int) -> pa.Table:
+    """A group's distinct hashes of a bucket, one row per fine bucket."""
+    _, kinds, shared, counts = _united(table, np.uint16)
+    part, rows = kinds % np.uint32(fine), []
+    for f in np.unique(part).tolist():
+        mine = part == f
+        rows.append((f, kinds[mine].tobytes(), np.packbits(shared[mine]).tobytes(), np.minimum(counts[mine], 1 << 31).astype(np.uint32).tobytes()))
+    n = len(rows)
+    return pa.table([pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()),
+                     pa.array([table.column("grp")[0].as_py()] * n, pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)],
+                    names=["bucket", "fine", "grp", "hashes", "many", "counts"])
+
+
+GROUP_BITS_SCHEMA = "grp int, bucket int, fine int, bits binary"
+
+
+def _find_shared(table: pa.Table, heavy: int = HEAVY) -> pa.Table:
+    """Which hashes of each group occur in several documents of the corpus, and which of those in many contexts."""
+    keys, kinds, shared, counts = _united(table, np.uint32)
+    often = shared & (counts > heavy)
     which = [np.searchsorted(kinds, k) for k in keys]
     bits = [np.packbits(shared[w]).tobytes() + np.packbits(often[w]).tobytes() for w in which]
-    return pa.table([table.column("block"), table.column("bucket"), pa.array(bits, pa.binary())],
-                    names=["block", "bucket", "bits"])
+    return pa.table([table.column("grp"), table.column("bucket"), table.column("fine"), pa.array(bits, pa.binary())],
+                    names=["grp", "bucket", "fine", "bits"])
+
+
+BITS_SCHEMA = "block int, bucket int, bits binary"
+
+
+def _split_bits(hashes: pa.Table, answers: pa.Table, fine: int) -> pa.Table:
+    """A group's answers for each of its blocks."""
+    keys, kinds, _, _ = _united(hashes, np.uint16)
+    flags = np.zeros((2, len(kinds)), bool)
+    for r in answers.select(["fine", "bits"]).to_pylist():
+        mine = np.flatnonzero(kinds % np.uint32(fine) == r["fine"])
+        flags[:, mine] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).reshape(2, -1)[:, :len(mine)]
+    bits = [np.packbits(flags[0, w]).tobytes() + np.packbits(flags[1, w]).tobytes() for w in (np.searchsorted(kinds, k) for k in keys)]
+    return pa.table([hashes.column("block"), hashes.column("bucket"), pa.array(bits, pa.binary())], names=["block", "bucket", "bits"])
+
+
+CONTEXTS_SCHEMA = "grp int, bucket int, block int, bits binary, keys binary, sizes binary, docs binary, raw_size int, raw binary"
 
 
-CONTEXTS_SCHEMA = "bucket int, block int, bits binary, sizes binary, docs binary, raw_size int, raw binary"
+def _packed(contexts: list[bytes]) -> tuple[bytes, int, bytes]:
+    raw = b"".join(contexts)
+    return np.array([len(c) for c in contexts], np.uint8).tobytes(), len(raw), pa.compress(raw, "zstd", asbytes=True)
 
 
-def _send_contexts(texts: pa.Table, bits: pa.Table, buckets: int) -> pa.Table:
+def _unpacked(row: dict) -> list[bytes]:
+    raw = pa.decompress(row["raw"], row["raw_size"], "zstd", asbytes=True) if row["raw_size"] else b""
+    end = np.cumsum(np.frombuffer(row["sizes"], np.uint8).astype(np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([0, *end], end)]
+
+
+def _send_contexts(texts: pa.Table, bits: pa.Table, buckets: int, groups: int) -> pa.Table:
     rows: dict[str, list] = {c.split()[0]: [] for c in CONTEXTS_SCHEMA.split(", ")}
     if texts.num_rows:
         packed = dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()))
         block = texts.column("block")[0].as_py()
-        for k, _, _, _, _, contexts, docs in Block(texts, buckets).contexts(packed):
-            raw = b"".join(contexts)
-            sizes = np.array([len(c) for c in contexts], np.uint8)
-            values = (k, block, packed.get(k, b""), sizes.tobytes(), docs.tobytes(), len(raw),
-                      pa.compress(raw, "zstd", asbytes=True))
+        for k, _, _, _, _, contexts, key, docs in Block(texts, buckets).contexts(packed):
+            sizes, raw_size, raw = _packed(contexts)
+            values = (block % groups, k, block, packed.get(k, b""), key.tobytes(), sizes, docs.tobytes(), raw_size, raw)
             for column, v in zip(rows.values(), values):
                 column.append(v)
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 4 + [pa.int32(), pa.binary()]
     return pa.table([pa.array(v, t) for v, t in zip(rows.values(), kinds)], names=list(rows))
 
 
+class _Contexts:
+    """The contexts of a group's blocks in one bucket: distinct ones in order of first sight, and each block's entries."""
+
+    def __init__(self, table: pa.Table):
+        self.rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        number: dict[bytes, int] = {}
+        self.kinds = [np.fromiter((number.setdefault(c, len(number)) for c in _unpacked(r)), np.int64) for r in self.rows]
+        self.texts = list(number)
+        self.docs = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["docs"], np.int64) for r in self.rows]])
+        self.kind = np.concatenate([np.zeros(0, np.int64), *self.kinds])
+        self.keys, self.smallest = np.zeros(len(number), np.uint32), np.full(len(number), NO_ID)
+        self.keys[self.kind] = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(r["keys"], np.uint32) for r in self.rows]])
+        np.minimum.at(self.smallest, self.kind, self.docs)
+
+    def parts(self, fine: int) -> np.ndarray:
+        return self.keys % np.uint32(fine)
+
+
+MERGED_CONTEXTS_SCHEMA = "bucket int, fine int, grp int, sizes binary, docs binary, raw_size int, raw binary"
+
+
+def _merge_contexts(table: pa.Table, fine: int) -> pa.Table:
+    """A group's distinct contexts of a bucket with their smallest documents, one row per fine bucket."""
+    c, rows = _Contexts(table), []
+    part = c.parts(fine)
+    for f in np.unique(part).tolist():
+        mine = np.flatnonzero(part == f)
+        sizes, raw_size, raw = _packed([c.texts[i] for i in mine.tolist()])
+        rows.append((c.rows[0]["bucket"], f, c.rows[0]["grp"], sizes, c.smallest[mine].tobytes(), raw_size, raw))
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int32(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in MERGED_CONTEXTS_SCHEMA.split(", ")])
+
+
 def longest_previous_factors(docs: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
     """For suffixes in suffix order: the longest prefix shared with a suffix of a smaller document (0 if below ``least``).
 
@@ -336,38 +423,40 @@ def earlier_windows(texts: list[bytes], kind: np.ndarray, docs: np.ndarray) -> n
     return masks.astype(np.uint64)
 
 
+GROUP_VERDICT_SCHEMA = "grp int, bucket int, fine int, gone binary, part binary, masks binary"
 VERDICT_SCHEMA = "block int, bucket int, bits binary, gone binary, part binary, masks binary"
 
 
+def _full(texts: list[bytes]) -> np.ndarray:
+    """The mask of all windows of each context."""
+    windows = np.array([len(t) - LENGTH + 1 for t in texts], np.uint64)
+    return (np.uint64(1) << windows) - np.uint64(1)
+
+
+def _verdict(mask: np.ndarray, full: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """What has an earlier copy: all of a context, or the windows of a mask."""
+    whole = mask == full
+    some = np.flatnonzero(~whole & (mask > 0))
+    return np.packbits(whole).tobytes(), some.astype(np.uint32).tobytes(), mask[some].tobytes()
+
+
 def _judge(table: pa.Table) -> pa.Table:
-    """What of each block's contexts has an earlier copy: all of it, or the windows of a mask."""
+    """Which windows of each group's contexts have an earlier copy in the corpus."""
     number: dict[bytes, int] = {}  # equal contexts stand together in suffix order
-    kinds, docs = [], []
-    for r in table.select(["sizes", "raw_size", "raw", "docs"]).to_pylist():
-        raw = pa.decompress(r["raw"], r["raw_size"], "zstd", asbytes=True) if r["raw_size"] else b""
-        end = np.cumsum(np.frombuffer(r["sizes"], np.uint8).astype(np.int64)).tolist()
-        kinds.append(np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *end], end)), np.int64, len(end)))
-        docs.append(np.frombuffer(r["docs"], np.int64))
+    rows = table.to_pylist()
+    kinds = [np.fromiter((number.setdefault(c, len(number)) for c in _unpacked(r)), np.int64) for r in rows]
     every, texts = np.concatenate([np.zeros(0, np.int64), *kinds]), list(number)
-    masks = earlier_windows(texts, every, np.concatenate([np.zeros(0, np.int64), *docs]))
-    windows = np.array([len(t) - LENGTH + 1 for t in texts], np.uint64)
-    full = (np.uint64(1) << windows[every]) - np.uint64(1) if len(texts) else masks
-    gone, part, values, at = [], [], [], 0
-    for kind in kinds:
-        mask = masks[at:at + len(kind)]
-        whole = mask == full[at:at + len(kind)]
-        some = np.flatnonzero(~whole & (mask > 0))
+    masks = earlier_windows(texts, every, np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["docs"], np.int64) for r in rows]]))
+    full, at, out = _full(texts), 0, []
+    for r, kind in zip(rows, kinds):
+        out.append((r["grp"], r["bucket"], r["fine"], *_verdict(masks[at:at + len(kind)], full[kind])))
         at += len(kind)
-        gone.append(np.packbits(whole).tobytes())
-        part.append(some.astype(np.uint32).tobytes())
-        values.append(mask[some].tobytes())
-    return pa.table([table.column("block"), table.column("bucket"), table.column("bits"), pa.array(gone, pa.binary()),
-                     pa.array(part, pa.binary()), pa.array(values, pa.binary())],
-                    names=["block", "bucket", "bits", "gone", "part", "masks"])
+    types = [pa.int32()] * 3 + [pa.binary()] * 3
+    return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in GROUP_VERDICT_SCHEMA.split(", ")])
 
 
 def _own_copies(number: np.ndarray, docs: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which of a block's runs have a copy in a smaller document of the block: the whole context is its longest previous factor."""
+    """Which contexts have a copy in a smaller document here: all of the context is its longest previous factor."""
     order = np.argsort(number, kind="stable")
     same = np.append(False, number[order][1:] == number[order][:-1])
     out = np.zeros(len(number), bool)
@@ -375,17 +464,40 @@ def _own_copies(number: np.ndarray, docs: np.ndarray, size: np.ndarray) -> np.nd
     return out
 
 
+def _masks(row: dict, full: np.ndarray) -> np.ndarray:
+    """The masks of a verdict on contexts whose full masks are given."""
+    gone = np.unpackbits(np.frombuffer(row["gone"], np.uint8), count=len(full)).astype(bool)
+    mask = np.where(gone, full, np.uint64(0))
+    mask[np.frombuffer(row["part"], np.uint32)] = np.frombuffer(row["masks"], np.uint64)
+    return mask
+
+
+def _split_verdicts(contexts: pa.Table, verdicts: pa.Table, fine: int) -> pa.Table:
+    """A group's verdicts for each of its blocks; copies within the group go but for the one of the smallest document."""
+    c = _Contexts(contexts)
+    part, full, masks = c.parts(fine), _full(c.texts), np.zeros(len(c.texts), np.uint64)
+    for r in verdicts.to_pylist():
+        mine = np.flatnonzero(part == r["fine"])
+        masks[mine] = _masks(r, full[mine])
+    size = np.array([len(t) for t in c.texts], np.int64)
+    every = np.where(_own_copies(c.kind, c.docs, size[c.kind]), full[c.kind], masks[c.kind])
+    at, out = 0, []
+    for r, kind in zip(c.rows, c.kinds):
+        out.append((r["block"], r["bucket"], r["bits"], *_verdict(every[at:at + len(kind)], full[kind])))
+        at += len(kind)
+    types = [pa.int32()] * 2 + [pa.binary()] * 4
+    return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in VERDICT_SCHEMA.split(", ")])
+
+
 def _covered(b: Block, verdicts: dict[int, dict]) -> tuple[np.ndarray, np.ndarray]:
     """Removed bytes of a block as (first, last + 1) of its runs of windows, not yet united."""
     begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, row, first, last, number, contexts, _ in b.contexts({k: v["bits"] for k, v in verdicts.items()}):
-        v = verdicts[k]
-        gone = np.unpackbits(np.frombuffer(v["gone"], np.uint8), count=len(contexts)).astype(bool)
-        whole = gone[number] | _own_copies(number, b.docs[row], last - first + LENGTH)
+    for k, row, first, last, number, contexts, _, _ in b.contexts({k: v["bits"] for k, v in verdicts.items()}):
+        full = _full(contexts)
+        mask = _masks(verdicts[k], full) if contexts else full
+        whole = (mask == full)[number] | _own_copies(number, b.docs[row], last - first + LENGTH)
         begin.append(first[whole])
         end.append(last[whole] + LENGTH)
-        mask = np.zeros(len(contexts), np.uint64)
-        mask[np.frombuffer(v["part"], np.uint32)] = np.frombuffer(v["masks"], np.uint64)
         some = ~whole & (mask[number] > 0)
         start, bits = first[some], mask[number[some]]
         for o in range(GRAMS):
@@ -430,17 +542,24 @@ def _cut(texts: pa.Table, verdicts: pa.Table, buckets: int, whole_chars: bool =
 def _process(docs: DataFrame, rest, kind: T.DataType, whole_chars: bool = False) -> DataFrame:
     """rest, doc_id, n_bytes, span_first, span_end, kept of every document."""
     total = text_bytes(docs)
-    blocks, buckets = block_count(total, least=1 << 20), 16 + math.ceil(total / BUCKET_BYTES)
+    blocks, needed = block_count(total, least=1 << 20), 16 + math.ceil(total / BUCKET_BYTES)
+    buckets = min(MOST_BUCKETS, needed)
+    fine, groups = math.ceil(needed / buckets), math.ceil(blocks / GROUP_BLOCKS)
     # rows that repeat an id go to different blocks by their text; what meets in a block changes no result
     texts = docs.select(F.pmod(F.xxhash64(F.col("doc_id"), F.crc32(F.col("text").cast("binary"))), F.lit(blocks))
                         .cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"), rest.alias("rest"))
     heavy = HEAVY
-    hashes = texts.groupBy("block").applyInArrow(lambda t: _send_hashes(t, buckets), HASHES_SCHEMA)
-    bits = hashes.groupBy("bucket").applyInArrow(lambda t: _find_shared(t, heavy), BITS_SCHEMA)
+    group = ("grp", "bucket")
+    hashes = texts.groupBy("block").applyInArrow(lambda t: _send_hashes(t, buckets, groups), HASHES_SCHEMA).groupBy(*group)
+    found = hashes.applyInArrow(lambda t: _merge_hashes(t, fine), MERGED_HASHES_SCHEMA).groupBy("bucket", "fine").applyInArrow(
+        lambda t: _find_shared(t, heavy), GROUP_BITS_SCHEMA)
+    bits = hashes.cogroup(found.groupBy(*group)).applyInArrow(lambda t, a: _split_bits(t, a, fine), BITS_SCHEMA)
     contexts = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(
-        lambda t, b: _send_contexts(t, b, buckets), CONTEXTS_SCHEMA)
-    verdicts = contexts.groupBy("bucket").applyInArrow(_judge, VERDICT_SCHEMA)
+        lambda t, b: _send_contexts(t, b, buckets, groups), CONTEXTS_SCHEMA).groupBy(*group)
+    judged = contexts.applyInArrow(lambda t: _merge_contexts(t, fine), MERGED_CONTEXTS_SCHEMA).groupBy("bucket", "fine").applyInArrow(
+        _judge, GROUP_VERDICT_SCHEMA)
+    verdicts = contexts.cogroup(judged.groupBy(*group)).applyInArrow(lambda t, v: _split_verdicts(t, v, fine), VERDICT_SCHEMA)
     out = T.StructType([T.StructField("rest", kind)]).add("doc_id", "long").add("n_bytes", "long") \
         .add("span_first", T.ArrayType(T.LongType())).add("span_end", T.ArrayType(T.LongType())).add("kept", "binary")
     return texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(

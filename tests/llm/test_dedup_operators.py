@@ -198,9 +198,12 @@ def test_repeats_against_brute_force(spark, monkeypatch):
         rows.append((rng.randint(0, 120), t))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert report(df) == brute_repeats(rows)
-    # many blocks, and texts taken in parts
+    # many blocks, several groups of them, and few buckets parted into fine ones
     monkeypatch.setattr(D, "block_count", lambda total, least: 40)
-    assert report(df) == brute_repeats(rows)
+    for groups, most in ((256, 4096), (9, 4096), (9, 3), (256, 2)):
+        monkeypatch.setattr(D, "GROUP_BLOCKS", groups)
+        monkeypatch.setattr(D, "MOST_BUCKETS", most)
+        assert report(df) == brute_repeats(rows)
 
 
 def test_repeats_with_heavy_anchors_against_brute_force(spark, monkeypatch):
@@ -211,8 +214,10 @@ def test_repeats_with_heavy_anchors_against_brute_force(spark, monkeypatch):
         rows.append((rng.randint(0, 250), line.join(around) + rng.choice([rows[-1][1][:90] if rows else "", ""])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(D, "block_count", lambda total, least: 7)
-    for heavy in (0, 20):
+    for heavy, groups, most in ((0, 256, 4096), (20, 256, 4096), (20, 3, 4)):
         monkeypatch.setattr(D, "HEAVY", heavy)
+        monkeypatch.setattr(D, "GROUP_BLOCKS", groups)
+        monkeypatch.setattr(D, "MOST_BUCKETS", most)
         assert report(df) == brute_repeats(rows)
 
 
@@ -222,9 +227,10 @@ def test_a_frequent_line_is_spread_over_the_buckets():
     docs = pa.table({"block": pa.array([0] * 30000, pa.int32()), "doc_id": pa.array(range(30000), pa.int64()),
                      "text": pa.array([word() + "a frequent line of thirty-four byt" + word() for _ in range(30000)])})
     docs = docs.append_column("rest", pa.array([True] * 30000))
-    sent = D._send_hashes(docs, buckets)
-    bits = pa.concat_tables([D._find_shared(sent.filter(pc.equal(sent.column("bucket"), k))) for k in range(buckets)])
-    contexts = D._send_contexts(docs, bits, buckets)
+    sent = D._send_hashes(docs, buckets, 1)
+    each = [t for k in range(buckets) if (t := sent.filter(pc.equal(sent.column("bucket"), k))).num_rows]
+    bits = pa.concat_tables([D._split_bits(t, D._find_shared(D._merge_hashes(t, 1)), 1) for t in each])
+    contexts = D._send_contexts(docs, bits, buckets, 1)
     sizes = collections.Counter(dict(zip(contexts.column("bucket").to_pylist(), contexts.column("raw_size").to_pylist())))
     assert sum(sizes.values()) > 3_000_000 and max(sizes.values()) < 2 * sum(sizes.values()) / buckets
 
