@@ -38,10 +38,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 def text_failures(text: Column) -> list[Column]:
     """Failures that a text decides: few words, repeated words, capitals, symbols."""
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    n, distinct = F.size(words), F.size(F.array_distinct(words))
+    long = lambda c: c.cast("long")  # noqa: E731  products of a very long text's counts
+    n, distinct = long(F.size(words)), long(F.size(F.array_distinct(words)))
     return [n < 200,
-            F.lit(100) * distinct < F.lit(50) * n,
-            F.lit(100) * F.regexp_count(text, F.lit("[A-Z]")) > F.lit(2) * F.length(text),
+            100 * distinct < 50 * n,
+            100 * long(F.regexp_count(text, F.lit("[A-Z]"))) > 2 * long(F.length(text)),
             text.rlike(r"[#$%&*|]")]
 
 

@@ -65,8 +65,8 @@ BUCKET_BYTES = 8 << 20
 PART = 1 << 20
 #: Different contexts of an anchor beyond which its windows are dealt out one by one.
 HEAVY = 4096
-#: Buckets that blocks send to at most, and blocks that are merged in a bucket.
-MOST_BUCKETS, GROUP_BLOCKS = 4096, 256
+#: Buckets that blocks send to at most, and text of a group of blocks, which are merged in each bucket.
+MOST_BUCKETS, GROUP_BYTES = 4096, 64 << 30
 #: Suffixes put in order at a time.
 SUFFIXES = 1 << 18
 NO_ID = np.iinfo(np.int64).max
@@ -232,10 +232,10 @@ def _send_hashes(table: pa.Table, buckets: int, groups: int) -> pa.Table:
                     names=["grp", "bucket", "block", "hashes", "many", "counts"])
 
 
-def _united(table: pa.Table, counts_kind) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _united(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each row; the distinct ones in order, whether they occur in many documents, and their contexts."""
     keys = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, counts_kind) for x in table.column("counts").to_pylist()])
+    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()])
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     every = every[order]
@@ -252,11 +252,11 @@ MERGED_HASHES_SCHEMA = "bucket int, fine int, grp int, hashes binary, many binar
 
 def _merge_hashes(table: pa.Table, fine: int) -> pa.Table:
     """A group's distinct hashes of a bucket, one row per fine bucket."""
-    _, kinds, shared, counts = _united(table, np.uint16)
+    _, kinds, shared, counts = _united(table)
     part, rows = kinds % np.uint32(fine), []
     for f in np.unique(part).tolist():
         mine = part == f
-        rows.append((f, kinds[mine].tobytes(), np.packbits(shared[mine]).tobytes(), np.minimum(counts[mine], 1 << 31).astype(np.uint32).tobytes()))
+        rows.append((f, kinds[mine].tobytes(), np.packbits(shared[mine]).tobytes(), np.minimum(counts[mine], 0xFFFF).astype(np.uint16).tobytes()))
     n = len(rows)
     return pa.table([pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()),
                      pa.array([table.column("grp")[0].as_py()] * n, pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)],
@@ -268,7 +268,7 @@ GROUP_BITS_SCHEMA = "grp int, bucket int, fine int, bits binary"
 
 def _find_shared(table: pa.Table, heavy: int = HEAVY) -> pa.Table:
     """Which hashes of each group occur in several documents of the corpus, and which of those in many contexts."""
-    keys, kinds, shared, counts = _united(table, np.uint32)
+    keys, kinds, shared, counts = _united(table)
     often = shared & (counts > heavy)
     which = [np.searchsorted(kinds, k) for k in keys]
     bits = [np.packbits(shared[w]).tobytes() + np.packbits(often[w]).tobytes() for w in which]
@@ -281,7 +281,7 @@ BITS_SCHEMA = "block int, bucket int, bits binary"
 
 def _split_bits(hashes: pa.Table, answers: pa.Table, fine: int) -> pa.Table:
     """A group's answers for each of its blocks."""
-    keys, kinds, _, _ = _united(hashes, np.uint16)
+    keys, kinds, _, _ = _united(hashes)
     flags = np.zeros((2, len(kinds)), bool)
     for r in answers.select(["fine", "bits"]).to_pylist():
         mine = np.flatnonzero(kinds % np.uint32(fine) == r["fine"])
@@ -544,7 +544,7 @@ def _process(docs: DataFrame, rest, kind: T.DataType, whole_chars: bool = False)
     total = text_bytes(docs)
     blocks, needed = block_count(total, least=1 << 20), 16 + math.ceil(total / BUCKET_BYTES)
     buckets = min(MOST_BUCKETS, needed)
-    fine, groups = math.ceil(needed / buckets), math.ceil(blocks / GROUP_BLOCKS)
+    fine, groups = math.ceil(needed / buckets), max(1, math.ceil(total / GROUP_BYTES))
     # rows that repeat an id go to different blocks by their text; what meets in a block changes no result
     texts = docs.select(F.pmod(F.xxhash64(F.col("doc_id"), F.crc32(F.col("text").cast("binary"))), F.lit(blocks))
                         .cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"),

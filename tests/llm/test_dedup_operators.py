@@ -200,8 +200,8 @@ def test_repeats_against_brute_force(spark, monkeypatch):
     assert report(df) == brute_repeats(rows)
     # many blocks, several groups of them, and few buckets parted into fine ones
     monkeypatch.setattr(D, "block_count", lambda total, least: 40)
-    for groups, most in ((256, 4096), (9, 4096), (9, 3), (256, 2)):
-        monkeypatch.setattr(D, "GROUP_BLOCKS", groups)
+    for group, most in ((1 << 30, 4096), (9000, 4096), (9000, 3), (1 << 30, 2)):
+        monkeypatch.setattr(D, "GROUP_BYTES", group)
         monkeypatch.setattr(D, "MOST_BUCKETS", most)
         assert report(df) == brute_repeats(rows)
 
@@ -214,9 +214,9 @@ def test_repeats_with_heavy_anchors_against_brute_force(spark, monkeypatch):
         rows.append((rng.randint(0, 250), line.join(around) + rng.choice([rows[-1][1][:90] if rows else "", ""])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(D, "block_count", lambda total, least: 7)
-    for heavy, groups, most in ((0, 256, 4096), (20, 256, 4096), (20, 3, 4)):
+    for heavy, group, most in ((0, 1 << 30, 4096), (20, 1 << 30, 4096), (20, 9000, 4)):
         monkeypatch.setattr(D, "HEAVY", heavy)
-        monkeypatch.setattr(D, "GROUP_BLOCKS", groups)
+        monkeypatch.setattr(D, "GROUP_BYTES", group)
         monkeypatch.setattr(D, "MOST_BUCKETS", most)
         assert report(df) == brute_repeats(rows)
 
