@@ -41,9 +41,9 @@ TEMPLATE = {"system": ("<<SYS>>", "\n", "<</SYS>>"), "user": ("[INST]", " ", "[/
 OTHER = ("[ROLE]", " ", "[/ROLE]")
 LEARNED = "assistant"
 
-#: Control strings, and what follows their first character, backslashes aside.
-CONTROL = r"<<SYS>>|<</SYS>>|<s>|</s>|\[INST\]|\[/INST\]|\[ROLE\]|\[/ROLE\]"
+#: What follows the first character of a control string, and the control strings: found by their first character.
 AFTER_ANGLE, AFTER_SQUARE = r"(?:</?SYS>>|/?s>)", r"/?(?:INST|ROLE)\]"
+CONTROL = rf"[<\[](?:(?<=<){AFTER_ANGLE}|(?<=\[){AFTER_SQUARE})"
 
 
 def escape(text: Column) -> Column:
@@ -52,8 +52,9 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    text = F.regexp_replace(text, rf"<\\(?=\\*{AFTER_ANGLE})", "<")
-    return F.regexp_replace(text, rf"\[\\(?=\\*{AFTER_SQUARE})", "[")
+    once = F.regexp_replace(text, rf"<\\(?=\\*{AFTER_ANGLE})", "<")
+    once = F.regexp_replace(once, rf"\[\\(?=\\*{AFTER_SQUARE})", "[")
+    return F.when(text.contains("\\"), once).otherwise(text)
 
 
 def _by_role(role: Column, known, other: Column) -> Column:
@@ -91,13 +92,18 @@ def _loss_spans(parts: Column) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
 
 
-def parse(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted text, unescaped; null if it doesn't follow the grammar."""
-    held = F.split(formatted, CONTROL)  # what stands before, between and after the control strings
-    marks = F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0))
-    steps = F.zip_with(marks, F.slice(held, F.lit(2), F.size(held)), lambda c, x: F.struct(c.alias("c"), x.alias("x")))
-    turns = F.zip_with(F.filter(steps, lambda _, i: i % 2 == 0), F.filter(steps, lambda _, i: i % 2 == 1),
-                       lambda a, b: F.struct(a["c"].alias("open"), a["x"].alias("x"), b["c"].alias("close"), b["x"].alias("between")))
+def with_turns(df: DataFrame, column: str, into: str) -> DataFrame:
+    """Adds ``into``: the turns (role, text) of the formatted text in ``column``, unescaped; null if it doesn't follow the grammar.
+
+    Each step is a column of its own, which the next ones read more than once: the text is searched twice, however long the turns' list.
+    """
+    # what stands before, between and after the control strings; and these
+    df = df.withColumns({"_held": F.split(column, CONTROL), "_marks": F.regexp_extract_all(column, F.lit(CONTROL), F.lit(0))})
+    df = df.withColumn("_steps", F.zip_with("_marks", F.slice("_held", F.lit(2), F.size("_held")),
+                                            lambda c, x: F.struct(c.alias("c"), x.alias("x"))))
+    df = df.withColumn("_pairs", F.zip_with(
+        F.filter("_steps", lambda _, i: i % 2 == 0), F.filter("_steps", lambda _, i: i % 2 == 1),
+        lambda a, b: F.struct(a["c"].alias("open"), a["x"].alias("x"), b["c"].alias("close"), b["x"].alias("between"))))
     specs = [*TEMPLATE.values(), OTHER]
 
     def follows(t: Column) -> Column:
@@ -114,10 +120,12 @@ def parse(formatted: Column) -> Column:
         text = F.when(t["open"] == OTHER[0], F.substring(inner, F.length(name) + 2, F.length(inner))).otherwise(inner)
         for known, (start, _, _) in TEMPLATE.items():
             role = F.when(t["open"] == start, F.lit(known)).otherwise(role)
-        return F.struct(role.alias("role"), unescape(text).alias("text"))
+        return F.struct(role.alias("role"), text.alias("text"))
 
-    whole = (F.element_at(held, 1) == "") & (F.size(marks) % 2 == 0) & F.forall(turns, follows)
-    return F.when(whole, F.transform(turns, turn))
+    whole = (F.element_at("_held", 1) == "") & (F.size("_marks") % 2 == 0) & F.forall("_pairs", follows)
+    df = df.withColumn("_turns", F.when(whole, F.transform("_pairs", turn)))
+    plain = lambda t: F.struct(t["role"].alias("role"), unescape(t["text"]).alias("text"))
+    return df.withColumn(into, F.transform("_turns", plain)).drop("_held", "_marks", "_steps", "_pairs", "_turns")
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
@@ -133,12 +141,13 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
                                   F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
              .groupBy("conv_id", "stretch").agg(turns.alias("turns")))
     tried = parts.withColumn("plain", _written(F.col("turns"))).withColumn("formatted", _joined(F.col("plain")))
-    tried = tried.withColumn("escaped", ~parse(F.col("formatted")).eqNullSafe(F.col("turns")))
+    tried = with_turns(tried, "formatted", "found").withColumn("escaped", ~F.col("found").eqNullSafe(F.col("turns")))
     again = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text")))
     done = tried.withColumn("parts", F.when(F.col("escaped"), _written(again)).otherwise(F.col("plain")))
-    done = done.withColumn("formatted", F.when(F.col("escaped"), _joined(F.col("parts"))).otherwise(F.col("formatted")))
-    same = F.when(F.col("escaped"), parse(F.col("formatted")).eqNullSafe(F.col("turns"))).otherwise(True)
-    checked = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a formatted conversation does not parse back")))
+    done = with_turns(done.withColumn("second", F.when(F.col("escaped"), _joined(F.col("parts")))), "second", "found")
+    same = ~F.col("escaped") | F.col("found").eqNullSafe(F.col("turns"))
+    checked = F.when(same, F.coalesce("second", "formatted")).otherwise(
+        F.raise_error(F.lit("a formatted conversation does not parse back")))
     return done.select("conv_id", "stretch", F.size("turns").cast("long").alias("n_turns"), checked.alias("formatted"),
                        _loss_spans(F.col("parts")).alias("loss"), "escaped")
 
@@ -150,10 +159,11 @@ def learned_texts(formatted: Column, loss: Column) -> Column:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Per conversation, read back from the formatted parts: turns, checksums of turns and learned texts, sizes."""
-    said = F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    parts = formatted.select("conv_id", "stretch", F.size(said).cast("long").alias("n_turns"), F.array_join(said, "").alias("said"),
-                             F.array_join(learned_texts(F.col("formatted"), F.col("loss")), "").alias("learned"),
-                             F.length("formatted").cast("long").alias("chars"))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    parts = with_turns(formatted, "formatted", "turns").select(
+        "conv_id", "stretch", F.size("turns").cast("long").alias("n_turns"), F.array_join(said, "").alias("said"),
+        F.array_join(learned_texts(F.col("formatted"), F.col("loss")), "").alias("learned"),
+        F.length("formatted").cast("long").alias("chars"))
     whole = parts.groupBy("conv_id").agg(
         F.sum("n_turns").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.sum(F.length("learned")).cast("long").alias("loss_chars"),
         F.array_sort(F.collect_list(F.struct("stretch", "said", "learned"))).alias("parts"))

@@ -215,7 +215,7 @@ def test_parser_refuses_what_is_no_conversation(spark):
     bad = ["x", "[INST] a [/INST]x", "x[INST] a [/INST]", "[INST] a </s>", "[INST] a", "[INST]a[/INST]", "[INST] [/INST]", "[/INST] a [INST]",
            "<s> a <s> b </s> </s>", "[ROLE] tool [/ROLE]", " "]
     good = ["", "[INST] a [/INST]", "[INST]  [/INST]<s> \n </s>", "[ROLE] a%0Ab\nt [/ROLE]", "<<SYS>>\n\n<</SYS>>"]
-    rows = spark.createDataFrame([(t,) for t in bad + good], "t string").select("t", C.parse(F.col("t")).alias("turns")).collect()
+    rows = C.with_turns(spark.createDataFrame([(t,) for t in bad + good], "t string"), "t", "turns").collect()
     assert {r.t for r in rows if r.turns is None} == set(bad)
     assert {r.t: [tuple(x) for x in r.turns] for r in rows if r.turns is not None} == {
         "": [], "[INST] a [/INST]": [("user", "a")], "[INST]  [/INST]<s> \n </s>": [("user", ""), ("assistant", "\n")],
