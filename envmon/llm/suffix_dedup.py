@@ -232,35 +232,51 @@ def _send_hashes(table: pa.Table, buckets: int, groups: int) -> pa.Table:
                     names=["grp", "bucket", "block", "hashes", "many", "counts"])
 
 
-def _united(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each row; the distinct ones in order, whether they occur in many documents, and their contexts."""
+def _sent(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Hashes, which of them occur in many documents, and counts of contexts, of each row as blocks send them."""
     keys = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()])
+    many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("many").to_pylist(), keys)]
+    return keys, many, [np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()]
+
+
+def _united(keys: list[np.ndarray], many: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, whether they occur in many documents, and their contexts."""
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     every = every[order]
     at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
     kinds, shared = every[at], np.diff(np.append(at, len(every))) > 1
-    for x, k in zip(table.column("many").to_pylist(), keys):
-        many = np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool)
-        shared[np.searchsorted(kinds, k[many])] = True
-    return keys, kinds, shared, np.add.reduceat(counts[order].astype(np.int64), at)
+    for k, m in zip(keys, many):
+        shared[np.searchsorted(kinds, k[m])] = True
+    return kinds, shared, np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), at)
+
+
+MERGED_HASHES_SCHEMA = "bucket int, fine int, grp int, n int, hashes binary, many binary, counts binary"
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest bytes of all first, compressed."""
+    return pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), "zstd", asbytes=True)
 
 
-MERGED_HASHES_SCHEMA = "bucket int, fine int, grp int, hashes binary, many binary, counts binary"
+def _from_planes(raw: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    b = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(b.T).reshape(-1).view(kind)
 
 
 def _merge_hashes(table: pa.Table, fine: int) -> pa.Table:
-    """A group's distinct hashes of a bucket, one row per fine bucket."""
-    _, kinds, shared, counts = _united(table)
+    """A group's distinct hashes of a bucket as their differences in order, one row per fine bucket."""
+    kinds, shared, counts = _united(*_sent(table))
     part, rows = kinds % np.uint32(fine), []
     for f in np.unique(part).tolist():
         mine = part == f
-        rows.append((f, kinds[mine].tobytes(), np.packbits(shared[mine]).tobytes(), np.minimum(counts[mine], 0xFFFF).astype(np.uint16).tobytes()))
-    n = len(rows)
-    return pa.table([pa.array([table.column("bucket")[0].as_py()] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()),
-                     pa.array([table.column("grp")[0].as_py()] * n, pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)],
-                    names=["bucket", "fine", "grp", "hashes", "many", "counts"])
+        rows.append((table.column("bucket")[0].as_py(), f, table.column("grp")[0].as_py(), int(mine.sum()),
+                     _planes(np.diff(kinds[mine], prepend=np.uint32(0))), np.packbits(shared[mine]).tobytes(),
+                     _planes(np.minimum(counts[mine], 0xFFFF).astype(np.uint16))))
+    kinds_of = [pa.int32()] * 4 + [pa.binary()] * 3
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds_of)],
+                    names=[x.split()[0] for x in MERGED_HASHES_SCHEMA.split(", ")])
 
 
 GROUP_BITS_SCHEMA = "grp int, bucket int, fine int, bits binary"
@@ -268,7 +284,10 @@ GROUP_BITS_SCHEMA = "grp int, bucket int, fine int, bits binary"
 
 def _find_shared(table: pa.Table, heavy: int = HEAVY) -> pa.Table:
     """Which hashes of each group occur in several documents of the corpus, and which of those in many contexts."""
-    keys, kinds, shared, counts = _united(table)
+    rows = table.select(["n", "hashes", "many", "counts"]).to_pylist()
+    keys = [np.cumsum(_from_planes(r["hashes"], r["n"], np.uint32), dtype=np.uint32) for r in rows]
+    many = [np.unpackbits(np.frombuffer(r["many"], np.uint8), count=r["n"]).astype(bool) for r in rows]
+    kinds, shared, counts = _united(keys, many, [_from_planes(r["counts"], r["n"], np.uint16) for r in rows])
     often = shared & (counts > heavy)
     which = [np.searchsorted(kinds, k) for k in keys]
     bits = [np.packbits(shared[w]).tobytes() + np.packbits(often[w]).tobytes() for w in which]
@@ -281,7 +300,8 @@ BITS_SCHEMA = "block int, bucket int, bits binary"
 
 def _split_bits(hashes: pa.Table, answers: pa.Table, fine: int) -> pa.Table:
     """A group's answers for each of its blocks."""
-    keys, kinds, _, _ = _united(hashes)
+    keys, many, counts = _sent(hashes)
+    kinds, _, _ = _united(keys, many, counts)
     flags = np.zeros((2, len(kinds)), bool)
     for r in answers.select(["fine", "bits"]).to_pylist():
         mine = np.flatnonzero(kinds % np.uint32(fine) == r["fine"])
