@@ -58,9 +58,9 @@ def q_check_perms(spark, d):
 # base = failures carried in (0 once a lock has ended); a try before the lock's end is refused.
 LOCKOUT_SQL = """
 WITH RECURSIVE ev AS (
-  SELECT event_id, user_id, ts, success,
-         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-  FROM login_events),
+  SELECT event_id, user_id, ts, COALESCE(success, false) AS success,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id NULLS FIRST, COALESCE(success, false)) AS rn
+  FROM login_events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 st(user_id, rn, event_id, ts, success, outcome, failures, locked_until) AS (
   SELECT user_id, rn, event_id, ts, success,
          CASE WHEN success THEN 'SUCCESS' ELSE 'FAILURE' END,
@@ -83,7 +83,10 @@ st(user_id, rn, event_id, ts, success, outcome, failures, locked_until) AS (
               ELSE CAST(NULL AS TIMESTAMP) END
   FROM st s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
 SELECT event_id, user_id, ts, success, outcome, CAST(failures AS INTEGER) AS failed_attempts, locked_until
-FROM st"""
+FROM st
+UNION ALL
+SELECT event_id, user_id, ts, COALESCE(success, false), 'UNPLACED', NULL, NULL
+FROM login_events WHERE user_id IS NULL OR ts IS NULL"""
 
 
 @register("login_lockouts", LOCKOUT_SQL)
