@@ -166,42 +166,31 @@ def constraint_checks(columns: Mapping[str, Sequence[str]]) -> list[tuple]:
     return checks
 
 
-def _constraint_rows(df: DataFrame, table: str, checks: list[tuple], collation: str | None) -> DataFrame:
-    """One row per row of ``df`` and check that it takes part in: (domain, number or text of the key, constraint, kind).
+def _constraint_rows(df: DataFrame, checks: list[tuple[int, int, tuple]], folded: dict[int, str]) -> DataFrame:
+    """(check, domain, number or text of the key) for every row of ``df`` and numbered check that it takes part in.
 
     A domain is a key's set of values: that of a primary key also takes the foreign keys that refer to it.  Values outside
-    an allowed list are rows, allowed ones are not.
+    an allowed list are rows, allowed ones are not.  ``folded``: checks whose text keys are equal under a collation.
     """
     kinds, entries = dict(df.dtypes), []
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-
-    def entry(domain: str, number, text, shown, constraint: str, kind: str, wanted):
-        unique = collation is not None and kind == "DUPLICATE_UNIQUE"
-        folded = F.coalesce(text, F.lit("")) if unique else F.lit("")
-        entries.append(F.when(wanted, F.struct(
-            F.lit(domain).alias("domain"), number.alias("number"), (no_text if unique else text).alias("text"),
-            (folded if collation is None else F.collate(folded, collation)).alias("folded"),
-            shown.alias("shown"), F.lit(constraint).alias("constraint_name"), F.lit(kind).alias("kind"))))
-
-    def key(domain: str, names, constraint: str, kind: str):
+    collation = next(iter(folded.values()), None)
+    for nth, domain, c in checks:
+        names = [c[2]] if isinstance(c[2], str) else list(c[2])
         cols = [F.col(n) for n in names]
-        wanted = functools.reduce(lambda x, y: x & y, [c.isNotNull() for c in cols])
-        if len(names) == 1 and kinds[names[0]] in ("bigint", "int", "smallint", "tinyint"):
-            entry(domain, cols[0].cast("bigint"), no_text, cols[0].cast("string"), constraint, kind, wanted)
+        wanted = functools.reduce(lambda x, y: x & y, [x.isNotNull() for x in cols])
+        number, text = no_number, no_text
+        if c[0] == "NOT_ALLOWED":
+            wanted, text = ~cols[0].isin(list(c[3])), cols[0].cast("string")
+        elif len(names) == 1 and kinds[names[0]] in ("bigint", "int", "smallint", "tinyint"):
+            number = cols[0].cast("bigint")
         else:  # several columns: a text that keeps them apart, whatever they hold
-            texts = [c.cast("string") for c in cols]
-            entry(domain, no_number, texts[0] if len(texts) == 1 else F.to_json(F.array(*texts)), F.concat_ws(",", *texts),
-                  constraint, kind, wanted)
-
-    for c in checks:
-        if c[0] == "ORPHAN":
-            key(f"{c[3]}.{c[4]}", [c[2]], f"{c[2]}->{c[3]}.{c[4]}", c[0])
-        elif c[0] == "NOT_ALLOWED":
-            value = F.col(c[2]).cast("string")
-            entry(f"{table}.{c[2]} allowed", no_number, value, value, c[2], c[0], ~F.col(c[2]).isin(list(c[3])))
-        else:
-            key(f"{table}.{','.join(c[2])}", c[2], "(" + ",".join(c[2]) + ")", c[0])
-    return df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select(F.lit(table).alias("table_name"), "e.*")
+            text = cols[0].cast("string") if len(names) == 1 else F.to_json(F.array(*[x.cast("string") for x in cols]))
+        fields = [F.lit(nth).alias("check"), F.lit(domain).alias("domain"), number.alias("number"), text.alias("text")]
+        if collation is not None:
+            fields.append(F.collate(text if nth in folded else no_text, collation).alias("folded"))
+        entries.append(F.when(wanted, F.struct(*fields)))
+    return df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
 
 
 def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] | None = None,
@@ -211,26 +200,50 @@ def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] |
     Every table is read once: each row gives its keys, its foreign keys and its values outside a list, which are counted
     together (a hot foreign key is combined map-side).  Kept are keys that repeat, distinct foreign keys, the keys these
     refer to, and values outside lists; the foreign keys are then anti-joined with the keys of their domain.  Numbers
-    stay numbers throughout.
+    stay numbers throughout, and only what violates a rule is turned into text.
 
     NULL keys are never duplicates or orphans (as in SQL), NULL values are not checked
     against lists.  ``columns`` limits the checks to those columns.  With a ``collation`` (e.g.
     ``CI_AI``) text keys that it calls equal are duplicates, reported under the smallest of them.
     """
     cols = columns or {t: df.columns for t, df in tables.items()}
-    by_table: dict[str, list[tuple]] = {}
-    for c in constraint_checks({t: c for t, c in cols.items() if t in tables}):
-        by_table.setdefault(c[1], []).append(c)
-    if not by_table:
+    checks = constraint_checks({t: c for t, c in cols.items() if t in tables})
+    if not checks:
         return SparkSession.getActiveSession().createDataFrame([], _VIOLATION)
-    rows = functools.reduce(lambda a, b: a.unionByName(b), [_constraint_rows(tables[t], t, cs, collation) for t, cs in by_table.items()])
-    of = ["domain", "number", "text"]
-    counted = rows.groupBy("table_name", "constraint_name", "kind", *of, "folded").agg(F.min("shown").alias("key_value"), F.count(F.lit(1)).alias("n"))
-    referred = sorted({f"{c[3]}.{c[4]}" for cs in by_table.values() for c in cs if c[0] == "ORPHAN"})
-    kept = table(counted.where((F.col("n") > 1) | F.col("kind").isin("ORPHAN", "NOT_ALLOWED") | F.col("domain").isin(referred))
-                 .drop("folded"), "constraint-keys")
-    keys = kept.where("kind = 'DUPLICATE_KEY'").select(*of)
-    same = functools.reduce(lambda x, y: x & y, [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in of])
-    orphans = kept.where("kind = 'ORPHAN'").alias("f").join(keys.alias("k"), same, "left_anti")
-    rest = kept.where("kind = 'NOT_ALLOWED' OR (kind LIKE 'DUPLICATE%' AND n > 1)")
-    return orphans.unionByName(rest).select("table_name", "constraint_name", "kind", "key_value", "n")
+    domains: dict[str, int] = {}
+    number = lambda name: domains.setdefault(name, len(domains))
+    by_table: dict[str, list[tuple[int, int, tuple]]] = {}
+    lines, referred, keys, folded = [], set(), [], {}
+    for nth, c in enumerate(checks):
+        kind, t = c[0], c[1]
+        if kind == "ORPHAN":
+            domain, name = number(f"{c[3]}.{c[4]}"), f"{c[2]}->{c[3]}.{c[4]}"
+            referred.add(domain)
+        elif kind == "NOT_ALLOWED":
+            domain, name = number(f"{t}.{c[2]} allowed"), c[2]
+        else:
+            domain, name = number(f"{t}.{','.join(c[2])}"), "(" + ",".join(c[2]) + ")"
+            keys += [nth] if kind == "DUPLICATE_KEY" else []
+            if collation is not None and kind == "DUPLICATE_UNIQUE":
+                folded[nth] = collation
+        by_table.setdefault(t, []).append((nth, domain, c))
+        lines.append((nth, t, name, kind, len(c[2]) > 1 and not isinstance(c[2], str)))
+    spark = next(iter(tables[t] for t in by_table)).sparkSession
+    named = spark.createDataFrame(lines, "check INT, table_name STRING, constraint_name STRING, kind STRING, several BOOLEAN")  # one row per check
+    rows = functools.reduce(lambda a, b: a.unionByName(b), [_constraint_rows(tables[t], cs, folded) for t, cs in by_table.items()])
+    count = F.count(F.lit(1)).alias("n")
+    if folded:
+        whole = F.when(F.col("folded").isNull(), F.col("text"))
+        counted = rows.groupBy("check", "domain", "number", whole.alias("whole"), "folded").agg(F.min("text").alias("text"), count)
+    else:
+        counted = rows.groupBy("check", "domain", "number", "text").agg(count)
+    orphan, listed = ([nth for nth, _, _, kind, _ in lines if kind == k] for k in ("ORPHAN", "NOT_ALLOWED"))
+    kept = table(counted.where((F.col("n") > 1) | F.col("check").isin(orphan + listed) | F.col("domain").isin(sorted(referred)))
+                 .select("check", "domain", "number", "text", "n"), "constraint-keys")
+    held = kept.where(F.col("check").isin(keys)).select("domain", "number", "text")
+    same = functools.reduce(lambda x, y: x & y, [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("domain", "number", "text")])
+    orphans = kept.where(F.col("check").isin(orphan)).alias("f").join(held.alias("k"), same, "left_anti")
+    rest = kept.where(F.col("check").isin(listed) | ~F.col("check").isin(orphan + listed) & (F.col("n") > 1))
+    shown = F.when(F.col("several"), F.concat_ws(",", F.from_json("text", "array<string>"))).otherwise(
+        F.coalesce(F.col("number").cast("string"), "text"))
+    return orphans.unionByName(rest).join(named, "check").select("table_name", "constraint_name", "kind", shown.alias("key_value"), "n")

@@ -137,16 +137,17 @@ def _jumps(rows: DataFrame, ends: DataFrame, max_failures: int) -> DataFrame:
 
 
 def _reached(starts: DataFrame, jumps: DataFrame) -> DataFrame:
-    """Numbers of the locks on the chains from ``starts``: pointer doubling."""
-    reached = table(starts, "lockout-reached")
-    step = jumps.where(F.col("next").isNotNull()).select("n", "next")
+    """Numbers of the locks on the chains from ``starts``: pointer doubling, three times between two tables."""
+    reached, step = starts, jumps.where(F.col("next").isNotNull()).select("n", "next")
+    along = lambda at, hop: at.join(hop, "n").select(F.col("next").alias("n"))
+    twice = lambda hop: hop.join(hop.select(F.col("n").alias("next"), F.col("next").alias("far")), "next").select("n", F.col("far").alias("next"))  # noqa: E731,E501
     while True:
-        new = table(reached.join(step, "n").select(F.col("next").alias("n")), "lockout-reached")
-        if new.isEmpty():
+        for _ in range(3):
+            reached = reached.unionByName(along(reached, step))
+            step = twice(step)
+        reached, step = table(reached, "lockout-reached"), table(step, "lockout-steps")
+        if along(reached, step).isEmpty():
             return reached
-        reached = reached.unionByName(new)
-        far = step.select(F.col("n").alias("next"), F.col("next").alias("far"))
-        step = table(step.join(far, "next").select("n", F.col("far").alias("next")), "lockout-steps")
 
 
 def login_lockouts(events: DataFrame, max_failures: int = MAX_FAILURES,

@@ -88,6 +88,7 @@ def rows_with_rules(rows: DataFrame, keys: list[str], names: list[str], rules: D
     most = ends.groupBy("name").count().agg(F.max("count")).first()[0] or 0  # one number
     sizes = (2 * most + 1).bit_length()
 
+    rows = table(rows.select(*keys, *names), "rule-rows")  # read by the sample of the sort, by the sort and by the boxes without an interval
     # the means that some box looks at, among the bounds
     means = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.col, names)))
     long_ = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("m")
