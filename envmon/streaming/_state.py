@@ -6,7 +6,8 @@ import datetime as _dt
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 #: Setting and value: keyed state with timers needs this state store.
@@ -24,6 +25,19 @@ def micros_of(t: _dt.datetime | None) -> int | None:
     return None if t is None else (t - _EPOCH) // _dt.timedelta(microseconds=1)
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-less time, whatever the session's zone."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    whole = (days * 1440 + F.hour(ts) * 60 + F.minute(ts)) * 60
+    return whole * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+
+
+def zoneless(us: Column) -> Column:
+    """The zone-less time of microseconds since 1970."""
+    seconds = (us.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
     """The session with the state store set; a query keeps the settings it starts with."""

@@ -25,7 +25,7 @@ from ..functions.common import as_date
 from ..operators._plan import device_dim
 from ..operators.devices import MAINTENANCE_DUE_DAYS, reminders
 from ..operators.resources import NEW_RESOURCE_REASON, change_entries
-from ._state import start_append, time_of
+from ._state import micros, start_append, time_of
 
 # -- R4 ----------------------------------------------------------------------
 _PAIR = ("resource_id BIGINT, version BIGINT, added BOOLEAN, oq INT, oa STRING, os STRING, nq INT, na STRING, ns STRING")
@@ -141,8 +141,8 @@ def maintenance_news(devices: DataFrame, records: DataFrame, days: int = MAINTEN
     none = F.lit(None).cast("timestamp_ntz")
     e = records.select(F.col("device_id").cast("bigint").alias("device_id"), F.col("maintenance_time").cast("timestamp_ntz").alias("at"))
     e = e.unionByName(devices.select(F.col("device_id").cast("bigint").alias("device_id"), none.alias("at"))).where("device_id IS NOT NULL")
-    clock = F.coalesce(F.col("at").cast("timestamp"), F.lit("1970-01-01 00:00:00").cast("timestamp"))
-    e = e.withColumn("event_time", clock).withWatermark("event_time", lateness)
+    # event time: the zone-less clock read as UTC, in any session zone; devices come with none
+    e = e.withColumn("event_time", F.timestamp_micros(F.coalesce(micros(F.col("at")), F.lit(0).cast("bigint")))).withWatermark("event_time", lateness)
     rows = e.select("device_id", F.when(F.col("at").isNotNull(), F.unix_micros("event_time")).alias("ts"))
     return rows.groupBy("device_id").transformWithStateInPandas(
         MaintenanceTimer(days), StructType.fromDDL(_NEWS), outputMode="Append", timeMode="EventTime")

@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import StructType
 
 from ..operators.lockouts import LOCKOUT_SCHEMA, UNPLACED, LoginState, login_lockouts
-from ._state import micros_of, read_state, start_append, state_store, time_of
+from ._state import micros, micros_of, read_state, start_append, state_store, time_of, zoneless
 
 LOGIN_LATENESS_S = 3600  # attempts wait this long behind the newest one
 LATE = "LATE"
@@ -108,8 +108,8 @@ def lockout_stream(events: DataFrame, lateness_s: int = LOGIN_LATENESS_S) -> Dat
     e = events.select(F.col("event_id").cast("bigint").alias("event_id"), F.col("user_id").cast("bigint").alias("user_id"),
                       F.col("ts").cast("timestamp_ntz").alias("ts"), F.coalesce(F.col("success").cast("boolean"), F.lit(False)).alias("success"))
     placed = F.col("ts").isNotNull() & F.col("user_id").isNotNull()
-    clock = F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")  # event time under the session zone, UTC
-    seen = e.where(placed).withColumn("event_time", clock).withWatermark("event_time", f"{lateness_s} seconds")
+    # event time: the zone-less clock read as UTC, in any session zone
+    seen = e.where(placed).withColumn("event_time", F.timestamp_micros(micros(F.col("ts")))).withWatermark("event_time", f"{lateness_s} seconds")
     # the processor sees times as numbers: rows behind the watermark reach it and come out as LATE
     rows = seen.select("event_id", "user_id", F.unix_micros("event_time").alias("ts"), "success")
     schema = StructType.fromDDL(LOCKOUT_SCHEMA)
@@ -128,14 +128,14 @@ def start_lockouts(events: DataFrame, sink: str, checkpoint: str, available_now:
 def waiting_attempts(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(event_id, user_id, ts, success) of the attempts that still wait, from a stopped stream's checkpoint."""
     s = read_state(spark, checkpoint, "waiting")
-    ts = F.timestamp_micros("list_element.ts").cast("timestamp_ntz")
+    ts = zoneless(F.col("list_element.ts"))
     return s.select("list_element.event_id", "key.user_id", ts.alias("ts"), "list_element.success")
 
 
 def user_states(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(user_id, failures, locked_until) of the users that keep a state."""
     s = read_state(spark, checkpoint, "counter")
-    return s.select("key.user_id", "value.failures", F.timestamp_micros("value.locked_until").cast("timestamp_ntz").alias("locked_until"))
+    return s.select("key.user_id", "value.failures", zoneless(F.col("value.locked_until")).alias("locked_until"))
 
 
 def finish_lockouts(spark: SparkSession, sink: str, checkpoint: str) -> None:
