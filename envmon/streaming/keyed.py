@@ -2,7 +2,8 @@
 
 * R4: row versions of resources come in any order.  The state is a resource's last version; a version newer than it
   gives the change rows between the two, by the batch operator's own expressions.  Repeats and older versions
-  give nothing.  Nothing is joined with a full table.
+  give nothing.  Nothing is joined with a full table.  Resources share state keys, a fixed number of buckets by the hash of
+  their ids: a call into Python and its state costs milliseconds, a row in it microseconds.  A batch rewrites the buckets that it touches.
 * R5: the state is a device's last maintenance.  An event-time timer stands at the midnight that follows
   the allowed number of calendar days; each record moves it.  When it goes off the device
   is due, a device without a record is due at once, and a record that makes it no longer due says so.
@@ -13,6 +14,7 @@ A key's state is read and written once per micro-batch in which it has rows or a
 from __future__ import annotations
 
 import datetime as _dt
+import json
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -30,34 +32,41 @@ from ._state import micros, start_append, time_of
 # -- R4 ----------------------------------------------------------------------
 _PAIR = ("resource_id BIGINT, version BIGINT, added BOOLEAN, oq INT, oa STRING, os STRING, nq INT, na STRING, ns STRING")
 AREA = "decimal(12,2)"
+#: State keys that all resources share.  A checkpoint goes on only with the number it was begun with.
+BUCKETS = 1 << 12
 
 
 def _plain(x):
     return None if pd.isna(x) else x
 
 
-class LastVersion(StatefulProcessor):
-    """Pairs of a resource's successive versions; areas travel as text, exactly."""
+class LastVersions(StatefulProcessor):
+    """Pairs of successive versions of a bucket's resources; areas travel as text, exactly."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "version LONG, quantity INT, area STRING, stage STRING")
+        # JSON rows of resource, version, quantity, area, stage
+        self.held = handle.getValueState("held", "versions STRING")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = {}
+        new: dict[int, dict[int, tuple]] = {}
         for pdf in rows:
-            for v, q, a, s in zip(pdf["version"], pdf["quantity"], pdf["area"], pdf["growth_stage"]):
-                row = (None if pd.isna(q) else int(q), _plain(a), _plain(s))
+            for r, v, q, a, s in zip(pdf["resource_id"], pdf["version"], pdf["quantity"], pdf["area"], pdf["growth_stage"]):
+                row, of = (None if pd.isna(q) else int(q), _plain(a), _plain(s)), new.setdefault(int(r), {})
                 # of rows that repeat a version the smallest values count
-                new[int(v)] = min(new.get(int(v), row), row, key=lambda r: tuple((x is None, str(x)) for x in r))
-        before, out = self.last.get(), []
-        for version in sorted(new):
-            if before is not None and version <= before[0]:
-                continue
-            old = before[1:] if before is not None else (None, None, None)
-            out.append((key[0], version, before is None, *old, *new[version]))
-            before = (version, *new[version])
+                of[int(v)] = min(of.get(int(v), row), row, key=lambda r: tuple((x is None, str(x)) for x in r))
+        held, out = self.held.get(), []
+        last = {r: tuple(row) for r, *row in json.loads(held[0])} if held is not None else {}
+        for resource, versions in new.items():
+            before = last.get(resource)
+            for version in sorted(versions):
+                if before is not None and version <= before[0]:
+                    continue
+                old = before[1:] if before is not None else (None, None, None)
+                out.append((resource, version, before is None, *old, *versions[version]))
+                before = (version, *versions[version])
+            last[resource] = before
         if out:
-            self.last.update(before)
+            self.held.update((json.dumps([(r, *row) for r, row in last.items()]),))
             f = pd.DataFrame(out, columns=["resource_id", "version", "added", "oq", "oa", "os", "nq", "na", "ns"])
             yield f.astype({"oq": "Int32", "nq": "Int32"})
 
@@ -65,7 +74,7 @@ class LastVersion(StatefulProcessor):
         pass
 
 
-def resource_change_stream(versions: DataFrame) -> DataFrame:
+def resource_change_stream(versions: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Change rows of a stream of (resource_id, version, quantity, area, growth_stage).
 
     The first version of a resource gives the ADD row of a new resource.  Rows without a resource or a version are left out.
@@ -73,8 +82,9 @@ def resource_change_stream(versions: DataFrame) -> DataFrame:
     v = versions.where("resource_id IS NOT NULL AND version IS NOT NULL").select(
         F.col("resource_id").cast("bigint").alias("resource_id"), F.col("version").cast("bigint").alias("version"),
         F.col("quantity").cast("int").alias("quantity"), F.col("area").cast(AREA).cast("string").alias("area"), "growth_stage")
-    pairs = v.groupBy("resource_id").transformWithStateInPandas(
-        LastVersion(), StructType.fromDDL(_PAIR), outputMode="Append", timeMode="None")
+    v = v.withColumn("bucket", F.pmod(F.xxhash64("resource_id"), F.lit(buckets)))
+    pairs = v.groupBy("bucket").transformWithStateInPandas(
+        LastVersions(), StructType.fromDDL(_PAIR), outputMode="Append", timeMode="None")
     pairs = pairs.withColumns({"oa": F.col("oa").cast(AREA), "na": F.col("na").cast(AREA)})
     first = F.array(F.struct(F.lit("ADD").alias("change_type"), F.lit(NEW_RESOURCE_REASON).alias("change_reason"),
                              F.col("nq").alias("change_amount"), F.col("na").alias("change_area"), F.lit(0).alias("seq")))
@@ -82,8 +92,8 @@ def resource_change_stream(versions: DataFrame) -> DataFrame:
     return rows.select("resource_id", "version", "e.change_type", "e.change_reason", "e.change_amount", "e.change_area")
 
 
-def start_resource_changes(versions: DataFrame, sink: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    return start_append(resource_change_stream(versions), sink, checkpoint, available_now)
+def start_resource_changes(versions: DataFrame, sink: str, checkpoint: str, available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
+    return start_append(resource_change_stream(versions, buckets), sink, checkpoint, available_now)
 
 
 # -- R5 ----------------------------------------------------------------------

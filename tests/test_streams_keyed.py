@@ -95,6 +95,28 @@ def test_resource_changes_between_versions(spark, tmp_dir):
     assert out.where("version = 1").count() == 30 and out.where("version = 1 AND change_type <> 'ADD'").count() == 0
 
 
+def test_resources_share_a_fixed_number_of_state_keys(spark, tmp_dir):
+    """500 resources in 8 buckets over three files: the changes are the batch operator's, the state is 8 rows."""
+    from decimal import Decimal as D
+
+    from envmon.operators import resources
+    from envmon.streaming import keyed
+    rng = random.Random(9)
+    rows = {v: [(i * 7919 - 100000, v, rng.choice([None, 1, 2]), rng.choice([None, D("1.50")]), rng.choice([None, "A", 'é"']))
+                for i in range(500)] for v in (1, 2, 3)}
+    write_files(spark, f"{tmp_dir}/v", VERSIONS, [rows[1][:300], rows[2][:300] + rows[1][300:], rows[2][300:] + rows[3] + rows[1]])
+    q = keyed.start_resource_changes(stream_of(spark, f"{tmp_dir}/v", VERSIONS), f"{tmp_dir}/sink", f"{tmp_dir}/ckpt", buckets=8)
+    run_to_end(q)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 8
+    out = spark.read.parquet(f"{tmp_dir}/sink")
+    names = ["resource_id", "change_type", "change_reason", "change_amount", "change_area"]
+    for v in (2, 3):
+        old, new = (spark.createDataFrame(rows[x], VERSIONS).drop("version") for x in (v - 1, v))
+        want = resources.capture_resource_changes(old, new).select(*names).collect()
+        assert sorted(map(str, out.where(F.col("version") == v).select(*names).collect())) == sorted(map(str, want)) and want
+    assert out.where("version = 1").count() == 500
+
+
 # -- R5 ------------------------------------------------------------------------
 def test_maintenance_timers_at_every_stop_equal_the_batch_operator(spark, tmp_dir, mini):
     """Records in mixed order; the stream stops after each file and the standing reminders are those of its date."""
