@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 
 from ..schemas import ENUMS, FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS
-from ._ranges import table
 
 Tables = Mapping[str, DataFrame]
 
@@ -166,16 +165,17 @@ def constraint_checks(columns: Mapping[str, Sequence[str]]) -> list[tuple]:
     return checks
 
 
-def _constraint_rows(df: DataFrame, checks: list[tuple[int, int, tuple]], folded: dict[int, str]) -> DataFrame:
-    """(check, domain, number or text of the key) for every row of ``df`` and numbered check that it takes part in.
+def _constraint_rows(df: DataFrame, checks: list[tuple[int, int, tuple]], folded: dict[tuple[int, int], str]) -> DataFrame:
+    """(domain, slot, number or text of the key) for every row of ``df`` and check that it takes part in.
 
-    A domain is a key's set of values: that of a primary key also takes the foreign keys that refer to it.  Values outside
-    an allowed list are rows, allowed ones are not.  ``folded``: checks whose text keys are equal under a collation.
+    A domain is a key's set of values: that of a primary key also takes the foreign keys that refer to it.  A check is known by
+    its domain and its slot there.  Values outside an allowed list are rows, allowed ones are not.  ``folded``: checks whose
+    text keys are equal under a collation.
     """
     kinds, entries = dict(df.dtypes), []
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     collation = next(iter(folded.values()), None)
-    for nth, domain, c in checks:
+    for domain, slot, c in checks:
         names = [c[2]] if isinstance(c[2], str) else list(c[2])
         cols = [F.col(n) for n in names]
         wanted = functools.reduce(lambda x, y: x & y, [x.isNotNull() for x in cols])
@@ -186,9 +186,9 @@ def _constraint_rows(df: DataFrame, checks: list[tuple[int, int, tuple]], folded
             number = cols[0].cast("bigint")
         else:  # several columns: a text that keeps them apart, whatever they hold
             text = cols[0].cast("string") if len(names) == 1 else F.to_json(F.array(*[x.cast("string") for x in cols]))
-        fields = [F.lit(nth).alias("check"), F.lit(domain).alias("domain"), number.alias("number"), text.alias("text")]
+        fields = [F.lit(domain).alias("domain"), F.lit(slot).alias("slot"), number.alias("number"), text.alias("text")]
         if collation is not None:
-            fields.append(F.collate(text if nth in folded else no_text, collation).alias("folded"))
+            fields.append(F.collate(text if (domain, slot) in folded else no_text, collation).alias("folded"))
         entries.append(F.when(wanted, F.struct(*fields)))
     return df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
 
@@ -197,10 +197,10 @@ def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] |
                           collation: str | None = None) -> DataFrame:
     """Duplicate keys, orphan foreign keys and values outside the allowed lists.
 
-    Every table is read once: each row gives its keys, its foreign keys and its values outside a list, which are counted
-    together (a hot foreign key is combined map-side).  Kept are keys that repeat, distinct foreign keys, the keys these
-    refer to, and values outside lists; the foreign keys are then anti-joined with the keys of their domain.  Numbers
-    stay numbers throughout, and only what violates a rule is turned into text.
+    Every table is read once: each row gives its keys, its foreign keys and its values outside a list.  One aggregation over
+    all of them counts, per value of a domain, the rows of each check (a hot foreign key is combined map-side): a value
+    whose primary key counts nothing is an orphan of the checks that count it.  Nothing is joined but the names of
+    the checks.  Numbers stay numbers throughout, and only what violates a rule is turned into text.
 
     NULL keys are never duplicates or orphans (as in SQL), NULL values are not checked
     against lists.  ``columns`` limits the checks to those columns.  With a ``collation`` (e.g.
@@ -213,37 +213,37 @@ def constraint_violations(tables: Tables, columns: Mapping[str, Sequence[str]] |
     domains: dict[str, int] = {}
     number = lambda name: domains.setdefault(name, len(domains))
     by_table: dict[str, list[tuple[int, int, tuple]]] = {}
-    lines, referred, keys, folded = [], set(), [], {}
-    for nth, c in enumerate(checks):
+    lines, taken, folded = [], {}, {}
+    for c in checks:
         kind, t = c[0], c[1]
         if kind == "ORPHAN":
             domain, name = number(f"{c[3]}.{c[4]}"), f"{c[2]}->{c[3]}.{c[4]}"
-            referred.add(domain)
         elif kind == "NOT_ALLOWED":
             domain, name = number(f"{t}.{c[2]} allowed"), c[2]
         else:
             domain, name = number(f"{t}.{','.join(c[2])}"), "(" + ",".join(c[2]) + ")"
-            keys += [nth] if kind == "DUPLICATE_KEY" else []
-            if collation is not None and kind == "DUPLICATE_UNIQUE":
-                folded[nth] = collation
-        by_table.setdefault(t, []).append((nth, domain, c))
-        lines.append((nth, t, name, kind, len(c[2]) > 1 and not isinstance(c[2], str)))
+        slot = 0 if kind == "DUPLICATE_KEY" else taken.get(domain, 0) + 1  # slot 0 is the primary key's
+        taken[domain] = max(slot, taken.get(domain, 0))
+        if collation is not None and kind == "DUPLICATE_UNIQUE":
+            folded[domain, slot] = collation
+        by_table.setdefault(t, []).append((domain, slot, c))
+        lines.append((domain, slot, t, name, kind, len(c[2]) > 1 and not isinstance(c[2], str)))
     spark = next(iter(tables[t] for t in by_table)).sparkSession
-    named = spark.createDataFrame(lines, "check INT, table_name STRING, constraint_name STRING, kind STRING, several BOOLEAN")  # one row per check
+    named = spark.createDataFrame(lines, "domain INT, slot INT, table_name STRING, constraint_name STRING, kind STRING, several BOOLEAN")  # one row per check
     rows = functools.reduce(lambda a, b: a.unionByName(b), [_constraint_rows(tables[t], cs, folded) for t, cs in by_table.items()])
-    count = F.count(F.lit(1)).alias("n")
+    slots = range(max(taken.values()) + 1)
+    counts = [F.count(F.when(F.col("slot") == i, 1)).alias(f"n{i}") for i in slots]
     if folded:
         whole = F.when(F.col("folded").isNull(), F.col("text"))
-        counted = rows.groupBy("check", "domain", "number", whole.alias("whole"), "folded").agg(F.min("text").alias("text"), count)
+        counted = rows.groupBy("domain", "number", whole.alias("whole"), "folded").agg(F.min("text").alias("text"), *counts)
     else:
-        counted = rows.groupBy("check", "domain", "number", "text").agg(count)
-    orphan, listed = ([nth for nth, _, _, kind, _ in lines if kind == k] for k in ("ORPHAN", "NOT_ALLOWED"))
-    kept = table(counted.where((F.col("n") > 1) | F.col("check").isin(orphan + listed) | F.col("domain").isin(sorted(referred)))
-                 .select("check", "domain", "number", "text", "n"), "constraint-keys")
-    held = kept.where(F.col("check").isin(keys)).select("domain", "number", "text")
-    same = functools.reduce(lambda x, y: x & y, [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("domain", "number", "text")])
-    orphans = kept.where(F.col("check").isin(orphan)).alias("f").join(held.alias("k"), same, "left_anti")
-    rest = kept.where(F.col("check").isin(listed) | ~F.col("check").isin(orphan + listed) & (F.col("n") > 1))
+        counted = rows.groupBy("domain", "number", "text").agg(*counts)
+    per_check = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"n{i}").alias("n")) for i in slots])).alias("e")
+    # a value that its primary key holds once violates nothing
+    found = counted.where("n0 <> 1").select("domain", "number", "text", (F.col("n0") > 0).alias("held"), per_check)
+    found = found.select("domain", "number", "text", "held", "e.slot", "e.n").where("n > 0")
+    wrong = F.when(F.col("kind") == "ORPHAN", ~F.col("held")).when(F.col("kind") == "NOT_ALLOWED", True).otherwise(F.col("n") > 1)
     shown = F.when(F.col("several"), F.concat_ws(",", F.from_json("text", "array<string>"))).otherwise(
         F.coalesce(F.col("number").cast("string"), "text"))
-    return orphans.unionByName(rest).join(named, "check").select("table_name", "constraint_name", "kind", shown.alias("key_value"), "n")
+    return (found.join(F.broadcast(named), ["domain", "slot"]).where(wrong)
+            .select("table_name", "constraint_name", "kind", shown.alias("key_value"), "n"))

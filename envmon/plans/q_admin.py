@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import access, lifecycle, reports, resources
+from ..operators._ranges import table
 from ..session import new_path
 from ..sources.ingest import assign_ids, ingest_readings
 from .catalog import HA, REGISTRY, register, tables
@@ -387,7 +388,9 @@ def _violations_sql() -> str:
 
 @register("constraint_violations")
 def q_violations(spark, d):
-    return lifecycle.constraint_violations(tables(spark, d), FIXTURE_COLUMNS)
+    t = tables(spark, d)
+    t["lines"] = table(t["lines"], "lines")  # three of the tables are projections of it: numbered once
+    return lifecycle.constraint_violations(t, FIXTURE_COLUMNS)
 
 
 REGISTRY["constraint_violations"] = (q_violations, with_tables(_violations_sql()))

@@ -245,6 +245,23 @@ def test_constraint_violations(mini):
     assert ("report_templates", "NOT_ALLOWED", "SPACE") in got
 
 
+def test_constraints_of_a_shared_key_in_one_aggregation(spark):
+    """A key that repeats and is referred to, orphans of two tables, one value in both, nulls; no join but with the names."""
+    ids = lambda name, *values: spark.createDataFrame([(v,) for v in values], f"{name} BIGINT")
+    t = {"users": ids("user_id", 1, 1, 2, None, None),
+         "regions": spark.createDataFrame([(1, "a", 1), (2, "a", 7), (2, None, 7), (3, "b", None)], "region_id BIGINT, region_name STRING, manager_id BIGINT"),
+         "sensors": spark.createDataFrame([(1, 2, "x"), (2, 9, None), (3, None, "ACTIVE")], "sensor_id BIGINT, region_id BIGINT, status STRING"),
+         "user_roles": spark.createDataFrame([(7, 1), (7, 1), (2, 1), (2, None), (2, None)], "user_id BIGINT, role_id BIGINT")}
+    found = lifecycle.constraint_violations(t)
+    assert sorted(tuple(r) for r in found.collect()) == sorted([
+        ("users", "(user_id)", "DUPLICATE_KEY", "1", 2), ("regions", "(region_id)", "DUPLICATE_KEY", "2", 2),
+        ("regions", "(region_name)", "DUPLICATE_UNIQUE", "a", 2), ("regions", "manager_id->users.user_id", "ORPHAN", "7", 2),
+        ("sensors", "region_id->regions.region_id", "ORPHAN", "9", 1), ("sensors", "status", "NOT_ALLOWED", "x", 1),
+        ("user_roles", "(user_id,role_id)", "DUPLICATE_KEY", "7,1", 2), ("user_roles", "user_id->users.user_id", "ORPHAN", "7", 2)])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_reports(mini):
     with pytest.raises(ValueError):
         reports.report_data(mini, "SPACE")
