@@ -67,13 +67,14 @@ def utf8_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off.astype(np.int64)
 
 
-def pieces(data: np.ndarray, off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs (first, last + 1) of texts with about ``most`` bytes each, so that temporaries stay small."""
+def pieces(data: np.ndarray, off: np.ndarray, most: int = 1 << 20, texts: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs (first, last + 1) of texts with about ``most`` bytes each, of ``texts`` texts at most, so that temporaries stay small."""
     first, n = 0, len(off) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(off, off[first] + most, side="right")) - 1)
-        yield first, min(last, n)
-        first = min(last, n)
+        last = min(last, n if texts is None else first + texts, n)
+        yield first, last
+        first = last
 
 
 def chars_array(values: list[bytes], kind=None) -> pa.Array:

@@ -65,6 +65,10 @@ _BYTE_HASH = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.ui
 
 #: A text is read in parts of this many bytes, whose counts are added up.
 PART = 1 << 20
+#: Bytes of texts, and texts (each a row of all layout terms), whose terms are counted at a time.
+PIECE, TEXTS = 1 << 18, 512
+#: Texts that are compared at a time.
+BLOCK = 1024
 
 
 def term_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -207,15 +211,15 @@ class Model:
         out, k = np.full(len(t), self.prior), min(self.neighbours, len(self.labels))
         if not k:
             return out
-        for at in range(0, len(t), 1024):
-            part = t.rows(at, min(len(t), at + 1024))
+        for at in range(0, len(t), BLOCK):
+            part = t.rows(at, min(len(t), at + BLOCK))
             filled = part.layout.any(axis=1)
             if not filled.any():
                 continue
             cos = self.embed(part)[filled] @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
             w = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6).astype(np.float64) ** self.power
-            out[at:at + 1024][filled] = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
+            out[at:at + BLOCK][filled] = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
         return out
 
 
@@ -244,10 +248,13 @@ def _word_space(t: Terms, idf: np.ndarray, dims: int) -> np.ndarray:
     inner = np.zeros((n, n), np.float32)
     for at in range(0, N_WORDS, CELLS):
         inner += (x := block(at)) @ x.T
+    del x
     values, basis = np.linalg.eigh(inner)
+    del inner
     keep = np.argsort(values)[::-1][:dims]
     keep = keep[values[keep] > 1e-6 * max(1e-12, values.max(initial=0))]
     left = basis[:, keep] / np.sqrt(values[keep])
+    del basis
     return np.concatenate([block(at).T @ left for at in range(0, N_WORDS, CELLS)]).astype(np.float32)
 
 
@@ -258,6 +265,7 @@ def fit(t: Terms, labels: np.ndarray, dims: int = 48, neighbours: int = 15, powe
     x = _weights(t.layout) * idf[:N_LAYOUT]
     values, basis = np.linalg.eigh((x.T @ x).astype(np.float64))  # right singular vectors of the labelled rows
     space = basis[:, ::-1][:, :dims].astype(np.float32)
+    del x, basis
     words = _word_space(t, idf[N_LAYOUT:], dims) if n else np.zeros((N_WORDS, 0), np.float32)
     model = Model(idf, space, words, np.zeros((0, space.shape[1] + words.shape[1]), np.float32), labels, neighbours, power, word_weight)
     model.vectors = np.concatenate([model.vectors, *[model.embed(t.rows(a, min(n, a + 1024))) for a in range(0, n, 1024)]])
@@ -269,7 +277,7 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Non-zero terms of labelled texts, and a digest of the text."""
     for b in batches:
         data, off = utf8_buffers(b.column("text"))
-        for i, j in pieces(data, off):
+        for i, j in pieces(data, off, PIECE, TEXTS):
             t = term_frequencies(data, off[i:j + 1])
             at = [np.flatnonzero(r) for r in t.layout]
             cut = np.searchsorted(t.text, np.arange(j - i + 1))
@@ -321,13 +329,23 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **settin
     return fit(nothing, np.zeros(0), **settings)
 
 
+def _terms(data: np.ndarray, off: np.ndarray) -> Terms:
+    """Term shares of texts, counted a few texts at a time."""
+    parts = [(i, term_frequencies(data, off[i:j + 1])) for i, j in pieces(data, off, PIECE, TEXTS)]
+    return Terms(np.concatenate([t.layout for _, t in parts]), *[np.concatenate(x) for x in (
+        [t.text + i for i, t in parts], [t.cell for _, t in parts], [t.share for _, t in parts])])
+
+
+def _scores(m: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    found = [m.score(_terms(data, off[a:min(a + BLOCK, j) + 1])) for i, j in pieces(data, off) for a in range(i, j, BLOCK)]
+    return np.concatenate(found or [np.zeros(0)])
+
+
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m = model.value
     for b in batches:
         data, off = utf8_buffers(b.column("text"))
-        score = np.concatenate([m.score(term_frequencies(data, off[i:j + 1])) for i, j in pieces(data, off)]
-                               or [np.zeros(0)])
-        score = np.clip(score, 0.0, 1.0)
+        score = np.clip(_scores(m, data, off), 0.0, 1.0)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score)],
                                          ["doc_id", "held_out", "score"])
 
@@ -346,9 +364,7 @@ def _good(batches: Iterator[pa.RecordBatch], model, least: float) -> Iterator[pa
     m = model.value
     for b in batches:
         data, off = utf8_buffers(b.column("text"))
-        score = np.concatenate([m.score(term_frequencies(data, off[i:j + 1])) for i, j in pieces(data, off)]
-                               or [np.zeros(0)])
-        yield b.filter(pa.array(score >= least))
+        yield b.filter(pa.array(_scores(m, data, off) >= least))
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:

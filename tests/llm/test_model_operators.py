@@ -463,3 +463,24 @@ def test_automata_of_two_hundred_languages_are_bounded():
     assert p.table.dtype == np.int32 and p.table.nbytes < 600 << 20
     data = np.frombuffer(texts["l007"][0][:300], np.uint8)
     assert p.languages[p.predict(data, np.array([0, 300]))[0][0]] == "l007"
+
+
+def test_quality_holds_few_texts_at_a_time(monkeypatch):
+    """Many short texts: term counts are made for a bounded number of them, and score as the whole does."""
+    import numpy as np
+    import pyarrow as pa
+
+    from envmon.llm import quality
+    from envmon.llm._common import utf8_buffers
+    texts = pa.array([f"short {i % 7}, Text {i % 3}." for i in range(3000)])
+    data, off = utf8_buffers(texts)
+    model = quality.fit(quality.term_frequencies(data, off[:101]), np.arange(100) % 2.0)
+    whole = model.score(quality.term_frequencies(data, off))
+    asked, counts = [], quality.term_counts
+    monkeypatch.setattr(quality, "term_counts", lambda d, o: asked.append(len(o) - 1) or counts(d, o))
+
+    class Shared:
+        value = model
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([False] * 3000), texts], ["doc_id", "held_out", "text"])
+    got = np.concatenate([b.column("score").to_numpy() for b in quality._score(iter([batch]), Shared)])
+    assert np.allclose(got, whole, atol=1e-5) and max(asked) <= 512 and sum(asked) == 3000
